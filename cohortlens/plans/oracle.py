@@ -46,6 +46,16 @@ def _re(expr: str, digits: int) -> str:
     return f"round_even(({expr}) * {k}, 0) / {k}"
 
 
+def _q7(col: str, p: float) -> str:
+    """Type-7 quantile of ``col`` in the current group, written out:
+    ``x[floor h] + (x[ceil h] - x[floor h]) * (h - floor h)``, h = (n-1)p."""
+    arr = f"list_sort(list({col}) FILTER (WHERE {col} IS NOT NULL))"
+    h = f"((COUNT({col}) - 1) * {D(p)})"
+    lo = f"{arr}[CAST(floor({h}) AS BIGINT) + 1]"
+    hi = f"{arr}[CAST(ceil({h}) AS BIGINT) + 1]"
+    return f"(CASE WHEN {lo} = {hi} THEN {lo} ELSE {lo} + ({hi} - {lo}) * ({h} - floor({h})) END)"
+
+
 _VALID = " AND ".join(
     f"{c} BETWEEN {D(lo)} AND {D(hi)}" for c, (lo, hi) in S.VALID_RANGES.items())
 
@@ -129,8 +139,8 @@ def _box(src: str, col: str, key: str) -> str:
     k = D(S.BOX_WHISKER)
     return f"""
 b AS (SELECT {key}, COUNT(*) AS n, AVG({col}) AS mean, MIN({col}) AS "min", MAX({col}) AS "max",
-             quantile_cont({col}, 0.25) AS q1, quantile_cont({col}, 0.5) AS median,
-             quantile_cont({col}, 0.75) AS q3
+             {_q7(col, 0.25)} AS q1, {_q7(col, 0.5)} AS median,
+             {_q7(col, 0.75)} AS q3
       FROM {src} WHERE {col} IS NOT NULL GROUP BY {key}),
 f AS (SELECT *, q3 - q1 AS iqr, q1 - {k} * (q3 - q1) AS lower_fence,
              q3 + {k} * (q3 - q1) AS upper_fence FROM b),
@@ -157,7 +167,7 @@ st AS (SELECT SUM((o - e) * (o - e) / e) AS statistic,
               CAST(SUM(o) AS BIGINT) AS n FROM ex),
 pv2 AS (SELECT *, CASE WHEN statistic <= 0 THEN {D(1)} ELSE LEAST({D(1)}, list_sum(list_transform(
                     range(0, dof // 2),
-                    i -> exp(i * ln(statistic / 2) - lgamma(i + 1) - statistic / 2)))) END AS p_value
+                    lambda i: exp(i * ln(statistic / 2) - lgamma(i + 1) - statistic / 2)))) END AS p_value
         FROM st),
 res AS (SELECT {_q(name)} AS test, {_re('statistic', 6)} AS statistic, dof, n,
                {_re('p_value', 9)} AS p_value, p_value < {D(S.ALPHA)} AS significant,
@@ -174,7 +184,7 @@ def _density(grid: int = 64, bins: int = 512) -> str:
     return f"""
 d AS (SELECT gender, BMI AS v FROM x WHERE gender IN ('female', 'male') AND BMI IS NOT NULL),
 st AS (SELECT gender, COUNT(*) AS n, MIN(v) AS lo, MAX(v) AS hi, stddev_samp(v) AS sd,
-              quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM d GROUP BY gender),
+              {_q7('v', 0.75)} - {_q7('v', 0.25)} AS iqr FROM d GROUP BY gender),
 pr0 AS (SELECT *, CASE WHEN LEAST(sd, iqr / {D(1.34)}) > 0 THEN LEAST(sd, iqr / {D(1.34)})
                        ELSE sd END AS spread FROM st),
 pr AS (SELECT gender, n, lo, hi,
@@ -346,9 +356,9 @@ SELECT user_id, user_bmi, percentile, below, above, (SELECT COUNT(*) FROM x) AS
        (SELECT {D(100)} * AVG(CAST(BMI >= {D(S.OVERWEIGHT_CUT)} AS INTEGER)) FROM x) AS overweight_share
 FROM ({_rank(f"(SELECT user_id, {_bmi('height', 'weight')} AS user_bmi FROM {_LATEST_SUB})", 'user_bmi')})"""),
     # distributions
-    "quantiles": _with("""
-SELECT CAST(0.1 AS DOUBLE) AS p, quantile_cont(BMI, 0.1) AS q FROM x
-UNION ALL SELECT CAST(0.9 AS DOUBLE), quantile_cont(BMI, 0.9) FROM x"""),
+    "quantiles": _with(f"""
+SELECT CAST(0.1 AS DOUBLE) AS p, {_q7('BMI', 0.1)} AS q FROM x
+UNION ALL SELECT CAST(0.9 AS DOUBLE), {_q7('BMI', 0.9)} FROM x"""),
     "ecdf": _with("""
 SELECT value, n, CAST(SUM(n) OVER (ORDER BY value) AS BIGINT) AS cum,
        CAST(SUM(n) OVER () AS BIGINT) AS total,
