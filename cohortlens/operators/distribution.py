@@ -346,7 +346,7 @@ def density(df: DataFrame, col: str, by: Sequence[str] = (), grid: int = 64,
     are first counted into ``bins`` equal bins over the group's range (bin
     centres stand in for the values, as in binned KDE), so the kernel sum
     costs bins x grid per group, whatever the number of rows.  Output
-    ``(by..., g, x, density)``; densities integrate to about 1.
+    ``(by..., point, x, density)``; densities integrate to about 1.
     """
     by = list(by)
     st = box_stats(df, col, by)
@@ -369,16 +369,17 @@ def density(df: DataFrame, col: str, by: Sequence[str] = (), grid: int = 64,
                .groupBy(*by, "lo", "hi", "bw", "n", "bin").agg(F.count(F.lit(1)).alias("c")))
     centre = F.col("lo") + (F.col("bin") + F.lit(0.5)) * width
     step = (F.col("hi") - F.col("lo")) / F.lit(float(max(grid - 1, 1)))
-    expanded = binned.select(*by, "bw", "n", centre.alias("centre"), "c",
-                             F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("g"),
-                             "lo", step.alias("step"))
-    x = F.col("lo") + F.col("g") * F.col("step")
-    z = (x - F.col("centre")) / F.col("bw")
+    expanded = binned.select(*by, "bw", "n", centre.alias("__centre"), "c",
+                             F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("__point"),
+                             "lo", step.alias("__step"))
+    x = F.col("lo") + F.col("__point") * F.col("__step")
+    z = (x - F.col("__centre")) / F.col("bw")
     kern = F.col("c") * F.exp(F.lit(-0.5) * z * z)
     norm = F.lit(1.0 / math.sqrt(2 * math.pi))
-    return (expanded.groupBy(*by, "g").agg(
+    return (expanded.groupBy(*by, "__point").agg(
                 F.first(x).alias("x"),
-                (F.sum(kern) * norm / (F.first("n") * F.first("bw"))).alias("density")))
+                (F.sum(kern) * norm / (F.first("n") * F.first("bw"))).alias("density"))
+            .withColumnRenamed("__point", "point"))
 
 
 def scatter_bins(df: DataFrame, x: str, y: str, by: Sequence[str] = (),

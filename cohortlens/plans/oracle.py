@@ -206,7 +206,7 @@ ex AS (SELECT gender, bw, n, lo, c, g.g,
 def _density_body() -> str:
     z = "((lo + g * step) - centre) / bw"
     return f"""
-SELECT gender, CAST(g AS INTEGER) AS g, {_re('FIRST(lo + g * step)', 9)} AS x,
+SELECT gender, CAST(g AS INTEGER) AS point, {_re('FIRST(lo + g * step)', 9)} AS x,
        {_re(f'SUM(c * exp({D(-0.5)} * ({z}) * ({z}))) * {_NORM} / (FIRST(n) * FIRST(bw))', 12)}
          AS density
 FROM ex GROUP BY gender, g"""

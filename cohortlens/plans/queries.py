@@ -338,7 +338,7 @@ def box_outliers_q(spark, sf):
 def violin_by_gender_q(spark, sf):
     x = V.population(spark, sf).filter(F.col("gender").isin(list(S.GENDER_LEVELS)))
     d = Q.density(x, "BMI", ["gender"], grid=64, bins=512)
-    return d.select("gender", "g", round_even("x", 9).alias("x"),
+    return d.select("gender", "point", round_even("x", 9).alias("x"),
                     round_even("density", 12).alias("density"))
 
 
