@@ -302,10 +302,12 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = (),
         F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
         F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("median"),
         F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"))
-    v = F.col(col).cast("double")
-    basic = (df.select(*by, v.alias("__v")).filter(F.col("__v").isNotNull())
-               .groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("__v").alias("mean"),
-                                 F.min("__v").alias("min"), F.max("__v").alias("max")))
+    # n, mean, min and max come from the distinct-value table as well, so the
+    # raw rows are scanned once (by ``value_counts``) for the whole summary.
+    basic = cum.groupBy(*by).agg(
+        F.first("total").alias("n"),
+        (F.sum(F.col("value") * F.col("n")) / F.first("total")).alias("mean"),
+        F.min("value").alias("min"), F.max("value").alias("max"))
     stats = _join_keys(basic, wide, by) if by else _one_row_pair(basic, wide)
     k = F.lit(float(whisker))
     stats = (stats.withColumn("iqr", F.col("q3") - F.col("q1"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -89,15 +89,41 @@ def percentile_table(pop: DataFrame, col: str, n_buckets: int | None = None) ->
     return table, edges
 
 
-def rank_against(probes: DataFrame, probe_col: str, table: DataFrame, edges: list[float]) -> DataFrame:
+# Static percentile tables with up to this many distinct values are broadcast
+# to the stream (about 24 bytes per value); larger ones are joined by bucket.
+MAX_BROADCAST_VALUES = 2_000_000
+
+
+def count_not_above(arr: str, value: Column) -> Column:
+    """Number of elements <= ``value`` in a sorted array: binary search.
+
+    32 halving steps inside ``aggregate`` cover any array length, so a probe
+    costs O(log n) whatever the bucket size.
+    """
+    size = F.size(arr)
+
+    def step(s, _i):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        go_right = F.element_at(arr, mid + 1) <= value
+        moved = F.when(go_right, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))) \
+                 .otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi")))
+        return F.when(s["lo"] < s["hi"], moved).otherwise(s)
+
+    init = F.struct(F.lit(0).alias("lo"), size.alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), init, step, lambda s: s["lo"])
+
+
+def rank_against(probes: DataFrame, probe_col: str, table: DataFrame, edges: list[float],
+                 broadcast: bool = True) -> DataFrame:
     """Percentile (<=), below (<) and above of each probe row.
 
     Stream-static equi-join on the probe's bucket; inside the row, ``k`` =
-    number of bucket values <= probe, read from the sorted array.
+    number of bucket values <= probe, found by binary search.
     """
     p = bucketize(probes.withColumn("__pv", F.col(probe_col).cast("double")), "__pv", edges, "__bucket")
-    j = p.join(F.broadcast(table.withColumnRenamed("bucket", "__bucket")), "__bucket", "left")
-    k = F.size(F.filter("vals", lambda x: x <= F.col("__pv")))
+    t = table.withColumnRenamed("bucket", "__bucket")
+    j = p.join(F.broadcast(t) if broadcast else t, "__bucket", "left")
+    k = count_not_above("vals", F.col("__pv"))
     le_in = F.when(k > 0, F.element_at("cums", k)).otherwise(F.lit(0).cast("long"))
     eq = F.when((k > 0) & (F.element_at("vals", k) == F.col("__pv")), F.element_at("ns", k)) \
           .otherwise(F.lit(0).cast("long"))
@@ -111,7 +137,8 @@ def rank_against(probes: DataFrame, probe_col: str, table: DataFrame, edges: lis
 def start_percentile(sub: DataFrame, table: DataFrame, edges: list[float], out: str,
                      checkpoint: str, probe_col: str = "bmi") -> StreamingQuery:
     """Stream each scored submission's rank in the population (append)."""
-    ranked = rank_against(sub, probe_col, table, edges)
+    n_values = table.agg(F.sum(F.size("vals"))).first()[0] or 0
+    ranked = rank_against(sub, probe_col, table, edges, broadcast=n_values <= MAX_BROADCAST_VALUES)
     return (ranked.writeStream.format("parquet").option("path", out)
             .option("checkpointLocation", checkpoint).outputMode("append")
             .trigger(availableNow=True).start())

@@ -74,3 +74,18 @@ def test_category_counts_stream(spark, tmp_dir):
     assert got.count() > 0
     mx = lg.filter(first).agg(F.max("timestamp")).first()[0]
     assert got.filter(F.col("window_end") > F.lit(mx)).count() == 0
+
+
+def test_binary_search_matches_bisect(spark):
+    import bisect
+    import random
+
+    rnd = random.Random(3)
+    rows = []
+    for n in (0, 1, 2, 5, 100, 1000):
+        arr = sorted(set(round(rnd.uniform(0, 50), 2) for _ in range(n)))
+        for probe in [-1.0, 0.0, 25.0, 50.0, 99.0] + arr[:3] + arr[-2:]:
+            rows.append((arr, float(probe)))
+    df = spark.createDataFrame(rows, "vals array<double>, v double")
+    got = [r[0] for r in df.select(W.count_not_above("vals", F.col("v"))).collect()]
+    assert got == [bisect.bisect_right(a, v) for a, v in rows]
