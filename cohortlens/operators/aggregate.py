@@ -107,6 +107,16 @@ def crosstab(df: DataFrame, rows: str, cols: str,
               .groupBy(rows).agg(*aggs))
 
 
+def crosstab_counts(df: DataFrame, rows: str, cols: str, col_levels: Sequence,
+                    names: Sequence[str] | None = None) -> DataFrame:
+    """A12/R3 wide form: zero-filled counts of each column level per row key,
+    rows sorted by key (the matrix a chi-square test reads)."""
+    names = list(names) if names is not None else [str(lv) for lv in col_levels]
+    c = F.col(cols)
+    aggs = [F.count_if(c == F.lit(lv)).alias(n) for lv, n in zip(col_levels, names)]
+    return df.filter(F.col(rows).isNotNull()).groupBy(rows).agg(*aggs).orderBy(rows)
+
+
 def with_proportions(pivot: DataFrame, count_cols: Sequence[str] = ("Female_Count", "Male_Count"),
                      out_cols: Sequence[str] = ("Female_Proportion", "Male_Proportion")) -> DataFrame:
     """Each count over the row sum of the counts; null if any count is null."""

@@ -153,6 +153,8 @@ box AS (SELECT f.* REPLACE ({_re('f.mean', 9)} AS mean), w.whisker_low, w.whiske
 
 
 def _chisq(src: str, a: str, b: str, name: str, texts) -> str:
+    """Dense table, Pearson statistic and p-value: closed form for even dof,
+    ``1 - P(dof/2, stat/2)`` by its power series for odd dof."""
     return f"""
 cells AS (SELECT {a} AS a, {b} AS b, COUNT(*) AS n FROM {src}
           WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL),
@@ -165,9 +167,13 @@ ex AS (SELECT a, b, CAST(n AS DOUBLE) AS o,
 st AS (SELECT SUM((o - e) * (o - e) / e) AS statistic,
               CAST((COUNT(DISTINCT a) - 1) * (COUNT(DISTINCT b) - 1) AS INTEGER) AS dof,
               CAST(SUM(o) AS BIGINT) AS n FROM ex),
-pv2 AS (SELECT *, CASE WHEN statistic <= 0 THEN {D(1)} ELSE LEAST({D(1)}, list_sum(list_transform(
+pv2 AS (SELECT *, CASE WHEN statistic <= 0 THEN {D(1)}
+                       WHEN dof % 2 = 0 THEN LEAST({D(1)}, list_sum(list_transform(
                     range(0, dof // 2),
-                    lambda i: exp(i * ln(statistic / 2) - lgamma(i + 1) - statistic / 2)))) END AS p_value
+                    lambda i: exp(i * ln(statistic / 2) - lgamma(i + 1) - statistic / 2))))
+                       ELSE {D(1)} - list_sum(list_transform(range(0, 400),
+                    lambda j: exp((dof / 2 + j) * ln(statistic / 2) - statistic / 2
+                                  - lgamma(dof / 2 + j + 1)))) END AS p_value
         FROM st),
 res AS (SELECT {_q(name)} AS test, {_re('statistic', 6)} AS statistic, dof, n,
                {_re('p_value', 9)} AS p_value, p_value < {D(S.ALPHA)} AS significant,
@@ -432,3 +438,42 @@ ORACLE["verdict"] = (
                   _chisq("(SELECT * FROM x WHERE gender IN ('female', 'male'))", "gender", "BMI_Index",
                          "gender x BMI_Index", S.VERDICT_GENDER_BAND)) + ")"
 )
+
+
+GENERIC_VERDICT = ("The two variables are associated (p < 0.05).",
+                   "No evidence of association (p >= 0.05).")
+EVENT_VALUE_CUTS = (10.0, 50.0, 100.0, 200.0)
+QUANTITY_CUTS = (10.0, 25.0, 40.0)
+
+ORACLE.update({
+    "detect_dialect": _with("\nUNION ALL\n".join(
+        f"SELECT {_q(lab)} AS file, {sep} AS delimiter, COUNT(*) AS \"rows\", COUNT(weight) AS weights FROM m"
+        for lab, sep in (("tab", "chr(9)"), ("semicolon", "';'"), ("comma", "','")))),
+    "collapse_delims": _with("SELECT person_id, gender, CAST(age AS DOUBLE) AS age, height, weight FROM m"),
+    "null_tokens": _with("SELECT person_id, gender, CAST(age AS DOUBLE) AS age, height FROM m"),
+    "harmonize_headers": _with(f"""
+SELECT person_id, gender, age, height, weight, {_bmi('height', 'weight')} AS BMI,
+       CAST({_band(_bmi('height', 'weight'), S.BMI_CUTS)} AS INTEGER) AS BMI_index FROM m"""),
+    "sort_pivot": _with("SELECT age_interval, " + ", ".join(
+        f'COUNT(*) FILTER (WHERE BMI_Index = {i}) AS "{i}"' for i in range(1, 6))
+        + " FROM x WHERE age_interval IS NOT NULL GROUP BY age_interval"),
+    "box_events_value": _with("SELECT * FROM box", _box("events", "value", "event_type")),
+    "ecdf_lineitem_price": _with("""
+SELECT l_returnflag, value, n,
+       CAST(SUM(n) OVER (PARTITION BY l_returnflag ORDER BY value) AS BIGINT) AS cum,
+       CAST(SUM(n) OVER (PARTITION BY l_returnflag) AS BIGINT) AS total,
+       SUM(n) OVER (PARTITION BY l_returnflag ORDER BY value) / SUM(n) OVER (PARTITION BY l_returnflag) AS cdf
+FROM (SELECT l_returnflag, l_extendedprice AS value, COUNT(*) AS n FROM lineitem
+      WHERE l_extendedprice IS NOT NULL GROUP BY ALL)"""),
+    "quantiles_events_value": _with("\nUNION ALL\n".join(
+        f"SELECT event_type, {D(p)} AS p, {_q7('value', p)} AS q FROM events GROUP BY event_type"
+        for p in (0.1, 0.5, 0.9))),
+    "chisq_events": _with(
+        "SELECT statistic, dof, n, p_value, significant, interpretation FROM res",
+        _chisq(f"(SELECT *, CAST({_band('value', EVENT_VALUE_CUTS)} AS INTEGER) AS value_band FROM events)",
+               "event_type", "value_band", "events", GENERIC_VERDICT)),
+    "chisq_lineitem": _with(
+        "SELECT statistic, dof, n, p_value, significant, interpretation FROM res",
+        _chisq(f"(SELECT *, CAST({_band('l_quantity', QUANTITY_CUTS)} AS INTEGER) AS qty_band FROM lineitem)",
+               "l_linestatus", "qty_band", "lineitem", GENERIC_VERDICT)),
+})

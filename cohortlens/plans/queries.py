@@ -454,6 +454,113 @@ def stream_category_counts_q(spark, sf):
     return spark.read.parquet(out)
 
 
+# ------------------------------------------------- more sources and reshaping ---
+
+def _as_text(df: DataFrame, tokens: dict[str, str] | None = None) -> DataFrame:
+    """Every column as text; nulls rendered with the given per-column token."""
+    tokens = tokens or {}
+    return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(tokens.get(c, "NA"))).alias(c)
+                       for c in df.columns])
+
+
+def detect_dialect_q(spark, sf):
+    """The people table written with tab, ``;`` and ``,``; each folder's
+    delimiter detected from its first line and the folder read with it."""
+    m = V.people(spark, sf)
+    rows = []
+    for label, sep in (("tab", "\t"), ("semicolon", ";"), ("comma", ",")):
+        path = scratch_path(spark, f"dialect-{label}")
+        m.write.option("header", True).option("sep", sep).csv(path)
+        found, header = ingest.detect_dialect(spark, path)
+        df = ingest.read_delimited(spark, [path], found, header)
+        rows.append(df.agg(F.count(F.lit(1)).alias("rows"), F.count("weight").alias("weights"))
+                      .select(F.lit(label).alias("file"), F.lit(found).alias("delimiter"),
+                              "rows", "weights"))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def collapse_delims_q(spark, sf):
+    """Lines whose fields are separated by runs of commas, read with
+    ``collapse_repeated=True``; nulls written as ``NA`` (D9)."""
+    path = scratch_path(spark, "collapse")
+    m = _as_text(V.people(spark, sf))
+    header = ",,".join(m.columns)
+    lines = m.select(F.concat_ws(",,", *m.columns).alias("value"))
+    lines.write.text(os.path.join(path, "rows"))
+    spark.createDataFrame([(header,)], "value string").write.text(os.path.join(path, "head"))
+    files = [os.path.join(path, "rows"), os.path.join(path, "head")]
+    out = ingest.read_delimited(spark, files, ",", header, collapse_repeated=True)
+    out = ingest.null_tokens(out)
+    return out.select(safe_double("person_id").cast("long").alias("person_id"), "gender",
+                      safe_double("age").alias("age"), safe_double("height").alias("height"),
+                      safe_double("weight").alias("weight"))
+
+
+def null_tokens_q(spark, sf):
+    """Nulls rendered as ``Nil`` / ``NaN`` / ``Missing`` text and read back as null."""
+    m = _as_text(V.people(spark, sf), {"gender": "Nil", "age": "NaN", "height": "Missing"})
+    out = ingest.null_tokens(m)
+    return out.select(safe_double("person_id").cast("long").alias("person_id"), "gender",
+                      safe_double("age").alias("age"), safe_double("height").alias("height"))
+
+
+def harmonize_headers_q(spark, sf):
+    """Messy headers (``Height CM``, ``Weight_kg``, ``BMI``, ``Index``,
+    ``Column 7``) harmonised to the canonical names."""
+    m = V.people(spark, sf)
+    b = bmi("height", "weight")
+    messy = m.select(F.col("person_id").alias("Person ID"), F.col("gender").alias("GENDER"),
+                     F.col("age").alias("Age"), F.col("height").alias("Height CM"),
+                     F.col("weight").alias("Weight_kg"), b.alias("BMI"),
+                     bmi_index(b).alias("Index"), F.lit(0).alias("Column 7"))
+    h = ingest.harmonize(messy)
+    return h.select("person_id", "gender", "age", "height", "weight", "BMI", "BMI_index")
+
+
+def sort_pivot_q(spark, sf):
+    """Zero-filled age-interval x band count matrix, rows in interval order."""
+    return A.crosstab_counts(V.population(spark, sf), "age_interval", "BMI_Index", [1, 2, 3, 4, 5])
+
+
+# ------------------------------------------- generic operators, native columns ---
+
+# Value bands of ``events.value`` and ``lineitem.l_quantity`` for the tests below,
+# and verdict texts for tests outside the body-measurement domain.
+EVENT_VALUE_CUTS = (10.0, 50.0, 100.0, 200.0)
+QUANTITY_CUTS = (10.0, 25.0, 40.0)
+GENERIC_VERDICT = ("The two variables are associated (p < 0.05).",
+                   "No evidence of association (p >= 0.05).")
+
+
+def box_events_value_q(spark, sf):
+    e = table(spark, sf, "events")
+    return Q.box_stats(e, "value", ["event_type"]).withColumn("mean", round_even("mean", 9))
+
+
+def ecdf_lineitem_price_q(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return Q.ecdf(li, "l_extendedprice", by=["l_returnflag"])
+
+
+def quantiles_events_value_q(spark, sf):
+    return Q.quantiles(table(spark, sf, "events"), "value", [0.1, 0.5, 0.9], by=["event_type"])
+
+
+def chisq_events_q(spark, sf):
+    """Chi-square of event type x value band (even dof)."""
+    e = table(spark, sf, "events").withColumn("value_band", bmi_index("value", EVENT_VALUE_CUTS))
+    return T.report(T.verdict(T.chi_square(e, "event_type", "value_band"), GENERIC_VERDICT))
+
+
+def chisq_lineitem_q(spark, sf):
+    """Chi-square of line status x quantity band: 2 x 4 levels, dof 3 (odd, erfc path)."""
+    li = table(spark, sf, "lineitem").withColumn("qty_band", bmi_index("l_quantity", QUANTITY_CUTS))
+    return T.report(T.verdict(T.chi_square(li, "l_linestatus", "qty_band"), GENERIC_VERDICT))
+
+
 QUERIES: dict[str, Query] = {
     # sources and sinks
     "read_people": read_people_q,
@@ -524,6 +631,18 @@ QUERIES: dict[str, Query] = {
     "latest_row": latest_row_q,
     "user_vs_population": user_vs_population_q,
     "sort_values": sort_values_q,
+    # more sources and reshaping
+    "detect_dialect": detect_dialect_q,
+    "collapse_delims": collapse_delims_q,
+    "null_tokens": null_tokens_q,
+    "harmonize_headers": harmonize_headers_q,
+    "sort_pivot": sort_pivot_q,
+    # generic operators on native columns
+    "box_events_value": box_events_value_q,
+    "ecdf_lineitem_price": ecdf_lineitem_price_q,
+    "quantiles_events_value": quantiles_events_value_q,
+    "chisq_events": chisq_events_q,
+    "chisq_lineitem": chisq_lineitem_q,
     # streaming
     "stream_score": stream_score_q,
     "stream_percentile": stream_percentile_q,
