@@ -33,12 +33,34 @@ from ..functions import round_even
 _MAX_BUCKETS = 16384
 
 
+# Distinct-value tables estimated below this size take one bucket (no job to
+# find edges); above it, buckets of about this size, at least a few per
+# shuffle partition.
+_BYTES_PER_BUCKET = 64 * 1024 * 1024
+
+
 def _default_buckets(spark: SparkSession) -> int:
     """Buckets for the running sum: a few per shuffle partition."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(1, min(_MAX_BUCKETS, 4 * parts))
 
 
+def choose_buckets(vc: DataFrame) -> int:
+    """Bucket count from Catalyst's size estimate of the distinct-value table.
+
+    The estimate is an upper bound (it does not shrink through the
+    aggregate), so a small estimate safely means one bucket.
+    """
+    try:
+        est = int(vc._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - no estimate: assume large
+        est = None
+    if est is not None and est <= _BYTES_PER_BUCKET:
+        return 1
+    by_size = math.ceil(est / _BYTES_PER_BUCKET) if est is not None else _MAX_BUCKETS
+    return max(1, min(_MAX_BUCKETS, max(by_size, _default_buckets(vc.sparkSession))))
+
+
 def value_counts(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """``(by..., value, n)``: rows per distinct non-null value."""
     v = F.col(col).cast("double")
@@ -114,10 +136,9 @@ def cumulative(df: DataFrame, col: str, by: Sequence[str] = (),
 
     One row per distinct value and group.
     """
-    spark = df.sparkSession
     by = list(by)
     vc = value_counts(df, col, by).persist(StorageLevel.MEMORY_AND_DISK)
-    nb = n_buckets if n_buckets is not None else _default_buckets(spark)
+    nb = n_buckets if n_buckets is not None else choose_buckets(vc)
     edges = bucket_edges(vc, nb)
     b = bucketize(vc, "value", edges)
     totals = b.groupBy(*by, "bucket").agg(F.sum("n").alias("bucket_n"))
@@ -232,14 +253,13 @@ def percentile_many(pop: DataFrame, col: str, probes: DataFrame, probe_col: str,
     value.  Adds ``percentile`` (100 * share <=), ``below`` (100 * share <)
     and ``above`` (100 - below).  Exact for any number of probes.
     """
-    spark = pop.sparkSession
     pv = value_counts(pop, col)
     pr = (probes.select(F.col(probe_col).cast("double").alias("value"))
                 .filter(F.col("value").isNotNull()).distinct()
                 .select("value", F.lit(0).cast("long").alias("n")))
     merged = (pv.unionByName(pr).groupBy("value").agg(F.sum("n").alias("n"))
                 .persist(StorageLevel.MEMORY_AND_DISK))
-    nb = n_buckets if n_buckets is not None else _default_buckets(spark)
+    nb = n_buckets if n_buckets is not None else choose_buckets(merged)
     edges = bucket_edges(merged, nb)
     b = bucketize(merged, "value", edges)
     totals = b.groupBy("bucket").agg(F.sum("n").alias("bucket_n"))

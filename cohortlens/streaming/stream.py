@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schema as S
 from ..functions import band_label, bmi, bmi_index
 from ..operators.clean import valid_submission_condition
-from ..operators.distribution import bucket_edges, bucketize, value_counts, _default_buckets
+from ..operators.distribution import bucket_edges, bucketize, choose_buckets, value_counts
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
@@ -65,7 +65,7 @@ def percentile_table(pop: DataFrame, col: str, n_buckets: int | None = None) ->
     """
     spark = pop.sparkSession
     vc = value_counts(pop, col).persist(StorageLevel.MEMORY_AND_DISK)
-    nb = n_buckets if n_buckets is not None else _default_buckets(spark)
+    nb = n_buckets if n_buckets is not None else choose_buckets(vc)
     edges = bucket_edges(vc, nb)
     b = bucketize(vc, "value", edges)
     w_in = (Window.partitionBy("bucket").orderBy("value")
