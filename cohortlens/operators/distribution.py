@@ -49,16 +49,22 @@ def choose_buckets(vc: DataFrame) -> int:
     """Bucket count from Catalyst's size estimate of the distinct-value table.
 
     The estimate is an upper bound (it does not shrink through the
-    aggregate), so a small estimate safely means one bucket.
+    aggregate), so a small estimate safely means one bucket: one sorted task
+    of at most ``_BYTES_PER_BUCKET``.  Call it before ``persist``: an
+    unmaterialised cached plan reports the "unknown" default size.  Without
+    a usable estimate the count falls back to a few buckets per shuffle
+    partition.
     """
     try:
         est = int(vc._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - no estimate: assume large
+    except Exception:  # noqa: BLE001
         est = None
-    if est is not None and est <= _BYTES_PER_BUCKET:
+    fallback = _default_buckets(vc.sparkSession)
+    if est is None or est >= 2 ** 62:
+        return fallback
+    if est <= _BYTES_PER_BUCKET:
         return 1
-    by_size = math.ceil(est / _BYTES_PER_BUCKET) if est is not None else _MAX_BUCKETS
-    return max(1, min(_MAX_BUCKETS, max(by_size, _default_buckets(vc.sparkSession))))
+    return max(1, min(_MAX_BUCKETS, max(math.ceil(est / _BYTES_PER_BUCKET), fallback)))
 
 
 def value_counts(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -137,8 +143,9 @@ def cumulative(df: DataFrame, col: str, by: Sequence[str] = (),
     One row per distinct value and group.
     """
     by = list(by)
-    vc = value_counts(df, col, by).persist(StorageLevel.MEMORY_AND_DISK)
+    vc = value_counts(df, col, by)
     nb = n_buckets if n_buckets is not None else choose_buckets(vc)
+    vc = vc.persist(StorageLevel.MEMORY_AND_DISK)
     edges = bucket_edges(vc, nb)
     b = bucketize(vc, "value", edges)
     totals = b.groupBy(*by, "bucket").agg(F.sum("n").alias("bucket_n"))
@@ -257,9 +264,9 @@ def percentile_many(pop: DataFrame, col: str, probes: DataFrame, probe_col: str,
     pr = (probes.select(F.col(probe_col).cast("double").alias("value"))
                 .filter(F.col("value").isNotNull()).distinct()
                 .select("value", F.lit(0).cast("long").alias("n")))
-    merged = (pv.unionByName(pr).groupBy("value").agg(F.sum("n").alias("n"))
-                .persist(StorageLevel.MEMORY_AND_DISK))
+    merged = pv.unionByName(pr).groupBy("value").agg(F.sum("n").alias("n"))
     nb = n_buckets if n_buckets is not None else choose_buckets(merged)
+    merged = merged.persist(StorageLevel.MEMORY_AND_DISK)
     edges = bucket_edges(merged, nb)
     b = bucketize(merged, "value", edges)
     totals = b.groupBy("bucket").agg(F.sum("n").alias("bucket_n"))

@@ -64,8 +64,9 @@ def percentile_table(pop: DataFrame, col: str, n_buckets: int | None = None) ->
     holds about distinct/n_buckets entries.
     """
     spark = pop.sparkSession
-    vc = value_counts(pop, col).persist(StorageLevel.MEMORY_AND_DISK)
+    vc = value_counts(pop, col)
     nb = n_buckets if n_buckets is not None else choose_buckets(vc)
+    vc = vc.persist(StorageLevel.MEMORY_AND_DISK)
     edges = bucket_edges(vc, nb)
     b = bucketize(vc, "value", edges)
     w_in = (Window.partitionBy("bucket").orderBy("value")
