@@ -142,9 +142,20 @@ def cumulative(df: DataFrame, col: str, by: Sequence[str] = (),
 
     One row per distinct value and group.
     """
-    by = list(by)
     vc = value_counts(df, col, by)
     nb = n_buckets if n_buckets is not None else choose_buckets(vc)
+    return cumulative_of_counts(vc, nb, by)
+
+
+def cumulative_of_counts(vc: DataFrame, nb: int, by: Sequence[str] = ()) -> DataFrame:
+    """Running count over a ``(by..., value, n)`` table split into ``nb`` buckets."""
+    by = list(by)
+    if nb <= 1:
+        # small table: one sorted task per group, no offsets to add
+        w_run = (Window.partitionBy(*by).orderBy("value")
+                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return vc.select(*by, "value", "n", F.sum("n").over(w_run).alias("cum"),
+                         F.sum("n").over(Window.partitionBy(*by)).alias("total"))
     vc = vc.persist(StorageLevel.MEMORY_AND_DISK)
     edges = bucket_edges(vc, nb)
     b = bucketize(vc, "value", edges)
@@ -266,21 +277,9 @@ def percentile_many(pop: DataFrame, col: str, probes: DataFrame, probe_col: str,
                 .select("value", F.lit(0).cast("long").alias("n")))
     merged = pv.unionByName(pr).groupBy("value").agg(F.sum("n").alias("n"))
     nb = n_buckets if n_buckets is not None else choose_buckets(merged)
-    merged = merged.persist(StorageLevel.MEMORY_AND_DISK)
-    edges = bucket_edges(merged, nb)
-    b = bucketize(merged, "value", edges)
-    totals = b.groupBy("bucket").agg(F.sum("n").alias("bucket_n"))
-    w_before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "bucket",
-        F.coalesce(F.sum("bucket_n").over(w_before), F.lit(0)).alias("offset"),
-        F.sum("bucket_n").over(Window.partitionBy()).alias("total"))
-    w_in = (Window.partitionBy("bucket").orderBy("value")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    steps = (b.join(F.broadcast(offsets), ["bucket"])
-              .select(F.col("value").alias("__v"),
-                      (F.col("offset") + F.sum("n").over(w_in)).alias("__le"),
-                      F.col("n").alias("__eq"), F.col("total").alias("__N")))
+    steps = cumulative_of_counts(merged, nb).select(
+        F.col("value").alias("__v"), F.col("cum").alias("__le"),
+        F.col("n").alias("__eq"), F.col("total").alias("__N"))
     out = probes.join(steps, F.col(probe_col).cast("double") == F.col("__v"), "left")
     le = F.col("__le") / F.col("__N")
     lt = (F.col("__le") - F.col("__eq")) / F.col("__N")
