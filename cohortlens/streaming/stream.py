@@ -183,17 +183,24 @@ def category_counts(sub: DataFrame, ts: str = "ts", window: str = "1 day",
                     delay: str = "1 hour", category: str = "category") -> DataFrame:
     """W4 body: submissions per category per tumbling window, with watermark.
 
-    ``timestamp_ntz`` input is cast to ``timestamp`` (UTC session) first:
-    watermarks need a zoned timestamp.  Rows later than the watermark are
-    dropped by Spark, as watermark semantics define.
+    Watermarks need a zoned ``timestamp``; a ``timestamp_ntz`` input is read
+    as UTC wall time whatever the session time zone (``convert_timezone``),
+    and window bounds are returned as UTC wall time again.  Rows later than
+    the watermark are dropped by Spark, as watermark semantics define.
     """
-    t = F.col(ts).cast("timestamp").alias("__ts")
-    return (sub.select(t, F.col(category))
+    col = F.col(ts)
+    if dict(sub.dtypes).get(ts) == "timestamp_ntz":
+        col = F.convert_timezone(F.lit("UTC"), F.current_timezone(), col).cast("timestamp")
+
+    def wall(c):
+        return F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz"))
+
+    return (sub.select(col.alias("__ts"), F.col(category))
                .withWatermark("__ts", delay)
                .groupBy(F.window("__ts", window), F.col(category))
                .agg(F.count(F.lit(1)).alias("n"))
-               .select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-                       F.col("window.end").cast("timestamp_ntz").alias("window_end"),
+               .select(wall(F.col("window.start")).alias("window_start"),
+                       wall(F.col("window.end")).alias("window_end"),
                        category, "n"))
 
 

@@ -89,3 +89,41 @@ def test_binary_search_matches_bisect(spark):
     df = spark.createDataFrame(rows, "vals array<double>, v double")
     got = [r[0] for r in df.select(W.count_not_above("vals", F.col("v"))).collect()]
     assert got == [bisect.bisect_right(a, v) for a, v in rows]
+
+
+def test_category_counts_independent_of_session_zone(spark, tmp_dir):
+    import __spark_entry__ as E  # noqa: F401 - registers the package path
+
+    lg, first = _source(spark, tmp_dir)
+    old = spark.conf.get("spark.sql.session.timeZone")
+    results = []
+    try:
+        for i, zone in enumerate(("UTC", "America/Los_Angeles")):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            out, ck = os.path.join(tmp_dir, f"out{i}"), os.path.join(tmp_dir, f"ck{i}")
+            scored = W.score_submissions(_stream(spark, tmp_dir, lg.schema))
+            W.start_category_counts(scored, out, ck, ts="timestamp").awaitTermination()
+            results.append(sorted(tuple(r) for r in spark.read.parquet(out).collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert results[0] == results[1] and results[0]
+    assert all(r[0].hour == 0 for r in results[0])  # day windows start at UTC midnight
+
+
+def test_late_rows_beyond_watermark_are_dropped(spark, tmp_dir):
+    import datetime as dt
+
+    src = os.path.join(tmp_dir, "src")
+    schema = "ts timestamp_ntz, category string"
+    spark.createDataFrame([(dt.datetime(2024, 1, 5, 12), "a"), (dt.datetime(2024, 1, 1, 12), "a")],
+                          schema).coalesce(1).write.parquet(os.path.join(src, "b0"))
+    out, ck = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck")
+    W.start_category_counts(spark.readStream.schema(schema).option("recursiveFileLookup", True)
+                            .parquet(src), out, ck, ts="ts").awaitTermination()
+    # a row for 2 Jan arrives after the watermark passed 5 Jan 11:00: dropped
+    spark.createDataFrame([(dt.datetime(2024, 1, 2, 12), "a"), (dt.datetime(2024, 1, 7, 12), "a")],
+                          schema).coalesce(1).write.parquet(os.path.join(src, "b1"))
+    W.start_category_counts(spark.readStream.schema(schema).option("recursiveFileLookup", True)
+                            .parquet(src), out, ck, ts="ts").awaitTermination()
+    got = {r.window_start.day: r.n for r in spark.read.parquet(out).collect()}
+    assert got == {1: 1, 5: 1}
