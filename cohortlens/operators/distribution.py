@@ -367,10 +367,12 @@ def outliers(df: DataFrame, col: str, by: Sequence[str] = (), stats: DataFrame |
 
 
 def density(df: DataFrame, col: str, by: Sequence[str] = (), grid: int = 64,
-            bins: int = 512) -> DataFrame:
+            bins: int = 512, bw_factor: float = S.KDE_BW_FACTOR,
+            iqr_divisor: float = S.KDE_IQR_DIVISOR, span: float = S.KDE_SPAN) -> DataFrame:
     """Q11: binned Gaussian kernel density per group on ``grid`` points.
 
-    Bandwidth (Silverman): ``0.9 * min(sd, IQR/1.34) * n^(-1/5)``.  Values
+    Bandwidth (rule of thumb): ``bw_factor * min(sd, IQR/iqr_divisor) *
+    n^(-1/5)``; the grid spans ``[min - span*bw, max + span*bw]``.  Values
     are first counted into ``bins`` equal bins over the group's range (bin
     centres stand in for the values, as in binned KDE), so the kernel sum
     costs bins x grid per group, whatever the number of rows.  Output
@@ -382,9 +384,9 @@ def density(df: DataFrame, col: str, by: Sequence[str] = (), grid: int = 64,
             .filter(F.col("__v").isNotNull())
             .groupBy(*by).agg(F.stddev_samp("__v").alias("sd")))
     st = _join_keys(st, sd, by) if by else _one_row_pair(st, sd)
-    spread = F.least(F.col("sd"), F.col("iqr") / F.lit(1.34))
+    spread = F.least(F.col("sd"), F.col("iqr") / F.lit(float(iqr_divisor)))
     spread = F.when(spread > 0, spread).otherwise(F.col("sd"))
-    bw = F.lit(0.9) * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))
+    bw = F.lit(float(bw_factor)) * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     params = st.select(*by, "n", F.col("min").alias("lo"), F.col("max").alias("hi"),
                        bw.alias("bw"))
     params = params.withColumn("bw", F.when(F.col("bw") > 0, F.col("bw")).otherwise(F.lit(1.0)))
@@ -396,11 +398,13 @@ def density(df: DataFrame, col: str, by: Sequence[str] = (), grid: int = 64,
     binned = (j.select(*by, "lo", "hi", "bw", "n", bidx.alias("bin"))
                .groupBy(*by, "lo", "hi", "bw", "n", "bin").agg(F.count(F.lit(1)).alias("c")))
     centre = F.col("lo") + (F.col("bin") + F.lit(0.5)) * width
-    step = (F.col("hi") - F.col("lo")) / F.lit(float(max(grid - 1, 1)))
+    g_lo = F.col("lo") - F.lit(float(span)) * F.col("bw")
+    g_hi = F.col("hi") + F.lit(float(span)) * F.col("bw")
+    step = (g_hi - g_lo) / F.lit(float(max(grid - 1, 1)))
     expanded = binned.select(*by, "bw", "n", centre.alias("__centre"), "c",
                              F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("__point"),
-                             "lo", step.alias("__step"))
-    x = F.col("lo") + F.col("__point") * F.col("__step")
+                             g_lo.alias("__glo"), step.alias("__step"))
+    x = F.col("__glo") + F.col("__point") * F.col("__step")
     z = (x - F.col("__centre")) / F.col("bw")
     kern = F.col("c") * F.exp(F.lit(-0.5) * z * z)
     norm = F.lit(1.0 / math.sqrt(2 * math.pi))

@@ -187,32 +187,34 @@ _NORM = repr(1.0 / math.sqrt(2 * math.pi))
 
 
 def _density(grid: int = 64, bins: int = 512) -> str:
+    k, div, span = D(S.KDE_BW_FACTOR), D(S.KDE_IQR_DIVISOR), D(S.KDE_SPAN)
     return f"""
 d AS (SELECT gender, BMI AS v FROM x WHERE gender IN ('female', 'male') AND BMI IS NOT NULL),
 st AS (SELECT gender, COUNT(*) AS n, MIN(v) AS lo, MAX(v) AS hi, stddev_samp(v) AS sd,
               {_q7('v', 0.75)} - {_q7('v', 0.25)} AS iqr FROM d GROUP BY gender),
-pr0 AS (SELECT *, CASE WHEN LEAST(sd, iqr / {D(1.34)}) > 0 THEN LEAST(sd, iqr / {D(1.34)})
+pr0 AS (SELECT *, CASE WHEN LEAST(sd, iqr / {div}) > 0 THEN LEAST(sd, iqr / {div})
                        ELSE sd END AS spread FROM st),
 pr AS (SELECT gender, n, lo, hi,
-              CASE WHEN {D(0.9)} * spread * pow(CAST(n AS DOUBLE), {D(-0.2)}) > 0
-                   THEN {D(0.9)} * spread * pow(CAST(n AS DOUBLE), {D(-0.2)}) ELSE {D(1)} END AS bw
+              CASE WHEN {k} * spread * pow(CAST(n AS DOUBLE), {D(-0.2)}) > 0
+                   THEN {k} * spread * pow(CAST(n AS DOUBLE), {D(-0.2)}) ELSE {D(1)} END AS bw
        FROM pr0),
 bn AS (SELECT d.gender, pr.lo, pr.hi, pr.bw, pr.n,
               CAST(LEAST(floor((d.v - pr.lo) / CASE WHEN (pr.hi - pr.lo) / {D(bins)} > 0
                                                    THEN (pr.hi - pr.lo) / {D(bins)} ELSE {D(1)} END),
                          {bins - 1}) AS INTEGER) AS bin, COUNT(*) AS c
        FROM d JOIN pr ON d.gender = pr.gender GROUP BY ALL),
-ex AS (SELECT gender, bw, n, lo, c, g.g,
+ex AS (SELECT gender, bw, n, c, g.g,
               lo + (bin + {D(0.5)}) * ((hi - lo) / {D(bins)}) AS centre,
-              (hi - lo) / {D(max(grid - 1, 1))} AS step
+              lo - {span} * bw AS glo,
+              ((hi + {span} * bw) - (lo - {span} * bw)) / {D(max(grid - 1, 1))} AS step
        FROM bn, (SELECT range AS g FROM range(0, {grid})) g)
 """
 
 
 def _density_body() -> str:
-    z = "((lo + g * step) - centre) / bw"
+    z = "((glo + g * step) - centre) / bw"
     return f"""
-SELECT gender, CAST(g AS INTEGER) AS point, {_re('FIRST(lo + g * step)', 9)} AS x,
+SELECT gender, CAST(g AS INTEGER) AS point, {_re('FIRST(glo + g * step)', 9)} AS x,
        {_re(f'SUM(c * exp({D(-0.5)} * ({z}) * ({z}))) * {_NORM} / (FIRST(n) * FIRST(bw))', 12)}
          AS density
 FROM ex GROUP BY gender, g"""

@@ -99,6 +99,13 @@ HISTOGRAM_BINS = 40
 # Box plot whisker factor (Tukey fences).
 BOX_WHISKER = 1.5
 
+# Violin density defaults of the common plotting library the charts are drawn
+# with: rule-of-thumb bandwidth 1.059 * min(sd, IQR / 1.349) * n^(-1/5), and a
+# "soft" span reaching two bandwidths beyond the smallest and largest value.
+KDE_BW_FACTOR = 1.059
+KDE_IQR_DIVISOR = 1.349
+KDE_SPAN = 2.0
+
 # Default label of a missing category and of a missing gender.
 MISSING_CATEGORY = "Missing"
 UNKNOWN_GENDER = "Unknown"
@@ -116,8 +123,9 @@ PEOPLE_SCHEMA = T.StructType([
     T.StructField("weight", T.DoubleType()),
 ])
 
+# The log's timestamps are local wall time without a zone: timestamp_ntz.
 SUBMISSION_SCHEMA = T.StructType([
-    T.StructField("timestamp", T.TimestampType()),
+    T.StructField("timestamp", T.TimestampNTZType()),
     T.StructField("age", T.IntegerType()),
     T.StructField("gender", T.StringType()),
     T.StructField("height_cm", T.DoubleType()),

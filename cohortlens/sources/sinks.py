@@ -49,4 +49,4 @@ def append_scored(scored: DataFrame, path: str) -> str:
 def read_log(spark, path: str) -> DataFrame:
     """Read the submission log back with its typed schema."""
     return (spark.read.option("header", True).schema(S.SUBMISSION_SCHEMA)
-            .option("timestampFormat", S.SUBMISSION_TS_FORMAT).csv(path))
+            .option("timestampNTZFormat", S.SUBMISSION_TS_FORMAT).csv(path))
