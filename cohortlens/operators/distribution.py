@@ -191,7 +191,7 @@ def ecdf(df: DataFrame, col: str = "BMI", by: Sequence[str] = (),
 
 
 def quantiles(df: DataFrame, col: str, ps: Sequence[float], by: Sequence[str] = (),
-              n_buckets: int | None = None) -> DataFrame:
+              n_buckets: int | None = None, method: str = "type7") -> DataFrame:
     """Q1: exact quantiles with linear interpolation (type 7).
 
     For rank position ``h = (N-1)p`` the result is ``x[floor h] +
@@ -199,18 +199,30 @@ def quantiles(df: DataFrame, col: str, ps: Sequence[float], by: Sequence[str] =
     Output ``(by..., p, q)``.
     """
     cum = cumulative(df, col, by, n_buckets)
-    return quantiles_from_cumulative(cum, ps, by)
+    return quantiles_from_cumulative(cum, ps, by, method)
 
 
 def quantiles_from_cumulative(cum: DataFrame, ps: Sequence[float],
-                              by: Sequence[str] = ()) -> DataFrame:
+                              by: Sequence[str] = (), method: str = "type7") -> DataFrame:
+    """Quantiles read off a cumulative table by rank.
+
+    ``method="type7"``: position ``h = (N-1)p`` (0-based), the usual default.
+    ``method="type5"``: ``h = Np - 1/2`` clamped to ``[0, N-1]``, the linear
+    quartile method of the chart library the box plots are drawn with.
+    Both interpolate ``x[floor h] + (x[ceil h] - x[floor h]) * (h - floor h)``.
+    """
     by = list(by)
+    if method not in ("type7", "type5"):
+        raise ValueError(f"unknown quantile method {method!r}")
     plist = F.array(*[F.lit(float(p)) for p in ps])
     first = F.col("cum") - F.col("n")          # 0-based rank of the first copy
     last = F.col("cum") - F.lit(1)              # 0-based rank of the last copy
 
     def pos(p: Column) -> Column:
-        return (F.col("total") - F.lit(1)).cast("double") * p
+        n = F.col("total").cast("double")
+        if method == "type7":
+            return (n - F.lit(1.0)) * p
+        return F.least(F.greatest(n * p - F.lit(0.5), F.lit(0.0)), n - F.lit(1.0))
 
     def covers(r: Column) -> Column:
         return (r >= first) & (r <= last)
@@ -315,15 +327,18 @@ def histogram(df: DataFrame, col: str = "BMI", bins: int = S.HISTOGRAM_BINS) ->
 
 
 def box_stats(df: DataFrame, col: str, by: Sequence[str] = (),
-              whisker: float = S.BOX_WHISKER, n_buckets: int | None = None) -> DataFrame:
+              whisker: float = S.BOX_WHISKER, n_buckets: int | None = None,
+              method: str = S.BOX_QUARTILE_METHOD) -> DataFrame:
     """Q8/Q9: per group n, mean, min, q1, median, q3, max, fences and whisker ends.
 
-    Quartiles are exact type-7 quantiles; fences are ``q1 - k*IQR`` and
-    ``q3 + k*IQR``; whiskers end at the most extreme values inside the fences.
+    Quartiles are exact, by default with the chart library's linear method
+    (``type5``, see ``quantiles_from_cumulative``); fences are ``q1 - k*IQR``
+    and ``q3 + k*IQR``; whiskers end at the most extreme values inside the
+    fences.
     """
     by = list(by)
     cum = cumulative(df, col, by, n_buckets).persist(StorageLevel.MEMORY_AND_DISK)
-    qs = quantiles_from_cumulative(cum, [0.25, 0.5, 0.75], by)
+    qs = quantiles_from_cumulative(cum, [0.25, 0.5, 0.75], by, method)
     wide = qs.groupBy(*by).agg(
         F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
         F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("median"),
@@ -354,10 +369,10 @@ def _one_row_pair(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def outliers(df: DataFrame, col: str, by: Sequence[str] = (), stats: DataFrame | None = None,
-             whisker: float = S.BOX_WHISKER) -> DataFrame:
+             whisker: float = S.BOX_WHISKER, method: str = S.BOX_QUARTILE_METHOD) -> DataFrame:
     """Q10: rows beyond the Tukey fences of their group (``boxpoints="outliers"``)."""
     by = list(by)
-    st = stats if stats is not None else box_stats(df, col, by, whisker)
+    st = stats if stats is not None else box_stats(df, col, by, whisker, method=method)
     fences = st.select(*by, "lower_fence", "upper_fence")
     rows = df.filter(F.col(col).isNotNull())
     j = attach(rows, fences, by)
@@ -379,7 +394,7 @@ def density(df: DataFrame, col: str, by: Sequence[str] = (), grid: int = 64,
     ``(by..., point, x, density)``; densities integrate to about 1.
     """
     by = list(by)
-    st = box_stats(df, col, by)
+    st = box_stats(df, col, by, method=S.BOX_QUARTILE_METHOD)
     sd = (df.select(*by, F.col(col).cast("double").alias("__v"))
             .filter(F.col("__v").isNotNull())
             .groupBy(*by).agg(F.stddev_samp("__v").alias("sd")))

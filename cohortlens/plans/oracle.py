@@ -56,6 +56,16 @@ def _q7(col: str, p: float) -> str:
     return f"(CASE WHEN {lo} = {hi} THEN {lo} ELSE {lo} + ({hi} - {lo}) * ({h} - floor({h})) END)"
 
 
+def _q5(col: str, p: float) -> str:
+    """Chart-library linear quartile: position ``Np - 1/2`` clamped to ``[0, N-1]``."""
+    arr = f"list_sort(list({col}) FILTER (WHERE {col} IS NOT NULL))"
+    n = f"CAST(COUNT({col}) AS DOUBLE)"
+    h = f"LEAST(GREATEST({n} * {D(p)} - {D(0.5)}, {D(0)}), {n} - {D(1)})"
+    lo = f"{arr}[CAST(floor({h}) AS BIGINT) + 1]"
+    hi = f"{arr}[CAST(ceil({h}) AS BIGINT) + 1]"
+    return f"(CASE WHEN {lo} = {hi} THEN {lo} ELSE {lo} + ({hi} - {lo}) * ({h} - floor({h})) END)"
+
+
 _VALID = " AND ".join(
     f"{c} BETWEEN {D(lo)} AND {D(hi)}" for c, (lo, hi) in S.VALID_RANGES.items())
 
@@ -139,8 +149,8 @@ def _box(src: str, col: str, key: str) -> str:
     k = D(S.BOX_WHISKER)
     return f"""
 b AS (SELECT {key}, COUNT(*) AS n, AVG({col}) AS mean, MIN({col}) AS "min", MAX({col}) AS "max",
-             {_q7(col, 0.25)} AS q1, {_q7(col, 0.5)} AS median,
-             {_q7(col, 0.75)} AS q3
+             {_q5(col, 0.25)} AS q1, {_q5(col, 0.5)} AS median,
+             {_q5(col, 0.75)} AS q3
       FROM {src} WHERE {col} IS NOT NULL GROUP BY {key}),
 f AS (SELECT *, q3 - q1 AS iqr, q1 - {k} * (q3 - q1) AS lower_fence,
              q3 + {k} * (q3 - q1) AS upper_fence FROM b),
@@ -191,7 +201,7 @@ def _density(grid: int = 64, bins: int = 512) -> str:
     return f"""
 d AS (SELECT gender, BMI AS v FROM x WHERE gender IN ('female', 'male') AND BMI IS NOT NULL),
 st AS (SELECT gender, COUNT(*) AS n, MIN(v) AS lo, MAX(v) AS hi, stddev_samp(v) AS sd,
-              {_q7('v', 0.75)} - {_q7('v', 0.25)} AS iqr FROM d GROUP BY gender),
+              {_q5('v', 0.75)} - {_q5('v', 0.25)} AS iqr FROM d GROUP BY gender),
 pr0 AS (SELECT *, CASE WHEN LEAST(sd, iqr / {div}) > 0 THEN LEAST(sd, iqr / {div})
                        ELSE sd END AS spread FROM st),
 pr AS (SELECT gender, n, lo, hi,

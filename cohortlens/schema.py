@@ -99,6 +99,10 @@ HISTOGRAM_BINS = 40
 # Box plot whisker factor (Tukey fences).
 BOX_WHISKER = 1.5
 
+# Quartile method of the box plots: the chart library's default "linear"
+# method interpolates at position N*p - 0.5 (Hyndman-Fan type 5).
+BOX_QUARTILE_METHOD = "type5"
+
 # Violin density defaults of the common plotting library the charts are drawn
 # with: rule-of-thumb bandwidth 1.059 * min(sd, IQR / 1.349) * n^(-1/5), and a
 # "soft" span reaching two bandwidths beyond the smallest and largest value.
