@@ -489,3 +489,34 @@ FROM (SELECT l_returnflag, l_extendedprice AS value, COUNT(*) AS n FROM lineitem
         _chisq(f"(SELECT *, CAST({_band('l_quantity', QUANTITY_CUTS)} AS INTEGER) AS qty_band FROM lineitem)",
                "l_linestatus", "qty_band", "lineitem", GENERIC_VERDICT)),
 })
+
+
+def _analysis_summary() -> str:
+    ub = "CAST(round_even({}, 0) AS INTEGER)"
+    users = f"""
+u AS (SELECT weight_kg, height_cm FROM lg
+      ORDER BY date_trunc('second', "timestamp") DESC, event_id DESC LIMIT 1),
+ubmi AS (SELECT {_bmi(f"CAST({ub.format('height_cm')} AS DOUBLE)",
+                      f"CAST({ub.format('weight_kg')} AS DOUBLE)")} AS user_bmi FROM u),
+sm AS (SELECT user_bmi, CAST({_band('user_bmi', S.BMI_CUTS)} AS INTEGER) AS user_index,
+              {_label(_band('user_bmi', S.BMI_CUTS), S.BMI_LABELS_SHORT, 'Missing')} AS user_category,
+              (SELECT COUNT(*) FROM x) AS "N",
+              {D(100)} * ((SELECT COUNT(*) FROM x WHERE BMI <= user_bmi) / (SELECT COUNT(*) FROM x))
+                AS percentile,
+              (SELECT {D(100)} * AVG(CAST(BMI >= {D(S.OVERWEIGHT_CUT)} AS INTEGER)) FROM x)
+                AS overweight_share,
+              {D(100)} * ((SELECT COUNT(*) FROM x WHERE BMI < user_bmi) / (SELECT COUNT(*) FROM x))
+                AS below
+       FROM ubmi)
+"""
+    body = f"""
+SELECT *, printf('User BMI = %s (%s). Percentile = %s', {_fmt2('user_bmi')}, user_category,
+                 printf('%.1f%%', {_re('percentile', 1)})) AS summary,
+       printf('Overweight+ share = %s | Below user = %s | Above user = %s',
+              printf('%.1f%%', {_re('overweight_share', 1)}), printf('%.1f%%', {_re('below', 1)}),
+              printf('%.1f%%', {_re('above', 1)})) AS shares
+FROM (SELECT *, {D(100)} - below AS above FROM sm)"""
+    return _with(body, users)
+
+
+ORACLE["analysis_summary"] = _analysis_summary()

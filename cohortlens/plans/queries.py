@@ -561,6 +561,23 @@ def chisq_lineitem_q(spark, sf):
     return T.report(T.verdict(T.chi_square(li, "l_linestatus", "qty_band"), GENERIC_VERDICT))
 
 
+def analysis_summary_q(spark, sf):
+    """The analysis script end to end: population file (tab) and submission
+    log (``;``) -> newest submission scored against the population."""
+    from .analysis import analysis_summary
+
+    pop_path, log_path = scratch_path(spark, "analysis-pop"), scratch_path(spark, "analysis-log")
+    V.population(spark, sf).write.option("header", True).option("sep", "\t").csv(pop_path)
+    (V.log(spark, sf)
+       .select("event_id", F.date_format("timestamp", S.SUBMISSION_TS_FORMAT).alias("timestamp"),
+               "age", "gender", "height_cm", "weight_kg")
+       .write.option("header", True).option("sep", ";").csv(log_path))
+    res = analysis_summary(spark, pop_path, log_path,
+                           order=[F.col("timestamp"), safe_double("event_id")])
+    return res.select("user_bmi", "user_index", "user_category", "N", "percentile",
+                                    "overweight_share", "below", "above", "summary", "shares")
+
+
 QUERIES: dict[str, Query] = {
     # sources and sinks
     "read_people": read_people_q,
@@ -643,6 +660,8 @@ QUERIES: dict[str, Query] = {
     "quantiles_events_value": quantiles_events_value_q,
     "chisq_events": chisq_events_q,
     "chisq_lineitem": chisq_lineitem_q,
+    # the analysis script end to end
+    "analysis_summary": analysis_summary_q,
     # streaming
     "stream_score": stream_score_q,
     "stream_percentile": stream_percentile_q,
