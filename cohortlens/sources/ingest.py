@@ -57,6 +57,18 @@ def detect_dialect(spark: SparkSession, path: str) -> tuple[str, str]:
     return delimiter_of(line), line
 
 
+def detect_dialects(spark: SparkSession, paths: Sequence[str],
+                    threads: int = 16) -> list[tuple[str, str]]:
+    """S2 for many files: one first-line read per file, submitted as
+    concurrent Spark jobs (each reads a single line, not the file)."""
+    if len(paths) <= 1:
+        return [detect_dialect(spark, p) for p in paths]
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=min(threads, len(paths))) as pool:
+        return list(pool.map(lambda p: detect_dialect(spark, p), paths))
+
+
 def harmonized_names(names: Sequence[str],
                      synonyms: Mapping[str, str] = S.HEADER_SYNONYMS) -> list[str | None]:
     """S6 names: lower-case, spaces to ``_``, synonyms mapped; junk -> None.
@@ -146,8 +158,7 @@ def read_mixed(spark: SparkSession, paths: Sequence[str], collapse_repeated: boo
     ``source`` holds the file name of each row when ``source_col`` is set.
     """
     groups: dict[tuple[str, str], list[str]] = {}
-    for p in paths:
-        key = detect_dialect(spark, p)
+    for p, key in zip(paths, detect_dialects(spark, paths)):
         groups.setdefault(key, []).append(p)
     frames = []
     for (sep, header), files in groups.items():

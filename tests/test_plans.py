@@ -52,3 +52,13 @@ def test_analysis_script_on_dirty_files(spark, tmp_dir):
     assert s.percentile == 50.0 and s.below == 0.0 and s.above == 100.0
     assert s.summary.startswith("User BMI = 24.22 (Normal). Percentile = 50.0%")
     assert frames["counts_category_gender"].agg(F.sum("count")).first()[0] == 2
+
+
+def test_batch_cli(spark, tmp_dir, capsys):
+    from cohortlens.plans import batch
+
+    raw = os.path.join(tmp_dir, "raw")
+    views.people(spark, SF).write.option("header", True).csv(raw)
+    batch.main(["--input", raw, "--output", os.path.join(tmp_dir, "out"), "--show"])
+    text = capsys.readouterr().out
+    assert "gender_pivot" in text and "Female_Proportion" in text
