@@ -56,7 +56,7 @@ def choose_buckets(vc: DataFrame) -> int:
     partition.
     """
     try:
-        est = int(vc._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        est = int(str(vc._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001
         est = None
     fallback = _default_buckets(vc.sparkSession)

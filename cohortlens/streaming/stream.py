@@ -9,6 +9,7 @@ restarted query resumes where it stopped (exactly-once file sinks).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -19,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schema as S
 from ..functions import band_label, bmi, bmi_index
 from ..operators.clean import valid_submission_condition
-from ..operators.distribution import bucket_edges, bucketize, choose_buckets, value_counts
+from ..operators.distribution import bucket_edges, bucketize, value_counts
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
@@ -54,19 +55,30 @@ def start_score(sub: DataFrame, out: str, checkpoint: str, available_now: bool =
     return w.start()
 
 
+# Target length of the per-bucket arrays of the static percentile table, and
+# the most buckets its edges are computed for.
+VALUES_PER_BUCKET = 256
+MAX_TABLE_BUCKETS = 65536
+
+
 def percentile_table(pop: DataFrame, col: str, n_buckets: int | None = None) -> tuple[DataFrame, list[float]]:
     """W2 static side: one row per bucket of the population's sorted values.
 
     Row ``(bucket, offset, N, vals, ns, cums)``: sorted distinct values of
     the bucket, their counts and in-bucket running counts.  Every bucket id
     from 0 to len(edges)+1 is present (empty ones too), so any probe finds
-    its bucket.  Edges are quantiles of the distinct values, so each array
-    holds about distinct/n_buckets entries.
+    its bucket.  Edges are quantiles of the distinct values and the bucket
+    count is distinct/256 (at most 65,536), so each array holds about 256
+    entries: the arrays travel with every probe row of the join.
     """
     spark = pop.sparkSession
-    vc = value_counts(pop, col)
-    nb = n_buckets if n_buckets is not None else choose_buckets(vc)
-    vc = vc.persist(StorageLevel.MEMORY_AND_DISK)
+    vc = value_counts(pop, col).persist(StorageLevel.MEMORY_AND_DISK)
+    if n_buckets is None:
+        # every probe row carries its bucket's arrays: keep them short
+        n_distinct = vc.count()
+        nb = max(1, min(MAX_TABLE_BUCKETS, math.ceil(n_distinct / VALUES_PER_BUCKET)))
+    else:
+        nb = n_buckets
     edges = bucket_edges(vc, nb)
     b = bucketize(vc, "value", edges)
     w_in = (Window.partitionBy("bucket").orderBy("value")
