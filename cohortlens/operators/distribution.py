@@ -33,10 +33,10 @@ from ..functions import round_even
 _MAX_BUCKETS = 16384
 
 
-# Distinct-value tables estimated below this size take one bucket (no job to
-# find edges); above it, buckets of about this size, at least a few per
-# shuffle partition.
-_BYTES_PER_BUCKET = 64 * 1024 * 1024
+# Distinct-value tables up to this many rows take one bucket (one sorted
+# task, no job to find edges); larger ones about this many rows per bucket,
+# at least a few buckets per shuffle partition.
+ROWS_PER_BUCKET = 1_000_000
 
 
 def _default_buckets(spark: SparkSession) -> int:
@@ -46,25 +46,17 @@ def _default_buckets(spark: SparkSession) -> int:
 
 
 def choose_buckets(vc: DataFrame) -> int:
-    """Bucket count from Catalyst's size estimate of the distinct-value table.
-
-    The estimate is an upper bound (it does not shrink through the
-    aggregate), so a small estimate safely means one bucket: one sorted task
-    of at most ``_BYTES_PER_BUCKET``.  Call it before ``persist``: an
-    unmaterialised cached plan reports the "unknown" default size.  Without
-    a usable estimate the count falls back to a few buckets per shuffle
-    partition.
+    """Bucket count from the row count of the (cached) distinct-value table.
+
+    Counting materialises the cache that the later steps read, so it costs
+    little extra.  Plan-time size estimates are not used: they do not grow
+    through generators such as ``explode`` and can be far too small.
     """
-    try:
-        est = int(str(vc._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001
-        est = None
-    fallback = _default_buckets(vc.sparkSession)
-    if est is None or est >= 2 ** 62:
-        return fallback
-    if est <= _BYTES_PER_BUCKET:
+    n = vc.count()
+    if n <= ROWS_PER_BUCKET:
         return 1
-    return max(1, min(_MAX_BUCKETS, max(math.ceil(est / _BYTES_PER_BUCKET), fallback)))
+    return max(1, min(_MAX_BUCKETS, max(math.ceil(n / ROWS_PER_BUCKET),
+                                        _default_buckets(vc.sparkSession))))
 
 
 def value_counts(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -131,7 +123,7 @@ def attach(rows: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFram
             raise ValueError("expected exactly one statistics row")
         vals = one[0].asDict()
         return rows.select("*", *[F.lit(v).alias(k) for k, v in vals.items()])
-    per_group = per_group.persist(StorageLevel.MEMORY_AND_DISK)
+    per_group = per_group.persist(StorageLevel.MEMORY_AND_DISK_DESER)
     small = per_group.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS
     return _join_keys(rows, per_group, by, broadcast=small)
 
@@ -142,7 +134,7 @@ def cumulative(df: DataFrame, col: str, by: Sequence[str] = (),
 
     One row per distinct value and group.
     """
-    vc = value_counts(df, col, by)
+    vc = value_counts(df, col, by).persist(StorageLevel.MEMORY_AND_DISK_DESER)
     nb = n_buckets if n_buckets is not None else choose_buckets(vc)
     return cumulative_of_counts(vc, nb, by)
 
@@ -151,12 +143,13 @@ def cumulative_of_counts(vc: DataFrame, nb: int, by: Sequence[str] = ()) -> Data
     """Running count over a ``(by..., value, n)`` table split into ``nb`` buckets."""
     by = list(by)
     if nb <= 1:
-        # small table: one sorted task per group, no offsets to add
+        # at most ROWS_PER_BUCKET distinct values: one sorted task per group
         w_run = (Window.partitionBy(*by).orderBy("value")
                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         return vc.select(*by, "value", "n", F.sum("n").over(w_run).alias("cum"),
                          F.sum("n").over(Window.partitionBy(*by)).alias("total"))
-    vc = vc.persist(StorageLevel.MEMORY_AND_DISK)
+    if not vc.is_cached:
+        vc = vc.persist(StorageLevel.MEMORY_AND_DISK_DESER)
     edges = bucket_edges(vc, nb)
     b = bucketize(vc, "value", edges)
     totals = b.groupBy(*by, "bucket").agg(F.sum("n").alias("bucket_n"))
@@ -287,7 +280,8 @@ def percentile_many(pop: DataFrame, col: str, probes: DataFrame, probe_col: str,
     pr = (probes.select(F.col(probe_col).cast("double").alias("value"))
                 .filter(F.col("value").isNotNull()).distinct()
                 .select("value", F.lit(0).cast("long").alias("n")))
-    merged = pv.unionByName(pr).groupBy("value").agg(F.sum("n").alias("n"))
+    merged = (pv.unionByName(pr).groupBy("value").agg(F.sum("n").alias("n"))
+                .persist(StorageLevel.MEMORY_AND_DISK_DESER))
     nb = n_buckets if n_buckets is not None else choose_buckets(merged)
     steps = cumulative_of_counts(merged, nb).select(
         F.col("value").alias("__v"), F.col("cum").alias("__le"),
@@ -337,7 +331,7 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = (),
     fences.
     """
     by = list(by)
-    cum = cumulative(df, col, by, n_buckets).persist(StorageLevel.MEMORY_AND_DISK)
+    cum = cumulative(df, col, by, n_buckets).persist(StorageLevel.MEMORY_AND_DISK_DESER)
     qs = quantiles_from_cumulative(cum, [0.25, 0.5, 0.75], by, method)
     wide = qs.groupBy(*by).agg(
         F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),

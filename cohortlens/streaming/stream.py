@@ -72,7 +72,7 @@ def percentile_table(pop: DataFrame, col: str, n_buckets: int | None = None) ->
     entries: the arrays travel with every probe row of the join.
     """
     spark = pop.sparkSession
-    vc = value_counts(pop, col).persist(StorageLevel.MEMORY_AND_DISK)
+    vc = value_counts(pop, col).persist(StorageLevel.MEMORY_AND_DISK_DESER)
     if n_buckets is None:
         # every probe row carries its bucket's arrays: keep them short
         n_distinct = vc.count()
