@@ -316,7 +316,7 @@ SELECT person_id, percentile, {_band('percentile', S.PERCENTILE_CUTS, S.PERCENTI
 FROM (SELECT person_id, {D(100)} * cume_dist() OVER (ORDER BY BMI) AS percentile FROM x)"""),
     "default_level": _with(f"""
 SELECT person_id, COALESCE(gender, 'Unknown') AS gender,
-       CASE WHEN cat IN ('Underweight', 'Normal', 'Overweight') THEN cat
+       CASE WHEN cat IN ({", ".join(_q(c) for c in S.BMI_LABELS_SHORT)}) THEN cat
             WHEN cat IS NOT NULL THEN 'Other' END AS category
 FROM (SELECT person_id, gender,
              {_label(_band(_bmi('height', 'weight'), S.BMI_CUTS), S.BMI_LABELS_SHORT, 'Missing')} AS cat

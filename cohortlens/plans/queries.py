@@ -198,11 +198,13 @@ def percentile_text_q(spark, sf):
 
 
 def default_level_q(spark, sf):
+    """Null gender -> ``Unknown``; a label outside the five (``Missing``
+    for a null BMI) -> ``Other``, as the category chart does."""
     x = V.people(spark, sf).withColumn("BMI_Index", bmi_index(bmi("height", "weight")))
     cat = band_label("BMI_Index", S.BMI_LABELS_SHORT, S.MISSING_CATEGORY)
     return x.select("person_id",
                     with_default("gender", S.UNKNOWN_GENDER).alias("gender"),
-                    restrict(cat, S.BMI_LABELS_SHORT[:3]).alias("category"))
+                    restrict(cat, S.BMI_LABELS_SHORT).alias("category"))
 
 
 def score_person_q(spark, sf):
