@@ -81,3 +81,56 @@ def test_percentile_of_matches_rounding(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 8)], "v double")
     got = Q.percentile_of(df, "v", 3.0).first()[0]
     assert got == round(3 / 7 * 100, 2) and not math.isnan(got)
+
+
+def test_d4_null_gender_is_unknown_in_counts(spark):
+    df = spark.createDataFrame([("female", "Normal"), (None, "Normal"), (None, None)],
+                               "gender string, BMI_cat string")
+    got = {(r.gender, r.cat): r["count"] for r in A.category_gender_counts(df).collect()}
+    assert got == {("female", "Normal"): 1, ("Unknown", "Normal"): 1, ("Unknown", "Missing"): 1}
+
+
+def test_contingency_margins_equal_counts(spark):
+    from cohortlens.plans import views
+
+    x = views.population(spark, "/root/testdata/sf0.001")
+    dense = A.contingency(x, "age_interval", "BMI_Index")
+    margins = {r.age_interval: r.m for r in dense.groupBy("age_interval").agg(F.sum("n").alias("m")).collect()}
+    counts = {r.age_interval: r["count"] for r in A.counts(x, "age_interval").collect()}
+    assert margins == counts
+
+
+def test_percentile_many_plan_keeps_rows_out_of_single_partitions(spark):
+    pop = spark.range(5000).select((F.col("id") % 701 / 7.0).alias("v"))
+    probes = spark.range(300).select(F.col("id").alias("pid"), (F.col("id") / 3.0).alias("p"))
+    plan = Q.percentile_many(pop, "v", probes, "p", n_buckets=8)._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "hashpartitioning(bucket" in plan and plan.count("SinglePartition") <= 1
+
+
+def test_flagship_scan_is_pruned(spark):
+    import importlib.util
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spec = importlib.util.spec_from_file_location("entry_for_plan", os.path.join(root, "__spark_entry__.py"))
+    mod = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(mod)
+    plan = mod.entry(spark)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
+    assert "partial_sum" in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_python_runs_only_in_chi_square_p_values(spark):
+    import importlib.util
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spec = importlib.util.spec_from_file_location("entry_for_udf", os.path.join(root, "__spark_entry__.py"))
+    mod = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(mod)
+    qs = mod.queries()
+    for name in ("ecdf", "percentile_many", "box_by_category", "gender_proportions", "all_counts",
+                 "user_vs_population", "violin_by_gender", "histogram"):
+        plan = qs[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "EvalPython" not in plan, name
