@@ -36,10 +36,14 @@ def safe_double(c: ColumnOrName) -> Column:
     return F.when(as_text.rlike(_NUMBER_RE), F.trim(as_text).try_cast("double"))
 
 
-def safe_int(c: ColumnOrName) -> Column:
-    """Integer parse for submissions: optional sign and digits only."""
+def safe_int(c: ColumnOrName, type_: str = "int") -> Column:
+    """Integer parse: optional sign and digits only; out of range gives null.
+
+    ``type_`` is ``"int"`` (submission ages) or ``"bigint"`` (ids): ids are
+    parsed directly, never through a double, so no digit is lost.
+    """
     as_text = _c(c).cast("string")
-    return F.when(as_text.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(as_text).try_cast("int"))
+    return F.when(as_text.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(as_text).try_cast(type_))
 
 
 def round_even(c: ColumnOrName, digits: int = 0) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import (
     age_interval, band_label, bmi, bmi_index, fmt2, fmt_pct1, percentile_text, restrict,
-    round_even, safe_double, with_default,
+    round_even, safe_double, safe_int, with_default,
 )
 from ..operators import aggregate as A
 from ..operators import clean as C
@@ -62,7 +62,7 @@ def read_mixed_q(spark, sf):
     out = ingest.read_mixed(spark, [p1, p2], source_col=None)
     return out.select(
         F.when(F.col("person_id").isNotNull(), F.lit("people")).otherwise(F.lit("log")).alias("source"),
-        safe_double(F.coalesce(F.col("person_id"), F.col("event_id"))).cast("long").alias("row_id"),
+        safe_int(F.coalesce(F.col("person_id"), F.col("event_id")), "bigint").alias("row_id"),
         "height", "weight", "BMI", "BMI_index", "gender", "age")
 
 
@@ -496,7 +496,7 @@ def collapse_delims_q(spark, sf):
     files = [os.path.join(path, "rows"), os.path.join(path, "head")]
     out = ingest.read_delimited(spark, files, ",", header, collapse_repeated=True)
     out = ingest.null_tokens(out)
-    return out.select(safe_double("person_id").cast("long").alias("person_id"), "gender",
+    return out.select(safe_int("person_id", "bigint").alias("person_id"), "gender",
                       safe_double("age").alias("age"), safe_double("height").alias("height"),
                       safe_double("weight").alias("weight"))
 
@@ -505,7 +505,7 @@ def null_tokens_q(spark, sf):
     """Nulls rendered as ``Nil`` / ``NaN`` / ``Missing`` text and read back as null."""
     m = _as_text(V.people(spark, sf), {"gender": "Nil", "age": "NaN", "height": "Missing"})
     out = ingest.null_tokens(m)
-    return out.select(safe_double("person_id").cast("long").alias("person_id"), "gender",
+    return out.select(safe_int("person_id", "bigint").alias("person_id"), "gender",
                       safe_double("age").alias("age"), safe_double("height").alias("height"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
-from ..functions import safe_double
+from ..functions import safe_double, safe_int
 
 NUMERIC_CANONICAL = ("height", "weight", "BMI", "BMI_index", "age")
 
@@ -24,8 +24,9 @@ def read_people(spark: SparkSession, path: str | Sequence[str], sep: str = ",",
                 schema: T.StructType = S.PEOPLE_SCHEMA) -> DataFrame:
     """Header CSV read as text, then typed by ``schema``.
 
-    Columns named in ``schema`` are cast cell by cell (numbers through
-    ``safe_double``, so a bad cell is null, D3); other columns stay text.
+    Columns named in ``schema`` are cast cell by cell (whole numbers through
+    ``safe_int``, others through ``safe_double``, so a bad cell is null, D3);
+    other columns stay text.
     """
     raw = (spark.read.option("header", True).option("sep", sep)
            .option("inferSchema", False).csv(path))
@@ -36,6 +37,8 @@ def read_people(spark: SparkSession, path: str | Sequence[str], sep: str = ",",
         t = types.get(c)
         if t is None or isinstance(t, T.StringType):
             return col.alias(c)
+        if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            return safe_int(col, t.simpleString()).alias(c)
         return safe_double(col).cast(t).alias(c)
 
     return raw.select(*[typed(c) for c in raw.columns])

@@ -72,3 +72,10 @@ def test_append_log_round_trip(spark, tmp_dir):
     for part in parts:  # every part file carries the header once, as its first line
         lines = open(part, encoding="utf-8").read().splitlines()
         assert lines[0].startswith("timestamp,") and sum(ln.startswith("timestamp,") for ln in lines) == 1
+
+
+def test_big_ids_keep_every_digit(spark, tmp_dir):
+    a = write(os.path.join(tmp_dir, "ids.csv"),
+              "person_id,gender,age,height,weight\n9007199254740993,male,30,170,70\n12x,male,30,170,70\n")
+    got = [r.person_id for r in ingest.read_people(spark, a).collect()]
+    assert sorted(got, key=lambda v: (v is None, v)) == [9007199254740993, None]
