@@ -10,6 +10,7 @@ restarted query resumes where it stopped (exactly-once file sinks).
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -167,14 +168,15 @@ def latest_updates(sub: DataFrame, key: str = "user_id",
 
 def start_latest(sub: DataFrame, out: str, checkpoint: str, key: str = "user_id",
                  order: Sequence[str] = ("ts", "event_id")) -> StreamingQuery:
-    """Changed users of each micro-batch appended with their batch id.
+    """Changed users of each micro-batch written under their batch id.
 
-    ``read_latest`` folds the update log to the current row per user, so a
-    replayed batch (same id) cannot double a user.
+    Each micro-batch goes to its own ``batch_id=<n>`` folder with overwrite,
+    so a batch replayed after a failure replaces its first attempt
+    (idempotent sink); ``read_latest`` folds the folders to the current row
+    per user.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append")
-              .partitionBy("batch_id").parquet(out))
+        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch_id={batch_id}"))
 
     return (latest_updates(sub, key, order).writeStream.outputMode("update")
             .foreachBatch(sink).option("checkpointLocation", checkpoint)
