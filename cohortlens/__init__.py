@@ -22,7 +22,8 @@ from .operators.clean import (  # noqa: F401
 )
 from .operators.distribution import (  # noqa: F401
     below_above, box_stats, cumulative, density, ecdf, histogram, outliers, percentile_many,
-    percentile_of, quantiles, quantiles_approx, scatter_bins, scatter_points,
+    percentile_of, quantile_sketches, quantiles, quantiles_approx, scatter_bins, scatter_points,
+    sketch_quantiles,
 )
 from .operators.enrich import enrich, score, with_category  # noqa: F401
 from .operators.hypothesis import chi_square, chi_square_pvalue, report, verdict  # noqa: F401

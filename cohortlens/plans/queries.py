@@ -300,6 +300,13 @@ def quantiles_approx_q(spark, sf):
     return Q.quantiles_approx(V.population(spark, sf), "BMI", [0.1, 0.5, 0.9])
 
 
+def quantiles_sketch_q(spark, sf):
+    """Q2 at scale: one KLL sketch per event type and day, merged per type."""
+    e = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    daily = Q.quantile_sketches(e, "value", ["event_type", "day"])
+    return Q.sketch_quantiles(daily, [0.1, 0.5, 0.9], ["event_type"])
+
+
 def ecdf_q(spark, sf):
     return Q.ecdf(V.population(spark, sf), "BMI")
 
@@ -631,6 +638,7 @@ QUERIES: dict[str, Query] = {
     # distributions
     "quantiles": quantiles_q,
     "quantiles_approx": quantiles_approx_q,
+    "quantiles_sketch": quantiles_sketch_q,
     "ecdf": ecdf_q,
     "percentile_of": percentile_of_q,
     "percentile_many": percentile_many_q,

@@ -134,3 +134,15 @@ def test_python_runs_only_in_chi_square_p_values(spark):
                  "user_vs_population", "violin_by_gender", "histogram"):
         plan = qs[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "EvalPython" not in plan, name
+
+
+def test_kll_sketches_merge_within_rank_bound(spark):
+    rows = [(i % 3, float(v)) for i, v in enumerate(np.random.default_rng(9).normal(25, 5, 30000))]
+    df = spark.createDataFrame(rows, "part int, v double")
+    parts = Q.quantile_sketches(df, "v", ["part"])            # three partial sketches
+    got = {r.p: (r.q, r.n) for r in Q.sketch_quantiles(parts, [0.1, 0.5, 0.9]).collect()}
+    vals = np.sort(np.array([v for _, v in rows]))
+    for p, (q, n) in got.items():
+        assert n == len(vals)
+        rank = np.searchsorted(vals, q, side="right") / len(vals)
+        assert abs(rank - p) <= 0.02
