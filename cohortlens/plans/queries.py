@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import (
-    age_interval, band_label, bmi, bmi_index, fmt2, fmt_pct1, percentile_text, restrict,
+    age_interval, band, band_label, bmi, bmi_index, fmt2, fmt_pct1, percentile_text, restrict,
     round_even, safe_double, safe_int, with_default,
 )
 from ..operators import aggregate as A
@@ -560,13 +560,13 @@ def quantiles_events_value_q(spark, sf):
 
 def chisq_events_q(spark, sf):
     """Chi-square of event type x value band (even dof)."""
-    e = table(spark, sf, "events").withColumn("value_band", bmi_index("value", EVENT_VALUE_CUTS))
+    e = table(spark, sf, "events").withColumn("value_band", band("value", EVENT_VALUE_CUTS).cast("int"))
     return T.report(T.verdict(T.chi_square(e, "event_type", "value_band"), GENERIC_VERDICT))
 
 
 def chisq_lineitem_q(spark, sf):
     """Chi-square of line status x quantity band: 2 x 4 levels, dof 3 (odd, erfc path)."""
-    li = table(spark, sf, "lineitem").withColumn("qty_band", bmi_index("l_quantity", QUANTITY_CUTS))
+    li = table(spark, sf, "lineitem").withColumn("qty_band", band("l_quantity", QUANTITY_CUTS).cast("int"))
     return T.report(T.verdict(T.chi_square(li, "l_linestatus", "qty_band"), GENERIC_VERDICT))
 
 
