@@ -28,7 +28,7 @@ from .operators.distribution import (  # noqa: F401
 from .operators.enrich import enrich, score, with_category  # noqa: F401
 from .operators.hypothesis import chi_square, chi_square_pvalue, report, verdict  # noqa: F401
 from .operators.users import cohort_summary, compare_users, latest  # noqa: F401
-from .session import checkpoint_root, get_session, scratch_path  # noqa: F401
+from .session import checkpoint_root, get_session, keep, release, scratch_path  # noqa: F401
 from .sources.ingest import (  # noqa: F401
     detect_dialect, harmonize, null_tokens, read_mixed, read_people,
 )

@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..session import keep
 from ..functions import round_even, with_default
 
 
@@ -145,7 +145,7 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """
     cells = (df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
                .groupBy(a, b).agg(F.count(F.lit(1)).alias("n")))
-    cells = cells.persist(StorageLevel.MEMORY_AND_DISK_DESER)
+    cells = keep(cells)
     b_levels = sorted(r[0] for r in cells.select(b).distinct().collect())
     if not b_levels:
         return cells.select(a, b, F.col("n"))

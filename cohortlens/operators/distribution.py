@@ -23,11 +23,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..session import keep
 from ..functions import round_even
 
 _MAX_BUCKETS = 16384
@@ -123,7 +123,7 @@ def attach(rows: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFram
             raise ValueError("expected exactly one statistics row")
         vals = one[0].asDict()
         return rows.select("*", *[F.lit(v).alias(k) for k, v in vals.items()])
-    per_group = per_group.persist(StorageLevel.MEMORY_AND_DISK_DESER)
+    per_group = keep(per_group)
     small = per_group.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS
     return _join_keys(rows, per_group, by, broadcast=small)
 
@@ -134,7 +134,7 @@ def cumulative(df: DataFrame, col: str, by: Sequence[str] = (),
 
     One row per distinct value and group.
     """
-    vc = value_counts(df, col, by).persist(StorageLevel.MEMORY_AND_DISK_DESER)
+    vc = keep(value_counts(df, col, by))
     nb = n_buckets if n_buckets is not None else choose_buckets(vc)
     return cumulative_of_counts(vc, nb, by)
 
@@ -148,8 +148,7 @@ def cumulative_of_counts(vc: DataFrame, nb: int, by: Sequence[str] = ()) -> Data
                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         return vc.select(*by, "value", "n", F.sum("n").over(w_run).alias("cum"),
                          F.sum("n").over(Window.partitionBy(*by)).alias("total"))
-    if not vc.is_cached:
-        vc = vc.persist(StorageLevel.MEMORY_AND_DISK_DESER)
+    vc = keep(vc)
     edges = bucket_edges(vc, nb)
     b = bucketize(vc, "value", edges)
     totals = b.groupBy(*by, "bucket").agg(F.sum("n").alias("bucket_n"))
@@ -303,8 +302,7 @@ def percentile_many(pop: DataFrame, col: str, probes: DataFrame, probe_col: str,
     pr = (probes.select(F.col(probe_col).cast("double").alias("value"))
                 .filter(F.col("value").isNotNull()).distinct()
                 .select("value", F.lit(0).cast("long").alias("n")))
-    merged = (pv.unionByName(pr).groupBy("value").agg(F.sum("n").alias("n"))
-                .persist(StorageLevel.MEMORY_AND_DISK_DESER))
+    merged = keep(pv.unionByName(pr).groupBy("value").agg(F.sum("n").alias("n")))
     nb = n_buckets if n_buckets is not None else choose_buckets(merged)
     steps = cumulative_of_counts(merged, nb).select(
         F.col("value").alias("__v"), F.col("cum").alias("__le"),
@@ -354,7 +352,7 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = (),
     fences.
     """
     by = list(by)
-    cum = cumulative(df, col, by, n_buckets).persist(StorageLevel.MEMORY_AND_DISK_DESER)
+    cum = keep(cumulative(df, col, by, n_buckets))
     qs = quantiles_from_cumulative(cum, [0.25, 0.5, 0.75], by, method)
     wide = qs.groupBy(*by).agg(
         F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),

@@ -11,7 +11,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DEFAULTS = {
     "spark.sql.shuffle.partitions": "8",
@@ -67,3 +68,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder under the shared checkpoint folder."""
     root = checkpoint_root(spark)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+# Intermediates the operators cache (distinct-value tables, per-group
+# statistics).  They stay cached until ``release`` so that a returned, still
+# lazy result can read them; a long-running session calls ``release`` after
+# consuming its results.  On a lost executor Spark recomputes a cached block
+# from its lineage, which is deterministic here.
+_KEPT: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Cache ``df`` (deserialized, spilling to disk) and remember it."""
+    if not df.is_cached:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK_DESER)
+    _KEPT.append(df)
+    return df
+
+
+def release() -> int:
+    """Unpersist every intermediate cached by the operators; returns how many."""
+    n = len(_KEPT)
+    for df in _KEPT:
+        df.unpersist()
+    _KEPT.clear()
+    return n

@@ -13,12 +13,12 @@ import math
 import os
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schema as S
+from ..session import keep
 from ..functions import band_label, bmi, bmi_index
 from ..operators.clean import valid_submission_condition
 from ..operators.distribution import bucket_edges, bucketize, value_counts
@@ -73,7 +73,7 @@ def percentile_table(pop: DataFrame, col: str, n_buckets: int | None = None) ->
     entries: the arrays travel with every probe row of the join.
     """
     spark = pop.sparkSession
-    vc = value_counts(pop, col).persist(StorageLevel.MEMORY_AND_DISK_DESER)
+    vc = keep(value_counts(pop, col))
     if n_buckets is None:
         # every probe row carries its bucket's arrays: keep them short
         n_distinct = vc.count()
