@@ -8,19 +8,19 @@ p-value = Q(dof/2, stat/2), the regularised upper incomplete gamma:
 
 * even dof: ``sum_{i < dof/2} exp(i ln h - ln i! - h)`` with h = stat/2, a
   running sum in log space inside Spark SQL (no overflow for large dof);
-* odd dof: ``erfc(sqrt h) + sum_{i=1}^{(dof-1)/2} exp((i-1/2) ln h - ln
-  Gamma(i+1/2) - h)``; Spark SQL has no ``erfc``, so one vectorised pandas UDF
-  evaluates it on the single result row.
+* odd dof: the regularised upper incomplete gamma Q(dof/2, stat/2) by its
+  power series (below a + 1) or continued fraction (above), as fixed-length
+  ``aggregate`` loops with ln Gamma of half-integers as a sum of logs.
+
+No Python runs in the plan.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import round_even
@@ -43,33 +43,67 @@ def _even_tail(stat: Column, dof: Column) -> Column:
     return F.when(stat <= F.lit(0.0), F.lit(1.0)).otherwise(F.least(series, F.lit(1.0)))
 
 
-@F.pandas_udf(T.DoubleType())
-def _odd_tail(stat: pd.Series, dof: pd.Series) -> pd.Series:
-    out = []
-    for x, k in zip(stat, dof):
-        if x is None or k is None or pd.isna(x) or pd.isna(k):
-            out.append(None)
-            continue
-        k = int(k)
-        if k % 2 == 0 or x <= 0:
-            out.append(None if k % 2 == 0 else 1.0)
-            continue
-        h = x / 2.0
-        total = math.erfc(math.sqrt(h))
-        lh = math.log(h)
-        # terms i = 1..(k-1)/2 of h^(i-1/2) e^-h / Gamma(i+1/2)
-        lg = math.lgamma(1.5)
-        for i in range(1, (k - 1) // 2 + 1):
-            if i > 1:
-                lg += math.log(i - 0.5)
-            total += math.exp((i - 0.5) * lh - lg - h)
-        out.append(min(total, 1.0))
-    return pd.Series(out, dtype="float64")
+def _ln_gamma_half(k: Column) -> Column:
+    """ln Gamma(k/2) for a positive integer k, as a sum of logs.
+
+    Even k = 2m: ln (m-1)!.  Odd k = 2m+1: ln Gamma(1/2) + sum ln(j - 1/2).
+    """
+    m = F.floor(k / F.lit(2)).cast("int")
+    seq = F.sequence(F.lit(1), F.greatest(m, F.lit(1)))
+    even = F.aggregate(seq, F.lit(0.0), lambda acc, j: acc + F.when(
+        j <= m - F.lit(1), F.log(j.cast("double"))).otherwise(F.lit(0.0)))
+    odd = F.aggregate(seq, F.lit(0.5 * math.log(math.pi)), lambda acc, j: acc + F.when(
+        j <= m, F.log(j.cast("double") - F.lit(0.5))).otherwise(F.lit(0.0)))
+    return F.when(k % 2 == 0, even).otherwise(odd)
+
+
+_STEPS = 400          # fixed loop length of the series and the continued fraction
+_TINY = 1e-300
+
+
+def _gamma_q(k: Column, stat: Column) -> Column:
+    """Q(k/2, stat/2), the regularised upper incomplete gamma function.
+
+    Below ``a + 1`` the power series of P (then ``Q = 1 - P``); above it the
+    continued fraction of Q (modified Lentz), each as a fixed-length
+    ``aggregate`` loop, so the whole computation stays in Spark SQL.
+    """
+    a = k.cast("double") / F.lit(2.0)
+    x = stat / F.lit(2.0)
+    ln_ga = _ln_gamma_half(k)
+    seq = F.sequence(F.lit(1), F.lit(_STEPS))
+
+    def series_step(st, n):
+        t = st["t"] * x / (a + n.cast("double"))
+        return F.struct(t.alias("t"), (st["s"] + t).alias("s"))
+
+    series = F.aggregate(seq, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
+                         series_step, lambda st: st["s"])
+    p_lower = F.exp(-x + a * F.log(x) - (ln_ga + F.log(a))) * series
+
+    def cf_step(st, i):
+        fi = i.cast("double")
+        an = -fi * (fi - a)
+        b = st["b"] + F.lit(2.0)
+        d = an * st["d"] + b
+        d = F.when(F.abs(d) < F.lit(_TINY), F.lit(_TINY)).otherwise(d)
+        c = b + an / st["c"]
+        c = F.when(F.abs(c) < F.lit(_TINY), F.lit(_TINY)).otherwise(c)
+        d = F.lit(1.0) / d
+        return F.struct(b.alias("b"), c.alias("c"), d.alias("d"), (st["h"] * d * c).alias("h"))
+
+    b0 = x + F.lit(1.0) - a
+    init = F.struct(b0.alias("b"), F.lit(1.0 / _TINY).alias("c"), (F.lit(1.0) / b0).alias("d"),
+                    (F.lit(1.0) / b0).alias("h"))
+    cf = F.aggregate(seq, init, cf_step, lambda st: st["h"])
+    q_upper = F.exp(-x + a * F.log(x) - ln_ga) * cf
+    q = F.when(x < a + F.lit(1.0), F.lit(1.0) - p_lower).otherwise(q_upper)
+    return F.when(stat <= F.lit(0.0), F.lit(1.0)).otherwise(F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0)))
 
 
 def chi_square_pvalue(stat: Column, dof: Column) -> Column:
-    """Upper-tail probability of the chi-square distribution."""
-    return F.when(dof % 2 == 0, _even_tail(stat, dof)).otherwise(_odd_tail(stat, dof))
+    """Upper-tail probability of the chi-square distribution (JVM-side only)."""
+    return F.when(dof % 2 == 0, _even_tail(stat, dof)).otherwise(_gamma_q(dof, stat))
 
 
 def chi_square_from_cells(cells: DataFrame, a: str, b: str, n: str = "n") -> DataFrame:

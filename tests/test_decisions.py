@@ -121,7 +121,7 @@ def test_flagship_scan_is_pruned(spark):
     assert "partial_sum" in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
-def test_python_runs_only_in_chi_square_p_values(spark):
+def test_no_python_in_any_plan(spark):
     import importlib.util
     import os
 
@@ -131,7 +131,8 @@ def test_python_runs_only_in_chi_square_p_values(spark):
     spec.loader.exec_module(mod)
     qs = mod.queries()
     for name in ("ecdf", "percentile_many", "box_by_category", "gender_proportions", "all_counts",
-                 "user_vs_population", "violin_by_gender", "histogram"):
+                 "user_vs_population", "violin_by_gender", "histogram", "chisq_age_band",
+                 "chisq_gender_band", "chisq_lineitem"):
         plan = qs[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "EvalPython" not in plan, name
 

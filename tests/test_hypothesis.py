@@ -39,3 +39,32 @@ def test_permutation_invariance(spark):
     a = T.chi_square(df, "gender", "BMI_Index").first()
     b = T.chi_square(df.withColumn("BMI_Index", 6 - F.col("BMI_Index")), "BMI_Index", "gender").first()
     assert math.isclose(a.statistic, b.statistic, rel_tol=1e-12) and a.dof == b.dof
+
+
+def _tail_erfc(x, k):
+    """Independent odd-dof tail: erfc(sqrt h) + sum h^(i-1/2) e^-h / Gamma(i+1/2)."""
+    h = x / 2.0
+    total = math.erfc(math.sqrt(h))
+    for i in range(1, (k - 1) // 2 + 1):
+        total += math.exp((i - 0.5) * math.log(h) - math.lgamma(i + 0.5) - h)
+    return total
+
+
+def test_odd_dof_matches_erfc_form(spark):
+    cases = [(s, k) for k in (1, 3, 5, 7, 9, 15, 21, 41, 61) for s in (0.01, 0.5, 1.0, 3.0, 7.5, 15.0,
+                                                                    30.0, 60.0, 120.0, 300.0)]
+    df = spark.createDataFrame(cases, "s double, k int")
+    got = [r[0] for r in df.select(T.chi_square_pvalue(F.col("s"), F.col("k"))).collect()]
+    for (s, k), p in zip(cases, got):
+        want = _tail_erfc(s, k)
+        assert math.isclose(p, want, rel_tol=1e-9, abs_tol=1e-300), (s, k, p, want)
+
+
+def test_even_dof_closed_form_against_gamma_q(spark):
+    from cohortlens.operators.hypothesis import _gamma_q
+
+    cases = [(s, k) for k in (2, 4, 16, 40) for s in (0.5, 3.0, 21.0, 80.0)]
+    df = spark.createDataFrame(cases, "s double, k int")
+    rows = df.select(T.chi_square_pvalue(F.col("s"), F.col("k")), _gamma_q(F.col("k"), F.col("s"))).collect()
+    for a, b in rows:
+        assert math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-300)
