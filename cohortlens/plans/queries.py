@@ -437,10 +437,8 @@ def stream_percentile_q(spark, sf):
     src, lg = _log_source(spark, sf)
     out, ck = scratch_path(spark, "w2-out"), scratch_path(spark, "w2-ck")
     table_df, edges = W.percentile_table(V.population(spark, sf), "BMI")
-    tpath = scratch_path(spark, "w2-table")
-    table_df.write.parquet(tpath)
     scored = W.score_submissions(_stream_src(spark, src, lg.schema))
-    q = W.start_percentile(scored, spark.read.parquet(tpath), edges, out, ck)
+    q = W.start_percentile(scored, table_df, edges, out, ck)
     q.awaitTermination()
     return spark.read.parquet(out).select("user_id", "event_id", "bmi", "percentile", "below", "above")
 

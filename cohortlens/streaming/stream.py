@@ -65,8 +65,10 @@ MAX_TABLE_BUCKETS = 65536
 def percentile_table(pop: DataFrame, col: str, n_buckets: int | None = None) -> tuple[DataFrame, list[float]]:
     """W2 static side: one row per bucket of the population's sorted values.
 
-    Row ``(bucket, offset, N, vals, ns, cums)``: sorted distinct values of
-    the bucket, their counts and in-bucket running counts.  Every bucket id
+    Row ``(bucket, offset, N, vals, ns, cums, as_of)``: sorted distinct
+    values of the bucket, their counts and in-bucket running counts, and the
+    time the snapshot was taken (write the table once, then stream against
+    it: ranks are as of that time).  Every bucket id
     from 0 to len(edges)+1 is present (empty ones too), so any probe finds
     its bucket.  Edges are quantiles of the distinct values and the bucket
     count is distinct/256 (at most 65,536), so each array holds about 256
@@ -99,7 +101,8 @@ def percentile_table(pop: DataFrame, col: str, n_buckets: int | None = None) ->
         F.sum("bucket_n").over(Window.partitionBy()).alias("N"),
         F.coalesce("vals", F.array().cast("array<double>")).alias("vals"),
         F.coalesce("ns", F.array().cast("array<bigint>")).alias("ns"),
-        F.coalesce("cums", F.array().cast("array<bigint>")).alias("cums"))
+        F.coalesce("cums", F.array().cast("array<bigint>")).alias("cums"),
+        F.current_timestamp().alias("as_of"))
     return table, edges
 
 
@@ -129,7 +132,8 @@ def count_not_above(arr: str, value: Column) -> Column:
 
 def rank_against(probes: DataFrame, probe_col: str, table: DataFrame, edges: list[float],
                  broadcast: bool = True) -> DataFrame:
-    """Percentile (<=), below (<) and above of each probe row.
+    """Percentile (<=), below (<) and above of each probe row, with the
+    population snapshot time ``as_of``.
 
     Stream-static equi-join on the probe's bucket; inside the row, ``k`` =
     number of bucket values <= probe, found by binary search.
@@ -148,11 +152,27 @@ def rank_against(probes: DataFrame, probe_col: str, table: DataFrame, edges: lis
              .drop("__pv", "__bucket", "offset", "N", "vals", "ns", "cums"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def start_percentile(sub: DataFrame, table: DataFrame, edges: list[float], out: str,
                      checkpoint: str, probe_col: str = "bmi") -> StreamingQuery:
-    """Stream each scored submission's rank in the population (append)."""
-    n_values = table.agg(F.sum(F.size("vals"))).first()[0] or 0
-    ranked = rank_against(sub, probe_col, table, edges, broadcast=n_values <= MAX_BROADCAST_VALUES)
+    """Stream each scored submission's rank in the population (append).
+
+    The static table is written once into the query's checkpoint folder and
+    read back: a lazy static side would be recomputed for every micro-batch.
+    A restarted query reuses the same snapshot (same ``as_of``).
+    """
+    spark = sub.sparkSession
+    path = os.path.join(checkpoint, "population-snapshot")
+    if not _exists(spark, path):
+        table.write.parquet(path)
+    static = spark.read.parquet(path)
+    n_values = static.agg(F.sum(F.size("vals"))).first()[0] or 0
+    ranked = rank_against(sub, probe_col, static, edges, broadcast=n_values <= MAX_BROADCAST_VALUES)
     return (ranked.writeStream.format("parquet").option("path", out)
             .option("checkpointLocation", checkpoint).outputMode("append")
             .trigger(availableNow=True).start())

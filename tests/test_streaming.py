@@ -47,7 +47,9 @@ def test_percentile_stream_equals_batch(spark, tmp_dir):
     out, ck = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck")
     scored = W.score_submissions(_stream(spark, tmp_dir, lg.schema, max_files=1))
     W.start_percentile(scored, table, edges, out, ck).awaitTermination()
-    got = {r.event_id: (r.percentile, r.below) for r in spark.read.parquet(out).collect()}
+    res = spark.read.parquet(out)
+    assert res.select("as_of").distinct().count() == 1          # one population snapshot
+    got = {r.event_id: (r.percentile, r.below) for r in res.collect()}
     want = {r.event_id: (r.percentile, r.below) for r in
             Q.percentile_many(pop, "BMI", W.score_submissions(lg), "bmi").collect()}
     assert got == want
@@ -141,3 +143,18 @@ def test_latest_sink_replay_is_idempotent(spark, tmp_dir):
         .write.mode("overwrite").parquet(os.path.join(out, "batch_id=0"))
     assert {tuple(r) for r in W.read_latest(spark, out).collect()} == before
     assert spark.read.parquet(out).count() == len(before)
+
+
+def test_percentile_stream_restart_keeps_its_snapshot(spark, tmp_dir):
+    lg, first = _source(spark, tmp_dir)
+    pop = views.population(spark, SF)
+    table, edges = W.percentile_table(pop, "BMI", n_buckets=4)
+    out, ck = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck")
+    W.start_percentile(W.score_submissions(_stream(spark, tmp_dir, lg.schema)), table, edges,
+                       out, ck).awaitTermination()
+    lg.filter(~first).write.parquet(os.path.join(tmp_dir, "src", "b1"))
+    table2, _ = W.percentile_table(pop, "BMI", n_buckets=4)   # a newer table is ignored on restart
+    W.start_percentile(W.score_submissions(_stream(spark, tmp_dir, lg.schema)), table2, edges,
+                       out, ck).awaitTermination()
+    res = spark.read.parquet(out)
+    assert res.count() == lg.count() and res.select("as_of").distinct().count() == 1
