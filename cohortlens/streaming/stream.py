@@ -186,8 +186,24 @@ def latest_updates(sub: DataFrame, key: str = "user_id",
     return sub.groupBy(key).agg(best.alias("__row")).select(key, "__row.*")
 
 
+def _start(writer, spark: SparkSession, state_partitions: int | None) -> StreamingQuery:
+    """Start a stateful query; ``state_partitions`` fixes its state-store
+    partition count on the first run (a new checkpoint), as the session's
+    shuffle partitions are read when the query starts and then kept."""
+    if state_partitions is None:
+        return writer.start()
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, old)
+
+
 def start_latest(sub: DataFrame, out: str, checkpoint: str, key: str = "user_id",
-                 order: Sequence[str] = ("ts", "event_id")) -> StreamingQuery:
+                 order: Sequence[str] = ("ts", "event_id"),
+                 state_partitions: int | None = None) -> StreamingQuery:
     """Changed users of each micro-batch written under their batch id.
 
     Each micro-batch goes to its own ``batch_id=<n>`` folder with overwrite,
@@ -198,9 +214,10 @@ def start_latest(sub: DataFrame, out: str, checkpoint: str, key: str = "user_id"
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(os.path.join(out, f"batch_id={batch_id}"))
 
-    return (latest_updates(sub, key, order).writeStream.outputMode("update")
-            .foreachBatch(sink).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    writer = (latest_updates(sub, key, order).writeStream.outputMode("update")
+              .foreachBatch(sink).option("checkpointLocation", checkpoint)
+              .trigger(availableNow=True))
+    return _start(writer, sub.sparkSession, state_partitions)
 
 
 def read_latest(spark: SparkSession, out: str, key: str = "user_id",
@@ -238,8 +255,10 @@ def category_counts(sub: DataFrame, ts: str = "ts", window: str = "1 day",
                        category, "n"))
 
 
-def start_category_counts(sub: DataFrame, out: str, checkpoint: str, **kw) -> StreamingQuery:
+def start_category_counts(sub: DataFrame, out: str, checkpoint: str,
+                          state_partitions: int | None = None, **kw) -> StreamingQuery:
     """Append closed windows to a Parquet folder."""
-    return (category_counts(sub, **kw).writeStream.format("parquet").option("path", out)
-            .option("checkpointLocation", checkpoint).outputMode("append")
-            .trigger(availableNow=True).start())
+    writer = (category_counts(sub, **kw).writeStream.format("parquet").option("path", out)
+              .option("checkpointLocation", checkpoint).outputMode("append")
+              .trigger(availableNow=True))
+    return _start(writer, sub.sparkSession, state_partitions)

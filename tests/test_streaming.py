@@ -158,3 +158,15 @@ def test_percentile_stream_restart_keeps_its_snapshot(spark, tmp_dir):
                        out, ck).awaitTermination()
     res = spark.read.parquet(out)
     assert res.count() == lg.count() and res.select("as_of").distinct().count() == 1
+
+
+def test_state_partitions_fixed_at_first_start(spark, tmp_dir):
+    lg, first = _source(spark, tmp_dir)
+    out, ck = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck")
+    cols = ["user_id", "event_id", "ts", "height_cm", "weight_kg"]
+    sub = _stream(spark, tmp_dir, lg.schema).withColumnRenamed("timestamp", "ts").select(*cols)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    W.start_latest(sub, out, ck, state_partitions=3).awaitTermination()
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    state = os.path.join(ck, "state", "0")
+    assert sorted(d for d in os.listdir(state) if d.isdigit()) == ["0", "1", "2"]
