@@ -104,8 +104,10 @@ def main(argv=None) -> None:
     ap.add_argument("--dataset", required=True)
     ap.add_argument("--user", required=True)
     ap.add_argument("--collapse-repeated", action="store_true")
+    ap.add_argument("--master", default=None,
+                    help="e.g. local[8]; leave out under spark-submit on a cluster")
     args = ap.parse_args(argv)
-    spark = get_session()
+    spark = get_session(args.master)
     frames = run_analysis(spark, args.dataset, args.user, collapse_repeated=args.collapse_repeated)
     for r in frames["summary"].collect():
         print(r["summary"])

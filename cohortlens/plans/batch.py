@@ -97,8 +97,10 @@ def main(argv=None) -> None:
     ap.add_argument("--input", required=True, help="people CSV file or folder")
     ap.add_argument("--output", required=True, help="output folder")
     ap.add_argument("--show", action="store_true", help="print the small result tables")
+    ap.add_argument("--master", default=None,
+                    help="e.g. local[8]; leave out under spark-submit on a cluster")
     args = ap.parse_args(argv)
-    spark = get_session()
+    spark = get_session(args.master)
     frames = run_batch(spark, args.input, args.output)
     if args.show:
         for name in ("pct_pivot", "chisq_age_band", "count_by_gender", "gender_pivot",

@@ -14,32 +14,49 @@ import uuid
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_DEFAULTS = {
-    "spark.sql.shuffle.partitions": "8",
+# Settings every run gets (unless the caller overrides them).
+_SQL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
-    "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+}
+
+# Settings for a single-machine run only: loopback networking, no web UI,
+# shuffle partitions sized for a few cores.  Never applied on a cluster.
+_LOCAL_ONLY = {
+    "spark.sql.shuffle.partitions": "8",
+    "spark.ui.enabled": "false",
     "spark.driver.bindAddress": "127.0.0.1",
     "spark.driver.host": "127.0.0.1",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
 
 def get_session(master: str | None = None, app: str = "cohortlens",
                 **conf: str) -> SparkSession:
-    """Build (or reuse) a session with the settings the operators assume."""
+    """Build (or reuse) a session with the settings the operators assume.
+
+    ``master="local[...]"`` adds the single-machine settings.  The SQL
+    defaults are applied only to keys the launch configuration does not set,
+    so on a cluster (spark-submit, no master given) the platform's settings
+    stay as they are; ``conf`` (``spark__sql__x="v"``) always applies.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = dict(_LOCAL_DEFAULTS)
-    settings.update({k.replace("__", "."): v for k, v in conf.items()})
-    for k, v in settings.items():
+        if master.startswith("local"):
+            for k, v in _LOCAL_ONLY.items():
+                builder = builder.config(k, v)
+    explicit = {k.replace("__", "."): v for k, v in conf.items()}
+    for k, v in explicit.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
+    launched = spark.sparkContext.getConf()
+    for k, v in _SQL_DEFAULTS.items():
+        if k not in explicit and not launched.contains(k):
+            spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_root(spark)
     return spark
