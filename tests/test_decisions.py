@@ -5,7 +5,6 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from cohortlens import schema as S
 from cohortlens.functions import normalize_gender
 from cohortlens.operators import aggregate as A
 from cohortlens.operators import distribution as Q
