@@ -135,18 +135,38 @@ def gender_pivot(df: DataFrame, band_col: str = "BMI_Index", gender: str = "gend
     return with_proportions(piv).orderBy(band_col)
 
 
+# Most column levels a dense contingency table is built for; the levels are
+# gathered on the driver to expand each row over them.
+MAX_DENSE_LEVELS = 10_000
+
+
+def cell_counts(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Present cells ``(a, b, n)`` of the contingency table (nulls left out)."""
+    return (df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+              .groupBy(a, b).agg(F.count(F.lit(1)).alias("n")))
+
+
+def column_levels(cells: DataFrame, b: str, limit: int | None = None) -> list | None:
+    """Sorted distinct values of ``b``, or None when there are more than
+    ``limit`` (default ``MAX_DENSE_LEVELS``); at most limit + 1 are gathered."""
+    limit = MAX_DENSE_LEVELS if limit is None else limit
+    found = [r[0] for r in cells.select(b).distinct().limit(limit + 1).collect()]
+    return None if len(found) > limit else sorted(found)
+
+
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """Dense long-form count table ``(a, b, n)``; absent cells have n = 0.
 
     Null keys are left out.  The cell counts come from one aggregate; the
-    levels of ``b`` (bounded by the table width) are gathered once and every
-    row level is expanded over them with ``explode`` of a literal array, so
-    the dense grid is built from the aggregated cells only.
+    levels of ``b`` (at most ``MAX_DENSE_LEVELS``, gathered once) are
+    expanded for every row level with ``explode`` of a literal array, so the
+    dense grid is built from the aggregated cells only.
     """
-    cells = (df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-               .groupBy(a, b).agg(F.count(F.lit(1)).alias("n")))
-    cells = keep(cells)
-    b_levels = sorted(r[0] for r in cells.select(b).distinct().collect())
+    cells = keep(cell_counts(df, a, b))
+    b_levels = column_levels(cells, b)
+    if b_levels is None:
+        raise ValueError(f"{b} has more than {MAX_DENSE_LEVELS} levels: a dense table would be "
+                         "too large; use cell_counts (the chi-square test does)")
     if not b_levels:
         return cells.select(a, b, F.col("n"))
     grid = (cells.select(a).distinct()

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import round_even
-from .aggregate import contingency
+from ..session import keep
+from .aggregate import cell_counts, column_levels, contingency
 
 
 def _even_tail(stat: Column, dof: Column) -> Column:
@@ -119,8 +120,33 @@ def chi_square_from_cells(cells: DataFrame, a: str, b: str, n: str = "n") -> Dat
     return agg.withColumn("p_value", chi_square_pvalue(F.col("statistic"), F.col("dof")))
 
 
+def chi_square_sparse(cells: DataFrame, a: str, b: str, n: str = "n") -> DataFrame:
+    """Statistic from the present cells only: ``N * sum(o^2 / (r c)) - N``.
+
+    Exact (an absent cell adds nothing to ``sum(o^2/e)``), for tables too wide
+    to densify; margins come from windows over the present cells.
+    """
+    r = F.sum(F.col(n)).over(Window.partitionBy(a))
+    c = F.sum(F.col(n)).over(Window.partitionBy(b))
+    e = cells.select(a, b, F.col(n).cast("double").alias("o"), r.alias("r"), c.alias("c"))
+    agg = e.agg(
+        F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("__s"),
+        ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).cast("int").alias("dof"),
+        F.sum("o").cast("long").alias("n"))
+    agg = agg.select((F.col("n") * F.col("__s") - F.col("n")).alias("statistic"), "dof", "n")
+    return agg.withColumn("p_value", chi_square_pvalue(F.col("statistic"), F.col("dof")))
+
+
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Pearson test of independence of ``a`` and ``b`` (nulls left out)."""
+    """Pearson test of independence of ``a`` and ``b`` (nulls left out).
+
+    Summed over the dense table as usual; when ``b`` has more than
+    ``MAX_DENSE_LEVELS`` levels, over the present cells with the exact
+    sparse form instead.
+    """
+    cells = keep(cell_counts(df, a, b))
+    if column_levels(cells, b) is None:
+        return chi_square_sparse(cells, a, b)
     return chi_square_from_cells(contingency(df, a, b), a, b)
 
 

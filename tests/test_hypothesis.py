@@ -68,3 +68,26 @@ def test_even_dof_closed_form_against_gamma_q(spark):
     rows = df.select(T.chi_square_pvalue(F.col("s"), F.col("k")), _gamma_q(F.col("k"), F.col("s"))).collect()
     for a, b in rows:
         assert math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-300)
+
+
+def test_sparse_statistic_equals_dense(spark):
+    from cohortlens.operators.aggregate import cell_counts
+
+    df = f1_people(spark)
+    dense = T.chi_square(df, "gender", "BMI_Index").first()
+    sparse = T.chi_square_sparse(cell_counts(df, "gender", "BMI_Index"), "gender", "BMI_Index").first()
+    assert sparse.dof == dense.dof and sparse.n == dense.n
+    assert math.isclose(sparse.statistic, dense.statistic, rel_tol=1e-9)
+    assert math.isclose(sparse.p_value, dense.p_value, rel_tol=1e-6)
+
+
+def test_wide_table_uses_the_sparse_form(spark, monkeypatch):
+    from cohortlens.operators import aggregate as A
+
+    monkeypatch.setattr(A, "MAX_DENSE_LEVELS", 3)
+    df = f1_people(spark)
+    r = T.chi_square(df, "gender", "BMI_Index").first()        # 5 band levels > 3
+    assert math.isclose(r.statistic, 836.7873820680425, rel_tol=1e-9) and r.dof == 4
+    import pytest
+    with pytest.raises(ValueError):
+        A.contingency(df, "gender", "BMI_Index")
