@@ -3,6 +3,8 @@
 The statistic is summed over the *dense* contingency table (A12): an absent
 cell still has an expected count, so densification is part of the test.
 The table has one row per cell (levels x levels), never one per person.
+Tables wider than ``MAX_DENSE_LEVELS`` column levels use the exact sparse
+form ``N * sum(o^2 / (r c)) - N`` over the present cells instead.
 
 p-value = Q(dof/2, stat/2), the regularised upper incomplete gamma:
 
