@@ -146,3 +146,26 @@ def test_kll_sketches_merge_within_rank_bound(spark):
         assert n == len(vals)
         rank = np.searchsorted(vals, q, side="right") / len(vals)
         assert abs(rank - p) <= 0.02
+
+
+def test_validity_ranges_push_down_to_parquet(spark, tmp_path):
+    import os
+
+    from cohortlens.operators.clean import valid
+    from cohortlens.plans import views
+
+    path = os.path.join(str(tmp_path), "people")
+    views.people(spark, "/root/testdata/sf0.001").write.parquet(path)
+    old = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        df = valid(spark.read.parquet(path)).groupBy("gender").count()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", old)
+    pushed = next(ln for ln in plan.splitlines() if "PushedFilters" in ln)
+    for cond in ("GreaterThanOrEqual(age,18)", "LessThanOrEqual(age,60)",
+                 "GreaterThanOrEqual(height,144.0)", "LessThanOrEqual(height,210.0)",
+                 "GreaterThanOrEqual(weight,34.0)", "LessThanOrEqual(weight,120.0)"):
+        assert cond in pushed, pushed
+    assert "ReadSchema: struct<gender:string,age:int,height:double,weight:double>" in plan
