@@ -122,8 +122,10 @@ def subset_equal(df: DataFrame, col: str, value) -> DataFrame:
     return df.filter(F.col(col) == F.lit(value))
 
 
-def profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """One row per column: rows, missing, distinct-free numeric summary.
+def profile(df: DataFrame, cols: Sequence[str] | None = None,
+            approx_median: bool = False, accuracy: int = 10000) -> DataFrame:
+    """One row per column: rows, missing, min, max, mean (and, on
+    request, an approximate median with rank error at most N/accuracy).
 
     One aggregate pass computes every statistic of every column; the wide
     row is then unpivoted to one row per column with ``stack``.
@@ -142,11 +144,14 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
             F.max(num).alias(f"hi{i}"),
             F.avg(num).alias(f"mu{i}"),
         ]
+        if approx_median:
+            aggs.append(F.percentile_approx(num, 0.5, accuracy).alias(f"md{i}"))
     wide = df.agg(*aggs)
+    extra = ", md{i}" if approx_median else ""
+    names = "column, position, n_rows, n_missing, min, max, mean" + (", median_approx" if approx_median else "")
     pieces = ", ".join(
-        f"'{c}', {i}, n{i}, m{i}, lo{i}, hi{i}, mu{i}" for i, c in enumerate(cols))
-    return wide.selectExpr(
-        f"stack({len(cols)}, {pieces}) as (column, position, n_rows, n_missing, min, max, mean)")
+        f"'{c}', {i}, n{i}, m{i}, lo{i}, hi{i}, mu{i}" + extra.format(i=i) for i, c in enumerate(cols))
+    return wide.selectExpr(f"stack({len(cols)}, {pieces}) as ({names})")
 
 
 def head(df: DataFrame, n: int = 5, order: Sequence[str] = ("person_id",)) -> DataFrame:

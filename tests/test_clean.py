@@ -69,3 +69,10 @@ def test_round_and_fill(spark):
     r = C.fill_bmi(C.round_measures(df, digits=0)).collect()
     assert (r[0].height, r[0].weight) == (170, 70) and (r[1].height, r[1].weight) == (172, 70)
     assert r[0].BMI == 70 / ((170 / 100) * (170 / 100)) and r[1].BMI == 22.0
+
+
+def test_profile_approx_median(spark):
+    df = spark.range(1, 1002).selectExpr("id", "cast(id as double) * 2 AS v", "'x' AS s")
+    p = {r.column: r for r in C.profile(df, approx_median=True).collect()}
+    assert abs(p["v"].median_approx - 1002.0) <= 2 * 1001 / 10000 * 2 + 2
+    assert p["s"].median_approx is None and p["id"].n_rows == 1001
