@@ -520,3 +520,17 @@ FROM (SELECT *, {D(100)} - below AS above FROM sm)"""
 
 
 ORACLE["analysis_summary"] = _analysis_summary()
+
+
+ORACLE["percentile_orders"] = """
+WITH pv AS (SELECT l_extendedprice AS value, COUNT(*) AS n FROM lineitem
+            WHERE l_extendedprice IS NOT NULL GROUP BY 1),
+steps AS (SELECT value, SUM(n) OVER (ORDER BY value) AS le, n AS eq FROM pv),
+tot AS (SELECT COUNT(l_extendedprice) AS total FROM lineitem)
+SELECT o.o_orderkey, o.o_totalprice,
+       CAST(100 AS DOUBLE) * (COALESCE(s.le, 0) / (SELECT total FROM tot)) AS percentile,
+       CAST(100 AS DOUBLE) * ((COALESCE(s.le, 0) - CASE WHEN s.value = o.o_totalprice THEN s.eq ELSE 0 END)
+                              / (SELECT total FROM tot)) AS below,
+       CAST(100 AS DOUBLE) - CAST(100 AS DOUBLE) * ((COALESCE(s.le, 0)
+           - CASE WHEN s.value = o.o_totalprice THEN s.eq ELSE 0 END) / (SELECT total FROM tot)) AS above
+FROM orders o ASOF LEFT JOIN steps s ON o.o_totalprice >= s.value"""

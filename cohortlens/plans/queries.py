@@ -556,6 +556,13 @@ def quantiles_events_value_q(spark, sf):
     return Q.quantiles(table(spark, sf, "events"), "value", [0.1, 0.5, 0.9], by=["event_type"])
 
 
+def percentile_orders_q(spark, sf):
+    """Q5 on native columns: every order's total price ranked among all line prices."""
+    li = table(spark, sf, "lineitem")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return Q.percentile_many(li, "l_extendedprice", orders, "o_totalprice")
+
+
 def chisq_events_q(spark, sf):
     """Chi-square of event type x value band (even dof)."""
     e = table(spark, sf, "events").withColumn("value_band", band("value", EVENT_VALUE_CUTS).cast("int"))
@@ -666,6 +673,7 @@ QUERIES: dict[str, Query] = {
     "box_events_value": box_events_value_q,
     "ecdf_lineitem_price": ecdf_lineitem_price_q,
     "quantiles_events_value": quantiles_events_value_q,
+    "percentile_orders": percentile_orders_q,
     "chisq_events": chisq_events_q,
     "chisq_lineitem": chisq_lineitem_q,
     # the analysis script end to end
