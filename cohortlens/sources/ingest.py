@@ -77,7 +77,9 @@ def harmonized_names(names: Sequence[str],
     """S6 names: lower-case, spaces to ``_``, synonyms mapped; junk -> None.
 
     A canonical name already taken keeps the later column under its own
-    lower-cased name (D10: first one wins).
+    lower-cased name (D10: first one wins).  Spark resolves names without
+    regard to case, so a name equal to a taken one up to case gets a
+    ``_2``, ``_3``... suffix instead of becoming ambiguous.
     """
     out: list[str | None] = []
     taken: set[str] = set()
@@ -87,9 +89,14 @@ def harmonized_names(names: Sequence[str],
             out.append(None)
             continue
         target = synonyms.get(low, low)
-        if target in taken:
+        if target.lower() in taken:
             target = low
-        taken.add(target)
+        k = 2
+        base = target
+        while target.lower() in taken:
+            target = f"{base}_{k}"
+            k += 1
+        taken.add(target.lower())
         out.append(target)
     return out
 

@@ -21,7 +21,8 @@ def test_delimiter_rule():
 def test_harmonized_names():
     got = ingest.harmonized_names(["Height CM", "Weight_kg", "BMI", "Index", "Column1", "Column 7",
                                    "bmi_index", "Gender"])
-    assert got == ["height", "weight", "BMI", "BMI_index", None, None, "bmi_index", "gender"]
+    # a later bmi_index clashes with BMI_index up to case: suffixed
+    assert got == ["height", "weight", "BMI", "BMI_index", None, None, "bmi_index_2", "gender"]
 
 
 def test_read_mixed_dialects_tokens_and_headers(spark, tmp_dir):
@@ -79,3 +80,13 @@ def test_big_ids_keep_every_digit(spark, tmp_dir):
               "person_id,gender,age,height,weight\n9007199254740993,male,30,170,70\n12x,male,30,170,70\n")
     got = [r.person_id for r in ingest.read_people(spark, a).collect()]
     assert sorted(got, key=lambda v: (v is None, v)) == [9007199254740993, None]
+
+
+def test_header_clash_up_to_case_gets_a_suffix(spark):
+    got = ingest.harmonized_names(["BMI", "bmi", "Index", "BMI_index", "Height CM", "height"])
+    assert got == ["BMI", "bmi_2", "BMI_index", "bmi_index_2", "height", "height_2"]
+    df = spark.createDataFrame([(1.0, 2.0, 1, 2, 170.0, 171.0)],
+                               "BMI double, bmi double, Index int, BMI_index int, `Height CM` double, height double")
+    h = ingest.harmonize(df)
+    r = h.select("BMI", "bmi_2", "BMI_index", "height", "height_2").first()
+    assert tuple(r) == (1.0, 2.0, 1, 170.0, 171.0)
