@@ -73,8 +73,17 @@ def chart_frames(x: DataFrame, person: dict = EXAMPLE_PERSON) -> dict[str, DataF
     }
 
 
-def run_batch(spark: SparkSession, raw_path: str, out_dir: str | None = None) -> dict[str, DataFrame]:
-    """Read a people CSV, clean, analyse, write the three CSVs, return all frames."""
+CHART_FRAMES = ("scatter_height_weight", "mean_weight_by_age", "box_height_by_gender",
+                "bmi_distribution", "bmi_cdf", "bmi_p10_p90", "example_person")
+
+
+def run_batch(spark: SparkSession, raw_path: str, out_dir: str | None = None,
+              charts: bool = False) -> dict[str, DataFrame]:
+    """Read a people CSV, clean, analyse, write the three CSVs, return all frames.
+
+    With ``charts`` the frames behind the charts are also written, one
+    Parquet table each under ``<out_dir>/charts/``.
+    """
     raw = ingest.read_people(spark, raw_path)
     clean = C.valid(raw)
     frames = {"raw": raw, "invalid": C.quarantine(raw), "clean": clean,
@@ -87,6 +96,9 @@ def run_batch(spark: SparkSession, raw_path: str, out_dir: str | None = None) ->
                           fmt="csv")
         sinks.write_table(frames["gender_pivot"], os.path.join(out_dir, "gender_bmi_pivot_table"),
                           fmt="csv", single_file=True)
+        if charts:
+            for name in CHART_FRAMES:
+                sinks.write_table(frames[name], os.path.join(out_dir, "charts", name))
     return frames
 
 
@@ -97,11 +109,12 @@ def main(argv=None) -> None:
     ap.add_argument("--input", required=True, help="people CSV file or folder")
     ap.add_argument("--output", required=True, help="output folder")
     ap.add_argument("--show", action="store_true", help="print the small result tables")
+    ap.add_argument("--charts", action="store_true", help="also write the chart frames (Parquet)")
     ap.add_argument("--master", default=None,
                     help="e.g. local[8]; leave out under spark-submit on a cluster")
     args = ap.parse_args(argv)
     spark = get_session(args.master)
-    frames = run_batch(spark, args.input, args.output)
+    frames = run_batch(spark, args.input, args.output, charts=args.charts)
     if args.show:
         for name in ("pct_pivot", "chisq_age_band", "count_by_gender", "gender_pivot",
                      "chisq_gender_band", "bmi_p10_p90", "example_person"):

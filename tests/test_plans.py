@@ -59,6 +59,9 @@ def test_batch_cli(spark, tmp_dir, capsys):
 
     raw = os.path.join(tmp_dir, "raw")
     views.people(spark, SF).write.option("header", True).csv(raw)
-    batch.main(["--input", raw, "--output", os.path.join(tmp_dir, "out"), "--show"])
+    out = os.path.join(tmp_dir, "out")
+    batch.main(["--input", raw, "--output", out, "--show", "--charts"])
     text = capsys.readouterr().out
     assert "gender_pivot" in text and "Female_Proportion" in text
+    assert sorted(os.listdir(os.path.join(out, "charts"))) == sorted(batch.CHART_FRAMES)
+    assert spark.read.parquet(os.path.join(out, "charts", "bmi_cdf")).count() > 0
