@@ -104,6 +104,8 @@ def main(argv=None) -> None:
     ap.add_argument("--dataset", required=True)
     ap.add_argument("--user", required=True)
     ap.add_argument("--collapse-repeated", action="store_true")
+    ap.add_argument("--output", default=None,
+                    help="folder for the summary and chart frames (Parquet, one table each)")
     ap.add_argument("--master", default=None,
                     help="e.g. local[8]; leave out under spark-submit on a cluster")
     args = ap.parse_args(argv)
@@ -112,6 +114,13 @@ def main(argv=None) -> None:
     for r in frames["summary"].collect():
         print(r["summary"])
         print(r["shares"])
+    if args.output:
+        import os
+
+        from ..sources.sinks import write_table
+
+        for name, df in frames.items():
+            write_table(df, os.path.join(args.output, name))
 
 
 if __name__ == "__main__":

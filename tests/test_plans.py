@@ -65,3 +65,18 @@ def test_batch_cli(spark, tmp_dir, capsys):
     assert "gender_pivot" in text and "Female_Proportion" in text
     assert sorted(os.listdir(os.path.join(out, "charts"))) == sorted(batch.CHART_FRAMES)
     assert spark.read.parquet(os.path.join(out, "charts", "bmi_cdf")).count() > 0
+
+
+def test_analysis_cli_writes_frames(spark, tmp_dir, capsys):
+    from cohortlens.plans import analysis
+
+    pop = os.path.join(tmp_dir, "pop.csv")
+    with open(pop, "w", encoding="utf-8") as f:
+        f.write("height,weight,gender,age\n170,70,female,30\n180,90,male,40\n165,60,female,25\n")
+    log = os.path.join(tmp_dir, "user.csv")
+    with open(log, "w", encoding="utf-8") as f:
+        f.write("timestamp;age;gender;height_cm;weight_kg\n2024-01-02 10:00:00;31;Female;170.00;70.00\n")
+    out = os.path.join(tmp_dir, "out")
+    analysis.main(["--dataset", pop, "--user", log, "--output", out])
+    assert "User BMI = 24.22 (Normal)" in capsys.readouterr().out
+    assert "summary" in os.listdir(out) and "violin_by_gender" in os.listdir(out)
