@@ -83,3 +83,50 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text",
             end = max(start + 1, int(np.searchsorted(cum, base + max_bytes, side="right")))
             yield batch.slice(start, end - start)
             start = end
+
+
+class WordMemory:
+    """What has been computed of words, so that a repeated word costs one lookup.
+
+    ``learn(words, first)`` stores the values of new words under the numbers from
+    ``first`` on; number 0 is the empty word.  Beyond ``room`` words or
+    characters in them the memory starts anew, so it is bounded.
+    """
+
+    def __init__(self, learn: Callable[[list[str], int], None], room: int = 400_000, chars: int = 20_000_000):
+        self.learn, self.room, self.chars = learn, room, chars
+        self.reset()
+
+    def reset(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.held = 0
+
+    def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words (cut at spaces and line feeds) and each text's bounds."""
+        if len(self.known) > self.room or self.held > self.chars:
+            self.reset()
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        vocabulary = coded.dictionary.to_pylist()
+        known = self.known
+        new = [w for w in vocabulary if w not in known]
+        if new:
+            self.learn(new, len(known))
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            self.held += sum(map(len, new))
+        number = np.fromiter((known[w] for w in vocabulary), np.int64, len(vocabulary))
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        return (number[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)), offsets - offsets[0]
+
+
+def grown(array: np.ndarray, size: int) -> np.ndarray:
+    """The array with room for ``size`` rows."""
+    if size <= len(array):
+        return array
+    return np.concatenate([array, np.zeros((max(size - len(array), len(array)), *array.shape[1:]), array.dtype)])
+
+
+def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` (rows) between successive bounds."""
+    cum = np.concatenate([np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, axis=0)])
+    return cum[bounds[1:]] - cum[bounds[:-1]]

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import fresh, map_batches, slices, stage
+from cohortlens.llm.common import WordMemory, fresh, grown, map_batches, slices, stage
 
 END_ID = 1
 WINDOW = 2048
@@ -29,64 +29,40 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 class WordTokens:
-    """Ids of space-separated words, each word encoded once and remembered.
+    """Ids of texts; each space-separated word is encoded once and remembered.
 
     The tokenizer never joins characters across white space, so a text's ids are
-    the ids of its words.  At most ``room`` words are remembered; then the memory
-    starts anew.  The strings of special tokens are cut out before words are
-    formed, so a text with one is encoded as a whole.
+    the ids of its words.  The strings of special tokens are cut out before words
+    are formed, so a text with one is encoded as a whole.
     """
 
-    def __init__(self, path: str, room: int = 500_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.room = room
-        self.reset()
-
-    def reset(self) -> None:
-        self.known: dict[str, int] = {"": 0}
+        self.memory = WordMemory(self._learn)
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    @staticmethod
-    def _room(array: np.ndarray, size: int) -> np.ndarray:
-        return array if size <= len(array) else np.concatenate([array, np.zeros(max(size, len(array)), array.dtype)])
-
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str], first: int) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        first, total = len(self.known), int(lengths.sum())
-        self.ids = self._room(self.ids, self.used + total)
-        self.ids[self.used:self.used + total] = np.fromiter((i for e in found for i in e), np.uint32, total)
-        self.start, self.length = (self._room(x, first + len(new)) for x in (self.start, self.length))
-        self.start[first:first + len(new)] = self.used + np.cumsum(lengths) - lengths
-        self.length[first:first + len(new)] = lengths
-        self.used += total
-        self.known.update(zip(new, range(first, first + len(new))))
+        used = int(self.start[first - 1] + self.length[first - 1])
+        total, last = int(lengths.sum()), first + len(new)
+        self.ids = grown(self.ids, used + total)
+        self.ids[used:used + total] = np.fromiter((i for e in found for i in e), np.uint32, total)
+        self.start, self.length = grown(self.start, last), grown(self.length, last)
+        self.start[first:last] = used + np.cumsum(lengths) - lengths
+        self.length[first:last] = lengths
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and the bounds of each text (one more than texts)."""
-        if len(self.known) > self.room:
-            self.reset()
-        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        coded = split.flatten().dictionary_encode()
-        vocabulary = coded.dictionary.to_pylist()
-        new = [w for w in vocabulary if w not in self.known]
-        if new:
-            self._learn(new)
-        known = self.known
-        number = np.fromiter((known[w] for w in vocabulary), np.int64, len(vocabulary))
-        codes = number[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-        lengths = self.length[codes]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.start[codes] - (ends - lengths), lengths) + np.arange(total)]
-        cum = np.concatenate([[0], ends])
-        offsets = split.offsets.to_numpy()
-        return ids, cum[offsets - offsets[0]]
+        numbers, bounds = self.memory.numbers(texts)
+        lengths = self.length[numbers]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.ids[np.repeat(self.start[numbers] - ends[:-1], lengths) + np.arange(ends[-1])]
+        return ids, ends[bounds]
 
     def each(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""

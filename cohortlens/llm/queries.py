@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import packing
+from cohortlens.llm import language_id, mixing, packing
 from cohortlens.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +18,20 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing,)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    docs = documents(spark, sf_dir)
+    return language_id.identify(docs.select("doc_id", "text", "lang"), ["doc_id"]).withColumn(
+        "held_out", language_id.held_out(F.col("doc_id")))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix of all sources takes of every document."""
+    return mixing.mix_sizes(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_packing, op9_language_id, op10_source_mixing)}
 
 #: DuckDB twins of the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op10_source_mixing": mixing.ORACLE}
