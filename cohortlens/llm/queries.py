@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import language_id, mixing, packing
+from cohortlens.llm import language_id, mixing, near_dedup, packing
 from cohortlens.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return near_dedup.components(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
     docs = documents(spark, sf_dir)
@@ -31,7 +36,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_packing, op9_language_id, op10_source_mixing)}
+    op1_packing, op4_near_dedup, op9_language_id, op10_source_mixing)}
 
 #: DuckDB twins of the queries that SQL can express.
 ORACLE: dict[str, str] = {"op10_source_mixing": mixing.ORACLE}
