@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +67,7 @@ def words(text: Column) -> Column:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text",
-           max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+           max_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one slice holds about ``max_bytes`` of text.
 
     Bounds the memory of a task whatever the batch size; a longer text forms a
@@ -109,12 +110,15 @@ class WordMemory:
         coded = split.flatten().dictionary_encode()
         vocabulary = coded.dictionary.to_pylist()
         known = self.known
-        new = [w for w in vocabulary if w not in known]
-        if new:
-            self.learn(new, len(known))
-            known.update(zip(new, range(len(known), len(known) + len(new))))
+        number = np.fromiter(map(known.get, vocabulary, repeat(-1)), np.int64, len(vocabulary))
+        unknown = np.flatnonzero(number < 0)
+        if len(unknown):
+            new = coded.dictionary.take(pa.array(unknown)).to_pylist()
+            first = len(known)
+            self.learn(new, first)
+            number[unknown] = np.arange(first, first + len(new))
+            known.update(zip(new, range(first, first + len(new))))
             self.held += sum(map(len, new))
-        number = np.fromiter((known[w] for w in vocabulary), np.int64, len(vocabulary))
         offsets = split.offsets.to_numpy().astype(np.int64)
         return (number[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)), offsets - offsets[0]
 

@@ -11,8 +11,10 @@ its length and its rank among the pieces of that length.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from cohortlens.llm.common import WordMemory, fresh, grown, map_batches, slices,
 END_ID = 1
 WINDOW = 2048
 SHARDS = 1024
+#: Marks that may follow a word's letters; none joins with a letter in any normal form.
+MARKS = ".,;:!?"
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -37,24 +41,56 @@ class WordTokens:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; before the first use
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
+        self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.memory = WordMemory(self._learn)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
+    def _encoded(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _stems(self, stems: list[str], together: int = 64) -> list[list[int]]:
+        """Ids of words made of letters alone: many in one call, cut after each word's last id."""
+        found: list[list[int]] = []
+        lines = [stems[i:i + together] for i in range(0, len(stems), together)]
+        for line, ids in zip(lines, self._encoded([" ".join(x) for x in lines])):
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) == len(line):
+                found.extend(ids[i:j] for i, j in zip([0, *ends], ends))
+            else:
+                found.extend(self._encoded(line))
+        return found
+
     def _learn(self, new: list[str], first: int) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        stems: dict[str, int] = {}
+        rests: dict[str, int] = {"": 0}
+        parts = np.empty((len(new), 2), np.int64)  # each word is letters, then something else
+        for i, word in enumerate(new):
+            stem = word.rstrip(MARKS)
+            if stem.isalpha():
+                lower = stem.lower() if stem.isascii() else stem
+                parts[i] = stems.setdefault(lower, len(stems)), -1 - rests.setdefault(word[len(stem):], len(rests))
+            else:
+                parts[i] = -1, -1 - rests.setdefault(word, len(rests))
+        found = [*self._stems(list(stems)), *self._encoded(list(rests)), []]
+        unit = np.where(parts < -1, len(stems) - 1 - parts, np.where(parts < 0, len(found) - 1, parts)).ravel()
         lengths = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        starts, length = (np.cumsum(lengths) - lengths)[unit], lengths[unit]
+        ends = np.cumsum(length)
         used = int(self.start[first - 1] + self.length[first - 1])
-        total, last = int(lengths.sum()), first + len(new)
+        total, last = int(ends[-1]), first + len(new)
         self.ids = grown(self.ids, used + total)
-        self.ids[used:used + total] = np.fromiter((i for e in found for i in e), np.uint32, total)
+        self.ids[used:used + total] = flat[np.repeat(starts - (ends - length), length) + np.arange(total)]
         self.start, self.length = grown(self.start, last), grown(self.length, last)
-        self.start[first:last] = used + np.cumsum(lengths) - lengths
-        self.length[first:last] = lengths
+        self.length[first:last] = length.reshape(-1, 2).sum(axis=1)
+        self.start[first:last] = used + np.cumsum(self.length[first:last]) - self.length[first:last]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and the bounds of each text (one more than texts)."""
