@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import language_id, mixing, near_dedup, packing
+from cohortlens.llm import language_id, mixing, near_dedup, packing, pii, quality_rules, secret_scan
 from cohortlens.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,11 +18,28 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data, and the terms that disclose it, in every document."""
+    return pii.digest(pii.protect(documents(spark, sf_dir)))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
     return near_dedup.components(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality measures of every document, and the verdict at risk-controlled cutoffs."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return quality_rules.judge(documents(spark, sf_dir), labels).withColumn(
+        "failed_rules", F.array_join("failed_rules", ","))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secret_scan.digest(secret_scan.scan(documents(spark, sf_dir)))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
     docs = documents(spark, sf_dir)
@@ -36,7 +53,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_packing, op4_near_dedup, op9_language_id, op10_source_mixing)}
+    op1_packing, op3_pii, op4_near_dedup, op5_quality_rules, op7_secret_scan, op9_language_id, op10_source_mixing)}
 
 #: DuckDB twins of the queries that SQL can express.
 ORACLE: dict[str, str] = {"op10_source_mixing": mixing.ORACLE}
