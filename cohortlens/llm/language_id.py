@@ -288,11 +288,9 @@ def label(docs: DataFrame, model: Model | None, keep: list[str] | None = None,
     columns whose name ``docs`` has get underscores in front.
     """
     keep = docs.columns if keep is None else keep
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep))
+    rows = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])))
     names = fresh(rows, "lang_pred", "score", "cross_entropy", "rejected")
-    (text,) = fresh(rows, "text_in")
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col("text").cast("string"), F.lit("")).alias(text))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,13 +299,13 @@ def label(docs: DataFrame, model: Model | None, keep: list[str] | None = None,
         else:
             scorer = _scorer(shared.value)
             languages = np.array(scorer.model.languages, dtype=object)
-        for part in slices(batches, text):
+        for part in slices(batches):
             kept = [part.column(c) for c in keep]
             if scorer is None:
                 n = part.num_rows
                 out = [[UNKNOWN] * n, [0.0] * n, [None] * n, [True] * n]
             else:
-                bits, n = scorer(part.column(text))
+                bits, n = scorer(pc.fill_null(part.column("text").cast(pa.string()), ""))
                 best = bits.argmin(axis=1)
                 low = bits.min(axis=1)
                 gap = (bits - low[:, None]) * np.minimum(n, 50)[:, None]

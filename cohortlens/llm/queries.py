@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import language_id, mixing, near_dedup, packing, pii, quality_rules, secret_scan
+from cohortlens.llm import (
+    fingerprints, language_id, license_scan, mixing, near_dedup, packing, pii, quality_rules, secret_scan, toxicity,
+)
 from cohortlens.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +20,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document, learned from a bounded sample of the labelled ones."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return toxicity.grade(documents(spark, sf_dir), labels)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data, and the terms that disclose it, in every document."""
     return pii.digest(pii.protect(documents(spark, sf_dir)))
@@ -35,11 +43,21 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "failed_rules", F.array_join("failed_rules", ","))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named in every document."""
+    return license_scan.digest(license_scan.scan(documents(spark, sf_dir)))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secret_scan.digest(secret_scan.scan(documents(spark, sf_dir)))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.fingerprint(documents(spark, sf_dir))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
     docs = documents(spark, sf_dir)
@@ -53,7 +71,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_packing, op3_pii, op4_near_dedup, op5_quality_rules, op7_secret_scan, op9_language_id, op10_source_mixing)}
+    op1_packing, op2_toxicity, op3_pii, op4_near_dedup, op5_quality_rules, op6_license_scan, op7_secret_scan,
+    op8_fingerprints, op9_language_id, op10_source_mixing)}
 
 #: DuckDB twins of the queries that SQL can express.
 ORACLE: dict[str, str] = {"op10_source_mixing": mixing.ORACLE}
