@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import WordMemory, grown, map_batches, slices, stage
+from cohortlens.llm.common import WordMemory, fresh, grown, map_batches, slices, stage
 
 SHINGLE = 5
 THRESHOLD = (75, 100)
@@ -246,7 +246,8 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, miss: float = MISS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per document: doc_id, n_shingles, component_id, kept, and node, the key of its
+    shingle set (null if that is empty).
 
     ``component_id`` is the smallest doc_id reachable over links of similarity
     0.75 or more, and ``kept`` marks the documents that carry it.  A text without
@@ -282,11 +283,39 @@ def components(docs: DataFrame, miss: float = MISS) -> DataFrame:
         "node", F.coalesce("c", "first_id").alias("component_id")), "near-components")
     with_words = rows.filter("node is not null").select("doc_id", "n_shingles", "node").join(by_node, "node")
     without = rows.filter("node is null").withColumn("component_id", F.col("doc_id"))
-    out = ["doc_id", "n_shingles", "component_id"]
+    out = ["doc_id", "n_shingles", "component_id", "node"]
     return with_words.select(*out).union(without.select(*out)).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def unique(docs: DataFrame, miss: float = MISS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: one of each component.
+
+    Rows that repeat a doc_id are told apart by their shingle sets; of rows equal
+    in both the first by text stays.  Texts without words all stay.  Only the ids
+    of dropped and repeated documents are joined with the texts.
+    """
+    found = stage(components(docs, miss), "near-found")
+    special = stage(found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("stays"))
+                    .filter("rows > 1 or not stays").withColumnRenamed("doc_id", "special"), "near-special")
+    same = F.col("doc_id").eqNullSafe(F.col("special"))
+    plain = docs.join(special.select("special"), same, "left_anti")
+    again = docs.join(special.filter("stays").select("special"), same, "left_semi")
+    node, place, mine, key = fresh(docs, "node", "place", "mine", "key")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            yield part.append_column(node, pa.array(map(_key, shingle_sets(part.column("text"))), pa.binary()))
+
+    keyed = map_batches(again, run, f"{fields}, `{node}` binary")
+    verdict = found.filter("kept").select(F.col("doc_id").alias(mine), F.col("node").alias(key)).distinct()
+    keyed = keyed.join(verdict, F.col("doc_id").eqNullSafe(F.col(mine)) & F.col(node).eqNullSafe(F.col(key)), "left_semi")
+    first = Window.partitionBy("doc_id", node).orderBy("text")
+    keyed = keyed.withColumn(place, F.when(F.col(node).isNull(), 1).otherwise(F.row_number().over(first))).filter(F.col(place) == 1)
+    return plain.unionByName(keyed.select(*docs.columns))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The full shingle sets (node, shingles) of the wanted nodes, from their first documents."""
 

@@ -33,7 +33,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
-    return near_dedup.components(documents(spark, sf_dir).select("doc_id", "text"))
+    return near_dedup.components(documents(spark, sf_dir).select("doc_id", "text")).drop("node")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
