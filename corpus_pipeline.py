@@ -8,9 +8,31 @@ return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortlens.llm import packing
-from cohortlens.llm.common import documents, stage
+from cohortlens.llm import language_id, mixing, near_dedup, packing, secret_scan
+from cohortlens.llm.common import documents, fresh, stage
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID (operator 9): documents that no learned language accepts go."""
+    (rejected,) = fresh(docs, "rejected")
+    return language_id.identify(docs).filter(~F.col(rejected)).select(*docs.columns)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup (operator 4): one document of each group stays."""
+    return near_dedup.unique(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scans (operator 7): all documents stay, their secrets are replaced."""
+    return secret_scan.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing (operator 10): sources are repeated or thinned to their targets."""
+    return mixing.mixed(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +40,10 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("packing", packed)]
+STAGES = [("language_id", known_language), ("near_dedup", deduplicated), ("secret_scan", without_secrets),
+          ("mixing", mixed), ("packing", packed)]
 
-#: Tokenizer ids have no SQL form.
+#: Language models, signatures and tokenizer ids have no SQL form.
 ORACLE_SQL = None
 
 
