@@ -85,12 +85,13 @@ def pct_of_total(df: DataFrame, col: str, digits: int = 2, name: str = "Count",
                  pct_name: str = "Percent") -> DataFrame:
     """Share of each category, ``round(n/total*100, digits)``; total at least 1.
 
-    Nulls are dropped first.  The total is a window over the aggregated
-    categories (one row each), so no data row is gathered in one task.
+    Nulls are dropped first.  The total is the sum of the counts, one row that
+    is broadcast to the categories; no task holds them all.
     """
-    cnt = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias(name))
-    total = F.greatest(F.sum(F.col(name)).over(Window.partitionBy()), F.lit(1))
-    return cnt.withColumn(pct_name, round_even(F.col(name) / total * F.lit(100.0), digits))
+    cnt = keep(df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias(name)))
+    total = cnt.agg(F.sum(name).alias("__total"))
+    share = F.col(name) / F.greatest(F.col("__total"), F.lit(1)) * F.lit(100.0)
+    return cnt.join(F.broadcast(total)).withColumn(pct_name, round_even(share, digits)).drop("__total")
 
 
 def crosstab(df: DataFrame, rows: str, cols: str,
@@ -99,13 +100,13 @@ def crosstab(df: DataFrame, rows: str, cols: str,
     """A10: counts of each column level per row key; an empty cell is null.
 
     One aggregate with conditional sums (no second pivot shuffle); rows with
-    a column value outside ``col_levels`` (or null) are not counted (D4, D14).
+    a column value outside ``col_levels`` (or null) are not counted (D4, D14),
+    but a row key that has only such rows keeps its row.
     """
     names = names or {lv: str(lv) for lv in col_levels}
     c = F.col(cols)
     aggs = [F.sum(F.when(c == F.lit(lv), F.lit(1))).alias(names[lv]) for lv in col_levels]
-    return (df.filter(c.isin(list(col_levels)))
-              .groupBy(rows).agg(*aggs))
+    return df.groupBy(rows).agg(*aggs)
 
 
 def crosstab_counts(df: DataFrame, rows: str, cols: str, col_levels: Sequence,
@@ -135,42 +136,20 @@ def gender_pivot(df: DataFrame, band_col: str = "BMI_Index", gender: str = "gend
     return with_proportions(piv).orderBy(band_col)
 
 
-# Most column levels a dense contingency table is built for; the levels are
-# gathered on the driver to expand each row over them.
-MAX_DENSE_LEVELS = 10_000
-
-
 def cell_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     """Present cells ``(a, b, n)`` of the contingency table (nulls left out)."""
     return (df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
               .groupBy(a, b).agg(F.count(F.lit(1)).alias("n")))
 
 
-def column_levels(cells: DataFrame, b: str, limit: int | None = None) -> list | None:
-    """Sorted distinct values of ``b``, or None when there are more than
-    ``limit`` (default ``MAX_DENSE_LEVELS``); at most limit + 1 are gathered."""
-    limit = MAX_DENSE_LEVELS if limit is None else limit
-    found = [r[0] for r in cells.select(b).distinct().limit(limit + 1).collect()]
-    return None if len(found) > limit else sorted(found)
-
-
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """Dense long-form count table ``(a, b, n)``; absent cells have n = 0.
 
-    Null keys are left out.  The cell counts come from one aggregate; the
-    levels of ``b`` (at most ``MAX_DENSE_LEVELS``, gathered once) are
-    expanded for every row level with ``explode`` of a literal array, so the
-    dense grid is built from the aggregated cells only.
+    Null keys are left out.  The grid pairs the two level tables, as its output
+    demands, and is joined with the cell counts; nothing is gathered.
     """
     cells = keep(cell_counts(df, a, b))
-    b_levels = column_levels(cells, b)
-    if b_levels is None:
-        raise ValueError(f"{b} has more than {MAX_DENSE_LEVELS} levels: a dense table would be "
-                         "too large; use cell_counts (the chi-square test does)")
-    if not b_levels:
-        return cells.select(a, b, F.col("n"))
-    grid = (cells.select(a).distinct()
-                 .select(a, F.explode(F.array(*[F.lit(v) for v in b_levels])).alias(b)))
+    grid = cells.select(a).distinct().crossJoin(cells.select(b).distinct())
     return (grid.join(cells, [a, b], "left")
                 .select(a, b, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
 

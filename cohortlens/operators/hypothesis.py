@@ -1,18 +1,18 @@
 """Pearson chi-square test of independence.
 
-The statistic is summed over the *dense* contingency table (A12): an absent
-cell still has an expected count, so densification is part of the test.
-The table has one row per cell (levels x levels), never one per person.
-Tables wider than ``MAX_DENSE_LEVELS`` column levels use the exact sparse
-form ``N * sum(o^2 / (r c)) - N`` over the present cells instead.
+The statistic is summed over the present cells of the contingency table; the
+absent ones, whose whole expected count counts, enter as what the present
+cells' expected counts leave of the total.  Margins are aggregates of the
+cells, and all products are taken in double precision, so neither the counts
+nor the numbers of levels are limited.
 
 p-value = Q(dof/2, stat/2), the regularised upper incomplete gamma:
 
-* even dof: ``sum_{i < dof/2} exp(i ln h - ln i! - h)`` with h = stat/2, a
-  running sum in log space inside Spark SQL (no overflow for large dof);
-* odd dof: the regularised upper incomplete gamma Q(dof/2, stat/2) by its
-  power series (below a + 1) or continued fraction (above), as fixed-length
-  ``aggregate`` loops with ln Gamma of half-integers as a sum of logs.
+* up to ``SERIES_DOF`` degrees of freedom by its power series (below a + 1) or
+  continued fraction (above), with a number of steps that follows sqrt(a) and
+  leaves a relative error below 1e-12;
+* beyond, by the uniform asymptotic expansion in the normal tail, whose first
+  two terms leave an error below 1e-12 there.
 
 No Python runs in the plan.
 """
@@ -21,135 +21,132 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import round_even
 from ..session import keep
-from .aggregate import cell_counts, column_levels, contingency
+from .aggregate import cell_counts
 
-
-def _even_tail(stat: Column, dof: Column) -> Column:
-    h = stat / F.lit(2.0)
-    m = (dof / F.lit(2)).cast("int")
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(m - F.lit(1), F.lit(1))),
-        F.struct((-h).alias("lt"), F.exp(-h).alias("s")),
-        lambda acc, i: F.when(
-            i <= m - F.lit(1),
-            F.struct((acc["lt"] + F.log(h) - F.log(i.cast("double"))).alias("lt"),
-                     (acc["s"] + F.exp(acc["lt"] + F.log(h) - F.log(i.cast("double")))).alias("s")),
-        ).otherwise(acc),
-        lambda acc: acc["s"],
-    )
-    return F.when(stat <= F.lit(0.0), F.lit(1.0)).otherwise(F.least(series, F.lit(1.0)))
+# Beyond this the asymptotic expansion takes over.
+SERIES_DOF = 1_000_000
+_TINY = 1e-300
+# Below this a the gamma function is a product, above it Stirling's series.
+_STIRLING_FROM = 20
+# FIXED VALUES: coefficients of the first two terms of the uniform expansion in
+# powers of eta, valid around eta = 0.
+_C0 = (-1 / 3, 1 / 12, -2 / 135, 1 / 864, 1 / 2835, -139 / 777600, 1 / 25515)
+_C1 = (-1 / 540, -1 / 288, 1 / 378, -77 / 77760)
 
 
 def _ln_gamma_half(k: Column) -> Column:
-    """ln Gamma(k/2) for a positive integer k, as a sum of logs.
-
-    Even k = 2m: ln (m-1)!.  Odd k = 2m+1: ln Gamma(1/2) + sum ln(j - 1/2).
-    """
-    m = F.floor(k / F.lit(2)).cast("int")
-    seq = F.sequence(F.lit(1), F.greatest(m, F.lit(1)))
-    even = F.aggregate(seq, F.lit(0.0), lambda acc, j: acc + F.when(
-        j <= m - F.lit(1), F.log(j.cast("double"))).otherwise(F.lit(0.0)))
-    odd = F.aggregate(seq, F.lit(0.5 * math.log(math.pi)), lambda acc, j: acc + F.when(
-        j <= m, F.log(j.cast("double") - F.lit(0.5))).otherwise(F.lit(0.0)))
-    return F.when(k % 2 == 0, even).otherwise(odd)
+    """ln Gamma(k/2) for a positive integer k, as a sum of at most ``_STIRLING_FROM`` logs."""
+    half = k.cast("double") / 2
+    first = F.when(k % 2 == 0, F.lit(1.0)).otherwise(F.lit(0.5))
+    start = F.when(k % 2 == 0, F.lit(0.0)).otherwise(F.lit(0.5 * math.log(math.pi)))
+    steps = F.sequence(F.lit(0), F.lit(_STIRLING_FROM))
+    return start + F.aggregate(steps, F.lit(0.0), lambda acc, j: acc + F.when(
+        first + j < half, F.log(first + j)).otherwise(0.0))
 
 
-_STEPS = 400          # fixed loop length of the series and the continued fraction
-_TINY = 1e-300
-
+def _density(k: Column, a: Column, x: Column) -> Column:
+    """``x^a exp(-x) / Gamma(a + 1)`` without cancellation for large ``a = k/2``."""
+    mu = (x - a) / a
+    stirling = 1 / (12 * a) - 1 / (360 * a * a * a) + 1 / (1260 * F.pow(a, F.lit(5.0))) - 1 / (1680 * F.pow(a, F.lit(7.0)))
+    large = F.exp(-a * (mu - F.log1p(mu)) - stirling) / F.sqrt(2 * math.pi * a)
+    small = F.exp(-x + a * F.log(x) - _ln_gamma_half(k) - F.log(a))
+    return F.when(a >= _STIRLING_FROM, large).otherwise(small)
 
-def _gamma_q(k: Column, stat: Column) -> Column:
-    """Q(k/2, stat/2), the regularised upper incomplete gamma function.
 
-    Below ``a + 1`` the power series of P (then ``Q = 1 - P``); above it the
-    continued fraction of Q (modified Lentz), each as a fixed-length
-    ``aggregate`` loop, so the whole computation stays in Spark SQL.
-    """
-    a = k.cast("double") / F.lit(2.0)
-    x = stat / F.lit(2.0)
-    ln_ga = _ln_gamma_half(k)
-    seq = F.sequence(F.lit(1), F.lit(_STEPS))
+def _gamma_q(k: Column, x: Column) -> Column:
+    """Q(k/2, x) by power series or continued fraction (modified Lentz)."""
+    a = k.cast("double") / 2
+    steps = F.sequence(F.lit(1), F.when(k <= SERIES_DOF, 200 + F.ceil(20 * F.sqrt(a))).otherwise(1).cast("int"))
 
     def series_step(st, n):
         t = st["t"] * x / (a + n.cast("double"))
         return F.struct(t.alias("t"), (st["s"] + t).alias("s"))
 
-    series = F.aggregate(seq, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
+    series = F.aggregate(steps, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
                          series_step, lambda st: st["s"])
-    p_lower = F.exp(-x + a * F.log(x) - (ln_ga + F.log(a))) * series
 
-    def cf_step(st, i):
+    def fraction_step(st, i):
         fi = i.cast("double")
         an = -fi * (fi - a)
-        b = st["b"] + F.lit(2.0)
+        b = st["b"] + 2.0
         d = an * st["d"] + b
-        d = F.when(F.abs(d) < F.lit(_TINY), F.lit(_TINY)).otherwise(d)
+        d = F.when(F.abs(d) < _TINY, F.lit(_TINY)).otherwise(d)
         c = b + an / st["c"]
-        c = F.when(F.abs(c) < F.lit(_TINY), F.lit(_TINY)).otherwise(c)
-        d = F.lit(1.0) / d
+        c = F.when(F.abs(c) < _TINY, F.lit(_TINY)).otherwise(c)
+        d = 1.0 / d
         return F.struct(b.alias("b"), c.alias("c"), d.alias("d"), (st["h"] * d * c).alias("h"))
 
-    b0 = x + F.lit(1.0) - a
-    init = F.struct(b0.alias("b"), F.lit(1.0 / _TINY).alias("c"), (F.lit(1.0) / b0).alias("d"),
-                    (F.lit(1.0) / b0).alias("h"))
-    cf = F.aggregate(seq, init, cf_step, lambda st: st["h"])
-    q_upper = F.exp(-x + a * F.log(x) - ln_ga) * cf
-    q = F.when(x < a + F.lit(1.0), F.lit(1.0) - p_lower).otherwise(q_upper)
-    return F.when(stat <= F.lit(0.0), F.lit(1.0)).otherwise(F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0)))
+    b0 = x + 1.0 - a
+    init = F.struct(b0.alias("b"), F.lit(1.0 / _TINY).alias("c"), (1.0 / b0).alias("d"), (1.0 / b0).alias("h"))
+    fraction = F.when(x < a + 1.0, F.lit(0.0)).otherwise(F.aggregate(steps, init, fraction_step, lambda st: st["h"]))
+    density = _density(k, a, x)
+    return F.when(x < a + 1.0, 1.0 - density * series).otherwise(density * a * fraction)
+
+
+def _gamma_q_large(k: Column, x: Column) -> Column:
+    """Q(k/2, x) for large k: half the complementary error function and a correction."""
+    a = k.cast("double") / 2
+    mu = (x - a) / a
+    eta = F.signum(mu) * F.sqrt(F.greatest(2 * (mu - F.log1p(mu)), F.lit(0.0)))
+    z2 = a * eta * eta / 2
+    erfc = F.when(z2 <= 0, F.lit(1.0)).when(z2 > 700, F.lit(0.0)).otherwise(_gamma_q(F.lit(1), F.when(z2 > 0, z2).otherwise(1.0)))
+    tail = F.when(eta < 0, 1 - erfc / 2).otherwise(erfc / 2)
+
+    def poly(coefficients):
+        out = F.lit(coefficients[-1])
+        for c in reversed(coefficients[:-1]):
+            out = out * eta + c
+        return out
+
+    rest = F.exp(-F.least(z2, F.lit(745.0))) / F.sqrt(2 * math.pi * a) * (poly(_C0) + poly(_C1) / a)
+    return F.when(z2 > 700, F.when(eta < 0, F.lit(1.0)).otherwise(0.0)).otherwise(tail + rest)
 
 
 def chi_square_pvalue(stat: Column, dof: Column) -> Column:
-    """Upper-tail probability of the chi-square distribution (JVM-side only)."""
-    return F.when(dof % 2 == 0, _even_tail(stat, dof)).otherwise(_gamma_q(dof, stat))
+    """Upper-tail probability of the chi-square distribution (JVM-side only), any dof.
+
+    1 for a statistic of 0 or less, and for dof 0, where there is nothing to test.
+    """
+    k = dof.cast("bigint")
+    x = F.when(stat > 0, stat / 2).otherwise(F.lit(1.0))
+    q = F.when(k <= SERIES_DOF, _gamma_q(k, x)).otherwise(_gamma_q_large(k, x))
+    return F.when((stat <= 0) | (k <= 0), F.lit(1.0)).otherwise(
+        F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0)))
 
 
 def chi_square_from_cells(cells: DataFrame, a: str, b: str, n: str = "n") -> DataFrame:
-    """Statistic, dof and p-value from a dense ``(a, b, n)`` table (one row)."""
-    r = F.sum(F.col(n)).over(Window.partitionBy(a))
-    c = F.sum(F.col(n)).over(Window.partitionBy(b))
-    t = F.sum(F.col(n)).over(Window.partitionBy())
-    e = cells.select(a, b, F.col(n).cast("double").alias("o"), (r * c / t).alias("e"))
-    agg = e.agg(
-        F.sum((F.col("o") - F.col("e")) * (F.col("o") - F.col("e")) / F.col("e")).alias("statistic"),
-        ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).cast("int").alias("dof"),
-        F.sum("o").cast("long").alias("n"))
-    return agg.withColumn("p_value", chi_square_pvalue(F.col("statistic"), F.col("dof")))
-
-
-def chi_square_sparse(cells: DataFrame, a: str, b: str, n: str = "n") -> DataFrame:
-    """Statistic from the present cells only: ``N * sum(o^2 / (r c)) - N``.
-
-    Exact (an absent cell adds nothing to ``sum(o^2/e)``), for tables too wide
-    to densify; margins come from windows over the present cells.
+    """Statistic, dof and p-value from ``(a, b, n)`` cells, dense or present ones only (one row).
+
+    Margins are aggregates joined back to the cells, so no task holds a level's
+    cells, and the total is the sum of a margin.  A row or column that is all
+    zero does not count as a level.
     """
-    r = F.sum(F.col(n)).over(Window.partitionBy(a))
-    c = F.sum(F.col(n)).over(Window.partitionBy(b))
-    e = cells.select(a, b, F.col(n).cast("double").alias("o"), r.alias("r"), c.alias("c"))
-    agg = e.agg(
-        F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("__s"),
-        ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).cast("int").alias("dof"),
-        F.sum("o").cast("long").alias("n"))
-    agg = agg.select((F.col("n") * F.col("__s") - F.col("n")).alias("statistic"), "dof", "n")
-    return agg.withColumn("p_value", chi_square_pvalue(F.col("statistic"), F.col("dof")))
+    cells = cells.filter(F.col(n) > 0).select(F.col(a).alias("__a"), F.col(b).alias("__b"), F.col(n).cast("double").alias("o"))
+    rows = keep(cells.groupBy("__a").agg(F.sum("o").alias("r")))
+    columns = cells.groupBy("__b").agg(F.sum("o").alias("c"))
+    width = columns.agg(F.count(F.lit(1)).alias("levels_b"))
+    size = rows.agg(F.count(F.lit(1)).alias("levels_a"), F.sum("r").alias("total")).join(F.broadcast(width))
+    e = F.col("r") * F.col("c") / F.col("total")
+    present = (cells.join(rows, "__a").join(columns, "__b").join(F.broadcast(size)))  # one row
+    agg = present.agg(
+        F.sum((F.col("o") - e) * (F.col("o") - e) / e).alias("__s"), F.sum(e).alias("__e"), F.sum("o").alias("__n"),
+        F.count(F.lit(1)).alias("__cells"), F.max("levels_a").alias("__la"), F.max("levels_b").alias("__lb"))
+    absent = F.when(F.col("__cells") < F.col("__la") * F.col("__lb"), F.col("__n") - F.col("__e")).otherwise(0.0)
+    return agg.select((F.col("__s") + absent).alias("statistic"),
+                      ((F.col("__la") - 1) * (F.col("__lb") - 1)).cast("bigint").alias("dof"),
+                      F.coalesce("__n", F.lit(0.0)).cast("bigint").alias("n")).withColumn(
+        "p_value", chi_square_pvalue(F.col("statistic"), F.col("dof")))
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Pearson test of independence of ``a`` and ``b`` (nulls left out).
-
-    Summed over the dense table as usual; when ``b`` has more than
-    ``MAX_DENSE_LEVELS`` levels, over the present cells with the exact
-    sparse form instead.
-    """
-    cells = keep(cell_counts(df, a, b))
-    if column_levels(cells, b) is None:
-        return chi_square_sparse(cells, a, b)
-    return chi_square_from_cells(contingency(df, a, b), a, b)
+    """Pearson test of independence of ``a`` and ``b`` (nulls left out)."""
+    return chi_square_from_cells(keep(cell_counts(df, a, b)), a, b)
 
 
 def verdict(result: DataFrame, texts=S.VERDICT_GENDER_BAND, alpha: float = S.ALPHA) -> DataFrame:

@@ -137,7 +137,7 @@ _GENDER_COUNTS = """
 SELECT BMI_Index,
        CAST(SUM(CASE WHEN gender = 'female' THEN 1 END) AS BIGINT) AS Female_Count,
        CAST(SUM(CASE WHEN gender = 'male' THEN 1 END) AS BIGINT) AS Male_Count
-FROM x WHERE gender IN ('female', 'male') GROUP BY BMI_Index"""
+FROM x GROUP BY BMI_Index"""
 
 _GENDER_PROPS = f"""
 SELECT *, Female_Count / (Female_Count + Male_Count) AS Female_Proportion,
@@ -196,7 +196,7 @@ res AS (SELECT {_q(name)} AS test, {_re('statistic', 6)} AS statistic, dof, n,
 _NORM = repr(1.0 / math.sqrt(2 * math.pi))
 
 
-def _density(grid: int = 64, bins: int = 512) -> str:
+def _density(grid: int = 64) -> str:
     k, div, span = D(S.KDE_BW_FACTOR), D(S.KDE_IQR_DIVISOR), D(S.KDE_SPAN)
     return f"""
 d AS (SELECT gender, BMI AS v FROM x WHERE gender IN ('female', 'male') AND BMI IS NOT NULL),
@@ -208,24 +208,19 @@ pr AS (SELECT gender, n, lo, hi,
               CASE WHEN {k} * spread * pow(CAST(n AS DOUBLE), {D(-0.2)}) > 0
                    THEN {k} * spread * pow(CAST(n AS DOUBLE), {D(-0.2)}) ELSE {D(1)} END AS bw
        FROM pr0),
-bn AS (SELECT d.gender, pr.lo, pr.hi, pr.bw, pr.n,
-              CAST(LEAST(floor((d.v - pr.lo) / CASE WHEN (pr.hi - pr.lo) / {D(bins)} > 0
-                                                   THEN (pr.hi - pr.lo) / {D(bins)} ELSE {D(1)} END),
-                         {bins - 1}) AS INTEGER) AS bin, COUNT(*) AS c
-       FROM d JOIN pr ON d.gender = pr.gender GROUP BY ALL),
-ex AS (SELECT gender, bw, n, c, g.g,
-              lo + (bin + {D(0.5)}) * ((hi - lo) / {D(bins)}) AS centre,
-              lo - {span} * bw AS glo,
-              ((hi + {span} * bw) - (lo - {span} * bw)) / {D(max(grid - 1, 1))} AS step
-       FROM bn, (SELECT range AS g FROM range(0, {grid})) g)
+vc AS (SELECT gender, v, COUNT(*) AS c FROM d GROUP BY ALL),
+ex AS (SELECT pr.gender, bw, n, g.g, v, c,
+              (lo - {span} * bw) + g.g * (((hi + {span} * bw) - (lo - {span} * bw)) / {D(max(grid - 1, 1))}) AS gx
+       FROM pr JOIN vc ON vc.gender = pr.gender, (SELECT range AS g FROM range(0, {grid})) g)
 """
 
 
 def _density_body() -> str:
-    z = "((glo + g * step) - centre) / bw"
+    """The exact kernel sum over all distinct values."""
+    z = "(gx - v) / bw"
     return f"""
-SELECT gender, CAST(g AS INTEGER) AS point, {_re('FIRST(glo + g * step)', 9)} AS x,
-       {_re(f'SUM(c * exp({D(-0.5)} * ({z}) * ({z}))) * {_NORM} / (FIRST(n) * FIRST(bw))', 12)}
+SELECT gender, CAST(g AS INTEGER) AS point, {_re('FIRST(gx)', 9)} AS x,
+       {_re(f'SUM(c * exp({D(-0.5)} * ({z}) * ({z}))) * {_NORM} / (FIRST(n) * FIRST(bw))', 5)}
          AS density
 FROM ex GROUP BY gender, g"""
 

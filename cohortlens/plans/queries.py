@@ -346,9 +346,9 @@ def box_outliers_q(spark, sf):
 
 def violin_by_gender_q(spark, sf):
     x = V.population(spark, sf).filter(F.col("gender").isin(list(S.GENDER_LEVELS)))
-    d = Q.density(x, "BMI", ["gender"], grid=64, bins=512)
+    d = Q.density(x, "BMI", ["gender"], grid=64)
     return d.select("gender", "point", round_even("x", 9).alias("x"),
-                    round_even("density", 12).alias("density"))
+                    round_even("density", 5).alias("density"))
 
 
 def scatter_gender_q(spark, sf):
@@ -416,13 +416,13 @@ def _log_source(spark, sf) -> tuple[str, DataFrame]:
     lg = V.log(spark, sf)
     first = F.col("timestamp") < F.lit("2024-01-04").cast("timestamp_ntz")
     lg.filter(first).write.parquet(os.path.join(src, "part=0"))
-    lg.filter(~first).write.parquet(os.path.join(src, "part=1"))
+    lg.filter(~F.coalesce(first, F.lit(False))).write.parquet(os.path.join(src, "part=1"))
     return src, lg
 
 
 def _stream_src(spark, src, schema):
     return (spark.readStream.schema(schema).option("recursiveFileLookup", True)
-            .parquet(src))
+            .option("maxFilesPerTrigger", 1).parquet(src))
 
 
 def stream_score_q(spark, sf):
@@ -436,9 +436,9 @@ def stream_score_q(spark, sf):
 def stream_percentile_q(spark, sf):
     src, lg = _log_source(spark, sf)
     out, ck = scratch_path(spark, "w2-out"), scratch_path(spark, "w2-ck")
-    table_df, edges = W.percentile_table(V.population(spark, sf), "BMI")
+    snapshot = W.percentile_snapshot(V.population(spark, sf), "BMI")
     scored = W.score_submissions(_stream_src(spark, src, lg.schema))
-    q = W.start_percentile(scored, table_df, edges, out, ck)
+    q = W.start_percentile(scored, snapshot, out, ck)
     q.awaitTermination()
     return spark.read.parquet(out).select("user_id", "event_id", "bmi", "percentile", "below", "above")
 

@@ -9,19 +9,17 @@ restarted query resumes where it stopped (exactly-once file sinks).
 
 from __future__ import annotations
 
-import math
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schema as S
-from ..session import keep
 from ..functions import band_label, bmi, bmi_index
 from ..operators.clean import valid_submission_condition
-from ..operators.distribution import bucket_edges, bucketize, value_counts
+from ..operators.distribution import bucket_edges, bucketize, cumulative, default_buckets
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
@@ -56,100 +54,46 @@ def start_score(sub: DataFrame, out: str, checkpoint: str, available_now: bool =
     return w.start()
 
 
-# Target length of the per-bucket arrays of the static percentile table, and
-# the most buckets its edges are computed for.
-VALUES_PER_BUCKET = 256
-MAX_TABLE_BUCKETS = 65536
+def percentile_snapshot(pop: DataFrame, col: str, n_buckets: int | None = None) -> DataFrame:
+    """W2 static side: ``(value, n, cum, total, as_of)``, one row per distinct population value.
 
-
-def percentile_table(pop: DataFrame, col: str, n_buckets: int | None = None) -> tuple[DataFrame, list[float]]:
-    """W2 static side: one row per bucket of the population's sorted values.
-
-    Row ``(bucket, offset, N, vals, ns, cums, as_of)``: sorted distinct
-    values of the bucket, their counts and in-bucket running counts, and the
-    time the snapshot was taken (write the table once, then stream against
-    it: ranks are as of that time).  Every bucket id
-    from 0 to len(edges)+1 is present (empty ones too), so any probe finds
-    its bucket.  Edges are quantiles of the distinct values and the bucket
-    count is distinct/256 (at most 65,536), so each array holds about 256
-    entries: the arrays travel with every probe row of the join.
+    ``as_of`` is the time the snapshot was taken: write the table once, then
+    stream against it, and ranks are as of that time.
     """
-    spark = pop.sparkSession
-    vc = keep(value_counts(pop, col))
-    if n_buckets is None:
-        # every probe row carries its bucket's arrays: keep them short
-        n_distinct = vc.count()
-        nb = max(1, min(MAX_TABLE_BUCKETS, math.ceil(n_distinct / VALUES_PER_BUCKET)))
-    else:
-        nb = n_buckets
-    edges = bucket_edges(vc, nb)
-    b = bucketize(vc, "value", edges)
-    w_in = (Window.partitionBy("bucket").orderBy("value")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    per = (b.withColumn("c", F.sum("n").over(w_in))
-             .groupBy("bucket")
-             .agg(F.array_sort(F.collect_list(F.struct("value", "n", "c"))).alias("vnc"),
-                  F.sum("n").alias("bucket_n"))
-             .select("bucket", "bucket_n", F.col("vnc.value").alias("vals"),
-                     F.col("vnc.n").alias("ns"), F.col("vnc.c").alias("cums")))
-    ids = spark.range(0, len(edges) + 2).select(F.col("id").cast("int").alias("bucket"))
-    full = ids.join(per, "bucket", "left").withColumn("bucket_n", F.coalesce("bucket_n", F.lit(0).cast("long")))
-    w_before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    table = full.select(
-        "bucket",
-        F.coalesce(F.sum("bucket_n").over(w_before), F.lit(0).cast("long")).alias("offset"),
-        F.sum("bucket_n").over(Window.partitionBy()).alias("N"),
-        F.coalesce("vals", F.array().cast("array<double>")).alias("vals"),
-        F.coalesce("ns", F.array().cast("array<bigint>")).alias("ns"),
-        F.coalesce("cums", F.array().cast("array<bigint>")).alias("cums"),
-        F.current_timestamp().alias("as_of"))
-    return table, edges
-
-
-# Static percentile tables with up to this many distinct values are broadcast
-# to the stream (about 24 bytes per value); larger ones are joined by bucket.
-MAX_BROADCAST_VALUES = 2_000_000
-
-
-def count_not_above(arr: str, value: Column) -> Column:
-    """Number of elements <= ``value`` in a sorted array: binary search.
-
-    32 halving steps inside ``aggregate`` cover any array length, so a probe
-    costs O(log n) whatever the bucket size.
-    """
-    size = F.size(arr)
-
-    def step(s, _i):
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        go_right = F.element_at(arr, mid + 1) <= value
-        moved = F.when(go_right, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))) \
-                 .otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi")))
-        return F.when(s["lo"] < s["hi"], moved).otherwise(s)
+    return cumulative(pop, col, n_buckets=n_buckets).withColumn("as_of", F.current_timestamp())
 
-    init = F.struct(F.lit(0).alias("lo"), size.alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), init, step, lambda s: s["lo"])
 
+def rank_against(probes: DataFrame, probe_col: str, snapshot: DataFrame,
+                 n_buckets: int | None = None) -> DataFrame:
+    """W2 body: percentile (<=), below (<) and above of each probe row of a batch, with ``as_of``.
 
-def rank_against(probes: DataFrame, probe_col: str, table: DataFrame, edges: list[float],
-                 broadcast: bool = True) -> DataFrame:
-    """Percentile (<=), below (<) and above of each probe row, with the
-    population snapshot time ``as_of``.
-
-    Stream-static equi-join on the probe's bucket; inside the row, ``k`` =
-    number of bucket values <= probe, found by binary search.
+    Snapshot values and distinct probes are dealt into buckets whose edges are
+    snapshot values, so the last value up to a probe lies in the probe's bucket;
+    a window over each bucket carries it to the probe.  No arrays travel with the
+    rows, and no task holds more than a bucket.  Null probes get null ranks.
     """
-    p = bucketize(probes.withColumn("__pv", F.col(probe_col).cast("double")), "__pv", edges, "__bucket")
-    t = table.withColumnRenamed("bucket", "__bucket")
-    j = p.join(F.broadcast(t) if broadcast else t, "__bucket", "left")
-    k = count_not_above("vals", F.col("__pv"))
-    le_in = F.when(k > 0, F.element_at("cums", k)).otherwise(F.lit(0).cast("long"))
-    eq = F.when((k > 0) & (F.element_at("vals", k) == F.col("__pv")), F.element_at("ns", k)) \
-          .otherwise(F.lit(0).cast("long"))
-    le = F.col("offset") + le_in
-    return (j.withColumn("percentile", F.lit(100.0) * (le / F.col("N")))
-             .withColumn("below", F.lit(100.0) * ((le - eq) / F.col("N")))
-             .withColumn("above", F.lit(100.0) - F.col("below"))
-             .drop("__pv", "__bucket", "offset", "N", "vals", "ns", "cums"))
+    nb = n_buckets or default_buckets(probes.sparkSession)
+    probe = F.col(probe_col).cast("double")
+    edges = bucket_edges(snapshot, nb)
+    asked = probes.select(probe.alias("value")).filter(F.col("value").isNotNull()).distinct()
+    nothing = F.lit(None).cast("bigint")
+    both = snapshot.select("value", F.lit(0).alias("kind"), "cum", "n").unionByName(
+        asked.select("value", F.lit(1).alias("kind"), nothing.alias("cum"), nothing.alias("n")))
+    upto = (Window.partitionBy("bucket").orderBy("value", "kind")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = F.last(F.when(F.col("kind") == 0, F.struct("value", "cum", "n")), ignorenulls=True).over(upto)
+    steps = bucketize(both, "value", edges, nb).withColumn("last", last).filter("kind = 1").select(
+        F.col("value").alias("__v"), F.coalesce("last.cum", F.lit(0)).alias("__le"),
+        F.when(F.col("last.value") == F.col("value"), F.col("last.n")).otherwise(0).alias("__eq"))
+    size = snapshot.agg(F.max("total").alias("__N"), F.max("as_of").alias("as_of"))
+    le, lt = F.col("__le") / F.col("__N"), (F.col("__le") - F.col("__eq")) / F.col("__N")
+    ranked = (probes.filter(probe.isNotNull()).join(steps, probe == F.col("__v")).join(F.broadcast(size))
+              .withColumn("percentile", F.lit(100.0) * le).withColumn("below", F.lit(100.0) * lt)
+              .withColumn("above", F.lit(100.0) - F.col("below")).drop("__v", "__le", "__eq", "__N"))
+    none = F.lit(None).cast("double")
+    unranked = probes.filter(probe.isNull()).join(F.broadcast(size.drop("__N"))).select(
+        "*", none.alias("percentile"), none.alias("below"), none.alias("above"))
+    return ranked.unionByName(unranked)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -158,23 +102,27 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def start_percentile(sub: DataFrame, table: DataFrame, edges: list[float], out: str,
-                     checkpoint: str, probe_col: str = "bmi") -> StreamingQuery:
-    """Stream each scored submission's rank in the population (append).
+def start_percentile(sub: DataFrame, snapshot: DataFrame, out: str, checkpoint: str,
+                     probe_col: str = "bmi", n_buckets: int | None = None) -> StreamingQuery:
+    """Stream each scored submission's rank in the population.
 
-    The static table is written once into the query's checkpoint folder and
-    read back: a lazy static side would be recomputed for every micro-batch.
-    A restarted query reuses the same snapshot (same ``as_of``).
+    The snapshot is written once into the query's checkpoint folder and read back.
+    A restarted query goes on with it, and needs nothing else of the first run;
+    one whose write did not complete is written anew.  Each micro-batch goes to
+    its own ``batch_id=<n>`` folder with overwrite, so a replayed batch replaces
+    its first attempt.
     """
     spark = sub.sparkSession
     path = os.path.join(checkpoint, "population-snapshot")
-    if not _exists(spark, path):
-        table.write.parquet(path)
+    if not _exists(spark, os.path.join(path, "_SUCCESS")):
+        snapshot.write.mode("overwrite").parquet(path)
     static = spark.read.parquet(path)
-    n_values = static.agg(F.sum(F.size("vals"))).first()[0] or 0
-    ranked = rank_against(sub, probe_col, static, edges, broadcast=n_values <= MAX_BROADCAST_VALUES)
-    return (ranked.writeStream.format("parquet").option("path", out)
-            .option("checkpointLocation", checkpoint).outputMode("append")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        rank_against(batch, probe_col, static, n_buckets).write.mode("overwrite").parquet(
+            os.path.join(out, f"batch_id={batch_id}"))
+
+    return (sub.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 

@@ -30,7 +30,7 @@ def test_crosstab_empty_cell_is_null(spark):
                                "b int, gender string")
     got = {r.b: (r.Female_Count, r.Male_Count) for r in
            A.crosstab(df, "b", "gender", S.GENDER_LEVELS, S.GENDER_PIVOT_NAMES).collect()}
-    assert got == {1: (1, 1), 2: (1, None)}
+    assert got == {1: (1, 1), 2: (1, None), 3: (None, None)}
     prop = {r.b: r.Male_Proportion for r in A.with_proportions(
         A.crosstab(df, "b", "gender", S.GENDER_LEVELS, S.GENDER_PIVOT_NAMES)).collect()}
     assert prop[2] is None

@@ -60,34 +60,64 @@ def test_odd_dof_matches_erfc_form(spark):
         assert math.isclose(p, want, rel_tol=1e-9, abs_tol=1e-300), (s, k, p, want)
 
 
-def test_even_dof_closed_form_against_gamma_q(spark):
-    from cohortlens.operators.hypothesis import _gamma_q
-
-    cases = [(s, k) for k in (2, 4, 16, 40) for s in (0.5, 3.0, 21.0, 80.0)]
-    df = spark.createDataFrame(cases, "s double, k int")
-    rows = df.select(T.chi_square_pvalue(F.col("s"), F.col("k")), _gamma_q(F.col("k"), F.col("s"))).collect()
-    for a, b in rows:
-        assert math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-300)
-
-
-def test_sparse_statistic_equals_dense(spark):
-    from cohortlens.operators.aggregate import cell_counts
-
-    df = f1_people(spark)
-    dense = T.chi_square(df, "gender", "BMI_Index").first()
-    sparse = T.chi_square_sparse(cell_counts(df, "gender", "BMI_Index"), "gender", "BMI_Index").first()
-    assert sparse.dof == dense.dof and sparse.n == dense.n
-    assert math.isclose(sparse.statistic, dense.statistic, rel_tol=1e-9)
-    assert math.isclose(sparse.p_value, dense.p_value, rel_tol=1e-6)
-
-
-def test_wide_table_uses_the_sparse_form(spark, monkeypatch):
-    from cohortlens.operators import aggregate as A
-
-    monkeypatch.setattr(A, "MAX_DENSE_LEVELS", 3)
-    df = f1_people(spark)
-    r = T.chi_square(df, "gender", "BMI_Index").first()        # 5 band levels > 3
-    assert math.isclose(r.statistic, 836.7873820680425, rel_tol=1e-9) and r.dof == 4
-    import pytest
-    with pytest.raises(ValueError):
-        A.contingency(df, "gender", "BMI_Index")
+def exact_tail(stat, dof):
+    """Q(dof/2, stat/2) by its power series with 60 digits."""
+    from decimal import Decimal as D, getcontext
+
+    getcontext().prec = 60
+    a, x = D(dof) / 2, D(str(stat)) / 2
+    pi = D("3.14159265358979323846264338327950288419716939937510582097494")
+    z, shift = a, D(0)
+    while z < 60:
+        shift += z.ln()
+        z += 1
+    bern = [D(1) / 12, -D(1) / 360, D(1) / 1260, -D(1) / 1680, D(1) / 1188, -D(691) / 360360, D(1) / 156]
+    ln_gamma = (z - D("0.5")) * z.ln() - z + (2 * pi).ln() / 2 + sum(b / z ** (2 * i + 1) for i, b in enumerate(bern)) - shift
+    term = total = D(1)
+    n = 0
+    while term > total * D(10) ** -40:
+        n += 1
+        term = term * x / (a + n)
+        total += term
+    return float(1 - (a * x.ln() - x - ln_gamma).exp() / a * total)
+
+
+def test_tail_for_any_dof(spark):
+    cases = [(s, k) for k in (1, 2, 3, 16, 39, 40, 41, 1001) for s in (0.5, 3.0, 21.0, 80.0)]
+    cases += [(float(k + d * (2 * k) ** 0.5), k) for k in (20_001, 200_001, 999_999, 2_000_001, 50_000_000)
+              for d in (-4, -0.5, 0, 1, 5)]
+    df = spark.createDataFrame(cases, "s double, k bigint").withColumn("p", T.chi_square_pvalue(F.col("s"), F.col("k")))
+    for r in df.collect():
+        want = exact_tail(r.s, r.k)
+        assert math.isclose(r.p, want, rel_tol=1e-9, abs_tol=1e-14), (r, want)
+
+
+def test_large_margins_do_not_overflow(spark):
+    n = 5_000_000_000
+    cells = spark.createDataFrame([("f", "x", n), ("f", "y", n + 100_000), ("m", "x", n), ("m", "y", n)],
+                                  "a string, b string, n bigint")
+    r = T.chi_square_from_cells(cells, "a", "b").first()
+    o = [[n, n + 100_000], [n, n]]
+    t = sum(map(sum, o))
+    want = sum((o[i][j] - sum(o[i]) * (o[0][j] + o[1][j]) / t) ** 2 / (sum(o[i]) * (o[0][j] + o[1][j]) / t)
+               for i in (0, 1) for j in (0, 1))
+    assert r.n == t and r.dof == 1 and math.isclose(r.statistic, want, rel_tol=1e-6)
+
+
+def test_absent_cells_count_with_their_expectation(spark):
+    cells = spark.createDataFrame([("f", "x", 3), ("f", "y", 4), ("m", "z", 5)], "a string, b string, n bigint")
+    present = T.chi_square_from_cells(cells, "a", "b").first()
+    dense = spark.createDataFrame([(a, b, n) for a, b, n in (
+        ("f", "x", 3), ("f", "y", 4), ("f", "z", 0), ("m", "x", 0), ("m", "y", 0), ("m", "z", 5))], cells.schema)
+    full = T.chi_square_from_cells(dense, "a", "b").first()
+    assert math.isclose(present.statistic, 12.0, rel_tol=1e-12) and present.dof == full.dof == 2
+    assert math.isclose(full.statistic, 12.0, rel_tol=1e-12)
+
+
+def test_many_levels_need_no_window_and_no_single_task(spark):
+    df = spark.range(0, 2_000_000, 1, 8).select((F.col("id") % 2).alias("b"), F.floor(F.col("id") / 2).alias("a"))
+    out = T.chi_square(df, "a", "b")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    r = out.first()
+    assert r.dof == 999_999 and abs(r.statistic) < 1e-6 and r.n == 2_000_000 and r.p_value == 1.0

@@ -43,10 +43,10 @@ def test_percentile_stream_equals_batch(spark, tmp_dir):
     lg, first = _source(spark, tmp_dir)
     lg.filter(~first).write.parquet(os.path.join(tmp_dir, "src", "b1"))
     pop = views.population(spark, SF)
-    table, edges = W.percentile_table(pop, "BMI", n_buckets=6)
+    table = W.percentile_snapshot(pop, "BMI", n_buckets=6)
     out, ck = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck")
     scored = W.score_submissions(_stream(spark, tmp_dir, lg.schema, max_files=1))
-    W.start_percentile(scored, table, edges, out, ck).awaitTermination()
+    W.start_percentile(scored, table, out, ck).awaitTermination()
     res = spark.read.parquet(out)
     assert res.select("as_of").distinct().count() == 1          # one population snapshot
     got = {r.event_id: (r.percentile, r.below) for r in res.collect()}
@@ -78,21 +78,6 @@ def test_category_counts_stream(spark, tmp_dir):
     assert got.filter(F.col("window_end") > F.lit(mx)).count() == 0
 
 
-def test_binary_search_matches_bisect(spark):
-    import bisect
-    import random
-
-    rnd = random.Random(3)
-    rows = []
-    for n in (0, 1, 2, 5, 100, 1000):
-        arr = sorted(set(round(rnd.uniform(0, 50), 2) for _ in range(n)))
-        for probe in [-1.0, 0.0, 25.0, 50.0, 99.0] + arr[:3] + arr[-2:]:
-            rows.append((arr, float(probe)))
-    df = spark.createDataFrame(rows, "vals array<double>, v double")
-    got = [r[0] for r in df.select(W.count_not_above("vals", F.col("v"))).collect()]
-    assert got == [bisect.bisect_right(a, v) for a, v in rows]
-
-
 def test_category_counts_independent_of_session_zone(spark, tmp_dir):
     import __spark_entry__ as E  # noqa: F401 - registers the package path
 
@@ -148,16 +133,37 @@ def test_latest_sink_replay_is_idempotent(spark, tmp_dir):
 def test_percentile_stream_restart_keeps_its_snapshot(spark, tmp_dir):
     lg, first = _source(spark, tmp_dir)
     pop = views.population(spark, SF)
-    table, edges = W.percentile_table(pop, "BMI", n_buckets=4)
     out, ck = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck")
-    W.start_percentile(W.score_submissions(_stream(spark, tmp_dir, lg.schema)), table, edges,
+    W.start_percentile(W.score_submissions(_stream(spark, tmp_dir, lg.schema)), W.percentile_snapshot(pop, "BMI"),
                        out, ck).awaitTermination()
     lg.filter(~first).write.parquet(os.path.join(tmp_dir, "src", "b1"))
-    table2, _ = W.percentile_table(pop, "BMI", n_buckets=4)   # a newer table is ignored on restart
-    W.start_percentile(W.score_submissions(_stream(spark, tmp_dir, lg.schema)), table2, edges,
+    grown = pop.union(pop.withColumn("BMI", F.col("BMI") + 3))   # ignored on restart
+    W.start_percentile(W.score_submissions(_stream(spark, tmp_dir, lg.schema)), W.percentile_snapshot(grown, "BMI"),
                        out, ck).awaitTermination()
     res = spark.read.parquet(out)
     assert res.count() == lg.count() and res.select("as_of").distinct().count() == 1
+    want = {r.event_id: (r.percentile, r.below) for r in
+            Q.percentile_many(pop, "BMI", W.score_submissions(lg), "bmi").collect()}
+    assert {r.event_id: (r.percentile, r.below) for r in res.collect()} == want
+
+
+def test_half_written_snapshot_is_written_anew(spark, tmp_dir):
+    lg, _ = _source(spark, tmp_dir)
+    pop = views.population(spark, SF)
+    out, ck = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck")
+    W.percentile_snapshot(pop.limit(3), "BMI").write.parquet(os.path.join(ck, "population-snapshot"))
+    os.remove(os.path.join(ck, "population-snapshot", "_SUCCESS"))
+    W.start_percentile(W.score_submissions(_stream(spark, tmp_dir, lg.schema)), W.percentile_snapshot(pop, "BMI"),
+                       out, ck).awaitTermination()
+    assert spark.read.parquet(out).filter("percentile > 0 and percentile < 100").count() > 0
+
+
+def test_null_probe_gets_a_null_rank(spark):
+    snapshot = spark.createDataFrame([(1.0,), (2.0,), (2.0,)], "v double")
+    snapshot = W.percentile_snapshot(snapshot, "v", 2)
+    probes = spark.createDataFrame([(1, None), (2, 0.5), (3, 2.0), (4, 9.0)], "id int, p double")
+    got = {r.id: r.percentile for r in W.rank_against(probes, "p", snapshot, 2).collect()}
+    assert got == {1: None, 2: 0.0, 3: 100.0, 4: 100.0}
 
 
 def test_state_partitions_fixed_at_first_start(spark, tmp_dir):

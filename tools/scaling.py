@@ -66,7 +66,7 @@ def main():
             out[name] = timed(make)
             spark.catalog.clearCache()
         vc = Q.value_counts(x, "BMI")
-        nb = Q.choose_buckets(vc)
+        nb = Q.default_buckets(spark)
         plan = Q.ecdf(x, "BMI")._jdf.queryExecution().executedPlan().toString()
         print(json.dumps({"copies": k, "rows": x.count(), "buckets": nb, "sec": out,
                           "single_partition_exchanges_in_ecdf": plan.count("SinglePartition")}),
