@@ -136,10 +136,10 @@ def normalize_gender(c: ColumnOrName) -> Column:
 
 
 def fmt2(c: ColumnOrName) -> Column:
-    """``%.2f`` text."""
-    return F.format_string("%.2f", _c(c))
+    """``%.2f`` text; null stays null."""
+    return F.when(_c(c).isNotNull(), F.format_string("%.2f", _c(c)))
 
 
 def fmt_pct1(c: ColumnOrName) -> Column:
-    """``%.1f%%`` text."""
-    return F.format_string("%.1f%%", _c(c))
+    """``%.1f%%`` text; null stays null."""
+    return F.when(_c(c).isNotNull(), F.format_string("%.1f%%", _c(c)))

@@ -54,12 +54,12 @@ def quarantine(df: DataFrame, ranges: Mapping[str, tuple[float, float]] = S.VALI
 
 def round_measures(df: DataFrame, cols: Sequence[str] = ("height", "weight"),
                    digits: int = 1) -> DataFrame:
-    """C4 (digits=1) and C5 (digits=0, cast to int): ties to even."""
+    """C4 (digits=1) and C5 (digits=0, as int): ties to even; a cell that is no int becomes null."""
     wanted = set(cols)
 
     def r(c: str) -> Column:
         out = round_even(F.col(c), digits)
-        return (out.cast("int") if digits == 0 else out).alias(c)
+        return (out.try_cast("int") if digits == 0 else out).alias(c)
 
     return df.select(*[r(c) if c in wanted else F.col(c) for c in df.columns])
 

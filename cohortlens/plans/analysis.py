@@ -45,7 +45,9 @@ def newest(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
 def summary(pop: DataFrame, user: DataFrame) -> DataFrame:
     """User BMI, band, label, percentile (<=), overweight share, below (<), above."""
     valid = C.finite_positive_rows(pop, "BMI")
-    C.require_rows(valid, "No valid BMI values after cleaning. Check delimiter and columns.")
+    C.require_rows(valid, "The population has no valid BMI.")
+    C.require_rows(user.filter(F.col("BMI").isNotNull()),
+                   "The newest submission has no BMI and no measures to compute it from.")
     u = user.select(F.col("BMI").alias("user_bmi"))
     u = (u.withColumn("user_index", bmi_index("user_bmi"))
           .withColumn("user_category",
@@ -63,7 +65,7 @@ def summary(pop: DataFrame, user: DataFrame) -> DataFrame:
 def _inputs(spark, dataset_path, user_path, order, collapse_repeated):
     pop = load(spark, dataset_path, collapse_repeated)
     log = load(spark, user_path, collapse_repeated)
-    C.require_rows(log, "user_data.csv appears empty.")
+    C.require_rows(log, "The submission log has no rows.")
     return pop, newest(log, list(order))
 
 

@@ -50,6 +50,7 @@ def analyse(clean: DataFrame) -> dict[str, DataFrame]:
 
 def chart_frames(x: DataFrame, person: dict = EXAMPLE_PERSON) -> dict[str, DataFrame]:
     """The frames behind the five charts of the batch run."""
+    C.require_rows(x, "The population has no rows to draw charts from.")
     known = x.filter(F.col("gender").isin(list(S.GENDER_LEVELS)))
     labelled = with_category(x)
     spark = x.sparkSession

@@ -420,9 +420,11 @@ def _log_source(spark, sf) -> tuple[str, DataFrame]:
     return src, lg
 
 
-def _stream_src(spark, src, schema):
-    return (spark.readStream.schema(schema).option("recursiveFileLookup", True)
-            .option("maxFilesPerTrigger", 1).parquet(src))
+def _stream_src(spark, src, schema, by_file=True):
+    """The log as a stream, a file per micro-batch; files are not in order of time, so a
+    query with a watermark takes all that are there."""
+    r = spark.readStream.schema(schema).option("recursiveFileLookup", True)
+    return (r.option("maxFilesPerTrigger", 1) if by_file else r).parquet(src)
 
 
 def stream_score_q(spark, sf):
@@ -455,10 +457,10 @@ def stream_latest_q(spark, sf):
 def stream_category_counts_q(spark, sf):
     src, lg = _log_source(spark, sf)
     out, ck = scratch_path(spark, "w4-out"), scratch_path(spark, "w4-ck")
-    scored = W.score_submissions(_stream_src(spark, src, lg.schema))
-    q = W.start_category_counts(scored, out, ck, ts="timestamp", window="1 day", delay="1 hour")
+    scored = W.score_submissions(_stream_src(spark, src, lg.schema, by_file=False))
+    q = W.start_category_counts(scored, out, ck, ts="timestamp", window="1 day", delay="1 hour", open_windows=True)
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return W.read_category_counts(spark, out)
 
 
 # ------------------------------------------------- more sources and reshaping ---

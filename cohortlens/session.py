@@ -57,16 +57,23 @@ def get_session(master: str | None = None, app: str = "cohortlens",
     for k, v in _SQL_DEFAULTS.items():
         if k not in explicit and not launched.contains(k):
             spark.conf.set(k, v)
-    spark.sparkContext.setLogLevel("ERROR")
+    if _single_machine(spark):
+        spark.sparkContext.setLogLevel("ERROR")
     checkpoint_root(spark)
     return spark
 
 
+def _single_machine(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written tables.
 
     Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir);
-    only when neither is set, as in tests, a local folder is created.
+    when neither is set, a local folder is created on a single machine, as in
+    tests; on a cluster that is an error, as executors would not share it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -76,6 +83,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not _single_machine(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
-from ..functions import safe_double, safe_int
+from ..functions import normalize_gender, safe_double, safe_int
 
 NUMERIC_CANONICAL = ("height", "weight", "BMI", "BMI_index", "age")
 
@@ -26,7 +26,7 @@ def read_people(spark: SparkSession, path: str | Sequence[str], sep: str = ",",
 
     Columns named in ``schema`` are cast cell by cell (whole numbers through
     ``safe_int``, others through ``safe_double``, so a bad cell is null, D3);
-    other columns stay text.
+    other columns stay text, ``gender`` trimmed and in lower case (D13).
     """
     raw = (spark.read.option("header", True).option("sep", sep)
            .option("inferSchema", False).csv(path))
@@ -35,6 +35,8 @@ def read_people(spark: SparkSession, path: str | Sequence[str], sep: str = ",",
     def typed(c: str):
         col = F.col(f"`{c}`")
         t = types.get(c)
+        if c.lower() == "gender":
+            return normalize_gender(col).alias(c)
         if t is None or isinstance(t, T.StringType):
             return col.alias(c)
         if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
@@ -164,7 +166,8 @@ def read_mixed(spark: SparkSession, paths: Sequence[str], collapse_repeated: boo
 
     Files are grouped by (delimiter, header line); each group is one CSV
     scan.  Groups are stacked with ``unionByName(allowMissingColumns=True)``
-    and the canonical numeric columns are coerced with ``safe_double``.
+    the canonical numeric columns are coerced with ``safe_double``, and
+    ``gender`` is trimmed and lower-cased (D13).
     ``source`` holds the file name of each row when ``source_col`` is set.
     """
     groups: dict[tuple[str, str], list[str]] = {}
@@ -181,5 +184,11 @@ def read_mixed(spark: SparkSession, paths: Sequence[str], collapse_repeated: boo
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     wanted = set(numeric)
-    return out.select(*[safe_double(F.col(f"`{c}`")).alias(c) if c in wanted else F.col(f"`{c}`")
-                        for c in out.columns])
+
+    def typed(c: str):
+        col = F.col(f"`{c}`")
+        if c.lower() == "gender":
+            return normalize_gender(col).alias(c)
+        return safe_double(col).alias(c) if c in wanted else col
+
+    return out.select(*[typed(c) for c in out.columns])

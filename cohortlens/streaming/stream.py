@@ -203,10 +203,28 @@ def category_counts(sub: DataFrame, ts: str = "ts", window: str = "1 day",
                        category, "n"))
 
 
-def start_category_counts(sub: DataFrame, out: str, checkpoint: str,
-                          state_partitions: int | None = None, **kw) -> StreamingQuery:
-    """Append closed windows to a Parquet folder."""
+def start_category_counts(sub: DataFrame, out: str, checkpoint: str, state_partitions: int | None = None,
+                          open_windows: bool = False, **kw) -> StreamingQuery:
+    """Append closed windows to a Parquet folder.
+
+    With ``open_windows`` the changed counts of every micro-batch, of windows
+    still open too, go to its own ``batch_id=<n>`` folder; ``read_category_counts``
+    folds them to the current counts.
+    """
+    if open_windows:
+        def sink(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(os.path.join(out, f"batch_id={batch_id}"))
+
+        changed = (category_counts(sub, **kw).writeStream.outputMode("update").foreachBatch(sink)
+                   .option("checkpointLocation", checkpoint).trigger(availableNow=True))
+        return _start(changed, sub.sparkSession, state_partitions)
     writer = (category_counts(sub, **kw).writeStream.format("parquet").option("path", out)
               .option("checkpointLocation", checkpoint).outputMode("append")
               .trigger(availableNow=True))
     return _start(writer, sub.sparkSession, state_partitions)
+
+
+def read_category_counts(spark: SparkSession, out: str) -> DataFrame:
+    """Current count per window and category from the log of changes (counts only grow)."""
+    log = spark.read.parquet(out)
+    return log.groupBy(*[c for c in log.columns if c not in ("n", "batch_id")]).agg(F.max("n").alias("n"))
