@@ -259,9 +259,9 @@ ORACLE: dict[str, str] = {
     "read_people": _with("SELECT person_id, gender, CAST(age AS DOUBLE) AS age, height, weight FROM m"),
     "read_mixed": _with(f"""
 SELECT 'people' AS source, person_id AS row_id, height, weight, CAST(NULL AS DOUBLE) AS BMI,
-       CAST(NULL AS DOUBLE) AS BMI_index, gender, CAST(age AS DOUBLE) AS age FROM m
+       CAST(NULL AS DOUBLE) AS BMI_index, lower(trim(gender)) AS gender, CAST(age AS DOUBLE) AS age FROM m
 UNION ALL
-SELECT 'log', event_id, height_cm, weight_kg, NULL, NULL, gender, CAST(age AS DOUBLE) FROM lg"""),
+SELECT 'log', event_id, height_cm, weight_kg, NULL, NULL, lower(trim(gender)) AS gender, CAST(age AS DOUBLE) FROM lg"""),
     "write_clean": _with("SELECT * FROM v"),
     "write_enriched": _with("SELECT * FROM x"),
     "write_pivot": _with(_GENDER_PROPS),
