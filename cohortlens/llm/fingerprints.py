@@ -75,6 +75,7 @@ def parsed(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     labels = _tossed(symbols, text_at)
     cut = np.zeros(len(symbols), bool)
     cut[1:-1] = (labels[1:-1] > labels[:-2]) & (labels[1:-1] > labels[2:])
+    cut[np.append(text_at[1:], len(symbols)) - 1] = False  # a text's last symbol has no neighbour
     cut[text_at] = True
     phrase = np.flatnonzero(cut)
     size = np.diff(np.append(phrase, len(symbols)))

@@ -92,6 +92,14 @@ def test_fingerprints_in_order(spark):
     assert fingerprints.fingerprint(docs.limit(0)).count() == 0
 
 
+def test_fingerprint_depends_on_the_text_alone():
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("aab cé\n", k=rng.randint(0, 300))) for _ in range(300)]
+    alone = [fingerprints.sketches([t])[0].tolist() for t in texts]
+    assert [s.tolist() for s in fingerprints.sketches(texts)] == alone
+    assert [s.tolist() for s in fingerprints.sketches(texts[::-1], block=500)] == alone[::-1]
+
+
 def test_equal_substrings_share_names_at_any_offset():
     rng = random.Random(2)
     text = "".join(rng.choices("abcdefgh ", k=4000))
