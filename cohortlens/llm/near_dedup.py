@@ -8,10 +8,8 @@ that its similarity reaches the threshold, given the matches so far, falls below
 
 A bucket is never expanded into all pairs.  In each round every member of a
 bucket is compared with a few hubs of it, links merge components, and buckets
-whose members are in one component are done.  What is left after the rounds are
-members without a link to most of their bucket: those with more shingles of
-their own than the threshold leaves room for are ruled out exactly, and the rest
-is compared across components.
+whose members are in one component are done.  What is left after the rounds is
+compared across components, but for pairs that exact bounds rule out.
 """
 
 from __future__ import annotations
@@ -19,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,8 @@ SHINGLE = 5
 THRESHOLD = (75, 100)
 ROWS, BANDS, BATCH = 4, 32, 32
 MISS = 1e-6
-HUBS, ROUNDS = 4, 3
+MAP_BITS = 1024
+HUBS, ROUNDS = 2, 3
 
 _PLACES = ROWS * BANDS
 _FACTORS = np.random.default_rng(4).integers(1, 1 << 63, _PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -91,6 +91,12 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return sets
 
 
+def _bit_map(shingles: np.ndarray) -> np.ndarray:
+    there = np.zeros(MAP_BITS, bool)
+    there[(shingles >> np.uint64(20)) % np.uint64(MAP_BITS)] = True
+    return np.packbits(there).view(np.int64)
+
+
 def _key(shingles: np.ndarray) -> bytes | None:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
@@ -228,23 +234,36 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
 def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """All pairs across components of the open buckets that could still be links.
 
-    A member is ruled out if, among the shingles of all open members, those that
-    it alone has leave it too few to share.
+    Two exact bounds rule out pairs before they are formed.  A shingle that occurs,
+    among all open members, in one component only cannot be shared across
+    components.  And a bit that only one of two members' maps of shingles has
+    stands for at least one shingle that the other lacks.
     """
     num, den = THRESHOLD
     open_ = stage(_open(members, labels), "near-open")
-    tokens = sets.join(open_.select("node").distinct(), "node").select("node", F.explode("shingles").alias("token"))
-    alone = (tokens.groupBy("token").agg(F.min("node").alias("node"), F.count("*").alias("k")).filter("k = 1")
-             .groupBy("node").agg(F.count("*").alias("own")))
-    sizes = open_.select("node", "n").distinct().join(alone, "node", "left")
-    can = stage(sizes.filter(den * (F.col("n") - F.coalesce("own", F.lit(0))) >= num * F.col("n")).select("node"), "near-can")
+    nodes = open_.select("node", "label", "n").distinct()
+    tokens = sets.join(nodes, "node").select("node", "label", F.explode("shingles").alias("token"))
+    single = (tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+              .filter("lo = hi").select("token"))
+    own = tokens.join(single, "token").groupBy("node").agg(F.count("*").alias("own"))
+    can = (nodes.join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+           .filter(den * F.col("common") >= num * F.col("n")).select("node", "common"))
+    can = stage(can.join(sets.select("node", "bits").dropDuplicates(["node"]), "node"), "near-can")
     left = stage(_open(members.join(can, "node"), labels), "near-left")
     other = left.toDF("band", *(f"{c}_2" for c in left.columns[1:]))
-    pairs = left.join(other, "band").filter(
-        (F.col("node") < F.col("node_2")) & (F.col("label") != F.col("label_2")) & _room(F.col("n"), F.col("n_2")))
+    enough = (lambda common: (den + num) * common >= num * (F.col("n") + F.col("n_2")))
+    pairs = left.join(other, (left["band"] == other["band"]) & (F.col("node") < F.col("node_2"))
+                      & (F.col("label") != F.col("label_2")) & enough(F.least("n", "n_2", "common", "common_2"))
+                      & enough(F.col("n") - _only("bits", "bits_2")) & enough(F.col("n_2") - _only("bits_2", "bits")))
     return pairs.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
 
 
+def _only(mine: str, other: str) -> Column:
+    """Number of bits in the one map that the other lacks."""
+    words = (F.bit_count(F.get(mine, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(other, F.lit(i))))) for i in range(MAP_BITS // 64))
+    return reduce(lambda x, y: x + y, words)
+
+
 def components(docs: DataFrame, miss: float = MISS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, and node, the key of its
     shingle set (null if that is empty).
@@ -317,7 +336,8 @@ def unique(docs: DataFrame, miss: float = MISS) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The full shingle sets (node, shingles) of the wanted nodes, from their first documents."""
+    """The full shingle sets (node, shingles) of the wanted nodes, from their first documents, and
+    a map of ``MAP_BITS`` bits that says which remainders they have."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -325,8 +345,10 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             mine = [i for i, (s, node) in enumerate(zip(sets, part.column("node").to_pylist())) if _key(s) == node]
             yield pa.RecordBatch.from_arrays(
                 [part.column("node").take(pa.array(mine, pa.int64())),
-                 pa.array([sets[i].view(np.int64) for i in mine], pa.list_(pa.int64()))], ["node", "shingles"])
+                 *(pa.array([f(sets[i]) for i in mine], pa.list_(pa.int64())) for f in (lambda s: s.view(np.int64), _bit_map))],
+                ["node", "shingles", "bits"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("first_id"), F.col("text").cast("string").alias("text"))
     both = texts.join(wanted.withColumnRenamed("first_id", "id"), F.col("first_id").eqNullSafe(F.col("id")))
-    return map_batches(both.select("node", "text"), run, "node binary, shingles array<bigint>")
+    return map_batches(both.select("node", "text"), run,
+                       "node binary, shingles array<bigint>, bits array<bigint>")
