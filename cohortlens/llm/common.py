@@ -91,9 +91,12 @@ class WordMemory:
 
     ``learn(words, first)`` stores the values of new words under the numbers from
     ``first`` on; number 0 is the empty word.  Beyond ``room`` words or
-    characters in them the memory starts anew, so it is bounded.
+    characters in them the memory starts anew, so it is bounded; and a Python
+    worker that goes over to another operator forgets the words of the one before.
     """
 
+    in_use: WordMemory | None = None
+
     def __init__(self, learn: Callable[[list[str], int], None], room: int = 400_000, chars: int = 20_000_000):
         self.learn, self.room, self.chars = learn, room, chars
         self.reset()
@@ -104,6 +107,10 @@ class WordMemory:
 
     def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all words (cut at spaces and line feeds) and each text's bounds."""
+        if WordMemory.in_use is not self:
+            if WordMemory.in_use is not None:
+                WordMemory.in_use.reset()
+            WordMemory.in_use = self
         if len(self.known) > self.room or self.held > self.chars:
             self.reset()
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
