@@ -19,10 +19,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import WordMemory, fresh, grown, map_batches, slices, sums
+from cohortlens.llm.common import WordMemory, fresh, grown, map_batches, slices, stage, sums
 
 ORDER = 5
-SAMPLE = 1500  # documents a language that models learn from, and as many for calibration
+SAMPLE = 1500  # documents a language that models learn from
 FOLDS = 5
 #: Standard deviations above a language's median cross-entropy; by Chebyshev's
 #: inequality at most 1 text in 144 of the language itself lies beyond.
@@ -170,28 +170,46 @@ class Scorer:
         return sums(self.bits[numbers], bounds) / np.maximum(count, 1)[:, None], count
 
 
-def _sampled(docs: DataFrame, sample: int) -> tuple[DataFrame, DataFrame]:
-    """About ``sample`` documents a language to learn from and as many others, by hash of id."""
+def _sampled(docs: DataFrame, sample: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """About ``sample`` documents a language to learn from by hash of id, all others, and the
+    languages that have fewer than ``sample`` others."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row per language
     share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["n"]))))) \
         if sizes else F.create_map().cast("map<string,double>")
     known = known.withColumn("share", F.element_at(share, F.col("lang")))
     place = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    return known.filter(place < F.col("share")), known.filter(
-        (place >= F.col("share")) & (place < 2 * F.col("share")))
+    few = [r["lang"] for r in sizes if r["n"] < 2 * sample]
+    return known.filter(place < F.col("share")), known.filter(place >= F.col("share")), few
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learn from the text and lang of ``docs`` (with doc_id).
 
     The models learn from about ``sample`` whole documents a language, chosen by
-    a hash of the id, and are calibrated on as many others; with fewer documents
-    all are learned from, and calibration uses the same.  That bounds the models,
-    which every task gets.  Null texts and languages are left out; None if
-    nothing is left.
+    a hash of the id; with fewer documents all are learned from.  That bounds the
+    models, which every task gets.  Each language is calibrated on all its other
+    documents.  Where these are fewer than ``sample``, the learned ones count too,
+    each scored by a model that has not seen its fold.  Null texts and languages
+    are left out; None if nothing is left.
     """
-    learned, others = _sampled(docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")), sample)
+    learned, others, few = _sampled(docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")), sample)
+    learned = stage(learned.select("lang", "text"), "language-learned")
+    model = learn(learned)
+    if model is None:
+        return None
+    scored = own_scores(others.select("lang", "text"), model)
+    mine = learned.filter(F.col("lang").isin(few)).withColumn(  # equal texts are in one fold
+        "fold", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(FOLDS)))
+    for fold in range(FOLDS if few else 0):
+        part = learn(mine.filter(F.col("fold") != fold).select("lang", "text"))
+        if part is not None:
+            scored = scored.union(own_scores(mine.filter(F.col("fold") == fold).select("lang", "text"), part))
+    return calibrate(model, scored, learned)
+
+
+def learn(docs: DataFrame) -> Model | None:
+    """Models of the languages in ``docs`` (lang, text), not calibrated; None without letters."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -203,7 +221,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
                 "lang": seen.index.get_level_values(0).tolist(), "word": seen.index.get_level_values(1).tolist(),
                 "n": seen.to_numpy()})
 
-    counted = (map_batches(learned.select("lang", "text"), count, "lang string, word string, n bigint")
+    counted = (map_batches(docs, count, "lang string, word string, n bigint")
                .groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
@@ -230,30 +248,43 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
                        for kind, missing in ((0, 0.0), (1, 1.0)))
     floor = np.array([parts[x, 2, 0][1][0] for x in languages])
     n = len(languages)
-    model = Model(languages, grams, contexts, floor, np.zeros(n), np.zeros((2, n)))
-    own = others if not others.isEmpty() else learned
-    return calibrate(model, own)
+    return Model(languages, grams, contexts, floor, np.zeros(n), np.zeros((2, n)))
 
 
-def calibrate(model: Model, docs: DataFrame) -> Model:
+def calibrate(model: Model, scored: DataFrame, learned: DataFrame) -> Model:
     """Median, and variance about it by length, of the cross-entropy of texts in their own language.
 
-    ``docs`` is a bounded sample; two numbers of each text come to the driver.
+    ``scored`` has lang, bits, n of texts that were not learned from; a row a
+    language comes to the driver.  A language none of whose texts is there, as one
+    with a single document, gets the widest values of the others; if there are no
+    others, all are calibrated on the ``learned`` texts.
     """
-    share = map_batches(docs.select("lang", "text"), _calibration(docs.sparkSession.sparkContext.broadcast(model)),
-                        "lang string, bits double, n bigint").toPandas()
-    mean, spread = np.zeros(len(model.languages)), np.zeros((2, len(model.languages)))
-    for i, lang in enumerate(model.languages):
-        own = share[(share["lang"] == lang) & (share["n"] > 0)]
-        if own.empty:
-            mean[i], spread[:, i] = np.inf, 0
-            continue
-        bits, n = own["bits"].to_numpy(), own["n"].to_numpy().astype(float)
-        mean[i] = np.median(bits)
-        square = (bits - mean[i]) ** 2
-        spread[0, i] = max(np.mean(square[n >= np.median(n)]), 1e-4)
-        spread[1, i] = max(np.mean(np.maximum(square - spread[0, i], 0) * n), 1.0)
-    return model._replace(mean=mean, spread=spread)
+    scored = stage(scored, "language-scored")
+    # rounded, so that the number of distinct values is bounded
+    middle = (lambda rows: {r["lang"]: r for r in rows.groupBy("lang").agg(
+        F.percentile(F.round("bits", 4), 0.5).alias("bits"), F.percentile("n", 0.5).alias("n")).collect()})
+    mid = middle(scored)
+    if not mid:
+        scored = stage(own_scores(learned, model), "language-scored")
+        mid = middle(scored)
+
+    def of(values: dict[str, float]) -> Column:
+        return F.element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), F.col("lang"))
+
+    square = F.pow(F.col("bits") - of({x: float(r["bits"]) for x, r in mid.items()}), F.lit(2.0))
+    long = F.col("n") >= of({x: float(r["n"]) for x, r in mid.items()})
+    fixed = {r["lang"]: max(r["v"], 1e-4) for r in scored.groupBy("lang").agg(F.avg(F.when(long, square)).alias("v")).collect()}
+    excess = F.greatest(square - of(fixed), F.lit(0.0)) * F.col("n")
+    short = {r["lang"]: max(r["v"], 1.0) for r in scored.groupBy("lang").agg(F.avg(excess).alias("v")).collect()}
+    columns = [{x: float(r["bits"]) for x, r in mid.items()}, fixed, short]
+    mean, *spread = (np.array([c.get(x, max(c.values())) for x in model.languages]) for c in columns)
+    return model._replace(mean=mean, spread=np.array(spread))
+
+
+def own_scores(docs: DataFrame, model: Model) -> DataFrame:
+    """lang, bits (cross-entropy in that language) and n (symbols) of texts with letters in learned languages."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return map_batches(docs, _calibration(shared), "lang string, bits double, n bigint")
 
 
 def _calibration(shared):
@@ -262,9 +293,11 @@ def _calibration(shared):
         number = {x: i for i, x in enumerate(shared.value.languages)}
         for part in slices(batches):
             bits, n = scorer(part.column("text"))
-            lang = part.column("lang").to_pylist()
-            own = [bits[i, number[x]] if x in number else 0.0 for i, x in enumerate(lang)]
-            yield pa.RecordBatch.from_pydict({"lang": lang, "bits": own, "n": n})
+            column = np.array([number.get(x, -1) for x in part.column("lang").to_pylist()], np.int64)
+            there = np.flatnonzero((column >= 0) & (n > 0))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("lang").take(pa.array(there)), pa.array(bits[there, column[there]]), pa.array(n[there])],
+                ["lang", "bits", "n"])
     return run
 
 

@@ -33,6 +33,27 @@ def test_language_rejects_other_alphabets_and_needs_no_model(spark):
     assert language_id.label(strange, None).first().lang_pred == "und"
 
 
+def test_small_languages_reject_beside_a_large_one(spark):
+    import random
+
+    rng = random.Random(6)
+
+    def text(letters, n=60):
+        return " ".join("".join(rng.choices(letters, k=rng.randint(3, 8))) for _ in range(n))
+
+    rows = [(i, text("abcdefgh"), "large") for i in range(400)] + [(1000 + i, text("opqrstuv"), "small") for i in range(60)]
+    docs = spark.createDataFrame([*rows, (2000, text("klmn"), "one")], "doc_id bigint, text string, lang string")
+    model = language_id.train(docs, 100)
+    assert model.languages == ["large", "one", "small"]
+    assert all(map(math.isfinite, model.mean)) and (model.spread > 0).all()
+    junk = [(i, text("opqrstwx")) for i in range(2)]  # closest to the small language
+    own = [(10 + i, text("opqrstuv")) for i in range(20)] + [(50 + i, text("abcdefgh")) for i in range(20)]
+    got = language_id.label(spark.createDataFrame(junk + own, "doc_id bigint, text string"), model).collect()
+    assert all(r.lang_pred == "small" and r.rejected for r in got if r.doc_id < 10)
+    assert not any(r.rejected for r in got if r.doc_id >= 10)
+    assert {r.lang_pred for r in got if r.doc_id >= 50} == {"large"}
+
+
 def test_kneser_ney_sums_to_one():
     units = ["abab", "abc", "ca", "b"]
     import numpy as np
