@@ -248,7 +248,7 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     own = tokens.join(single, "token").groupBy("node").agg(F.count("*").alias("own"))
     can = (nodes.join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
            .filter(den * F.col("common") >= num * F.col("n")).select("node", "common"))
-    can = stage(can.join(sets.select("node", "bits").dropDuplicates(["node"]), "node"), "near-can")
+    can = stage(can.join(sets.select("node", "bits"), "node"), "near-can")
     left = stage(_open(members.join(can, "node"), labels), "near-left")
     other = left.toDF("band", *(f"{c}_2" for c in left.columns[1:]))
     enough = (lambda common: (den + num) * common >= num * (F.col("n") + F.col("n_2")))
@@ -337,7 +337,7 @@ def unique(docs: DataFrame, miss: float = MISS) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The full shingle sets (node, shingles) of the wanted nodes, from their first documents, and
-    a map of ``MAP_BITS`` bits that says which remainders they have."""
+    a map of ``MAP_BITS`` bits that says which remainders they have; one row a node."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -350,5 +350,6 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("first_id"), F.col("text").cast("string").alias("text"))
     both = texts.join(wanted.withColumnRenamed("first_id", "id"), F.col("first_id").eqNullSafe(F.col("id")))
+    # a row may occur several times, with the same id and text
     return map_batches(both.select("node", "text"), run,
-                       "node binary, shingles array<bigint>, bits array<bigint>")
+                       "node binary, shingles array<bigint>, bits array<bigint>").dropDuplicates(["node"])

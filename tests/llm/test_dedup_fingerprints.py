@@ -61,6 +61,24 @@ def test_components_equal_brute_force(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted(r.doc_id for r in got if r.kept)
 
 
+def test_exact_bounds_with_repeated_rows(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = []
+    for f in range(12):  # all share a long passage; families differ in the rest
+        base = [f"p{i}" for i in range(80)] + [f"f{f}x{i}" for i in range(rng.randint(6, 40))]
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = f"n{rng.random()}"
+            rows.append(" ".join(copy))
+    rows = [(i, t) for i, t in enumerate(rows) for _ in range(1 + i % 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(near_dedup, "ROUNDS", 0)  # leaves every pair to the exact way
+    got = near_dedup.components(docs).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == components(list(dict(rows).items()))
+
+
 def test_repeated_rows_null_ids_and_no_rows(spark):
     text = " ".join(f"t{i}" for i in range(30))
     docs = spark.createDataFrame([(7, text), (7, text), (7, "quite another text of six"), (None, text), (None, None)],
