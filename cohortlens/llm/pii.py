@@ -1,12 +1,13 @@
 """Personal data and information-theoretic sanitisation, in DataFrame functions only.
 
 Addresses, numbers and the like are found by patterns; they are the protected
-entities.  A term near an entity discloses it if, over the corpus, seeing the
-term leaves little doubt about the entity: the point-wise mutual information
-PMI(e; t) comes within ``gap`` bits of the entity's information content IC(e),
-which is to say that P(e | t) >= 2 ** -gap.  Such terms are generalised to their
-first letters where that is shown to disclose less than the threshold, and
-removed otherwise.  Probabilities are shares of all documents.
+entities.  A term in a document that holds an entity discloses it if, over the
+corpus, seeing the term leaves little doubt about the entity: the point-wise
+mutual information PMI(e; t) is positive and comes within ``gap`` bits of the
+entity's information content IC(e), which is to say that P(e | t) >= 2 ** -gap.
+Such terms are generalised to their first letters where that is shown to disclose
+less than the threshold, and removed otherwise, wherever they stand in the
+document.  Probabilities are shares of all documents.
 """
 
 from __future__ import annotations
@@ -33,9 +34,7 @@ OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.|$)){4}$"
 #: Words of three or more letters or digits that begin with a letter and are no part of an address.
 WORD = r"(?<![\p{L}\p{N}@._%+-])\p{L}[\p{L}\p{N}]{2,}+(?![@_%+-]|\.[\p{L}\p{N}])"
 ANY_WORD = r"\p{L}[\p{L}\p{N}]{2,}+"
-CONTEXT = 60  # code points on either side of an entity
 GAP, SUPPORT, PREFIX = 1.0, 2, 3
-LEAST_INFORMATION = 3.0  # bits; what more than one document in eight has is not protected
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", TERM: "[TERM]"}
 
 _BLOCK = 256
@@ -100,18 +99,15 @@ def _check(kind: str):
 
 
 def _matches(kind: str) -> Column:
-    """The matches of a kind with their places and contexts; a whole context ends in a space."""
-    start, part = (lambda i: F.get(f"s_{kind}", i)), (lambda i: F.get(f"p_{kind}", i))
-    size = F.lit(CONTEXT)
-    left = (lambda x: F.when(F.length(x) > CONTEXT, F.right(x, size)).otherwise(F.concat(F.lit(" "), x)))
-    right = (lambda x: F.when(F.length(x) > CONTEXT, F.left(x, size)).otherwise(F.concat(x, F.lit(" "))))
+    """The matches of a kind with their places."""
+    start = (lambda i: F.get(f"s_{kind}", i))
     return F.transform(f"m_{kind}", lambda m, i: F.struct(
-        F.lit(kind).alias("kind"), start(i).alias("start"), (start(i) + F.length(m)).alias("end"), m.alias("value"),
-        left(part(i)).alias("left"), right(part(i + 1)).alias("right")))
+        F.lit(kind).alias("kind"), start(i).alias("start"), (start(i) + F.length(m)).alias("end"), m.alias("value")))
 
 
 def entities(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """uid, doc_id and ``found``: kind, start, end, value of every valid match, and its context.
+    """uid, doc_id, ``found``: kind, start, end, value of every valid match, and the text of
+    rows that have any (of all with ``keep_text``).
 
     ``uid`` numbers the rows; write the result before using it twice.  Matches of
     a kind are leftmost and do not overlap; invalid ones are dropped without
@@ -128,49 +124,55 @@ def entities(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     for k in KINDS:
         df = with_places(df, f"m_{k}", f"p_{k}", f"s_{k}")
     spans = [F.filter(_matches(k), _check(k)) for k in KINDS]
-    return df.select("uid", "doc_id", F.concat(*spans).alias("found"), *(["text"] if keep_text else []))
+    df = df.select("uid", "doc_id", F.concat(*spans).alias("found"), "text")
+    return df if keep_text else df.withColumn("text", F.when(F.size("found") > 0, F.col("text")))
 
 
-def nearby(found: DataFrame) -> DataFrame:
-    """uid, entity, term, start, end: whole words within ``CONTEXT`` of a protected entity."""
-    rows = found.select("uid", F.explode("found").alias("e")).select(
-        "uid", F.concat_ws(":", "e.kind", F.lower("e.value")).alias("entity"), F.explode(F.array(
-            F.struct(F.concat("e.left", F.lit(" ")).alias("text"),
-                     (F.col("e.start") + 1 - F.length(F.concat("e.left", F.lit(" ")))).alias("at")),
-            F.struct(F.concat(F.lit(" "), "e.right").alias("text"), (F.col("e.end") - 1).alias("at")))).alias("c"))
-    # a word cut off by the end of the context touches that end and is left out
-    whole = rf"(?<=.)(?:{WORD})(?![\p{{L}}\p{{N}}])(?=(?s:.))"
-    rows = rows.select("uid", "entity", "c.at", "c.text", F.regexp_extract_all("c.text", F.lit(f"(?s){whole}"), F.lit(0)).alias("m"))
-    rows = with_places(rows.withColumn("p", F.split("text", f"(?s){whole}", -1)), "m", "p", "s")
-    return rows.select("uid", "entity", "at", F.explode(F.arrays_zip("m", "s")).alias("w")).select(
-        "uid", "entity", F.lower("w.m").alias("term"), (F.col("at") + F.col("w.s")).alias("start"),
-        (F.col("at") + F.col("w.s") + F.length("w.m")).alias("end"))
+def mentions(found: DataFrame) -> DataFrame:
+    """uid, entity: the different entities of each row."""
+    names = F.transform("found", lambda e: F.concat_ws(":", e["kind"], F.lower(e["value"])))
+    return found.select("uid", F.explode(F.array_distinct(names)).alias("entity"))
+
+
+def term_places(found: DataFrame) -> DataFrame:
+    """uid, term, start, end of every whole word in the texts."""
+    rows = found.select("uid", "text", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("m"))
+    rows = with_places(rows.withColumn("p", F.split("text", WORD, -1)), "m", "p", "s")
+    return rows.select("uid", F.explode(F.arrays_zip("m", "s")).alias("w")).select(
+        "uid", F.lower("w.m").alias("term"), F.col("w.s").alias("start"), (F.col("w.s") + F.length("w.m")).alias("end"))
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(ANY_WORD), F.lit(0)))
 
 
 def term_documents(docs: DataFrame) -> DataFrame:
     """Number of documents each term occurs in (term, df), over all texts."""
-    terms = F.regexp_extract_all(F.lower(F.col("text")), F.lit(ANY_WORD), F.lit(0))
-    return docs.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, near: DataFrame, gap: float = GAP, support: int = SUPPORT) -> DataFrame:
+def disclosing(docs: DataFrame, found: DataFrame, held: DataFrame, gap: float = GAP, support: int = SUPPORT) -> DataFrame:
     """entity, term, bits (PMI), information (IC) and generalised (null: remove) of disclosing pairs.
 
-    ``support`` is the least number of documents a probability is estimated from.
+    ``held`` has the entities of each row.  ``support`` is the least number of
+    documents a probability is estimated from, so entities of fewer documents form
+    no pairs.
     """
     total = found.count()
-    of_entity = (found.select("uid", F.explode("found").alias("e"))
-                 .select("uid", F.concat_ws(":", "e.kind", F.lower("e.value")).alias("entity")).distinct()
-                 .groupBy("entity").agg(F.count("*").alias("entity_df")))
-    joint = (near.select("uid", "entity", "term").distinct().groupBy("entity", "term")
-             .agg(F.count("*").alias("both")).filter(F.col("both") >= support))
+    of_entity = stage(held.groupBy("entity").agg(F.count("*").alias("entity_df")).filter(F.col("entity_df") >= support),
+                      "pii-of-entity")
+    protected = held.join(of_entity.select("entity"), "entity").groupBy("uid").agg(F.sort_array(F.collect_list("entity")).alias("entities"))
+    pairs = found.join(protected, "uid").select("entities", F.explode(_terms(F.col("text"))).alias("term"))
+    joint = (pairs.groupBy("entities", "term").agg(F.count("*").alias("n"))
+             .select(F.explode("entities").alias("entity"), "term", "n").groupBy("entity", "term")
+             .agg(F.sum("n").alias("both")).filter(F.col("both") >= support))
     terms = stage(term_documents(docs), "pii-terms")
     prefix = (lambda t: F.left(t, F.lit(PREFIX)))
     widest = terms.groupBy(prefix(F.col("term")).alias("prefix")).agg(F.max("df").alias("prefix_df"))
     scored = (joint.join(terms, "term").join(of_entity, "entity")
               .withColumn("information", F.log2(F.lit(float(max(total, 1))) / F.col("entity_df")))
               .withColumn("bits", F.log2(F.col("both") * float(max(total, 1)) / (F.col("df") * F.col("entity_df"))))
-              .filter((F.col("bits") >= F.col("information") - gap) & (F.col("information") >= LEAST_INFORMATION)))
+              .filter((F.col("bits") >= F.col("information") - gap) & (F.col("bits") > 0)))
     # at most entity_df documents hold both entity and prefix, at least prefix_df hold the prefix
     safe = F.col("entity_df") < F.col("prefix_df") * 2.0 ** -gap
     return (scored.withColumn("prefix", prefix(F.col("term"))).join(widest, "prefix").select(
@@ -180,17 +182,19 @@ def disclosing(docs: DataFrame, found: DataFrame, near: DataFrame, gap: float =
 def protect(docs: DataFrame, gap: float = GAP, support: int = SUPPORT, keep_text: bool = False) -> DataFrame:
     """One row per document: doc_id and ``spans`` (kind, start, end, replacement) by kind, then start.
 
-    Base kinds come first, then the kind ``term``: disclosing terms within
-    ``CONTEXT`` code points of the entity they disclose.  Positions are code
+    Base kinds come first, then the kind ``term``: terms that disclose an entity,
+    wherever they stand in a document that holds it.  Positions are code
     points, ends exclusive.  A null or empty text has no spans; repeated rows get
     the same spans each, and count as documents of their own; other columns are
     ignored.
     """
     found = stage(entities(docs, keep_text), "pii-entities")
-    near = stage(nearby(found), "pii-near")
-    terms = near.join(disclosing(docs, found, near, gap, support), ["entity", "term"])
-    by_row = terms.groupBy("uid", "start", "end").agg(F.min(F.coalesce("generalised", F.lit(MARKS[TERM]))).alias("replacement"))
-    added = by_row.groupBy(F.col("uid").alias("of")).agg(F.sort_array(F.collect_list(F.struct(
+    held = stage(mentions(found), "pii-held")
+    pairs = disclosing(docs, found, held, gap, support)
+    hits = stage(held.join(pairs, "entity").groupBy("uid", "term").agg(
+        F.min(F.coalesce("generalised", F.lit(MARKS[TERM]))).alias("replacement")), "pii-hits")
+    places = term_places(found.join(hits.select("uid").distinct(), "uid", "left_semi"))
+    added = places.join(hits, ["uid", "term"]).groupBy(F.col("uid").alias("of")).agg(F.sort_array(F.collect_list(F.struct(
         F.lit(TERM).alias("kind"), "start", "end", "replacement"))).alias("added"))
     marks = F.create_map(*(F.lit(x) for k in KINDS for x in (k, MARKS[k])))
     base = F.transform("found", lambda s: F.struct(

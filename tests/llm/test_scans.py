@@ -79,6 +79,18 @@ def test_terms_that_give_an_entity_away(spark):
     assert text[0] == "the caller [TERM] left [EMAIL] and hung up" and text[5] == rows[5][1]
 
 
+def test_terms_far_from_the_entity_and_of_frequent_ones(spark):
+    far = " and so on" * 30
+    rows = [(i, f"Zebrovski, flat 12, card 4111 1111 1111 1111{far}. Quillfeather wrote this") for i in range(3)]
+    rows += [(i, f"Grobnik here{far} or mail to often@x.org") for i in range(3, 20)]
+    rows += [(i, f"here and so on flat card mail or wrote this {i}") for i in range(20, 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    text = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert text[0] == f"[TERM], flat 12, card [CARD]{far}. [TERM] wrote this"
+    assert text[5] == f"[TERM] here{far} or mail to [EMAIL]"
+    assert text[30] == rows[30][1]
+
+
 def test_license_rules(spark):
     rows = [(1, "Foo\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "x. Released under the MIT License."),
             (3, "Licensed under CC BY-NC 4.0.\nTh"), (4, "This work is licensed under the GNU General Public License, version 3."),
