@@ -21,14 +21,25 @@ from cohortlens.llm.common import map_batches, slices
 
 
 class Rule(NamedTuple):
-    """``head`` then ``secret``; a match whose secret is shorter than ``least`` is dropped."""
+    """``head`` then ``secret``; a match whose secret is shorter than ``least`` is dropped.
+
+    A match goes on over ``tail`` as far as that fits.
+    """
 
     kind: str
     head: str
     secret: str
     least: int
     any_case: bool = False
+    tail: str = ""
+
 
+#: What stands between the lines of a key (also as escapes, quoted or indented), a line's
+#: characters, and lines that name a cipher or the like.
+_GAP, _LINE, _NOTE = r"""([\x20\x09\x0a\x0d"',>]|\\[nr])+""", "[A-Za-z0-9+/]", r"[A-Z][A-Za-z]*(-[A-Z][A-Za-z]*)*:\x20[\x20A-Za-z0-9,.()+/=-]*"
+_NOTES, _END = f"({_GAP}{_NOTE})*", "-----END ([A-Z]+ )*PRIVATE KEY-----"
+#: The lines of a key up to its END, or, if that is missing, full lines and one short one.
+_KEY = f"{_NOTES}({_GAP}{_LINE}+={{0,2}})*({_GAP})?{_END}|{_NOTES}({_GAP}{_LINE}{{16,}}={{0,2}})+({_GAP}{_LINE}{{1,15}}={{0,2}})?"
 
 #: The rules of the contract.  A run of hexadecimal digits is one match, so its
 #: least length is part of the pattern.
@@ -39,7 +50,7 @@ BASE = (
 )
 #: Further well-known forms of credentials.
 MORE = (
-    Rule("private_key", "", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", 27),
+    Rule("private_key", "", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", 27, tail=_KEY),
     Rule("github", "", r"gh[opsur]_[A-Za-z0-9]+", 40),
     Rule("slack", "", r"xox[abprs]-[A-Za-z0-9-]+", 20),
     Rule("google", "", r"AIza[A-Za-z0-9_-]+", 39),
@@ -74,7 +85,8 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> Scanner:
     case = [r.any_case for r in rules]
     found = compile_rules([r.head + r.secret for r in rules], case, backwards=True, search=True)
     return Scanner(rules, found, tuple(
-        (compile_rules([r.head], [r.any_case]), compile_rules([r.secret], [r.any_case])) for r in rules))
+        (compile_rules([r.head], [r.any_case]), compile_rules([f"{r.secret}({r.tail})?" if r.tail else r.secret], [r.any_case]))
+        for r in rules))
 
 
 _SCANNERS: dict[tuple[Rule, ...], Scanner] = {}  # in each Python worker
