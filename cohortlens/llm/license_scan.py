@@ -22,17 +22,66 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import map_batches, slices
 
 # FIXED VALUES: sentences of public licence texts and notices.  "*" stands for up
-# to eight words (names, years), "?" before a word makes it optional.
+# to eight words (names, years), "?" before a word makes it optional, and "|"
+# stands between words of which one is there.
+LEAD = ("?this|the|all|our ?source|original|following ?file|files|work|works|software|program|library|project|package|code|module"
+        "|document|content|material|repository ?is|are ?free ?software ?and|made|dual"
+        " licensed|licenced|released|distributed|published|provided|available|redistributable"
+        " ?to ?you under ?the ?terms|conditions ?and ?conditions ?of ?the")
+#: Names of licences that follow the lead, which is not optional as a whole: identifier, words.
+NAMED: tuple[tuple[str, str], ...] = (
+    ("apache2", "apache ?software ?license|licence ?public ?license ?version|v|- 2|2.0|v2|v2.0 ?the ?license"),
+    ("apache2", "apache-2.0 ?license"),
+    ("mit-name", "mit|expat ?open ?source ?license ?terms"),
+    ("isc-name", "isc ?license"),
+    *((f"bsd{n}-name", f"{wording} ?license") for n, words in ((2, "simplified|freebsd"), (3, "new|modified|revised"))
+      for wording in (f"bsd {n}-clause|{n}clause", f"bsd {n} clause", f"{n}-clause bsd", f"{n} clause bsd", f"bsd-{n}-clause", f"{words} bsd")),
+    *((f"{short}{version}{'+' if later else ''}", f"{name} {number} {tail}".strip())
+      for short, names, versions in (
+          ("gpl", ("gnu general public license|licence", "gnu gpl", "gpl"), ("2", "3")),
+          ("lgpl", ("gnu lesser|library general public license|licence", "gnu lgpl", "lgpl"), ("2", "2.1", "3")),
+          ("agpl", ("gnu affero general public license|licence", "gnu agpl", "agpl"), ("3",)))
+      for name in names for version in versions
+      for number in ({"2": "?license ?version|v 2|2.0|v2|v2.0", "2.1": "?license ?version|v 2.1|v2.1", "3": "?license ?version|v 3|3.0|v3|v3.0"}[version],)
+      for later, tail in ((False, "?only ?license ?as ?published ?by ?the ?free ?software ?foundation"),
+                          (True, "?of ?the ?license ?as ?published ?by ?the ?free ?software ?foundation"
+                                 " or|and ?at ?your ?option ?any later|newer|above|higher|greater ?version"))),
+    *((f"{family}{version}{'+' if later else ''}", f"{family}{mark}{version}{'+' if later else ''} ?license")
+      for family, versions in (("gpl", ("2", "3", "2.0", "3.0")), ("lgpl", ("2", "2.1", "3", "2.0", "3.0")), ("agpl", ("3", "3.0")))
+      for version in versions for mark in ("v", "-") for later in (False, True)),
+    ("mpl2", "mozilla public license|licence ?version|v 2|2.0|v2|v2.0"),
+    ("mpl2", "mpl ?version|v 2|2.0|v2|v2.0"),
+    ("mpl2", "mpl-2.0|mplv2|mplv2.0"),
+    *((f"epl{n}", f"{name} ?license ?version|v {n}|{n}.0|v{n}|v{n}.0 {tail}".strip()) for n in (1, 2)
+      for name in ("eclipse public license", "epl") for tail in (
+          "", "which accompanies this distribution ?and ?is ?available ?at ?http ?https *", "which ?is available at ?http ?https *")),
+    ("bsl1", "boost software license ?version|v 1|1.0|v1|v1.0"),
+    ("bsl1", "boost software license ?version|v 1.0 see ?the accompanying file *"),
+    ("zlib-name", "zlib ?libpng ?license"),
+    ("unlicense", "unlicense ?license"),
+    ("cc0", "cc0 ?license ?version ?1.0 ?universal ?license"),
+    ("cc0", "cc0-1.0 ?license"),
+    ("wtfpl", "wtfpl ?license ?version ?2"),
+    ("artistic2", "artistic license ?version|v 2|2.0"),
+    ("eupl1.2", "european union public license|licence ?version|v 1.2"),
+    ("eupl1.2", "eupl ?version|v 1.2"),
+    *((f"cddl{v}", f"{name} ?version|v {v}") for v in ("1.0", "1.1") for name in ("common development and distribution license ?cddl", "cddl")),
+    *((f"cc-{code}-{version}", f"{wording} {version} {tail}".strip())
+      for version in ("2.0", "2.5", "3.0", "4.0") for code, long in (
+          ("by", "attribution"), ("by-sa", "attribution-sharealike|attribution-share-alike"), ("by-nd", "attribution-noderivatives|attribution-noderivs"),
+          ("by-nc", "attribution-noncommercial"), ("by-nc-sa", "attribution-noncommercial-sharealike"),
+          ("by-nc-nd", "attribution-noncommercial-noderivatives|attribution-noncommercial-noderivs"))
+      for wording, tail in ((f"?a cc {code}", "?international|unported|generic ?public ?license"), (f"?a cc-{code}", "?international ?license"),
+                            (f"?a creative commons {code}|{long}", "?international|unported|generic ?public ?license"))),
+)
+_GNU_NAMES = (("gpl", "general"), ("lgpl", "lesser|library general"), ("agpl", "affero general"))
+_PROGRAM = "program|library|software|file|package|code|module|project"
 SENTENCES: tuple[tuple[str, str], ...] = (
-    ("apache2", "?this ?file ?work ?software ?is licensed under the apache license version 2.0 ?the ?license"),
-    ("apache2", "released under the apache license ?version 2.0"),
     ("apache-not-use", "you may not use this file except in compliance with the license"),
     ("apache-copy", "you may obtain a copy of the license at ?http ?https www.apache.org/licenses/license-2.0"),
     ("apache-as-is", "unless required by applicable law or agreed to in writing software distributed under the license is"
                      " distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("apache-see", "see the license for the specific language governing permissions and limitations under the license"),
-    ("mit-name", "?this ?file ?work ?software ?is released under the mit license"),
-    ("mit-name", "?this ?file ?work ?software ?is licensed under the mit license"),
     ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
                   " documentation files the software to deal in the software without restriction including without"
                   " limitation the rights to use copy modify merge publish distribute sublicense and/or sell copies of"
@@ -54,33 +103,35 @@ SENTENCES: tuple[tuple[str, str], ...] = (
                    " following disclaimer in the documentation and/or other materials provided with the distribution"),
     ("bsd-endorse", "neither the name of * nor the names of its contributors may be used to endorse or promote products derived"
                     " from this software without specific prior written permission"),
-    ("gpl-notice-2+", "this program is free software you can redistribute it and/or modify it under the terms of the gnu general"
-                      " public license as published by the free software foundation either version 2 of the license or at your"
-                      " option any later version"),
-    ("gpl-notice-3+", "this program is free software you can redistribute it and/or modify it under the terms of the gnu general"
-                      " public license as published by the free software foundation either version 3 of the license or at your"
-                      " option any later version"),
-    ("gpl3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl3", "?this ?program ?software ?is released under the gnu general public license version 3"),
-    ("gpl2", "this work is licensed under the gnu general public license version 2"),
-    ("lgpl3", "this work is licensed under the gnu lesser general public license version 3"),
-    ("agpl3", "this work is licensed under the gnu affero general public license version 3"),
-    ("gpl-hope", "this program is distributed in the hope that it will be useful but without any warranty without even the"
-                 " implied warranty of merchantability or fitness for a particular purpose"),
-    ("gpl-details", "see the gnu general public license for more details"),
-    ("gpl-received", "you should have received a copy of the gnu general public license along with this program"),
+    *((f"{short}-notice-{version}{'+' if later else ''}", f"{lead} gnu {name} public license {tail}")
+      for short, name in _GNU_NAMES for version in ("2", "2.1", "3")
+      for lead in (f"?this|the ?{_PROGRAM} ?is ?free ?software you can redistribute it and/or modify it under the terms of the",)
+      for later, tail in (
+          (True, f"as published by the free software foundation either version {version} of the license or at your option any later version"),
+          (False, f"as published by the free software foundation ?either version {version} ?of ?the ?license ?only"),
+          (False, f"version {version} ?only as published by the free software foundation"))),
+    ("gpl-hope", f"?this|the ?{_PROGRAM} is distributed in the hope that it will be useful but without any warranty"
+                 " without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl-details", "see the gnu ?lesser ?library ?affero general public license for more details"),
+    ("gpl-received", "you should have received a copy of the gnu ?lesser ?library ?affero general public license along with"
+                     f" this|the|* ?{_PROGRAM} ?if ?not ?see ?http ?https ?www.gnu.org/licenses"),
+    *((f"epl{n}", "?this ?program ?and ?the accompanying materials are made available under the terms of the eclipse public license"
+                  f" ?version|v {n}|{n}.0|v{n}|v{n}.0 {tail}".strip()) for n in (1, 2) for tail in (
+          "", "which accompanies this distribution ?and ?is ?available ?at ?http ?https *", "which ?is available at ?http ?https *")),
+    ("bsl1-grant", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and"
+                   " accompanying documentation covered by this license the software to use reproduce display distribute execute and"
+                   " transmit the software and to prepare derivative works of the software and to permit third-parties to whom the"
+                   " software is furnished to do so all subject to the following"),
+    ("zlib-as-is", "this software is provided as-is|as ?is without any express or implied warranty"),
+    ("zlib-liability", "in no event will the authors|author be held liable for any damages arising from the use of this software"),
+    ("zlib-grant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter"
+                   " it and redistribute it freely subject to the following restrictions"),
     ("mpl2", "this source code form is subject to the terms of the mozilla public license v 2.0"),
     ("mpl-copy", "if a copy of the mpl was not distributed with this file you can obtain one at ?http ?https mozilla.org/mpl/2.0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("cc0", "to the extent possible under law * has waived all copyright and related or neighboring rights to this work"),
     ("rights", "all rights reserved"),
     ("copyright", "copyright *"),
-    *((f"cc-{code}-{version}", f"?this ?work ?is licensed under {wording} {version} {tail}".strip())
-      for version in ("3.0", "4.0") for code in ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")
-      for wording, tail in ((f"cc {code}", ""), (f"a creative commons {code}", "?international license"))),
-    *((f"spdx-{name}", f"spdx-license-identifier {name}") for name in (
-        "apache-2.0", "mit", "bsd-2-clause", "bsd-3-clause", "isc", "mpl-2.0", "gpl-2.0-only", "gpl-2.0-or-later",
-        "gpl-3.0-only", "gpl-3.0-or-later", "lgpl-3.0-only", "agpl-3.0-only", "cc0-1.0", "unlicense")),
 )
 #: Rules in order: the first whose identifiers stand at a place, one after another, names the licence.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
@@ -93,34 +144,56 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("ISC", ("isc-grant",)),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
-    ("GPL-2.0-or-later", ("gpl-notice-2+", "gpl-hope", "gpl-details", "gpl-received")),
-    ("GPL-3.0-or-later", ("gpl-notice-3+", "gpl-hope", "gpl-details", "gpl-received")),
-    ("GPL-2.0-or-later", ("gpl-notice-2+",)),
-    ("GPL-3.0-or-later", ("gpl-notice-3+",)),
-    ("GPL-3.0", ("gpl3",)),
-    ("GPL-2.0", ("gpl2",)),
-    ("LGPL-3.0", ("lgpl3",)),
-    ("AGPL-3.0", ("agpl3",)),
+    *((f"{short.upper()}-{number}{'-or-later' if later else '-only'}", (f"{short}-notice-{version}{'+' if later else ''}", *rest))
+      for rest in (("gpl-hope", "gpl-details", "gpl-received"), ("gpl-hope", "gpl-details"), ())
+      for short in ("gpl", "lgpl", "agpl") for version, number in (("2", "2.0"), ("2.1", "2.1"), ("3", "3.0")) for later in (True, False)),
+    *((f"{short.upper()}-{number}{'-or-later' if later else ''}", (f"{short}{version}{'+' if later else ''}",))
+      for short in ("gpl", "lgpl", "agpl") for version, number in (("2", "2.0"), ("2.0", "2.0"), ("2.1", "2.1"), ("3", "3.0"), ("3.0", "3.0"))
+      for later in (True, False)),
+    ("BSD-2-Clause", ("bsd2-name",)),
+    ("BSD-3-Clause", ("bsd3-name",)),
+    ("ISC", ("isc-name",)),
+    ("EPL-1.0", ("epl1",)),
+    ("EPL-2.0", ("epl2",)),
+    ("BSL-1.0", ("bsl1",)),
+    ("BSL-1.0", ("bsl1-grant",)),
+    ("Zlib", ("zlib-as-is", "zlib-liability", "zlib-grant")),
+    ("Zlib", ("zlib-grant",)),
+    ("Zlib", ("zlib-name",)),
+    ("WTFPL", ("wtfpl",)),
+    ("Artistic-2.0", ("artistic2",)),
+    ("EUPL-1.2", ("eupl1.2",)),
+    ("CDDL-1.0", ("cddl1.0",)),
+    ("CDDL-1.1", ("cddl1.1",)),
     ("MPL-2.0", ("mpl2", "mpl-copy")),
     ("MPL-2.0", ("mpl2",)),
     ("Unlicense", ("unlicense",)),
     ("CC0-1.0", ("cc0",)),
-    *((f"CC-{code.upper()}-{version}", (f"cc-{code}-{version}",)) for version in ("3.0", "4.0")
+    *((f"CC-{code.upper()}-{version}", (f"cc-{code}-{version}",)) for version in ("2.0", "2.5", "3.0", "4.0")
       for code in ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")),
-    *((name, (f"spdx-{name.lower()}",)) for name in (
-        "Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later",
-        "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-3.0-only", "AGPL-3.0-only", "CC0-1.0", "Unlicense")),
 )
+#: SPDX identifiers that are plain words; all others are known by a digit or hyphen in them.
+SPDX_WORDS = ("MIT ISC Zlib Unlicense X11 NCSA WTFPL PostgreSQL Python Ruby PHP Vim TCL curl Beerware OpenSSL JSON NTP ICU IJG FTL"
+              " Libpng OpenLDAP Sleepycat Intel SGI-B HPND Naumen Xnet libtiff bzip2 psutils Fair Glide Info-ZIP SISSL Zed NLPL").split()
+#: The usual spelling of identifiers, which may be written in any case.
+SPDX_SPELLING = {x.lower(): x for x in (*SPDX_WORDS, *(name for name, _ in RULES), *(
+    "MIT-0 0BSD GPL-1.0-only GPL-1.0-or-later GPL-2.0-only GPL-3.0-only LGPL-2.0-only LGPL-2.1-only LGPL-3.0-only AGPL-3.0-only"
+    " AGPL-1.0-only BSD-4-Clause BSD-3-Clause-Clear MPL-1.1 MPL-2.0-no-copyleft-exception OFL-1.1 AFL-3.0 OSL-3.0 MS-PL MS-RL"
+    " PSF-2.0 Python-2.0 CDLA-Permissive-2.0 BUSL-1.1 Elastic-2.0 SSPL-1.0 Classpath-exception-2.0 LLVM-exception GCC-exception-3.1"
+    " Linux-syscall-note Autoconf-exception-3.0 Bison-exception-2.2 Font-exception-2.0 OpenSSL-exception").split())}
 # end of fixed values
 
 #: A text without any of these says nothing about a licence.
-HINT = r"(?i)licen[cs]|copyright|permission|redistribut|public domain|rights reserved|warrant|liable|spdx|mozilla|unencumbered|waived"
+HINT = r"(?i)licen[cs]|copyright|permission|redistribut|public domain|rights reserved|warrant|liable|spdx|mozilla|unencumbered|waived" \
+    r"|(?:released|distributed|published|provided|available|redistributable)\s+(?:to\s+you\s+)?under\b"
 SPEAKS = re.compile(r"licen[cs]|copyright|spdx", re.I)
 #: Words: letters and digits, joined by marks within; marks at the ends are dropped.
 WORD = re.compile(r"[A-Za-z0-9]+(?:[.+/_-]+[A-Za-z0-9]+)*\+?")
 #: Where a sentence may begin or end: after a full stop, at a line's end, after a colon or list mark.
 BREAK = re.compile(r"[.!?;:](?=\s|$)|\n|(?<=\n)\s*(?:[*#/-]|\d+\.|\(\w\))+")
 SLOT = 8
+SPDX_TAG = re.compile(r"SPDX-License-Identifier[ \t]*:[ \t]*", re.I)
+SPDX_TOKEN = re.compile(r"[ \t]*(\(|\)|(?:DocumentRef-[A-Za-z0-9.-]+:)?[A-Za-z0-9]+(?:[.-]+[A-Za-z0-9]+)*\+?)")
 
 
 class Sentence(NamedTuple):
@@ -133,42 +206,113 @@ def _normal(word: str) -> str:
     return word.lower().replace("licence", "license")
 
 
-def _index(sentences: Iterable[tuple[str, str]]) -> dict[str, list[tuple[str, list[str]]]]:
+class Item(NamedTuple):
+    """One place of a pattern; ``any_words`` is the slot for up to ``SLOT`` words."""
+
+    words: frozenset[str]
+    optional: bool
+    any_words: bool
+
+
+def _items(text: str) -> tuple[Item, ...]:
+    return tuple(Item(frozenset(map(_normal, w.lstrip("?").split("|"))), w.startswith("?"), "*" in w.split("|")) for w in text.split())
+
+
+def _index(sentences: Iterable[tuple[str, str]]) -> dict[str, list[tuple[str, tuple[Item, ...]]]]:
     """Known sentences by their possible first words."""
-    index: dict[str, list[tuple[str, list[str]]]] = {}
+    index: dict[str, dict[tuple[str, tuple[Item, ...]], None]] = {}
     for name, text in sentences:
-        words = text.split()
-        for i, word in enumerate(words):
-            index.setdefault(word.lstrip("?"), []).append((name, words[i:]))
-            if not word.startswith("?"):
+        items = _items(text)
+        for i, item in enumerate(items):
+            for word in item.words - {"*"}:
+                index.setdefault(word, {})[name, items] = None
+            if not item.optional:
                 break
-    return index
+    return {word: list(patterns) for word, patterns in index.items()}
 
 
 _INDEX = _index(SENTENCES)
 
 
-def _ends(pattern: list[str], words: list[str], at: int) -> list[int]:
+_INDEX = _index(SENTENCES)
+_LEAD = _items(LEAD)
+_LEAD_WORDS = frozenset().union(*(item.words for item in _LEAD))
+_NAMED = _index((*NAMED, *((f"spdx {x}", f"{low} ?license") for low, x in SPDX_SPELLING.items() if re.search("[0-9]", x))))
+
+
+def _ends(pattern: tuple[Item, ...], words: list[str], at: int) -> list[int]:
     """Numbers of words after which the pattern is complete, the longest first."""
     places = {at}
     for item in pattern:
-        if item == "*":
-            places = {p + k for p in places for k in range(1, SLOT + 1) if p + k <= len(words)}
+        if item.any_words:
+            after = {p + k for p in places for k in range(1, SLOT + 1) if p + k <= len(words)}
         else:
-            word = item.lstrip("?")
-            after = {p + 1 for p in places if p < len(words) and words[p] == word}
-            places = after | places if item.startswith("?") else after
+            after = {p + 1 for p in places if p < len(words) and words[p] in item.words}
+        places = after | places if item.optional else after
         if not places:
             return []
     return sorted(places, reverse=True)
 
 
+def _known(words: list[str], at: int) -> Iterator[tuple[str, tuple[Item, ...], int]]:
+    """Sentences that may begin at a word, and where the rest of each is to be looked for."""
+    for name, pattern in _INDEX.get(words[at], ()):
+        yield name, pattern, at
+    if words[at] in _LEAD_WORDS:
+        for begin in _ends(_LEAD, words, at):
+            for name, pattern in _NAMED.get(words[begin], ()) if begin < len(words) else ():
+                yield name, pattern, begin
+
+
+def _spdx_id(word: str) -> str | None:
+    """The identifier in its usual spelling; None for a word that is none."""
+    plain = word.rstrip("+")
+    if plain.lower() in SPDX_SPELLING:
+        return SPDX_SPELLING[plain.lower()] + word[len(plain):]
+    named = re.match(r"(DocumentRef-.+:)?LicenseRef-.", word)
+    return word if named or re.search(r"[A-Za-z]", word) and re.search(r"[0-9-]", word) else None
+
+
+def spdx(text: str, at: int) -> tuple[str, int] | None:
+    """The SPDX expression at a place, and its end.
+
+    ``a OR (b AND c WITH d)``: operators between identifiers, parentheses in
+    pairs; what goes on beyond a whole expression is no part of it.
+    """
+    out, depth, want, whole, exception = [], 0, True, None, False
+    while m := SPDX_TOKEN.match(text, at):
+        word, at = m[1], m.end()
+        if want and word == "(" and not exception:
+            depth += 1
+            out.append("(")
+        elif want:
+            name = _spdx_id(word) if word not in "()" else None
+            if name is None:
+                break
+            out.append(name)
+            want = False
+        elif word == ")" and depth:
+            depth -= 1
+            out.append(")")
+        elif word.upper() in ("AND", "OR", "WITH"):
+            out.append(f" {word.upper()} ")
+            want, exception = True, word.upper() == "WITH"
+            continue
+        else:
+            break
+        if not want and not depth:
+            whole = "".join(out), at
+    return whole
+
+
 def sentences(text: str) -> tuple[list[Sentence], int]:
     """The known licence sentences of a text in order, and the number of unknown ones.
 
     A sentence begins and ends at a break or at the ends of the text; line ends
-    within it do not matter.
+    within it do not matter.  An SPDX tag with its expression stands anywhere and
+    is a sentence named by the expression.
     """
+    tags = {m.start(): (m.end(), *e) for m in SPDX_TAG.finditer(text) if (e := spdx(text, m.end()))}
     found = list(WORD.finditer(text))
     words = [_normal(m.group(0)) for m in found]
     breaks = [m.start() for m in BREAK.finditer(text)]
@@ -183,10 +327,18 @@ def sentences(text: str) -> tuple[list[Sentence], int]:
         ends[-1] = True
     out, unknown, i, begun, speaks = [], 0, 0, 0, False
     while i < len(words):
+        if tag := tags.get(found[i].start()):
+            _, name, end = tag
+            out.append(Sentence(f"spdx {name}", found[i].start(), end))
+            unknown += speaks
+            speaks = False
+            while i < len(words) and found[i].start() < end:
+                i += 1
+            continue
         best = None
         if begins[i]:
-            for name, pattern in _INDEX.get(words[i], ()):
-                end = next((e for e in _ends(pattern, words, i) if ends[e - 1]), None)
+            for name, pattern, begin in _known(words, i):
+                end = next((e for e in _ends(pattern, words, begin) if ends[e - 1]), None)
                 if end is not None and (best is None or end > best[1]):
                     best = name, end
         if best is not None:
@@ -209,6 +361,10 @@ def licenses(known: list[Sentence]) -> list[Sentence]:
     line = [s for s in known if s.name not in ("copyright", "rights")]
     out, i = [], 0
     while i < len(line):
+        if line[i].name.startswith("spdx "):
+            out.append(line[i]._replace(name=line[i].name[5:]))
+            i += 1
+            continue
         for name, ids in RULES:
             if tuple(s.name for s in line[i:i + len(ids)]) == ids:
                 out.append(Sentence(name, line[i].start, line[i + len(ids) - 1].end))

@@ -113,3 +113,29 @@ def test_license_rules(spark):
     assert got == sorted([("1", "Apache-2.0", 0), ("2", "MIT", 0), ("3", "CC-BY-NC-4.0", 0), ("4", "GPL-3.0", 0), ("5", "", 1),
                           ("6", "", 0), ("7", "", 0), ("7", "", 0), ("None", "MIT", 0)])
     assert license_scan.scan(docs.limit(0)).count() == 0
+
+
+def test_license_wordings():
+    gnu = ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU {} Public\nLicense as published"
+           " by the Free Software Foundation; either\nversion {} of the License, or (at your option) any later version.")
+    want = {
+        "Licensed under the GNU General Public License, version 3.": ["GPL-3.0"],
+        "This program is licensed under the GNU General Public License, version 2.": ["GPL-2.0"],
+        "Released under the GNU GPL v2 or later.": ["GPL-2.0-or-later"],
+        "This library is licensed under the GNU Lesser General Public Licence v2.1.": ["LGPL-2.1"],
+        "Distributed under the terms of the GNU Affero General Public License version 3 or any later version.": ["AGPL-3.0-or-later"],
+        "Licensed under the Apache License 2.0": ["Apache-2.0"], "Licensed under EPL-2.0.": ["EPL-2.0"],
+        gnu.format("Lesser General", "2.1"): ["LGPL-2.1-or-later"], gnu.format("Lesser General", "3"): ["LGPL-3.0-or-later"],
+        gnu.format("Affero General", "3"): ["AGPL-3.0-or-later"], gnu.format("General", "2"): ["GPL-2.0-or-later"],
+        "Distributed under the Boost Software License, Version 1.0.": ["BSL-1.0"],
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and"
+        " redistribute it freely, subject to the following restrictions:": ["Zlib"],
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is"
+        " available at https://www.eclipse.org/legal/epl-2.0/": ["EPL-2.0"],
+        "// SPDX-License-Identifier: Apache-2.0 OR MIT": ["Apache-2.0 OR MIT"],
+        "/* spdx-license-identifier: (gpl-2.0-only with Linux-syscall-note) and bsd-3-clause */":
+            ["(GPL-2.0-only WITH Linux-syscall-note) AND BSD-3-Clause"],
+        "SPDX-License-Identifier: OFL-1.1-no-RFN": ["OFL-1.1-no-RFN"], "SPDX-License-Identifier: Zlib OR the other": ["Zlib"],
+        "SPDX-License-Identifier: see below": [], "Distributed by MIT.": [], "The work is under way.": []}
+    for text, names in want.items():
+        assert [s.name for s in license_scan.licenses(license_scan.sentences(text)[0])] == names, text
