@@ -36,8 +36,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing (operator 1): one row per piece of the mix, with its place in a sequence."""
-    return packing.pack(docs)
+    """Packing (operator 1): one row per piece of the mix, with its ids and its place in a sequence."""
+    return packing.pack(docs, keep_ids=True)
 
 
 STAGES = [("language_id", known_language), ("near_dedup", deduplicated), ("secret_scan", without_secrets),

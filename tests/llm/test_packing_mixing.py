@@ -81,3 +81,20 @@ def test_mix_reaches_targets(spark):
     assert out.columns == [*docs.columns, "mix_part"]
     assert out.select(F.sum(mixing.word_count(F.col("text")))).first()[0] == got.taken.sum()
     assert mixing.mix_sizes(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_pipeline_packs_tokens(spark):
+    import zlib
+
+    import numpy as np
+
+    import corpus_pipeline
+
+    rows = [(1, "some text to pack"), (1, "another text of the id"), (2, "word " * 3000), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = corpus_pipeline.packed(spark, docs, "").collect()
+    ends = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0) and len(r.ids) == r.length
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        ends[r.sequence_id] = r.offset + r.length
