@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import WordMemory, fresh, grown, map_batches, slices, stage
@@ -330,26 +330,35 @@ def unique(docs: DataFrame, miss: float = MISS) -> DataFrame:
     keyed = map_batches(again, run, f"{fields}, `{node}` binary")
     verdict = found.filter("kept").select(F.col("doc_id").alias(mine), F.col("node").alias(key)).distinct()
     keyed = keyed.join(verdict, F.col("doc_id").eqNullSafe(F.col(mine)) & F.col(node).eqNullSafe(F.col(key)), "left_semi")
-    first = Window.partitionBy("doc_id", node).orderBy("text")
-    keyed = keyed.withColumn(place, F.when(F.col(node).isNull(), 1).otherwise(F.row_number().over(first))).filter(F.col(place) == 1)
-    return plain.unionByName(keyed.select(*docs.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))  # partial aggregates: a row that repeats often spreads over all tasks
+    one = keyed.filter(F.col(node).isNotNull()).groupBy("doc_id", node).agg(F.min_by(row, F.col("text")).alias(place))
+    bare = keyed.filter(F.col(node).isNull()).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return plain.unionByName(bare).unionByName(one.select(*(F.col(place)[c].alias(c) for c in docs.columns)))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The full shingle sets (node, shingles) of the wanted nodes, from their first documents, and
-    a map of ``MAP_BITS`` bits that says which remainders they have; one row a node."""
+    a map of ``MAP_BITS`` bits that says which remainders they have; one row a node.
+
+    Documents without id meet the nodes that have no other ones by the node key.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = shingle_sets(part.column("text"))
-            mine = [i for i, (s, node) in enumerate(zip(sets, part.column("node").to_pylist())) if _key(s) == node]
+            keys = [_key(s) for s in sets]
+            wants = part.column("node").to_pylist()  # null: whatever node the text has
+            mine = [i for i, (key, node) in enumerate(zip(keys, wants)) if key is not None and node in (None, key)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("node").take(pa.array(mine, pa.int64())),
+                [pa.array([keys[i] for i in mine], pa.binary()),
                  *(pa.array([f(sets[i]) for i in mine], pa.list_(pa.int64())) for f in (lambda s: s.view(np.int64), _bit_map))],
                 ["node", "shingles", "bits"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("first_id"), F.col("text").cast("string").alias("text"))
-    both = texts.join(wanted.withColumnRenamed("first_id", "id"), F.col("first_id").eqNullSafe(F.col("id")))
+    named = texts.join(wanted, "first_id").select("node", "text")
+    bare = texts.filter("first_id is null").select(F.lit(None).cast("binary").alias("node"), "text")
+    schema = "node binary, shingles array<bigint>, bits array<bigint>"
+    sets = map_batches(named, run, schema).union(
+        map_batches(bare, run, schema).join(wanted.filter("first_id is null").select("node"), "node", "left_semi"))
     # a row may occur several times, with the same id and text
-    return map_batches(both.select("node", "text"), run,
-                       "node binary, shingles array<bigint>, bits array<bigint>").dropDuplicates(["node"])
+    return sets.dropDuplicates(["node"])

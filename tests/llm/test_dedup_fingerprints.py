@@ -90,6 +90,22 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     assert near_dedup.components(docs.limit(0)).count() == 0 and near_dedup.unique(docs.limit(0)).count() == 0
 
 
+def test_repeated_and_null_ids_do_not_gather(spark, capsys):
+    rng = random.Random(3)
+    base = [" ".join(rng.choices([f"w{i}" for i in range(50)], k=40)) for _ in range(6)]
+    rows = [(None, t + tail) for t in base for tail in ("", " more", " MORE")] + [(7, base[0])] * 5 + [(7, base[0] + "  ")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("extra", F.lit(1))
+    left = near_dedup.unique(docs)
+    assert [(r.text, r.extra) for r in left.collect() if r.doc_id == 7] == [(base[0], 1)]
+    left.explain()
+    assert "Window" not in capsys.readouterr().out
+    wanted = near_dedup.signed(docs).groupBy("node").agg(F.min("doc_id").alias("first_id")).filter("node is not null")
+    sets = near_dedup._sets(docs, wanted)
+    assert sorted(bytes(r.node) for r in sets.collect()) == sorted(bytes(r.node) for r in wanted.collect())
+    sets.explain()
+    assert "isnull(first_id" not in capsys.readouterr().out.split("Join")[1].split("\n")[0]
+
+
 def test_least_matches_keep_the_threshold():
     for n, m in near_dedup.least_matches(1e-6):
         assert 0 < m < 0.75 * n
