@@ -37,13 +37,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-                schema: str) -> DataFrame:
-    """``mapInArrow`` whose workers find this package where the driver found it."""
-    env = df.sparkSession.sparkContext.environment
+def on_path(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it."""
+    env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if HOME not in paths:
         env["PYTHONPATH"] = os.pathsep.join([HOME, *filter(None, paths)])
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+                schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers find this package where the driver found it."""
+    on_path(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import (
-    fingerprints, language_id, license_scan, mixing, near_dedup, packing, pii, quality_rules, secret_scan, toxicity,
+    fill_in_middle, fingerprints, language_id, license_scan, mixing, near_dedup, packing, pii, quality_rules, secret_scan,
+    token_alignment, top_k, toxicity,
 )
 from cohortlens.llm.common import documents
 
@@ -70,9 +71,25 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(documents(spark, sf_dir))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut in three and reordered, and rebuilt from that."""
+    return fill_in_middle.digest(fill_in_middle.transform(documents(spark, sf_dir)))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document, with corpus-wide counts."""
+    return token_alignment.linked(documents(spark, sf_dir))
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vectors of highest inner product for every hundredth one, among all."""
+    return top_k.search(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_packing, op2_toxicity, op3_pii, op4_near_dedup, op5_quality_rules, op6_license_scan, op7_secret_scan,
-    op8_fingerprints, op9_language_id, op10_source_mixing)}
+    op8_fingerprints, op9_language_id, op10_source_mixing, op11_fill_in_middle, op12_token_alignment, op13_top_k)}
 
 #: DuckDB twins of the queries that SQL can express.
-ORACLE: dict[str, str] = {"op10_source_mixing": mixing.ORACLE}
+ORACLE: dict[str, str] = {"op10_source_mixing": mixing.ORACLE, "op11_fill_in_middle": fill_in_middle.ORACLE,
+                          "op13_top_k": top_k.ORACLE}
