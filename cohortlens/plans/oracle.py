@@ -454,7 +454,8 @@ ORACLE.update({
     "detect_dialect": _with("\nUNION ALL\n".join(
         f"SELECT {_q(lab)} AS file, {sep} AS delimiter, COUNT(*) AS \"rows\", COUNT(weight) AS weights FROM m"
         for lab, sep in (("tab", "chr(9)"), ("semicolon", "';'"), ("comma", "','")))),
-    "collapse_delims": _with("SELECT person_id, gender, CAST(age AS DOUBLE) AS age, height, weight FROM m"),
+    "collapse_delims": _with("""
+SELECT person_id, gender, CAST(age AS DOUBLE) AS age, height, weight, 'a,,b "' || person_id || '", c' AS note FROM m"""),
     "null_tokens": _with("SELECT person_id, gender, CAST(age AS DOUBLE) AS age, height FROM m"),
     "harmonize_headers": _with(f"""
 SELECT person_id, gender, age, height, weight, {_bmi('height', 'weight')} AS BMI,

@@ -46,15 +46,22 @@ def read_people_q(spark, sf):
     return ingest.read_people(spark, path)
 
 
+def _people_by_dialect(people: DataFrame, root: str) -> None:
+    """All people dealt out to three files' worth of one folder, each with its own delimiter and headers."""
+    dealt = people.withColumn("__part", F.pmod(F.xxhash64("person_id"), F.lit(3)))
+    for part, (name, sep, token) in enumerate((("tab", "\t", "NA"), ("semicolon", ";", "Missing"), ("comma", ",", "Nil"))):
+        heads = {"Height CM": "height", "Weight_kg": "weight"} if part != 1 else {"weight": "weight", "HEIGHT_cm": "height"}
+        (dealt.filter(F.col("__part") == part)
+              .select(F.col("person_id").alias("Person ID"), F.col("gender").alias("Gender"), F.col("age").alias("Age"),
+                      *[F.col(c).alias(h) for h, c in heads.items()], F.lit(f"{sep}x").alias(f"Column{part}"))
+              .write.option("header", True).option("sep", sep).option("nullValue", token).csv(os.path.join(root, name)))
+
+
 def read_mixed_q(spark, sf):
-    """A tab file with messy headers and a ``;`` log, read as one table."""
+    """One folder of tab, ``;`` and ``,`` files with messy headers, and a ``;`` log, read as one table."""
     p1 = scratch_path(spark, "mixed-people")
     p2 = scratch_path(spark, "mixed-log")
-    ppl = V.people(spark, sf).select(
-        F.col("person_id").alias("Person ID"), F.col("gender").alias("Gender"),
-        F.col("age").alias("Age"), F.col("height").alias("Height CM"),
-        F.col("weight").alias("Weight_kg"), F.lit("x").alias("Column1"))
-    (ppl.write.option("header", True).option("sep", "\t").option("nullValue", "NA").csv(p1))
+    _people_by_dialect(V.people(spark, sf), p1)
     lg = V.log(spark, sf).select(
         "user_id", "event_id", F.date_format("timestamp", S.SUBMISSION_TS_FORMAT).alias("timestamp"),
         "age", "gender", "height_cm", "weight_kg")
@@ -90,13 +97,13 @@ def write_pivot_q(spark, sf):
 
 
 def append_submissions_q(spark, sf):
-    """Scored submissions appended in two batches; the log read back as text."""
+    """Scored submissions appended in two batches, the first of them twice; the log read back as text."""
     path = scratch_path(spark, "user-log")
     scored = W.score_submissions(V.log(spark, sf))
-    first = F.col("timestamp") < F.lit("2024-01-04").cast("timestamp_ntz")
-    sinks.append_scored(scored.filter(first), path)
-    sinks.append_scored(scored.filter(~first), path)
-    return spark.read.option("header", True).csv(path)
+    first = F.coalesce(F.col("timestamp") < F.lit("2024-01-04").cast("timestamp_ntz"), F.lit(False))
+    for batch_id, rows in ((0, scored.filter(first)), (1, scored.filter(~first)), (0, scored.filter(first))):
+        sinks.append_scored(rows, path, batch_id)
+    return sinks.read_log_text(spark, path)
 
 
 # --------------------------------------------------------------- cleaning ---
@@ -473,15 +480,16 @@ def _as_text(df: DataFrame, tokens: dict[str, str] | None = None) -> DataFrame:
 
 
 def detect_dialect_q(spark, sf):
-    """The people table written with tab, ``;`` and ``,``; each folder's
-    delimiter detected from its first line and the folder read with it."""
+    """The people table written with tab, ``;`` and ``,`` into one folder; the delimiters
+    found in one pass over the files' beginnings, and each group read with its own."""
     m = V.people(spark, sf)
-    rows = []
+    root = scratch_path(spark, "dialects")
     for label, sep in (("tab", "\t"), ("semicolon", ";"), ("comma", ",")):
-        path = scratch_path(spark, f"dialect-{label}")
-        m.write.option("header", True).option("sep", sep).csv(path)
-        found, header = ingest.detect_dialect(spark, path)
-        df = ingest.read_delimited(spark, [path], found, header)
+        m.write.option("header", True).option("sep", sep).csv(os.path.join(root, label))
+    rows = []
+    for found, header, files in ingest.dialect_groups(spark, [root]):
+        df = ingest.read_delimited(spark, files, found, header)
+        label = files[0].rsplit("/", 2)[1]
         rows.append(df.agg(F.count(F.lit(1)).alias("rows"), F.count("weight").alias("weights"))
                       .select(F.lit(label).alias("file"), F.lit(found).alias("delimiter"),
                               "rows", "weights"))
@@ -492,20 +500,20 @@ def detect_dialect_q(spark, sf):
 
 
 def collapse_delims_q(spark, sf):
-    """Lines whose fields are separated by runs of commas, read with
-    ``collapse_repeated=True``; nulls written as ``NA`` (D9)."""
+    """Lines whose fields are separated by runs of commas, some fields quoted with commas
+    inside, read with ``collapse_repeated=True``; nulls written as ``NA`` (D9)."""
     path = scratch_path(spark, "collapse")
-    m = _as_text(V.people(spark, sf))
-    header = ",,".join(m.columns)
-    lines = m.select(F.concat_ws(",,", *m.columns).alias("value"))
-    lines.write.text(os.path.join(path, "rows"))
-    spark.createDataFrame([(header,)], "value string").write.text(os.path.join(path, "head"))
-    files = [os.path.join(path, "rows"), os.path.join(path, "head")]
-    out = ingest.read_delimited(spark, files, ",", header, collapse_repeated=True)
+    m = _as_text(V.people(spark, sf)).withColumn("note", F.concat(F.lit('"a,,b ""'), "person_id", F.lit('"", c"')))
+    header = 'person_id,,gender,,age,,"Height, cm",,weight,,,note'
+    # a file of lines as they come, under its header line: one column whose text is not quoted
+    m.select(F.concat_ws(",,", *m.columns).alias(header)).write.option("header", True).option("sep", "\ufdd0").option(
+        "quote", "").csv(path)
+    ((sep, found, files),) = ingest.dialect_groups(spark, [path])
+    out = ingest.read_delimited(spark, files, sep, found, collapse_repeated=True)
     out = ingest.null_tokens(out)
     return out.select(safe_int("person_id", "bigint").alias("person_id"), "gender",
-                      safe_double("age").alias("age"), safe_double("height").alias("height"),
-                      safe_double("weight").alias("weight"))
+                      safe_double("age").alias("age"), safe_double(F.col("`Height, cm`")).alias("height"),
+                      safe_double("weight").alias("weight"), "note")
 
 
 def null_tokens_q(spark, sf):

@@ -7,10 +7,11 @@ all run inside the scan's projection.
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,23 +56,90 @@ def delimiter_of(line: str) -> str:
     return ","
 
 
-def detect_dialect(spark: SparkSession, path: str) -> tuple[str, str]:
-    """``(delimiter, header line)`` of one file; reads its first line only."""
-    row = spark.read.text(path).first()
-    line = row[0] if row is not None else ""
-    return delimiter_of(line), line
+#: When only files' first lines are wanted: rows of a batch, and bytes of a file that is not worth stopping for.
+_HEAD_ROWS, _SMALL = 1024, 1 << 22
+
+
+def _heads(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``(file, line)`` of the first line of every file, in one job that reads only beginnings.
+
+    In a session of its own, a file is one partition whatever its length.  A task
+    stops after its first batch, unless the file is small: a worker that reads to
+    the end serves the next task, one that stops does not.
+    """
+    own = spark.newSession()
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        own.conf.set(key, str(1 << 50))
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(_HEAD_ROWS))
+    lines = own.read.option("recursiveFileLookup", True).text(list(paths))
+
+    def first(batches):
+        taken = False
+        for batch in batches:
+            if batch.num_rows and not taken:
+                taken = True
+                yield batch.slice(0, 1)
+                if batch.column("size")[0].as_py() > _SMALL:
+                    return
+
+    meta = [F.col(f"_metadata.{c}").alias(n) for c, n in (
+        ("file_path", "file"), ("file_block_start", "start"), ("file_size", "size"))]
+    return lines.select(*meta, F.col("value").alias("line")).mapInArrow(
+        first, "file string, start bigint, size bigint, line string")
+
+
+def first_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``(file, line)``: the first line of every file with one, in folders too.
+
+    One job reads the beginnings.  Where a platform packs several files into one
+    partition, so that some are left, a second job takes those files' first lines
+    from a scan of them (the line that comes first in its task).
+    """
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
+             .filter("length > 0").select(F.col("path").alias("file")))
+    found = [r for r in _heads(spark, paths).collect() if r["start"] == 0]  # a row per file, as Spark's own listing
+    known = {r["file"] for r in found}
+    rows = [(r["file"], r["line"]) for r in found]
+    left = [r["file"] for r in files.collect() if r["file"] not in known]
+    schema = "file string, line string"
+    out = spark.createDataFrame(rows, schema)
+    if not left:
+        return out
+    scanned = spark.read.text(left).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value",
+        F.monotonically_increasing_id().alias("place")).filter("start = 0")
+    return out.unionByName(scanned.groupBy("file").agg(F.min_by("value", "place").alias("line")))
+
+
+def delimiter_col(line: Column) -> Column:
+    """S2 rule on a column: a tab anywhere wins, then ``;``, else ``,``."""
+    return F.when(F.contains(line, F.lit("\t")), F.lit("\t")).when(F.contains(line, F.lit(";")), F.lit(";")).otherwise(F.lit(","))
+
+
+def dialects(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """S2 for any number of files: ``(file, delimiter, header)``, the header line without a byte-order mark."""
+    line = F.regexp_replace("line", "^\ufeff", "")
+    return first_lines(spark, paths).select("file", delimiter_col(line).alias("delimiter"), line.alias("header"))
+
+
+def dialect_groups(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str, list[str]]]:
+    """``(delimiter, header, files)`` of the files that share both, in order of the first file's name.
+
+    A path with no line at all is its own group, with an empty header.
+    """
+    rows = dialects(spark, paths).groupBy("delimiter", "header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return sorted(((r["delimiter"], r["header"], r["files"]) for r in rows.collect()), key=lambda g: g[2])
 
 
-def detect_dialects(spark: SparkSession, paths: Sequence[str],
-                    threads: int = 16) -> list[tuple[str, str]]:
-    """S2 for many files: one first-line read per file, submitted as
-    concurrent Spark jobs (each reads a single line, not the file)."""
-    if len(paths) <= 1:
-        return [detect_dialect(spark, p) for p in paths]
-    from concurrent.futures import ThreadPoolExecutor
+def detect_dialect(spark: SparkSession, path: str) -> tuple[str, str]:
+    """``(delimiter, header line)`` of one file, or of a folder whose files share them.
 
-    with ThreadPoolExecutor(max_workers=min(threads, len(paths))) as pool:
-        return list(pool.map(lambda p: detect_dialect(spark, p), paths))
+    A folder with several dialects is an error here: read it with ``read_mixed``.
+    """
+    groups = dialect_groups(spark, [path])
+    if len(groups) > 1:
+        raise ValueError(f"{path} holds {len(groups)} dialects: {[g[:2] for g in groups][:5]}")
+    return groups[0][:2] if groups else (delimiter_of(""), "")
 
 
 def harmonized_names(names: Sequence[str],
@@ -131,31 +199,49 @@ def null_tokens(df: DataFrame, tokens: Iterable[str] = S.NULL_TOKENS,
                        if c in target else F.col(f"`{c}`") for c in df.columns])
 
 
+def collapse_pattern(sep: str) -> str:
+    """Tokens of a line with runs of ``sep``: a quoted field (group 1) or a run (its first, group 2).
+
+    A quote opens a field only at its start; inside, a doubled quote is text.  Both
+    parts are possessive, so a line is read once.  Replace matches by both groups.
+    """
+    d = re.escape(sep)
+    return f'(?:(?<![^{d}])("(?:[^"]++|"")*+"))|({d})(?:{d})*+'
+
+
+def collapsed(line: str, sep: str) -> str:
+    """S4 on one line: runs of ``sep`` outside quoted fields count as one."""
+    return re.sub(collapse_pattern(sep), lambda m: (m[1] or "") + (m[2] or ""), line)
+
+
 def _split_header(line: str, sep: str, collapse: bool) -> list[str]:
-    if collapse:
-        line = re.sub(re.escape(sep) + "+", sep, line)
-    return [h.strip().strip('"') for h in line.split(sep)]
+    """Header names by a CSV parse: quoted names keep their separators."""
+    line = collapsed(line, sep) if collapse else line
+    return [h.strip() for h in next(csv.reader([line], delimiter=sep), [])]
+
+
+#: Quotes in a quoted field are doubled; lines keep their white space.
+_CSV = {"escape": '"', "header": "true"}
+#: A character that no text holds (a noncharacter): lines are read whole, their quotes as they are.
+_WHOLE = {"sep": "\ufdd0", "quote": "", "header": "true"}
 
 
 def read_delimited(spark: SparkSession, paths: Sequence[str], sep: str, header: str,
                    collapse_repeated: bool = False) -> DataFrame:
     """Read files that share one delimiter and header line as text columns.
 
-    ``collapse_repeated`` (S4) treats a run of delimiters as one: the lines
-    are read as text, runs are collapsed with ``regexp_replace`` and parsed
-    with ``from_csv``; the header line is removed by value.
+    The first line of every file is its header and is left out by its place: a data
+    line that reads the same stays.  Names come from a CSV parse of ``header``.
+    ``collapse_repeated`` (S4) treats a run of delimiters outside quoted fields as
+    one: lines are read whole, runs are collapsed and the line is parsed as CSV.
     """
     names = _split_header(header, sep, collapse_repeated)
-    if not collapse_repeated:
-        return (spark.read.option("header", True).option("sep", sep)
-                .option("inferSchema", False).csv(list(paths))
-                .toDF(*names))
-    lines = spark.read.text(list(paths))
-    collapsed = F.regexp_replace(F.col("value"), re.escape(sep) + "+", sep)
     ddl = ", ".join(f"`c{i}` STRING" for i in range(len(names)))
-    parsed = (lines.filter(F.col("value") != F.lit(header))
-                   .select(F.from_csv(collapsed, ddl, {"sep": sep}).alias("r"))
-                   .select("r.*"))
+    if not collapse_repeated:
+        return spark.read.options(**_CSV, sep=sep).schema(ddl).csv(list(paths)).toDF(*names)
+    lines = spark.read.options(**_WHOLE).schema("value STRING").csv(list(paths))
+    fields = F.regexp_replace("value", collapse_pattern(sep), "$1$2")
+    parsed = lines.select(F.from_csv(fields, ddl, {"sep": sep, "escape": _CSV["escape"]}).alias("r")).select("r.*")
     return parsed.toDF(*names)
 
 
@@ -164,22 +250,25 @@ def read_mixed(spark: SparkSession, paths: Sequence[str], collapse_repeated: boo
                numeric: Sequence[str] = NUMERIC_CANONICAL) -> DataFrame:
     """S3: read files of any dialect, harmonise each group and stack them.
 
-    Files are grouped by (delimiter, header line); each group is one CSV
-    scan.  Groups are stacked with ``unionByName(allowMissingColumns=True)``
-    the canonical numeric columns are coerced with ``safe_double``, and
-    ``gender`` is trimmed and lower-cased (D13).
-    ``source`` holds the file name of each row when ``source_col`` is set.
+    Paths are files or folders.  Every file is read by its own dialect: files are
+    grouped by (delimiter, header line), and each group is one CSV scan.  Groups
+    are stacked with ``unionByName(allowMissingColumns=True)``, the canonical
+    numeric columns are coerced with ``safe_double``, and ``gender`` is trimmed and
+    lower-cased (D13).  ``source`` holds the file name of each row when
+    ``source_col`` is set.  Files without a line give no rows; if all are, the
+    result is empty with the canonical columns.
     """
-    groups: dict[tuple[str, str], list[str]] = {}
-    for p, key in zip(paths, detect_dialects(spark, paths)):
-        groups.setdefault(key, []).append(p)
     frames = []
-    for (sep, header), files in groups.items():
+    for sep, header, files in dialect_groups(spark, paths):
         df = read_delimited(spark, files, sep, header, collapse_repeated)
         df = null_tokens(harmonize(df), tokens)
         if source_col:
             df = df.withColumn(source_col, F.element_at(F.split(F.input_file_name(), "/"), -1))
         frames.append(df)
+    if not frames:
+        source = [source_col] if source_col else []
+        none = spark.createDataFrame([], ", ".join(f"`{c}` STRING" for c in [*S.CANONICAL_COLUMNS, *source]))
+        frames = [none]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import round_even
+from . import storage
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
@@ -40,13 +44,32 @@ def format_log(scored: DataFrame) -> DataFrame:
     )
 
 
-def append_scored(scored: DataFrame, path: str) -> str:
-    """Append formatted rows; every part file carries the header once."""
-    (format_log(scored).write.mode("append").option("header", True).csv(path))
+def append_scored(scored: DataFrame, path: str, batch_id: str | int | None = None) -> str:
+    """Append formatted rows as one batch; every part file carries the header once.
+
+    The rows are written aside and published by a commit under ``batch_id`` (see
+    ``storage``): a batch that is killed shows nothing, and one that is repeated,
+    by a retry or a restarted stream, changes nothing.  Without an id every call
+    is a batch of its own.
+    """
+    name = f"batch-{uuid.uuid4().hex if batch_id is None else batch_id}"
+    storage.publish(format_log(scored), path, name, lambda df, folder: df.write.option("header", True).csv(folder))
     return path
 
 
-def read_log(spark, path: str) -> DataFrame:
-    """Read the submission log back with its typed schema."""
-    return (spark.read.option("header", True).schema(S.SUBMISSION_SCHEMA)
-            .option("timestampNTZFormat", S.SUBMISSION_TS_FORMAT).csv(path))
+def _log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    folders = sorted(storage.committed(spark, path).values())
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return (spark.read.option("header", True).schema(schema)
+            .option("timestampNTZFormat", S.SUBMISSION_TS_FORMAT).csv(folders))
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """Read the published batches of the submission log back with their typed schema."""
+    return _log(spark, path, S.SUBMISSION_SCHEMA)
+
+
+def read_log_text(spark: SparkSession, path: str) -> DataFrame:
+    """The published batches of the submission log as text columns."""
+    return _log(spark, path, T.StructType([T.StructField(f.name, T.StringType()) for f in S.SUBMISSION_SCHEMA.fields]))

@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,6 +20,8 @@ from .. import schema as S
 from ..functions import band_label, bmi, bmi_index
 from ..operators.clean import valid_submission_condition
 from ..operators.distribution import bucket_edges, bucketize, cumulative, default_buckets
+from . import changelog
+from .snapshot import ROWS, joined_ranks, last_steps, open_snapshot, rank_stored, snapshot_complete, write_snapshot
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
@@ -73,54 +75,37 @@ def rank_against(probes: DataFrame, probe_col: str, snapshot: DataFrame,
     rows, and no task holds more than a bucket.  Null probes get null ranks.
     """
     nb = n_buckets or default_buckets(probes.sparkSession)
-    probe = F.col(probe_col).cast("double")
+    values = probes.select(F.col(probe_col).cast("double").alias("value")).filter(F.col("value").isNotNull()).distinct()
     edges = bucket_edges(snapshot, nb)
-    asked = probes.select(probe.alias("value")).filter(F.col("value").isNotNull()).distinct()
-    nothing = F.lit(None).cast("bigint")
-    both = snapshot.select("value", F.lit(0).alias("kind"), "cum", "n").unionByName(
-        asked.select("value", F.lit(1).alias("kind"), nothing.alias("cum"), nothing.alias("n")))
-    upto = (Window.partitionBy("bucket").orderBy("value", "kind")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    last = F.last(F.when(F.col("kind") == 0, F.struct("value", "cum", "n")), ignorenulls=True).over(upto)
-    steps = bucketize(both, "value", edges, nb).withColumn("last", last).filter("kind = 1").select(
-        F.col("value").alias("__v"), F.coalesce("last.cum", F.lit(0)).alias("__le"),
-        F.when(F.col("last.value") == F.col("value"), F.col("last.n")).otherwise(0).alias("__eq"))
-    size = snapshot.agg(F.max("total").alias("__N"), F.max("as_of").alias("as_of"))
-    le, lt = F.col("__le") / F.col("__N"), (F.col("__le") - F.col("__eq")) / F.col("__N")
-    ranked = (probes.filter(probe.isNotNull()).join(steps, probe == F.col("__v")).join(F.broadcast(size))
-              .withColumn("percentile", F.lit(100.0) * le).withColumn("below", F.lit(100.0) * lt)
-              .withColumn("above", F.lit(100.0) - F.col("below")).drop("__v", "__le", "__eq", "__N"))
-    none = F.lit(None).cast("double")
-    unranked = probes.filter(probe.isNull()).join(F.broadcast(size.drop("__N"))).select(
-        "*", none.alias("percentile"), none.alias("below"), none.alias("above"))
-    return ranked.unionByName(unranked)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    asked, steps = (bucketize(x, "value", edges, nb) for x in (values, snapshot.select("value", "cum", "n")))
+    size = snapshot.agg(F.max("total").alias("total"), F.max("as_of").alias("as_of"))
+    return joined_ranks(probes, probe_col, last_steps(asked, steps), size)
 
 
 def start_percentile(sub: DataFrame, snapshot: DataFrame, out: str, checkpoint: str,
-                     probe_col: str = "bmi", n_buckets: int | None = None) -> StreamingQuery:
+                     probe_col: str = "bmi", bucket_rows: int = ROWS) -> StreamingQuery:
     """Stream each scored submission's rank in the population.
 
-    The snapshot is written once into the query's checkpoint folder and read back.
-    A restarted query goes on with it, and needs nothing else of the first run;
-    one whose write did not complete is written anew.  Each micro-batch goes to
+    The snapshot is written once into the query's checkpoint folder, in bucket
+    folders, and read back; each micro-batch reads only the buckets that its probes
+    fall in.  A restarted query goes on with it, and needs nothing else of the first
+    run; one whose write did not complete is written anew.  Each micro-batch goes to
     its own ``batch_id=<n>`` folder with overwrite, so a replayed batch replaces
     its first attempt.
     """
     spark = sub.sparkSession
     path = os.path.join(checkpoint, "population-snapshot")
-    if not _exists(spark, os.path.join(path, "_SUCCESS")):
-        snapshot.write.mode("overwrite").parquet(path)
-    static = spark.read.parquet(path)
+    if not snapshot_complete(spark, path):
+        write_snapshot(snapshot, path, bucket_rows)
+    steps, edges = open_snapshot(spark, path)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        rank_against(batch, probe_col, static, n_buckets).write.mode("overwrite").parquet(
-            os.path.join(out, f"batch_id={batch_id}"))
+        batch = batch.persist()  # read for the buckets it hits, and again for its rows
+        try:
+            rank_stored(batch, probe_col, steps, edges).write.mode("overwrite").parquet(
+                os.path.join(out, f"batch_id={batch_id}"))
+        finally:
+            batch.unpersist()
 
     return (sub.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -151,16 +136,18 @@ def _start(writer, spark: SparkSession, state_partitions: int | None) -> Streami
 
 def start_latest(sub: DataFrame, out: str, checkpoint: str, key: str = "user_id",
                  order: Sequence[str] = ("ts", "event_id"),
-                 state_partitions: int | None = None) -> StreamingQuery:
+                 state_partitions: int | None = None, compact_after: int = 32) -> StreamingQuery:
     """Changed users of each micro-batch written under their batch id.
 
     Each micro-batch goes to its own ``batch_id=<n>`` folder with overwrite,
     so a batch replayed after a failure replaces its first attempt
-    (idempotent sink); ``read_latest`` folds the folders to the current row
-    per user.
+    (idempotent sink).  Past ``compact_after`` folders they are merged into a base
+    (see ``changelog``), so ``read_latest`` reads a row per user and a bounded
+    number of batches.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(os.path.join(out, f"batch_id={batch_id}"))
+        changelog.compact_if(sub.sparkSession, out, key, order, compact_after)
 
     writer = (latest_updates(sub, key, order).writeStream.outputMode("update")
               .foreachBatch(sink).option("checkpointLocation", checkpoint)
@@ -171,11 +158,7 @@ def start_latest(sub: DataFrame, out: str, checkpoint: str, key: str = "user_id"
 def read_latest(spark: SparkSession, out: str, key: str = "user_id",
                 order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
     """Current row per user from the W3 update log (last batch wins)."""
-    log = spark.read.parquet(out)
-    rest = [c for c in log.columns if c not in (key, "batch_id")]
-    best = F.max_by(F.struct(*[F.col(c) for c in rest]),
-                    F.struct(F.col("batch_id"), *[F.col(c) for c in order]))
-    return log.groupBy(key).agg(best.alias("__row")).select(key, "__row.*")
+    return changelog.current(spark, out, key, order).drop("batch_id")
 
 
 def category_counts(sub: DataFrame, ts: str = "ts", window: str = "1 day",
