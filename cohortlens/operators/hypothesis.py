@@ -20,6 +20,7 @@ No Python runs in the plan.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,52 +51,59 @@ def _ln_gamma_half(k: Column) -> Column:
         first + j < half, F.log(first + j)).otherwise(0.0))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _density(k: Column, a: Column, x: Column) -> Column:
     """``x^a exp(-x) / Gamma(a + 1)`` without cancellation for large ``a = k/2``."""
-    mu = (x - a) / a
     stirling = 1 / (12 * a) - 1 / (360 * a * a * a) + 1 / (1260 * F.pow(a, F.lit(5.0))) - 1 / (1680 * F.pow(a, F.lit(7.0)))
-    large = F.exp(-a * (mu - F.log1p(mu)) - stirling) / F.sqrt(2 * math.pi * a)
+    large = let((x - a) / a, lambda mu: F.exp(-a * (mu - F.log1p(mu)) - stirling) / F.sqrt(2 * math.pi * a))
     small = F.exp(-x + a * F.log(x) - _ln_gamma_half(k) - F.log(a))
     return F.when(a >= _STIRLING_FROM, large).otherwise(small)
 
 
-def _gamma_q(k: Column, x: Column) -> Column:
-    """Q(k/2, x) by power series or continued fraction (modified Lentz)."""
-    a = k.cast("double") / 2
-    steps = F.sequence(F.lit(1), F.when(k <= SERIES_DOF, 200 + F.ceil(20 * F.sqrt(a))).otherwise(1).cast("int"))
+def _nonzero(v: Column) -> Column:
+    return F.when(F.abs(v) < _TINY, F.lit(_TINY)).otherwise(v)
+
+
+def _gamma_q(k: Column, a: Column, x: Column) -> Column:
+    """Q(a, x), a = k/2, by power series or continued fraction (modified Lentz)."""
+    steps = F.sequence(F.lit(1), (200 + F.ceil(20 * F.sqrt(a))).cast("int"))
 
     def series_step(st, n):
-        t = st["t"] * x / (a + n.cast("double"))
-        return F.struct(t.alias("t"), (st["s"] + t).alias("s"))
+        return let(st["t"] * x / (a + n.cast("double")),
+                   lambda t: F.struct(t.alias("t"), (st["s"] + t).alias("s")))
 
     series = F.aggregate(steps, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
                          series_step, lambda st: st["s"])
 
     def fraction_step(st, i):
-        fi = i.cast("double")
-        an = -fi * (fi - a)
-        b = st["b"] + 2.0
-        d = an * st["d"] + b
-        d = F.when(F.abs(d) < _TINY, F.lit(_TINY)).otherwise(d)
-        c = b + an / st["c"]
-        c = F.when(F.abs(c) < _TINY, F.lit(_TINY)).otherwise(c)
-        d = 1.0 / d
-        return F.struct(b.alias("b"), c.alias("c"), d.alias("d"), (st["h"] * d * c).alias("h"))
-
-    b0 = x + 1.0 - a
-    init = F.struct(b0.alias("b"), F.lit(1.0 / _TINY).alias("c"), (1.0 / b0).alias("d"), (1.0 / b0).alias("h"))
-    fraction = F.when(x < a + 1.0, F.lit(0.0)).otherwise(F.aggregate(steps, init, fraction_step, lambda st: st["h"]))
-    density = _density(k, a, x)
-    return F.when(x < a + 1.0, 1.0 - density * series).otherwise(density * a * fraction)
-
-
-def _gamma_q_large(k: Column, x: Column) -> Column:
-    """Q(k/2, x) for large k: half the complementary error function and a correction."""
-    a = k.cast("double") / 2
-    mu = (x - a) / a
-    eta = F.signum(mu) * F.sqrt(F.greatest(2 * (mu - F.log1p(mu)), F.lit(0.0)))
-    z2 = a * eta * eta / 2
-    erfc = F.when(z2 <= 0, F.lit(1.0)).when(z2 > 700, F.lit(0.0)).otherwise(_gamma_q(F.lit(1), F.when(z2 > 0, z2).otherwise(1.0)))
+        an = -i.cast("double") * (i.cast("double") - a)
+        raw = F.struct((st["b"] + 2.0).alias("b"), (an * st["d"] + st["b"] + 2.0).alias("d"),
+                       (st["b"] + 2.0 + an / st["c"]).alias("c"))
+
+        def turned(r):
+            return F.struct(r["b"].alias("b"), _nonzero(r["c"]).alias("c"), (1.0 / _nonzero(r["d"])).alias("d"))
+
+        return let(raw, lambda r: let(turned(r), lambda t: F.struct(
+            t["b"].alias("b"), t["c"].alias("c"), t["d"].alias("d"), (st["h"] * t["d"] * t["c"]).alias("h"))))
+
+    def fraction(b0: Column) -> Column:
+        init = F.struct(b0.alias("b"), F.lit(1.0 / _TINY).alias("c"), (1.0 / b0).alias("d"), (1.0 / b0).alias("h"))
+        return F.aggregate(steps, init, fraction_step, lambda st: st["h"])
+
+    return let(_density(k, a, x), lambda d: F.when(x < a + 1.0, 1.0 - d * series).otherwise(
+        d * a * let(x + 1.0 - a, fraction)))
+
+
+def _gamma_q_large(a: Column, eta: Column, z2: Column, q: Column) -> Column:
+    """Q(a, x) for large a: half the complementary error function and a correction.
+
+    ``q`` is Q(1/2, z2), the complementary error function of sqrt(z2), for z2 > 0.
+    """
+    erfc = F.when(z2 <= 0, F.lit(1.0)).otherwise(q)
     tail = F.when(eta < 0, 1 - erfc / 2).otherwise(erfc / 2)
 
     def poly(coefficients):
@@ -112,11 +120,31 @@ def chi_square_pvalue(stat: Column, dof: Column) -> Column:
     """Upper-tail probability of the chi-square distribution (JVM-side only), any dof.
 
     1 for a statistic of 0 or less, and for dof 0, where there is nothing to test.
+    Each quantity is bound once (``let``), and both ways to the tail share one
+    incomplete gamma function, so the expression stays short.
     """
-    k = dof.cast("bigint")
-    x = F.when(stat > 0, stat / 2).otherwise(F.lit(1.0))
-    q = F.when(k <= SERIES_DOF, _gamma_q(k, x)).otherwise(_gamma_q_large(k, x))
-    return F.when((stat <= 0) | (k <= 0), F.lit(1.0)).otherwise(
+    given = F.struct(dof.cast("bigint").alias("k"), F.when(stat > 0, stat / 2).otherwise(F.lit(1.0)).alias("x"))
+
+    def far(v: Column) -> Column:  # how far out x lies, for the expansion
+        a = v["k"].cast("double") / 2
+        off = let((v["x"] - a) / a, lambda mu: F.struct(
+            mu.alias("mu"), F.greatest(2 * (mu - F.log1p(mu)), F.lit(0.0)).alias("eta2")))
+        none = F.struct(F.lit(0.0).alias("mu"), F.lit(0.0).alias("eta2"))
+        return F.struct(v["k"].alias("k"), v["x"].alias("x"), a.alias("a"),
+                        F.when(v["k"] > SERIES_DOF, off).otherwise(none).alias("off"))
+
+    def tail(v: Column) -> Column:
+        small = v["k"] <= SERIES_DOF
+        z2 = v["a"] * v["off"]["eta2"] / 2
+        near = F.least(F.greatest(z2, F.lit(_TINY)), F.lit(700.0))
+        asked = F.struct(F.when(small, v["k"]).otherwise(F.lit(1)).alias("k"), F.when(small, v["a"]).otherwise(0.5).alias("a"),
+                         F.when(small, v["x"]).otherwise(near).alias("x"),
+                         (F.signum(v["off"]["mu"]) * F.sqrt(v["off"]["eta2"])).alias("eta"), z2.alias("z2"))
+        return let(asked, lambda w: let(_gamma_q(w["k"], w["a"], w["x"]), lambda q: F.when(small, q).otherwise(
+            _gamma_q_large(v["a"], w["eta"], w["z2"], q))))
+
+    q = let(let(given, far), tail)
+    return F.when((stat <= 0) | (dof.cast("bigint") <= 0), F.lit(1.0)).otherwise(
         F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0)))
 
 
