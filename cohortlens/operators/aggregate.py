@@ -24,9 +24,28 @@ def levels(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).distinct()
 
 
-def counts(df: DataFrame, *cols: str, name: str = "count") -> DataFrame:
-    """A2-A5: rows per combination of ``cols``."""
-    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias(name))
+def _rows(weight: str | None) -> Column:
+    """Number of rows: of the table itself, or of those that a cell table's ``weight`` stands for."""
+    return F.count(F.lit(1)) if weight is None else F.coalesce(F.sum(weight), F.lit(0)).cast("bigint")
+
+
+def _rows_if(cond: Column, weight: str | None) -> Column:
+    """Rows that meet ``cond``; null if none does."""
+    return F.sum(F.when(cond, F.lit(1) if weight is None else F.col(weight)))
+
+
+def cell_cube(df: DataFrame, *dims: str, name: str = "n") -> DataFrame:
+    """Rows per combination of all ``dims``, nulls included: the cells every count over them is a sum of.
+
+    One scan with a partial aggregate; the result is as large as the present
+    combinations.  Pass it with ``weight=name`` to the counts, pivots and tests below.
+    """
+    return df.groupBy(*dims).agg(F.count(F.lit(1)).alias(name))
+
+
+def counts(df: DataFrame, *cols: str, name: str = "count", weight: str | None = None) -> DataFrame:
+    """A2-A5: rows per combination of ``cols``, from rows or from a cell table (``weight``)."""
+    return df.groupBy(*cols).agg(_rows(weight).alias(name))
 
 
 def category_gender_counts(df: DataFrame, cat: str = "BMI_cat", gender: str = "gender",
@@ -38,7 +57,8 @@ def category_gender_counts(df: DataFrame, cat: str = "BMI_cat", gender: str = "g
               .groupBy("gender", "cat").agg(F.count(F.lit(1)).alias("count")))
 
 
-def multi_counts(df: DataFrame, sets: Sequence[Sequence[str]], name: str = "count") -> DataFrame:
+def multi_counts(df: DataFrame, sets: Sequence[Sequence[str]], name: str = "count",
+                 weight: str | None = None) -> DataFrame:
     """Several group-by counts in one scan (GROUPING SETS).
 
     ``set_id`` is Spark's ``grouping_id`` over the union of the columns:
@@ -53,7 +73,7 @@ def multi_counts(df: DataFrame, sets: Sequence[Sequence[str]], name: str = "coun
     gsets = [[F.col(c) for c in s] for s in sets]
     return (df.groupingSets(gsets, *[F.col(c) for c in cols])
               .agg(F.grouping_id(*[F.col(c) for c in cols]).alias("set_id"),
-                   F.count(F.lit(1)).alias(name)))
+                   _rows(weight).alias(name)))
 
 
 def pct_within(cnt: DataFrame, by: Sequence[str], count_col: str = "count",
@@ -69,13 +89,13 @@ def pct_within(cnt: DataFrame, by: Sequence[str], count_col: str = "count",
 
 
 def crosstab_pct(df: DataFrame, rows: str, cols: str, col_levels: Sequence[str],
-                 digits: int = 1) -> DataFrame:
+                 digits: int = 1, weight: str | None = None) -> DataFrame:
     """Percentage of each column level within a row key, columns in a fixed order.
 
     Empty cells are null.  Rows whose column value is outside ``col_levels``
     still count in the row total, as in the original.
     """
-    cnt = counts(df, rows, cols)
+    cnt = counts(df, rows, cols, weight=weight)
     pct = pct_within(cnt, [rows], out="pct", digits=digits)
     wide = pct.groupBy(rows).pivot(cols, list(col_levels)).agg(F.first("pct"))
     return wide.select(rows, *[F.col(f"`{lv}`") for lv in col_levels]).orderBy(rows)
@@ -96,7 +116,7 @@ def pct_of_total(df: DataFrame, col: str, digits: int = 2, name: str = "Count",
 
 def crosstab(df: DataFrame, rows: str, cols: str,
              col_levels: Sequence[str] = S.GENDER_LEVELS,
-             names: dict[str, str] | None = None) -> DataFrame:
+             names: dict[str, str] | None = None, weight: str | None = None) -> DataFrame:
     """A10: counts of each column level per row key; an empty cell is null.
 
     One aggregate with conditional sums (no second pivot shuffle); rows with
@@ -105,17 +125,17 @@ def crosstab(df: DataFrame, rows: str, cols: str,
     """
     names = names or {lv: str(lv) for lv in col_levels}
     c = F.col(cols)
-    aggs = [F.sum(F.when(c == F.lit(lv), F.lit(1))).alias(names[lv]) for lv in col_levels]
+    aggs = [_rows_if(c == F.lit(lv), weight).alias(names[lv]) for lv in col_levels]
     return df.groupBy(rows).agg(*aggs)
 
 
 def crosstab_counts(df: DataFrame, rows: str, cols: str, col_levels: Sequence,
-                    names: Sequence[str] | None = None) -> DataFrame:
+                    names: Sequence[str] | None = None, weight: str | None = None) -> DataFrame:
     """A12/R3 wide form: zero-filled counts of each column level per row key,
     rows sorted by key (the matrix a chi-square test reads)."""
     names = list(names) if names is not None else [str(lv) for lv in col_levels]
     c = F.col(cols)
-    aggs = [F.count_if(c == F.lit(lv)).alias(n) for lv, n in zip(col_levels, names)]
+    aggs = [F.coalesce(_rows_if(c == F.lit(lv), weight), F.lit(0)).cast("bigint").alias(n) for lv, n in zip(col_levels, names)]
     return df.filter(F.col(rows).isNotNull()).groupBy(rows).agg(*aggs).orderBy(rows)
 
 
@@ -130,25 +150,26 @@ def with_proportions(pivot: DataFrame, count_cols: Sequence[str] = ("Female_Coun
     return pivot
 
 
-def gender_pivot(df: DataFrame, band_col: str = "BMI_Index", gender: str = "gender") -> DataFrame:
+def gender_pivot(df: DataFrame, band_col: str = "BMI_Index", gender: str = "gender",
+                 weight: str | None = None) -> DataFrame:
     """A10 + A11: the gender pivot with proportions, ordered by band."""
-    piv = crosstab(df, band_col, gender, S.GENDER_LEVELS, S.GENDER_PIVOT_NAMES)
+    piv = crosstab(df, band_col, gender, S.GENDER_LEVELS, S.GENDER_PIVOT_NAMES, weight)
     return with_proportions(piv).orderBy(band_col)
 
 
-def cell_counts(df: DataFrame, a: str, b: str) -> DataFrame:
+def cell_counts(df: DataFrame, a: str, b: str, weight: str | None = None) -> DataFrame:
     """Present cells ``(a, b, n)`` of the contingency table (nulls left out)."""
     return (df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-              .groupBy(a, b).agg(F.count(F.lit(1)).alias("n")))
+              .groupBy(a, b).agg(_rows(weight).alias("n")))
 
 
-def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
+def contingency(df: DataFrame, a: str, b: str, weight: str | None = None) -> DataFrame:
     """Dense long-form count table ``(a, b, n)``; absent cells have n = 0.
 
     Null keys are left out.  The grid pairs the two level tables, as its output
     demands, and is joined with the cell counts; nothing is gathered.
     """
-    cells = keep(cell_counts(df, a, b))
+    cells = keep(cell_counts(df, a, b, weight))
     grid = cells.select(a).distinct().crossJoin(cells.select(b).distinct())
     return (grid.join(cells, [a, b], "left")
                 .select(a, b, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import bmi, finite_positive, round_even, safe_double, safe_int
+from .distribution import column_quantiles
 
 
 def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -123,12 +124,14 @@ def subset_equal(df: DataFrame, col: str, value) -> DataFrame:
 
 
 def profile(df: DataFrame, cols: Sequence[str] | None = None,
-            approx_median: bool = False, accuracy: int = 10000) -> DataFrame:
+            approx_median: bool = False, accuracy: int = 10000, quartiles: bool = False) -> DataFrame:
     """One row per column: rows, missing, min, max, mean (and, on
     request, an approximate median with rank error at most N/accuracy).
 
     One aggregate pass computes every statistic of every column; the wide
-    row is then unpivoted to one row per column with ``stack``.
+    row is then unpivoted to one row per column with ``stack``.  With ``quartiles``
+    the exact ``q1``, ``median`` and ``q3`` (type 7) of all numeric columns are added,
+    from one order pass over the cells of all of them; other columns have nulls.
     """
     cols = list(cols or df.columns)
     numeric = {f.name for f in df.schema.fields
@@ -151,7 +154,18 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None,
     names = "column, position, n_rows, n_missing, min, max, mean" + (", median_approx" if approx_median else "")
     pieces = ", ".join(
         f"'{c}', {i}, n{i}, m{i}, lo{i}, hi{i}, mu{i}" + extra.format(i=i) for i, c in enumerate(cols))
-    return wide.selectExpr(f"stack({len(cols)}, {pieces}) as ({names})")
+    out = wide.selectExpr(f"stack({len(cols)}, {pieces}) as ({names})")
+    if not quartiles:
+        return out
+    names3 = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    none = [F.lit(None).cast("double").alias(n) for n in names3]
+    measured = [c for c in cols if c in numeric]
+    if not measured:
+        return out.select("*", *none)
+    found = column_quantiles(df, measured, list(names3.values()))
+    wide3 = found.groupBy(F.col("column").alias("__c")).agg(
+        *[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for n, p in names3.items()])
+    return out.join(wide3, F.col("column") == F.col("__c"), "left").drop("__c")
 
 
 def head(df: DataFrame, n: int = 5, order: Sequence[str] = ("person_id",)) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..session import keep
+from ..session import keep, scratch_path
 from ..functions import round_even
 
 def default_buckets(spark: SparkSession) -> int:
@@ -235,6 +235,71 @@ def sketch_quantiles(sketches: DataFrame, ps: Sequence[float], by: Sequence[str]
                   .select(*by, F.col("z.p").alias("p"), F.col("z.q").alias("q"), "n"))
 
 
+def rank_certificates(found: DataFrame, cum: DataFrame, error: float, by: Sequence[str] = ()) -> DataFrame:
+    """Proof of approximate quantiles: ``(by..., p, q, n, lowest, highest, within)``.
+
+    ``found`` has ``(by..., p, q)``; ``cum`` is the cumulative table of the same
+    rows.  A value's copies hold the ranks ``lowest`` to ``highest`` of the ``n``
+    sorted values; ``within`` says whether one of them is at most ``error * n`` (and
+    one rank, for rounding) from ``p * n``.  A value that is not in the data is not.
+    """
+    by = list(by)
+    steps = cum.select(*[F.col(k).alias(f"__c_{k}") for k in by], F.col("value").alias("__v"), F.col("n").alias("__copies"), "cum")
+    sizes = cum.groupBy(*by).agg(F.max("total").alias("n"))
+    same = F.col("q") == F.col("__v")
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"__c_{k}"))
+    lowest, highest = F.col("cum") - F.col("__copies") + 1, F.col("cum")
+    target = F.col("p") * F.col("n")
+    off = F.greatest(lowest - target, target - highest, F.lit(0.0))
+    return (attach(found.select(*by, "p", "q"), sizes, by).join(steps, same, "left")
+            .select(*by, "p", "q", "n", lowest.alias("lowest"), highest.alias("highest"),
+                    (F.col("cum").isNotNull() & (off <= F.col("n") * F.lit(float(error)) + 1)).alias("within")))
+
+
+def column_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(column, value)``: the numeric cells of all ``cols``, one row each, from one scan."""
+    cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in cols]
+    return df.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float],
+                     n_buckets: int | None = None) -> DataFrame:
+    """Exact quantiles (type 7) of many columns in one order pass: ``(column, p, q)``.
+
+    The cells of all columns meet in one distinct-value table keyed by column, so
+    the rows are scanned and shuffled once, however many columns there are.
+    """
+    return quantiles(column_values(df, cols), "value", ps, ["column"], n_buckets)
+
+
+def global_order(df: DataFrame, value: str, ties: Sequence[str], parts: int | None = None) -> DataFrame:
+    """All rows with ``position`` (1 to n by value, then ``ties``) and ``rank`` (equal values share the first).
+
+    Rows are dealt out by ranges, sorted within each and written once with their
+    place in the range, since ranges come from a sample and may differ when they
+    are computed again.  A range's offset is the size of the ranges before it: a
+    window over one row per range.  No task sorts or numbers all rows.  Nulls come
+    first; order by columns that together are unique, or equal rows take their
+    positions in any order.
+    """
+    spark = df.sparkSession
+    n = parts or default_buckets(spark)
+    path = scratch_path(spark, "global-order")
+    keys = [value, *ties]
+    dealt = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    marked = dealt.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id()})
+    marked.write.parquet(path)
+    rows = spark.read.schema(marked.schema).parquet(path)
+    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__place").alias("__first"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = sizes.select("__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    placed = rows.join(F.broadcast(offsets), "__part").withColumn(
+        "position", F.col("__offset") + F.col("__place") - F.col("__first") + 1).drop("__part", "__place", "__first", "__offset")
+    firsts = placed.groupBy(F.col(value).alias("__v")).agg(F.min("position").alias("rank"))
+    return placed.join(firsts, F.col(value).eqNullSafe(F.col("__v"))).drop("__v")
+
+
 def percentile_of(pop: DataFrame, col: str, value: float, digits: int | None = 2) -> DataFrame:
     """Q4: ``100 * share of values <= value``, optionally rounded to ``digits``."""
     c = F.col(col)

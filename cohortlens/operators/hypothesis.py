@@ -172,9 +172,9 @@ def chi_square_from_cells(cells: DataFrame, a: str, b: str, n: str = "n") -> Dat
         "p_value", chi_square_pvalue(F.col("statistic"), F.col("dof")))
 
 
-def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Pearson test of independence of ``a`` and ``b`` (nulls left out)."""
-    return chi_square_from_cells(keep(cell_counts(df, a, b)), a, b)
+def chi_square(df: DataFrame, a: str, b: str, weight: str | None = None) -> DataFrame:
+    """Pearson test of independence of ``a`` and ``b`` (nulls left out), of rows or of a cell table."""
+    return chi_square_from_cells(keep(cell_counts(df, a, b, weight)), a, b)
 
 
 def verdict(result: DataFrame, texts=S.VERDICT_GENDER_BAND, alpha: float = S.ALPHA) -> DataFrame:

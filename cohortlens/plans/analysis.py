@@ -23,6 +23,7 @@ from ..operators import aggregate as A
 from ..operators import clean as C
 from ..operators import distribution as Q
 from ..operators import users as R
+from ..session import release
 from ..sources import ingest
 
 
@@ -62,6 +63,17 @@ def summary(pop: DataFrame, user: DataFrame) -> DataFrame:
     return s.withColumn("summary", line1).withColumn("shares", line2)
 
 
+def user_point(user: DataFrame, summarised: DataFrame, bins: DataFrame) -> DataFrame:
+    """The user's own mark on the charts, one row: height, weight and BMI (scatter), category
+    (box), and the histogram ``bin`` that the BMI falls in, null beyond the bins."""
+    u = user.select("height", "weight", F.col("BMI").cast("double").alias("BMI"))
+    marks = summarised.select("user_index", "user_category", "percentile")
+    one = u.join(F.broadcast(marks))  # one row each
+    found = F.max(F.when((F.col("BMI") >= F.col("lo")) & (F.col("BMI") <= F.col("hi")), F.col("bin")))
+    hit = bins.select("bin", "lo", "hi").join(F.broadcast(one.select("BMI"))).agg(found.alias("bin"))  # a row per bin
+    return one.join(F.broadcast(hit))
+
+
 def _inputs(spark, dataset_path, user_path, order, collapse_repeated):
     pop = load(spark, dataset_path, collapse_repeated)
     log = load(spark, user_path, collapse_repeated)
@@ -86,9 +98,11 @@ def run_analysis(spark: SparkSession, dataset_path: str, user_path: str,
     cat = band_label(bmi_index("BMI"), S.BMI_LABELS_SHORT, S.MISSING_CATEGORY)
     labelled = valid.withColumn("BMI_cat", restrict(cat, S.BMI_LABELS_SHORT))
     known = valid.filter(F.col("gender").isNotNull())
+    summarised, bins = summary(pop, user), Q.histogram(valid, "BMI", S.HISTOGRAM_BINS)
     return {
-        "summary": summary(pop, user),
-        "histogram": Q.histogram(valid, "BMI", S.HISTOGRAM_BINS),
+        "summary": summarised,
+        "user_point": user_point(user, summarised, bins),
+        "histogram": bins,
         "ecdf": Q.ecdf(valid, "BMI"),
         "scatter": Q.scatter_points(pop, "height", "weight", value="BMI"),
         "box_by_category": Q.box_stats(labelled, "BMI", ["BMI_cat"]),
@@ -123,6 +137,7 @@ def main(argv=None) -> None:
 
         for name, df in frames.items():
             write_table(df, os.path.join(args.output, name))
+    release()
 
 
 if __name__ == "__main__":

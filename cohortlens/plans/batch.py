@@ -23,27 +23,40 @@ from ..operators import clean as C
 from ..operators import distribution as Q
 from ..operators import hypothesis as T
 from ..operators.enrich import enrich, with_category
+from ..session import release, scratch_path
 from ..sources import ingest, sinks
 
 # The example person of the chart step (age 21, 68 kg, 160 cm).
 EXAMPLE_PERSON = {"age": 21, "weight": 68.0, "height": 160.0}
 
 
-def analyse(clean: DataFrame) -> dict[str, DataFrame]:
-    """The analysis step on valid rows: derived columns, pivots and both tests."""
-    x = enrich(clean)
-    age_band = T.verdict(T.chi_square(x, "age_interval", "BMI_Index"), S.VERDICT_AGE_BAND)
-    known = x.filter(F.col("gender").isin(list(S.GENDER_LEVELS)))
-    gender_band = T.verdict(T.chi_square(known, "gender", "BMI_Index"), S.VERDICT_GENDER_BAND)
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared scratch folder: later results read it, and no executor has to keep it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def analyse(clean: DataFrame, enriched: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The analysis step on valid rows: derived columns, pivots and both tests.
+
+    The rows are scanned once, for the cells of gender, band and age interval; every
+    count, pivot and test is read off that small stored table.
+    """
+    x = enrich(clean) if enriched is None else enriched
+    cells = stored(A.cell_cube(x, "gender", "BMI_Index", "age_interval"), "cells")
+    age_band = T.verdict(T.chi_square(cells, "age_interval", "BMI_Index", "n"), S.VERDICT_AGE_BAND)
+    known = cells.filter(F.col("gender").isin(list(S.GENDER_LEVELS)))
+    gender_band = T.verdict(T.chi_square(known, "gender", "BMI_Index", "n"), S.VERDICT_GENDER_BAND)
     return {
         "enriched": x,
-        "pct_pivot": A.crosstab_pct(x, "BMI_Index", "age_interval", S.AGE_LABELS),
-        "age_band_counts": A.crosstab_counts(x, "age_interval", "BMI_Index", [1, 2, 3, 4, 5]),
+        "pct_pivot": A.crosstab_pct(cells, "BMI_Index", "age_interval", S.AGE_LABELS, weight="n"),
+        "age_band_counts": A.crosstab_counts(cells, "age_interval", "BMI_Index", [1, 2, 3, 4, 5], weight="n"),
         "chisq_age_band": T.report(age_band, 4, 4),
-        "genders": A.levels(x, "gender"),
-        "count_by_gender": A.counts(x, "gender", name="Count"),
-        "count_gender_band": A.counts(x, "gender", "BMI_Index", name="Count"),
-        "gender_pivot": A.gender_pivot(x),
+        "genders": A.levels(cells, "gender"),
+        "count_by_gender": A.counts(cells, "gender", name="Count", weight="n"),
+        "count_gender_band": A.counts(cells, "gender", "BMI_Index", name="Count", weight="n"),
+        "gender_pivot": A.gender_pivot(cells, weight="n"),
         "chisq_gender_band": T.report(gender_band, 4, 6),
     }
 
@@ -83,13 +96,15 @@ def run_batch(spark: SparkSession, raw_path: str, out_dir: str | None = None,
     """Read a people CSV, clean, analyse, write the three CSVs, return all frames.
 
     With ``charts`` the frames behind the charts are also written, one
-    Parquet table each under ``<out_dir>/charts/``.
+    Parquet table each under ``<out_dir>/charts/``.  The enriched rows are stored
+    as Parquet once, and what follows reads its columns from there, not the CSV.
     """
     raw = ingest.read_people(spark, raw_path)
     clean = C.valid(raw)
+    enriched = stored(enrich(clean), "enriched")
     frames = {"raw": raw, "invalid": C.quarantine(raw), "clean": clean,
               "profile": C.profile(clean)}
-    frames.update(analyse(clean))
+    frames.update(analyse(clean, enriched))
     frames.update(chart_frames(frames["enriched"]))
     if out_dir:
         sinks.write_table(clean, os.path.join(out_dir, "clean_dataset"), fmt="csv")
@@ -121,6 +136,7 @@ def main(argv=None) -> None:
                      "chisq_gender_band", "bmi_p10_p90", "example_person"):
             print(f"== {name}")
             frames[name].show(truncate=False)
+    release()
 
 
 if __name__ == "__main__":

@@ -238,10 +238,23 @@ def _profile() -> str:
         parts.append(
             f"SELECT {_q(c)} AS \"column\", {i} AS position, COUNT(*) AS n_rows, "
             f"COUNT(*) FILTER (WHERE {c} IS NULL) AS n_missing, MIN({num}) AS \"min\", "
-            f"MAX({num}) AS \"max\", {_re(f'AVG({num})', 6)} AS mean FROM m")
+            f"MAX({num}) AS \"max\", {_re(f'AVG({num})', 6)} AS mean, "
+            + ", ".join(f"{_q7(num, p) if c != 'gender' else num} AS {n}" for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)))
+            + " FROM m")
     return "\nUNION ALL\n".join(parts)
 
 
+def _given(kinds: int) -> str:
+    """People with rounded measures and the given BMI of the first ``kinds`` rests by 13, else the computed one."""
+    values = ("22.5", "0", "-3.25", None, "100", None, "'NaN'", "'inf'", "'-inf'")[:kinds]
+    arms = " ".join(f"WHEN {i} THEN CAST({v} AS DOUBLE)" for i, v in enumerate(values) if v)
+    return f"""
+SELECT *, COALESCE(CASE person_id % 13 {arms} END,
+                   {_bmi('CAST(height AS DOUBLE)', 'CAST(weight AS DOUBLE)')}) AS BMI FROM (
+  SELECT person_id, gender, age, CAST(round_even(height, 0) AS INTEGER) AS height,
+         CAST(round_even(weight, 0) AS INTEGER) AS weight FROM m)"""
+
+
 def _reasons() -> str:
     arms = []
     for c, (lo, hi) in S.VALID_RANGES.items():
@@ -281,20 +294,15 @@ SELECT person_id, gender, age, {_re('height', 1)} AS height, {_re('weight', 1)}
     "round_int": _with("""
 SELECT person_id, gender, age, CAST(round_even(height, 0) AS INTEGER) AS height,
        CAST(round_even(weight, 0) AS INTEGER) AS weight FROM m"""),
-    "fill_derived": _with(f"""
-SELECT *, {_bmi('CAST(height AS DOUBLE)', 'CAST(weight AS DOUBLE)')} AS BMI FROM (
-  SELECT person_id, gender, age, CAST(round_even(height, 0) AS INTEGER) AS height,
-         CAST(round_even(weight, 0) AS INTEGER) AS weight FROM m)"""),
+    "fill_derived": _with(_given(6)),
     "finite_positive": _with(f"""
-SELECT * FROM (
-  SELECT *, {_bmi('CAST(height AS DOUBLE)', 'CAST(weight AS DOUBLE)')} AS BMI FROM (
-    SELECT person_id, gender, age, CAST(round_even(height, 0) AS INTEGER) AS height,
-           CAST(round_even(weight, 0) AS INTEGER) AS weight FROM m))
+SELECT * FROM ({_given(9)})
 WHERE BMI IS NOT NULL AND isfinite(BMI) AND BMI > 0"""),
     "require_rows": _with("SELECT COUNT(*) AS n FROM m"),
     "valid_submission": _with("""
 SELECT user_id, event_id, age, height_cm, weight_kg FROM lg
-WHERE age > 0 AND height_cm > 0 AND weight_kg > 0"""),
+WHERE age > 0 AND height_cm > 0 AND weight_kg > 0
+  AND event_id % 29 > 3 AND event_id % 31 > 3 AND event_id % 37 > 3"""),
     "complete_cases": _with("SELECT * FROM m WHERE gender IS NOT NULL AND age IS NOT NULL"),
     "gender_subset": _with("SELECT * FROM x WHERE gender = 'male'"),
     "profile": _with(_profile()),
@@ -313,8 +321,8 @@ FROM (SELECT person_id, {D(100)} * cume_dist() OVER (ORDER BY BMI) AS percentile
 SELECT person_id, COALESCE(gender, 'Unknown') AS gender,
        CASE WHEN cat IN ({", ".join(_q(c) for c in S.BMI_LABELS_SHORT)}) THEN cat
             WHEN cat IS NOT NULL THEN 'Other' END AS category
-FROM (SELECT person_id, gender,
-             {_label(_band(_bmi('height', 'weight'), S.BMI_CUTS), S.BMI_LABELS_SHORT, 'Missing')} AS cat
+FROM (SELECT person_id, gender, CASE person_id % 17 WHEN 0 THEN 'Normal' WHEN 1 THEN 'Gigantic' WHEN 2 THEN 'normal' ELSE
+             {_label(_band(_bmi('height', 'weight'), S.BMI_CUTS), S.BMI_LABELS_SHORT, 'Missing')} END AS cat
       FROM m)"""),
     "score_person": _with(f"""
 SELECT user_id, event_id, {_re('b', 2)} AS bmi, CAST({_band('b', S.BMI_CUTS)} AS INTEGER) AS bmi_index,
@@ -372,6 +380,13 @@ FROM ({_rank(f"(SELECT user_id, {_bmi('height', 'weight')} AS user_bmi FROM {_LA
     "quantiles": _with(f"""
 SELECT CAST(0.1 AS DOUBLE) AS p, {_q7('BMI', 0.1)} AS q FROM x
 UNION ALL SELECT CAST(0.9 AS DOUBLE), {_q7('BMI', 0.9)} FROM x"""),
+    "quantiles_approx": _with("""
+SELECT p, (SELECT COUNT(BMI) FROM x) AS n, TRUE AS within
+FROM (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE)) AS t(p)"""),
+    "quantiles_sketch": _with("""
+SELECT event_type, p, n, TRUE AS within
+FROM (SELECT event_type, COUNT(value) AS n FROM events WHERE NOT isnan(value) GROUP BY event_type),
+     (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE)) AS t(p)"""),
     "ecdf": _with("""
 SELECT value, n, CAST(SUM(n) OVER (ORDER BY value) AS BIGINT) AS cum,
        CAST(SUM(n) OVER () AS BIGINT) AS total,
@@ -420,7 +435,9 @@ SELECT user_id, event_id, user_bmi, CAST({_band('user_bmi', S.BMI_CUTS)} AS INTE
        percentile, below, above,
        {_band('percentile', S.PERCENTILE_CUTS, S.PERCENTILE_TEXTS)} AS interpretation
 FROM ranked""", _USERS),
-    "sort_values": _with("SELECT person_id, BMI FROM x"),
+    "sort_values": _with("""
+SELECT person_id, BMI, row_number() OVER (ORDER BY BMI NULLS FIRST, person_id) AS position,
+       rank() OVER (ORDER BY BMI NULLS FIRST) AS "rank" FROM x"""),
     # streaming (batch twins)
     "stream_score": _with('SELECT user_id, event_id, bmi, "index", category FROM scored'),
     "stream_percentile": _with(_rank("(SELECT user_id, event_id, bmi FROM scored)", "bmi")),
@@ -434,6 +451,8 @@ SELECT time_bucket(INTERVAL 1 day, "timestamp") AS window_start,
 FROM scored GROUP BY ALL"""),
 }
 
+ORACLE["cell_cube_counts"] = ORACLE["all_counts"]
+
 # verdict: both tests' verdict columns
 ORACLE["verdict"] = (
     _with("SELECT test, p_value, significant, interpretation FROM res",

@@ -131,13 +131,36 @@ def round_int_q(spark, sf):
     return C.round_measures(V.people(spark, sf), digits=0)
 
 
+# Given values as a dirty file has them, dealt out to rows by their id; the rest have none.
+GIVEN_BMI = ("22.5", "0", "-3.25", "abc", " 1e2 ", "31.0x")
+NOT_FINITE = ("NaN", "inf", "-Infinity")
+BAD_AGES, BAD_MEASURES = ("0", "-4", "31.5", "old"), ("0", "-1.5", "tall", "")
+GIVEN_CATEGORIES = ("Normal", "Gigantic", "normal")
+
+
+def _dealt(key: str, values: tuple[str, ...], of: int) -> "F.Column":
+    """The i-th value for keys whose rest by ``of`` is i, null for all others."""
+    out = None
+    for i, v in enumerate(values):
+        hit = F.pmod(F.col(key), F.lit(of)) == i
+        out = F.when(hit, F.lit(v)) if out is None else out.when(hit, F.lit(v))
+    return out
+
+
+def _people_with_given(spark, sf, given: tuple[str, ...]):
+    rounded = C.round_measures(V.people(spark, sf), digits=0)
+    return rounded.withColumn("BMI", safe_double(_dealt("person_id", given, 13)))
+
+
 def fill_derived_q(spark, sf):
-    """C6 after C5: BMI from whole-number height and weight (no BMI given)."""
-    return C.fill_bmi(C.round_measures(V.people(spark, sf), digits=0))
+    """C6 after C5: a given BMI (zero, negative, odd text too) is kept if it is a number, else
+    computed from whole-number height and weight."""
+    return C.fill_bmi(_people_with_given(spark, sf, GIVEN_BMI))
 
 
 def finite_positive_q(spark, sf):
-    return C.finite_positive_rows(C.fill_bmi(C.round_measures(V.people(spark, sf), digits=0)))
+    """Given and computed BMI; zero, negative, NaN and infinite ones go."""
+    return C.finite_positive_rows(C.fill_bmi(_people_with_given(spark, sf, GIVEN_BMI + NOT_FINITE)))
 
 
 def require_rows_q(spark, sf):
@@ -145,10 +168,12 @@ def require_rows_q(spark, sf):
 
 
 def valid_submission_q(spark, sf):
+    """The form's rows as text, with ages and measures that it refuses among them."""
     text = V.log(spark, sf).select(
-        "user_id", "event_id", F.col("age").cast("string").alias("age"),
-        F.col("height_cm").cast("string").alias("height_cm"),
-        F.col("weight_kg").cast("string").alias("weight_kg"))
+        "user_id", "event_id",
+        F.coalesce(_dealt("event_id", BAD_AGES, 29), F.col("age").cast("string")).alias("age"),
+        F.coalesce(_dealt("event_id", BAD_MEASURES, 31), F.col("height_cm").cast("string")).alias("height_cm"),
+        F.coalesce(_dealt("event_id", BAD_MEASURES, 37), F.col("weight_kg").cast("string")).alias("weight_kg"))
     return C.valid_submissions(text)
 
 
@@ -161,7 +186,8 @@ def gender_subset_q(spark, sf):
 
 
 def profile_q(spark, sf):
-    p = C.profile(V.people(spark, sf))
+    """C12 with the exact quartiles of all numeric columns from one order pass."""
+    p = C.profile(V.people(spark, sf), quartiles=True)
     return p.withColumn("mean", round_even(F.col("mean"), 6))
 
 
@@ -208,7 +234,8 @@ def default_level_q(spark, sf):
     """Null gender -> ``Unknown``; a label outside the five (``Missing``
     for a null BMI) -> ``Other``, as the category chart does."""
     x = V.people(spark, sf).withColumn("BMI_Index", bmi_index(bmi("height", "weight")))
-    cat = band_label("BMI_Index", S.BMI_LABELS_SHORT, S.MISSING_CATEGORY)
+    given = _dealt("person_id", GIVEN_CATEGORIES, 17)  # as a file may bring them; one of them is known
+    cat = F.coalesce(given, band_label("BMI_Index", S.BMI_LABELS_SHORT, S.MISSING_CATEGORY))
     return x.select("person_id",
                     with_default("gender", S.UNKNOWN_GENDER).alias("gender"),
                     restrict(cat, S.BMI_LABELS_SHORT).alias("category"))
@@ -257,6 +284,12 @@ def all_counts_q(spark, sf):
                           [["gender"], ["BMI_Index", "age_interval"], ["gender", "BMI_Index"]])
 
 
+def cell_cube_counts_q(spark, sf):
+    """A6 from the cell cube: one scan gives the cells, and every count is a sum of them."""
+    cells = A.cell_cube(V.population(spark, sf), "gender", "BMI_Index", "age_interval")
+    return A.multi_counts(cells, [["gender"], ["BMI_Index", "age_interval"], ["gender", "BMI_Index"]], weight="n")
+
+
 def pct_within_band_q(spark, sf):
     return A.pct_within(A.counts(V.population(spark, sf), "BMI_Index", "age_interval"), ["BMI_Index"])
 
@@ -303,15 +336,24 @@ def quantiles_q(spark, sf):
     return Q.quantiles(V.population(spark, sf), "BMI", [0.1, 0.9])
 
 
+# Rank errors that the approximate quantiles are held to: 1 / accuracy, and the sketch's default size.
+APPROX_ERROR, SKETCH_ERROR = 1 / 10_000, 0.02
+
+
 def quantiles_approx_q(spark, sf):
-    return Q.quantiles_approx(V.population(spark, sf), "BMI", [0.1, 0.5, 0.9])
+    """Q2: approximate quantiles, each with the certificate of its exact ranks."""
+    x = V.population(spark, sf)
+    found = Q.quantiles_approx(x, "BMI", [0.1, 0.5, 0.9])
+    return Q.rank_certificates(found, Q.cumulative(x, "BMI"), APPROX_ERROR).select("p", "n", "within")
 
 
 def quantiles_sketch_q(spark, sf):
-    """Q2 at scale: one KLL sketch per event type and day, merged per type."""
+    """Q2 at scale: one KLL sketch per event type and day, merged per type, with certificates."""
     e = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
     daily = Q.quantile_sketches(e, "value", ["event_type", "day"])
-    return Q.sketch_quantiles(daily, [0.1, 0.5, 0.9], ["event_type"])
+    found = Q.sketch_quantiles(daily, [0.1, 0.5, 0.9], ["event_type"])
+    cum = Q.cumulative(e.filter(~F.isnan("value")), "value", ["event_type"])
+    return Q.rank_certificates(found, cum, SKETCH_ERROR, ["event_type"]).select("event_type", "p", "n", "within")
 
 
 def ecdf_q(spark, sf):
@@ -410,9 +452,9 @@ def user_vs_population_q(spark, sf):
 
 
 def sort_values_q(spark, sf):
-    """BMI values in global order (range-partitioned sort)."""
-    x = V.population(spark, sf)
-    return x.select("person_id", "BMI").orderBy("BMI", "person_id")
+    """BMI values in global order, each with its position and rank."""
+    x = V.population(spark, sf).select("person_id", "BMI")
+    return Q.global_order(x, "BMI", ["person_id"])
 
 
 # ---------------------------------------------------------- streaming -------
@@ -641,6 +683,7 @@ QUERIES: dict[str, Query] = {
     "count_gender_band": count_gender_band_q,
     "count_category_gender": count_category_gender_q,
     "all_counts": all_counts_q,
+    "cell_cube_counts": cell_cube_counts_q,
     "pct_within_band": pct_within_band_q,
     "pct_pivot": pct_pivot_q,
     "pct_of_total": pct_of_total_q,

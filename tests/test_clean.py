@@ -76,3 +76,13 @@ def test_profile_approx_median(spark):
     p = {r.column: r for r in C.profile(df, approx_median=True).collect()}
     assert abs(p["v"].median_approx - 1002.0) <= 2 * 1001 / 10000 * 2 + 2
     assert p["s"].median_approx is None and p["id"].n_rows == 1001
+
+
+def test_quartiles_of_all_columns_from_one_scan(spark):
+    df = spark.range(1, 102).selectExpr("id", "cast(id % 7 as double) as v", "cast(null as double) as w", "'x' as s",
+                                        "case when id > 3 then cast(id as int) end as k")
+    out = C.profile(df, quartiles=True)
+    p = {r.column: (r.q1, r.median, r.q3) for r in out.collect()}
+    assert p == {"id": (26.0, 51.0, 76.0), "v": (1.0, 3.0, 5.0), "w": (None,) * 3, "s": (None,) * 3, "k": (28.25, 52.5, 76.75)}
+    texts = C.profile(df.select("s"), quartiles=True).first()
+    assert texts.n_rows == 101 and texts.median is None

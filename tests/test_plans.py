@@ -80,3 +80,51 @@ def test_analysis_cli_writes_frames(spark, tmp_dir, capsys):
     analysis.main(["--dataset", pop, "--user", log, "--output", out])
     assert "User BMI = 24.22 (Normal)" in capsys.readouterr().out
     assert "summary" in os.listdir(out) and "violin_by_gender" in os.listdir(out)
+
+
+def test_analyse_scans_its_input_once(spark, tmp_dir):
+    from cohortlens.operators import clean as C
+    from cohortlens.operators import hypothesis as T
+    from cohortlens.operators.enrich import enrich
+    from cohortlens.plans import batch
+
+    raw = os.path.join(tmp_dir, "raw")
+    views.people(spark, SF).write.parquet(raw)
+    clean = C.valid(spark.read.parquet(raw))
+    frames = batch.analyse(clean)
+    for name, df in frames.items():
+        scanned = {f.split("/")[-2] for f in df.inputFiles()}
+        assert (scanned == {"raw"}) == (name == "enriched"), name  # all others read the stored cells only
+    x = enrich(clean)
+    known = x.filter(F.col("gender").isin(list(S.GENDER_LEVELS)))
+    want = {
+        "pct_pivot": A.crosstab_pct(x, "BMI_Index", "age_interval", S.AGE_LABELS),
+        "age_band_counts": A.crosstab_counts(x, "age_interval", "BMI_Index", [1, 2, 3, 4, 5]),
+        "genders": A.levels(x, "gender"), "count_by_gender": A.counts(x, "gender", name="Count"),
+        "count_gender_band": A.counts(x, "gender", "BMI_Index", name="Count"), "gender_pivot": A.gender_pivot(x),
+        "chisq_gender_band": T.report(T.verdict(T.chi_square(known, "gender", "BMI_Index")), 4, 6),
+        "chisq_age_band": T.report(T.verdict(T.chi_square(x, "age_interval", "BMI_Index"), S.VERDICT_AGE_BAND), 4, 4)}
+    for name, df in want.items():
+        assert df.schema.simpleString() == frames[name].schema.simpleString()
+        assert sorted(map(str, df.collect())) == sorted(map(str, frames[name].collect())), name
+
+
+def test_the_users_own_point(spark, tmp_dir):
+    from cohortlens.plans import analysis
+
+    pop = os.path.join(tmp_dir, "pop.csv")
+    with open(pop, "w", encoding="utf-8") as f:
+        f.write("height,weight,gender,age\n" + "".join(f"170,{60 + i},female,30\n" for i in range(40)))
+    marks = {}
+    for name, weight in (("in", "70.00"), ("top", "99.00"), ("out", "30.00")):
+        log = os.path.join(tmp_dir, f"{name}.csv")
+        with open(log, "w", encoding="utf-8") as f:
+            f.write("timestamp;age;gender;height_cm;weight_kg\n2024-01-02 10:00:00;31;Female;170.00;" + weight + "\n")
+        frames = analysis.run_analysis(spark, pop, log)
+        (mark,) = frames["user_point"].collect()
+        marks[name] = mark
+        bins = {r.bin: (r.lo, r.hi) for r in frames["histogram"].collect()}
+        if name != "out":
+            assert bins[mark.bin][0] <= mark.BMI <= bins[mark.bin][1] + 1e-9
+    assert (marks["in"].height, marks["in"].weight, marks["in"].user_category) == (170, 70, "Normal")
+    assert marks["top"].bin == max(bins) and marks["out"].bin is None and marks["out"].user_category == "Underweight"
