@@ -13,8 +13,9 @@ from these lists alone, and return to a block as one row per distinct link.
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -28,10 +29,11 @@ from cohortlens.llm.common import grown, map_batches, on_path, slices, stage, su
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Text bytes of a block; a longer text is a block of its own.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 SPACE_MARK = "\u2581"
 #: White space beyond ASCII: a text that holds some is encoded as a whole.
-WIDE_SPACE = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+WIDE_SPACE = f"[{WIDE}]"
 
 
 def vocabulary_path(name: str) -> str:
@@ -47,20 +49,46 @@ def byte_letters() -> dict[str, int]:
     return {**{chr(b): b for b in shown}, **{chr(256 + i): b for i, b in enumerate(hidden)}}
 
 
+def _encoder(path: str, token_bytes: list[bytes]) -> Callable[[str], list[int]]:
+    """Encodes a text by the byte-level vocabulary at ``path``; special tokens' strings are ordinary text.
+
+    Where the file has the usual word pattern and its merges in the order of
+    their ids, ids are ranks, and the faster library for such tables gives the same.
+    """
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    special = {t["content"] for t in made["added_tokens"]}
+    names = made["model"]["vocab"]
+    merged = [names["".join(m.split(" ") if isinstance(m, str) else m)] for m in made["model"]["merges"]]
+    usual = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    if made["normalizer"] is None and made["pre_tokenizer"] == usual and merged == sorted(merged):
+        ranks = {token_bytes[i]: i for name, i in names.items() if name not in special}
+        return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                                 special_tokens={}).encode_ordinary
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; before the first use
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+
 class Tokenizers:
     """Both tokenizers, and the bytes of their tokens."""
 
     def __init__(self, first: str, second: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; before the first use
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(first)
-        self.a.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.b = sentencepiece.SentencePieceProcessor(model_file=second)
+        with open(first, encoding="utf-8") as file:
+            names = json.load(file)["model"]["vocab"]
         letters = byte_letters()
-        names = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
-        self.a_bytes = [bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in names]
+        self.a_bytes = [b""] * (max(names.values()) + 1)
+        for name, i in names.items():
+            self.a_bytes[i] = bytes(letters[c] for c in name) if all(c in letters for c in name) else name.encode()
+        self.first = _encoder(first, self.a_bytes)
+        self.b = sentencepiece.SentencePieceProcessor(model_file=second)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_MARK, " ").encode()
                         for i, p in enumerate(pieces)]
@@ -73,16 +101,21 @@ class Tokenizers:
 
     def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of each unit as it stands (the second tokenizer adds a space, given or taken off)."""
-        a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
+        a = list(map(self.first, units))
         b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
         lone = [self.b.piece_to_id(SPACE_MARK)]  # of nothing the second tokenizer makes nothing, not even the space
         return a, [lone if u == " " else ids if u[0] == " " else ids[1:] for u, ids in zip(units, b)]
 
+    def exact(self, text: str, a: list[int], b: list[int]) -> bool:
+        """Whether both sides' ids give the text's bytes."""
+        raw = text.encode()
+        return b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
+
 
 class UnitMemory:
     """Ids of text units (white space and the word behind it); starts anew beyond ``room`` units or characters."""
 
-    def __init__(self, tokenizers: Tokenizers, room: int = 300_000, chars: int = 16_000_000):
+    def __init__(self, tokenizers: Tokenizers, room: int = 200_000, chars: int = 16_000_000):
         self.tokenizers, self.room, self.chars = tokenizers, room, chars
         self.reset()
 
@@ -95,24 +128,46 @@ class UnitMemory:
         self.used = [0, 0]
         self.exact = np.zeros(1 << 16, bool)  # both give the unit's bytes
 
-    def _learn(self, new: list[str]) -> None:
-        t = self.tokenizers
-        first, last = len(self.known), len(self.known) + len(new)
-        found = t.encode(new)
-        self.exact = grown(self.exact, last)
-        a_bytes, b_bytes = t.a_bytes.__getitem__, t.b_bytes.__getitem__
-        self.exact[first:last] = [b"".join(map(a_bytes, a)) == (raw := u.encode()) and b"".join(map(b_bytes, b)) == raw
-                                  for u, a, b in zip(new, *found)]
-        for k, ids in enumerate(found):
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            end = self.used[k] + int(sizes.sum())
+    def _learn(self, new: list[str], together: int = 64) -> None:
+        """Encode new units, many on end in one line: tokens end where units do, which tells whose they are."""
+        t, wide = self.tokenizers, set(WIDE)
+        plain = [i for i, u in enumerate(new) if len(u) < 100 and not u[-1].isspace() and (u.isascii() or wide.isdisjoint(u))]
+        lines = [plain[i:i + together] for i in range(0, len(plain), together)]
+        texts = ["".join([new[i] for i in line]) for line in lines]
+        made = [(line, a, b) for line, text, a, b in zip(lines, texts, *t.encode(texts)) if t.exact(text, a, b)]
+        size = np.fromiter((len(u.encode()) for u in new), np.int64, len(new))
+        while True:
+            order = np.fromiter(chain.from_iterable(line for line, _, _ in made), np.int64)
+            ends = np.cumsum(size[order])
+            sides = [np.fromiter(chain.from_iterable(x[k] for x in made), np.int32) for k in (1, 2)]
+            found = [np.cumsum(w[ids]) for ids, w in zip(sides, (t.a_sizes, t.b_sizes))]
+            last = [np.searchsorted(f, ends) for f in found]
+            parted = np.zeros(len(order), bool)
+            for f, at in zip(found, last):
+                parted |= f[at] != ends
+            if not parted.any():
+                break
+            bad = set(order[parted].tolist())  # a token that runs over a unit's end: its line is encoded unit by unit
+            made = [x for x in made if bad.isdisjoint(x[0])]
+        alone = sorted(set(range(len(new))).difference(order.tolist()))
+        rest = t.encode([new[i] for i in alone])
+        first = len(self.known)
+        self.exact = grown(self.exact, first + len(new))
+        self.exact[first + order] = True
+        for i, a, b in zip(alone, *rest):
+            self.exact[first + i] = t.exact(new[i], a, b)
+        order = np.concatenate([order, np.array(alone, np.int64)])
+        for k in range(2):
+            counts = np.concatenate([np.diff(last[k], prepend=-1), np.fromiter(map(len, rest[k]), np.int64, len(alone))])
+            ids = np.concatenate([sides[k], np.fromiter(chain.from_iterable(rest[k]), np.int32)])
+            end = self.used[k] + len(ids)
             self.ids[k] = grown(self.ids[k], end)
-            self.ids[k][self.used[k]:end] = np.fromiter(chain.from_iterable(ids), np.int32, end - self.used[k])
-            self.start[k], self.length[k] = grown(self.start[k], last), grown(self.length[k], last)
-            self.length[k][first:last] = sizes
-            self.start[k][first:last] = self.used[k] + np.cumsum(sizes) - sizes
+            self.ids[k][self.used[k]:end] = ids
+            self.start[k], self.length[k] = (grown(x, first + len(new)) for x in (self.start[k], self.length[k]))
+            self.length[k][first + order] = counts
+            self.start[k][first + order] = self.used[k] + np.cumsum(counts) - counts
             self.used[k] = end
-        self.known.update(zip(new, range(first, last)))
+        self.known.update(zip(new, range(first, first + len(new))))
         self.held += sum(map(len, new))
 
     def numbers(self, units: pa.Array) -> np.ndarray:

@@ -11,6 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from cohortlens.llm import fill_in_middle as fim
 from cohortlens.llm import token_alignment, top_k
@@ -101,11 +102,15 @@ def both():
     return token_alignment.Tokenizers(*map(token_alignment.vocabulary_path, (token_alignment.FIRST, token_alignment.SECOND)))
 
 
+whole = Tokenizer.from_file(token_alignment.vocabulary_path(token_alignment.FIRST))
+whole.encode_special_tokens = True
+
+
 def plain_groups(both, text):
     """Groups of a text from its whole encodings, offset by offset."""
     if not text:
         return []
-    a = both.a.encode(f" {text}", add_special_tokens=False).ids
+    a = whole.encode(f" {text}", add_special_tokens=False).ids
     b = both.b.encode(text)
     raw = f" {text}".encode()
     if b"".join(both.a_bytes[i] for i in a) != raw or b"".join(both.b_bytes[i] for i in b) != raw:
