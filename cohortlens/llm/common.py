@@ -91,6 +91,20 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text",
             start = end
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]):
+    """What a Python worker keeps from task to task: at most one thing.
+
+    Asked by another key, it lets go of the old one, with its arrays, before it makes the new.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 class WordMemory:
     """What has been computed of words, so that a repeated word costs one lookup.
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import WordMemory, fresh, grown, map_batches, slices, stage, sums
+from cohortlens.llm.common import WordMemory, fresh, grown, held, map_batches, slices, stage, sums
 
 ORDER = 5
 SAMPLE = 1500  # documents a language that models learn from
@@ -170,17 +170,34 @@ class Scorer:
         return sums(self.bits[numbers], bounds) / np.maximum(count, 1)[:, None], count
 
 
-def _sampled(docs: DataFrame, sample: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """About ``sample`` documents a language to learn from by hash of id, all others, and the
-    languages that have fewer than ``sample`` others."""
+def _place() -> Column:
+    """Where a document lies from 0 to 1, by a hash of its id."""
+    return F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
+
+
+def _sampled(docs: DataFrame, sample: int) -> tuple[DataFrame, Column, list[str]]:
+    """About ``sample`` documents a language to learn from, those whose place lies below the share
+    of their language; that share, null for unlabelled ones; and the languages that have fewer
+    than ``sample`` others."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row per language
-    share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["n"]))))) \
+    shares = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["n"]))))) \
         if sizes else F.create_map().cast("map<string,double>")
-    known = known.withColumn("share", F.element_at(share, F.col("lang")))
-    place = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    share = F.element_at(shares, F.col("lang").cast("string"))
     few = [r["lang"] for r in sizes if r["n"] < 2 * sample]
-    return known.filter(place < F.col("share")), known.filter(place >= F.col("share")), few
+    return known.filter(_place() < share), share, few
+
+
+def _with_folds(scored: DataFrame, learned: DataFrame, few: list[str]) -> DataFrame:
+    """Scores of texts not learned from, and for the languages ``few`` those of the learned ones,
+    each by a model that has not seen its fold (equal texts are in one)."""
+    mine = learned.filter(F.col("lang").isin(few)).withColumn(
+        "fold", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(FOLDS)))
+    for fold in range(FOLDS if few else 0):
+        part = learn(mine.filter(F.col("fold") != fold).select("lang", "text"))
+        if part is not None:
+            scored = scored.union(own_scores(mine.filter(F.col("fold") == fold).select("lang", "text"), part))
+    return scored
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
@@ -193,19 +210,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     each scored by a model that has not seen its fold.  Null texts and languages
     are left out; None if nothing is left.
     """
-    learned, others, few = _sampled(docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")), sample)
+    docs = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    learned, share, few = _sampled(docs, sample)
     learned = stage(learned.select("lang", "text"), "language-learned")
     model = learn(learned)
     if model is None:
         return None
-    scored = own_scores(others.select("lang", "text"), model)
-    mine = learned.filter(F.col("lang").isin(few)).withColumn(  # equal texts are in one fold
-        "fold", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(FOLDS)))
-    for fold in range(FOLDS if few else 0):
-        part = learn(mine.filter(F.col("fold") != fold).select("lang", "text"))
-        if part is not None:
-            scored = scored.union(own_scores(mine.filter(F.col("fold") == fold).select("lang", "text"), part))
-    return calibrate(model, scored, learned)
+    others = docs.filter(F.col("text").isNotNull() & (_place() >= share)).select("lang", "text")
+    return calibrate(model, _with_folds(own_scores(others, model), learned, few), learned)
 
 
 def learn(docs: DataFrame) -> Model | None:
@@ -301,60 +313,98 @@ def _calibration(shared):
     return run
 
 
-_SCORER: list[Scorer] = []  # of the model in use, in each Python worker
-
-
-def _scorer(model: Model) -> Scorer:
-    if not _SCORER or _SCORER[0].model is not model:
-        _SCORER[:] = [Scorer(model)]
-    return _SCORER[0]
-
-
-def label(docs: DataFrame, model: Model | None, keep: list[str] | None = None,
-          strictness: float = STRICTNESS) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all by default) with lang_pred, score, cross_entropy, rejected.
-
-    ``lang_pred`` is a learned language, or ``und`` (score 0, rejected) for a null
-    text or one without a letter; all are ``und`` if no model was learned.
-    ``score`` is the posterior of the language at equal priors, with the evidence
-    of at most 50 symbols.  Ties go to the first language by code point.  Result
-    columns whose name ``docs`` has get underscores in front.
-    """
-    keep = docs.columns if keep is None else keep
+def _scored(docs: DataFrame, model: Model | None, keep: list[str], own: Column | None = None
+            ) -> tuple[DataFrame, list[str]]:
+    """The columns ``keep`` with prediction, score and cross-entropy, and inner columns: letters' number of
+    symbols, and cross-entropy in the language ``own`` (null if that has no model).  Also the new names."""
     rows = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])))
-    names = fresh(rows, "lang_pred", "score", "cross_entropy", "rejected")
+    names = fresh(rows, "lang_pred", "score", "cross_entropy", "n_symbols", "own_bits", "own_lang")
+    mine = names[-1]
+    rows = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])),
+                       (F.lit(None) if own is None else own).cast("string").alias(mine))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if shared.value is None:
-            scorer = None
-        else:
-            scorer = _scorer(shared.value)
-            languages = np.array(scorer.model.languages, dtype=object)
+        m = shared.value
+        if m is not None:
+            scorer = held(("language", id(m)), lambda: Scorer(m))
+            languages = np.array(m.languages, dtype=object)
+            number = {x: i for i, x in enumerate(m.languages)}
         for part in slices(batches):
             kept = [part.column(c) for c in keep]
-            if scorer is None:
+            if m is None:
                 n = part.num_rows
-                out = [[UNKNOWN] * n, [0.0] * n, [None] * n, [True] * n]
+                out = [[UNKNOWN] * n, [0.0] * n, [None] * n, [0] * n, [None] * n]
             else:
                 bits, n = scorer(pc.fill_null(part.column("text").cast(pa.string()), ""))
                 best = bits.argmin(axis=1)
                 low = bits.min(axis=1)
                 gap = (bits - low[:, None]) * np.minimum(n, 50)[:, None]
                 score = np.where(n > 0, 1 / np.exp2(-gap).sum(axis=1), 0.0)
-                m = scorer.model
-                limit = m.mean[best] + strictness * np.sqrt(m.spread[0, best] + m.spread[1, best] / np.maximum(n, 1))
-                out = [np.where(n > 0, languages[best], UNKNOWN).tolist(), score, np.where(n > 0, low, np.nan),
-                       (n == 0) | (low > limit)]
-            kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
+                column = np.array([number.get(x, -1) for x in part.column(mine).to_pylist()], np.int64)
+                in_own = np.where((column >= 0) & (n > 0), bits[np.arange(len(n)), column], np.nan)
+                out = [np.where(n > 0, languages[best], UNKNOWN).tolist(), score, np.where(n > 0, low, np.nan), n, in_own]
+            kinds = (pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [*kept, *(pa.array(x, k, from_pandas=True) for x, k in zip(out, kinds))], [*keep, *names])
+                [*kept, *(pa.array(x, k, from_pandas=True) for x, k in zip(out, kinds))], [*keep, *names[:-1]])
+
+    a, b, c, d, e, _ = names
+    schema = f"{fields}, `{a}` string, `{b}` double, `{c}` double, `{d}` bigint, `{e}` double"
+    return map_batches(rows, run, schema), names[:-1]
+
+
+def _decided(scored: DataFrame, keep: list[str], names: list[str], model: Model | None, strictness: float) -> DataFrame:
+    """Scored rows with ``rejected``: no letter, or a cross-entropy above the language's limit at this length."""
+    predicted, _, bits, n, own = names
+    limits = [(x, m, a, b) for x, m, a, b in zip(model.languages, model.mean, *model.spread)] if model else []
+
+    def of(i: int) -> Column:  # a number per learned language
+        pairs = [F.lit(v) for row in limits for v in (row[0], float(row[i]))]
+        return F.element_at(F.create_map(*pairs), F.col(predicted)) if pairs else F.lit(0.0)
+
+    limit = of(1) + strictness * F.sqrt(of(2) + of(3) / F.greatest(F.col(n), F.lit(1)))
+    (rejected,) = fresh(scored.select(*(F.col(f"`{c}`") for c in [*keep, predicted, bits])), "rejected")
+    return scored.withColumn(rejected, (F.col(n) == 0) | (F.col(bits) > limit)).select(
+        *(F.col(f"`{c}`") for c in [*keep, *names[:3], rejected]))
+
+
+def label(docs: DataFrame, model: Model | None, keep: list[str] | None = None,
+          strictness: float = STRICTNESS) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) with lang_pred, score, cross_entropy, rejected.
 
-    a, b, c, d = names
-    return map_batches(rows, run, f"{fields}, `{a}` string, `{b}` double, `{c}` double, `{d}` boolean")
+    ``lang_pred`` is a learned language, or ``und`` (score 0, rejected) for a null
+    text or one without a letter; all are ``und`` if no model was learned.
+    ``score`` is the posterior of the language at equal priors, with the evidence
+    of at most 50 symbols.  Ties go to the first language by code point.  Result
+    columns whose name ``docs`` has get underscores in front.
+    """
+    keep = docs.columns if keep is None else keep
+    scored, names = _scored(docs, model, keep)
+    return _decided(scored, keep, names, model, strictness)
 
 
 def identify(docs: DataFrame, keep: list[str] | None = None, sample: int = SAMPLE) -> DataFrame:
-    """Learn from the documents that are not held out, and label all."""
-    return label(docs, train(docs.filter(~held_out(F.col("doc_id"))), sample), keep)
+    """Learn from the documents that are not held out, and label all.
+
+    Every document is scored once: the written scores calibrate the languages (those
+    of labelled documents neither held out nor learned from, as in ``train``), and
+    the limits found are then held against the same scores.
+    """
+    keep = docs.columns if keep is None else keep
+    known = docs.filter(~held_out(F.col("doc_id")))
+    learned, share, few = _sampled(known.select("doc_id", "text", F.col("lang").cast("string").alias("lang")), sample)
+    learned = stage(learned.select("lang", "text"), "language-learned")
+    model = learn(learned)
+    place, source = fresh(docs, "held_back", "own")
+    back = docs.withColumn(place, ~held_out(F.col("doc_id")) & F.col("text").isNotNull() & (_place() >= share)).withColumn(
+        source, F.col("lang").cast("string"))
+    inner = [*keep, place, source]
+    scored, names = _scored(back, model, inner, F.col(source))
+    scored = stage(scored, "language-scored")
+    if model is not None:
+        own = names[4]
+        mine = scored.filter(F.col(place) & F.col(own).isNotNull()).select(
+            F.col(source).alias("lang"), F.col(own).alias("bits"), F.col(names[3]).alias("n"))
+        model = calibrate(model, _with_folds(mine, learned, few), learned)
+    return _decided(scored, keep, names, model, STRICTNESS)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import WordMemory, fresh, grown, map_batches, slices, stage
+from cohortlens.llm.common import WordMemory, fresh, grown, held, map_batches, slices, stage
 
 SHINGLE = 5
 THRESHOLD = (75, 100)
@@ -62,18 +62,13 @@ class WordHashes:
         return self.hashes[numbers[real]], np.concatenate([[0], np.cumsum(real)])[bounds]
 
 
-_WORDS: list[WordHashes] = []  # one in each Python worker
-
-
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's shingles.
 
     A text of fewer words has its whole sequence as its one shingle, a text
     without words the empty set.
     """
-    if not _WORDS:
-        _WORDS.append(WordHashes())
-    words, bounds = _WORDS[0](texts)
+    words, bounds = held("word hashes", WordHashes)(texts)
     rolled = np.zeros(max(len(words) - SHINGLE + 1, 0), np.uint64)
     for j in range(SHINGLE):
         rolled = rolled * _BASE + words[j:j + len(rolled)]

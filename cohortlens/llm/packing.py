@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import WordMemory, fresh, grown, map_batches, slices, stage
+from cohortlens.llm.common import WordMemory, fresh, grown, held, map_batches, slices, stage
 
 END_ID = 1
 WINDOW = 2048
@@ -113,13 +113,8 @@ class WordTokens:
                 yield ids[bounds[i]:bounds[i + 1]]
 
 
-_TOKENS: dict[str, WordTokens] = {}  # one for each vocabulary and Python worker
-
-
 def word_tokens(path: str) -> WordTokens:
-    if path not in _TOKENS:
-        _TOKENS[path] = WordTokens(path)
-    return _TOKENS[path]
+    return held(("tokens", path), lambda: WordTokens(path))
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:

@@ -54,6 +54,35 @@ def test_small_languages_reject_beside_a_large_one(spark):
     assert {r.lang_pred for r in got if r.doc_id >= 50} == {"large"}
 
 
+def test_one_scoring_equals_training_and_labelling_apart(spark):
+    docs = documents(spark, SF).select("doc_id", "text", "lang")
+    docs = docs.union(docs.limit(3)).union(spark.createDataFrame([(None, "no id here", "en"), (-5, "kein Wort", None)], docs.schema))
+    named = docs.withColumn("own_bits", F.lit("kept")).withColumn("held_back", F.lit(1)).withColumn("a.b", F.col("doc_id"))
+    got = language_id.identify(named)
+    assert got.columns == [*named.columns, "lang_pred", "score", "cross_entropy", "rejected"]
+    model = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))))
+    want = language_id.label(docs, model, ["doc_id"])
+    both = [sorted(map(str, x.select("doc_id", "lang_pred", "score", "cross_entropy", "rejected").collect())) for x in (got, want)]
+    assert both[0] == both[1]
+    assert language_id.identify(docs.limit(0)).count() == 0
+
+
+def test_a_worker_keeps_one_thing():
+    import gc
+    import weakref
+
+    from cohortlens.llm import common
+
+    class Thing:
+        pass
+
+    first = weakref.ref(common.held("a", Thing))
+    assert common.held("a", Thing) is first()
+    second = common.held(("b", 1), Thing)
+    gc.collect()
+    assert first() is None and common.held(("b", 1), Thing) is second and len(common._HELD) == 1
+
+
 def test_kneser_ney_sums_to_one():
     units = ["abab", "abc", "ca", "b"]
     import numpy as np
