@@ -47,9 +47,16 @@ def on_path(spark: SparkSession) -> None:
 
 def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 schema: str) -> DataFrame:
-    """``mapInArrow`` whose workers find this package where the driver found it."""
+    """``mapInArrow`` whose workers find this package where the driver found it, for any column names."""
     on_path(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    names = df.columns
+    if not any("." in c or "`" in c for c in names):
+        return df.mapInArrow(fn, schema)
+
+    def named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(pa.RecordBatch.from_arrays(b.columns, names) for b in batches)
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(named, schema)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
