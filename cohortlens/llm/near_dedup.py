@@ -44,7 +44,7 @@ class WordHashes:
     """64-bit hashes of words, letters A-Z in lower case; each word is hashed once."""
 
     def __init__(self):
-        self.memory = WordMemory(self._learn)
+        self.memory = WordMemory(self._learn, 150_000)  # a hash is cheap to make again
         self.hashes = np.zeros(1 << 16, np.uint64)
 
     def _learn(self, new: list[str], first: int) -> None:
@@ -101,8 +101,10 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets[:-1])])
     out = np.empty((len(sets), _PLACES), np.uint32)
+    mixed = np.empty_like(flat)
     for i, factor in enumerate(_FACTORS):
-        out[:, i] = np.minimum.reduceat(((flat * factor) >> np.uint64(32)).astype(np.uint32), starts)
+        np.multiply(flat, factor, out=mixed)
+        out[:, i] = np.minimum.reduceat(mixed, starts) >> np.uint64(32)
     return out
 
 

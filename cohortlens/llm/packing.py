@@ -68,18 +68,23 @@ class WordTokens:
         return found
 
     def _learn(self, new: list[str], first: int) -> None:
-        stems: dict[str, int] = {}
+        # each word is letters, then something else; of both, the distinct ones are encoded
+        words = pa.array(new, pa.string())
+        stems = pc.utf8_rtrim(words, MARKS)
+        spelled = pc.utf8_is_alpha(stems)
+        lower = pc.if_else(pc.string_is_ascii(stems), pc.ascii_lower(stems), stems)
+        coded = lower.filter(spelled).dictionary_encode()
+        letters = spelled.to_numpy(zero_copy_only=False)
+        size = pc.binary_length(words).to_numpy()
+        tail = np.where(letters, size - pc.binary_length(stems).to_numpy(), size)  # marks are one byte each
+        parts = np.full((len(new), 2), -1, np.int64)
+        parts[letters, 0] = coded.indices.to_numpy()
         rests: dict[str, int] = {"": 0}
-        parts = np.empty((len(new), 2), np.int64)  # each word is letters, then something else
-        for i, word in enumerate(new):
-            stem = word.rstrip(MARKS)
-            if stem.isalpha():
-                lower = stem.lower() if stem.isascii() else stem
-                parts[i] = stems.setdefault(lower, len(stems)), -1 - rests.setdefault(word[len(stem):], len(rests))
-            else:
-                parts[i] = -1, -1 - rests.setdefault(word, len(rests))
-        found = [*self._stems(list(stems)), *self._encoded(list(rests)), []]
-        unit = np.where(parts < -1, len(stems) - 1 - parts, np.where(parts < 0, len(found) - 1, parts)).ravel()
+        more = np.flatnonzero(tail)
+        parts[more, 1] = [-1 - rests.setdefault(new[i][-n:], len(rests)) for i, n in zip(more.tolist(), tail[more].tolist())]
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = [*self._stems(known), *self._encoded(list(rests)), []]
+        unit = np.where(parts < -1, len(known) - 1 - parts, np.where(parts < 0, len(found) - 1, parts)).ravel()
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
         starts, length = (np.cumsum(lengths) - lengths)[unit], lengths[unit]
