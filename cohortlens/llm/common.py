@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
@@ -37,9 +38,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Python workers give freed memory back to the system: between tasks they keep little of what large batches took.
+LEAN = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2",
+        "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20)}
+
+
 def on_path(spark: SparkSession) -> None:
-    """Let Python workers find this package where the driver found it."""
+    """Let Python workers find this package where the driver found it, with the memory settings ``LEAN``
+    where the session has none of its own."""
     env = spark.sparkContext.environment
+    for name, value in LEAN.items():
+        env.setdefault(name, value)
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if HOME not in paths:
         env["PYTHONPATH"] = os.pathsep.join([HOME, *filter(None, paths)])
@@ -104,10 +113,14 @@ _HELD: dict[object, object] = {}
 def held(key: object, make: Callable[[], object]):
     """What a Python worker keeps from task to task: at most one thing.
 
-    Asked by another key, it lets go of the old one, with its arrays, before it makes the new.
+    Asked by another key, it lets go of the old one, with its arrays, before it makes the new,
+    and gives the memory that Arrow keeps for reuse back to the system.
     """
     if key not in _HELD:
-        _HELD.clear()
+        if _HELD:
+            _HELD.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
         _HELD[key] = make()
     return _HELD[key]
 
@@ -141,12 +154,12 @@ class WordMemory:
             self.reset()
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
-        vocabulary = coded.dictionary.to_pylist()
+        vocabulary = coded.dictionary.to_numpy(zero_copy_only=False)
         known = self.known
-        number = np.fromiter(map(known.get, vocabulary, repeat(-1)), np.int64, len(vocabulary))
+        number = np.fromiter(map(known.get, vocabulary.tolist(), repeat(-1)), np.int64, len(vocabulary))
         unknown = np.flatnonzero(number < 0)
         if len(unknown):
-            new = coded.dictionary.take(pa.array(unknown)).to_pylist()
+            new = vocabulary[unknown].tolist()
             first = len(known)
             self.learn(new, first)
             number[unknown] = np.arange(first, first + len(new))

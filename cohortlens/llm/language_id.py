@@ -126,7 +126,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.memory = WordMemory(self._learn)
+        self.memory = WordMemory(self._learn, min(400_000, (1 << 25) // (8 * max(len(model.languages), 1))))
         self.bits = np.zeros((1 << 16, len(model.languages)))
         self.count = np.zeros(1 << 16, np.int64)
 
