@@ -179,6 +179,19 @@ def disclosing(docs: DataFrame, found: DataFrame, held: DataFrame, gap: float =
         "entity", "term", "bits", "information", F.when(safe, F.concat("prefix", F.lit("*"))).alias("generalised")))
 
 
+def own_hits(found: DataFrame, held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """uid, term, replacement: the terms of each row that disclose an entity of the same row.
+
+    A row's own terms meet the entities that they disclose, then the row's entities.  An
+    entity is in at least 2^-gap of the documents of a term that discloses it, so few rows
+    are formed that do not stay.
+    """
+    near = held.join(pairs.select("entity").distinct(), "entity", "left_semi").select("uid").distinct()
+    own = found.join(near, "uid", "left_semi").select("uid", F.explode(_terms(F.col("text"))).alias("term"))
+    return own.join(pairs, "term").join(held, ["uid", "entity"], "left_semi").groupBy("uid", "term").agg(
+        F.min(F.coalesce("generalised", F.lit(MARKS[TERM]))).alias("replacement"))
+
+
 def protect(docs: DataFrame, gap: float = GAP, support: int = SUPPORT, keep_text: bool = False) -> DataFrame:
     """One row per document: doc_id and ``spans`` (kind, start, end, replacement) by kind, then start.
 
@@ -191,8 +204,7 @@ def protect(docs: DataFrame, gap: float = GAP, support: int = SUPPORT, keep_text
     found = stage(entities(docs, keep_text), "pii-entities")
     held = stage(mentions(found), "pii-held")
     pairs = disclosing(docs, found, held, gap, support)
-    hits = stage(held.join(pairs, "entity").groupBy("uid", "term").agg(
-        F.min(F.coalesce("generalised", F.lit(MARKS[TERM]))).alias("replacement")), "pii-hits")
+    hits = stage(own_hits(found, held, stage(pairs, "pii-pairs")), "pii-hits")
     places = term_places(found.join(hits.select("uid").distinct(), "uid", "left_semi"))
     added = places.join(hits, ["uid", "term"]).groupBy(F.col("uid").alias("of")).agg(F.sort_array(F.collect_list(F.struct(
         F.lit(TERM).alias("kind"), "start", "end", "replacement"))).alias("added"))
