@@ -183,14 +183,12 @@ SPDX_SPELLING = {x.lower(): x for x in (*SPDX_WORDS, *(name for name, _ in RULES
     " Linux-syscall-note Autoconf-exception-3.0 Bison-exception-2.2 Font-exception-2.0 OpenSSL-exception").split())}
 # end of fixed values
 
-#: A text without any of these says nothing about a licence.
-HINT = r"(?i)licen[cs]|copyright|permission|redistribut|public domain|rights reserved|warrant|liable|spdx|mozilla|unencumbered|waived" \
-    r"|(?:released|distributed|published|provided|available|redistributable)\s+(?:to\s+you\s+)?under\b"
 SPEAKS = re.compile(r"licen[cs]|copyright|spdx", re.I)
 #: Words: letters and digits, joined by marks within; marks at the ends are dropped.
 WORD = re.compile(r"[A-Za-z0-9]+(?:[.+/_-]+[A-Za-z0-9]+)*\+?")
 #: Where a sentence may begin or end: after a full stop, at a line's end, after a colon or list mark.
 BREAK = re.compile(r"[.!?;:](?=\s|$)|\n|(?<=\n)\s*(?:[*#/-]|\d+\.|\(\w\))+")
+#: Words that a slot takes whatever stands between them; beyond, it ends with the sentence.
 SLOT = 8
 SPDX_TAG = re.compile(r"SPDX-License-Identifier[ \t]*:[ \t]*", re.I)
 SPDX_TOKEN = re.compile(r"[ \t]*(\(|\)|(?:DocumentRef-[A-Za-z0-9.-]+:)?[A-Za-z0-9]+(?:[.-]+[A-Za-z0-9]+)*\+?)")
@@ -207,7 +205,7 @@ def _normal(word: str) -> str:
 
 
 class Item(NamedTuple):
-    """One place of a pattern; ``any_words`` is the slot for up to ``SLOT`` words."""
+    """One place of a pattern; ``any_words`` is a slot for any words up to the end of the sentence."""
 
     words: frozenset[str]
     optional: bool
@@ -231,21 +229,67 @@ def _index(sentences: Iterable[tuple[str, str]]) -> dict[str, list[tuple[str, tu
     return {word: list(patterns) for word, patterns in index.items()}
 
 
-_INDEX = _index(SENTENCES)
-
-
 _INDEX = _index(SENTENCES)
 _LEAD = _items(LEAD)
 _LEAD_WORDS = frozenset().union(*(item.words for item in _LEAD))
 _NAMED = _index((*NAMED, *((f"spdx {x}", f"{low} ?license") for low, x in SPDX_SPELLING.items() if re.search("[0-9]", x))))
 
 
-def _ends(pattern: tuple[Item, ...], words: list[str], at: int) -> list[int]:
+def _hint() -> str:
+    """An expression that matches every text with a known sentence or one that speaks of a licence:
+    of each pattern one word that it cannot do without, and what ``SPEAKS`` looks for."""
+    def needed(items: tuple[Item, ...]) -> frozenset[str]:
+        fixed = (item.words for item in items if not item.optional and not item.any_words)
+        return max(fixed, key=lambda words: min(map(len, words)), default=frozenset())
+
+    wanted = {needed(items) for patterns in _INDEX.values() for _, items in patterns} | {needed(_LEAD)}
+    if frozenset() in wanted:
+        return "(?s).*"
+    words = sorted(frozenset().union(*wanted))
+    return "(?i)licen[cs]|copyright|spdx|" + "|".join(re.escape(w).replace("license", "licen[cs]e") for w in words)
+
+
+HINT = _hint()
+
+
+class Line(NamedTuple):
+    """The words of a text; which ones begin and end a sentence or line, and which end a whole sentence."""
+
+    words: list[str]
+    begins: list[bool]
+    ends: list[bool]
+    stops: list[bool]
+
+
+def _slot(line: Line, at: int, rest: tuple[Item, ...], first: str) -> set[int]:
+    """Where a slot that begins at a word may end: after up to ``SLOT`` words, and beyond these,
+    as long as the sentence goes on and ``first`` does not begin another one, before a word that
+    the rest of the pattern may go on with, or at the first end if it may be done."""
+    words, n = line.words, len(line.words)
+    out = set(range(at + 1, min(at + SLOT, n) + 1))
+    wanted: set[str] = set()
+    for item in rest:
+        wanted |= item.words
+        if not item.optional:
+            break
+    done = all(item.optional for item in rest)
+    for p in range(at + SLOT + 1, n + 1):
+        if line.stops[p - 2] or line.begins[p - 1] and words[p - 1] == first:
+            break
+        if done and line.ends[p - 1]:
+            out.add(p)
+            break
+        if p < n and words[p] in wanted:
+            out.add(p)
+    return out
+
+
+def _ends(pattern: tuple[Item, ...], line: Line, at: int) -> list[int]:
     """Numbers of words after which the pattern is complete, the longest first."""
-    places = {at}
-    for item in pattern:
+    words, places = line.words, {at}
+    for i, item in enumerate(pattern):
         if item.any_words:
-            after = {p + k for p in places for k in range(1, SLOT + 1) if p + k <= len(words)}
+            after = set().union(*(_slot(line, p, pattern[i + 1:], words[at]) for p in places))
         else:
             after = {p + 1 for p in places if p < len(words) and words[p] in item.words}
         places = after | places if item.optional else after
@@ -254,12 +298,13 @@ def _ends(pattern: tuple[Item, ...], words: list[str], at: int) -> list[int]:
     return sorted(places, reverse=True)
 
 
-def _known(words: list[str], at: int) -> Iterator[tuple[str, tuple[Item, ...], int]]:
+def _known(line: Line, at: int) -> Iterator[tuple[str, tuple[Item, ...], int]]:
     """Sentences that may begin at a word, and where the rest of each is to be looked for."""
+    words = line.words
     for name, pattern in _INDEX.get(words[at], ()):
         yield name, pattern, at
     if words[at] in _LEAD_WORDS:
-        for begin in _ends(_LEAD, words, at):
+        for begin in _ends(_LEAD, line, at):
             for name, pattern in _NAMED.get(words[begin], ()) if begin < len(words) else ():
                 yield name, pattern, begin
 
@@ -316,15 +361,19 @@ def sentences(text: str) -> tuple[list[Sentence], int]:
     found = list(WORD.finditer(text))
     words = [_normal(m.group(0)) for m in found]
     breaks = [m.start() for m in BREAK.finditer(text)]
-    begins, ends, b = [i == 0 for i in range(len(words))], [False] * len(words), 0
+    begins, ends, stops, b = [i == 0 for i in range(len(words))], [False] * len(words), [False] * len(words), 0
     for i, m in enumerate(found):
+        lines = 0
         while b < len(breaks) and breaks[b] < m.start():
             begins[i] = True
+            lines += text[breaks[b]] == "\n"
             if i:
                 ends[i - 1] = True
+                stops[i - 1] = stops[i - 1] or lines > 1 or text[breaks[b]] in ".!?"
             b += 1
     if words:
-        ends[-1] = True
+        ends[-1] = stops[-1] = True
+    line = Line(words, begins, ends, stops)
     out, unknown, i, begun, speaks = [], 0, 0, 0, False
     while i < len(words):
         if tag := tags.get(found[i].start()):
@@ -337,8 +386,8 @@ def sentences(text: str) -> tuple[list[Sentence], int]:
             continue
         best = None
         if begins[i]:
-            for name, pattern, begin in _known(words, i):
-                end = next((e for e in _ends(pattern, words, begin) if ends[e - 1]), None)
+            for name, pattern, begin in _known(line, i):
+                end = next((e for e in _ends(pattern, line, begin) if ends[e - 1]), None)
                 if end is not None and (best is None or end > best[1]):
                     best = name, end
         if best is not None:

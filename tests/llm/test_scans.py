@@ -139,3 +139,55 @@ def test_license_wordings():
         "SPDX-License-Identifier: see below": [], "Distributed by MIT.": [], "The work is under way.": []}
     for text, names in want.items():
         assert [s.name for s in license_scan.licenses(license_scan.sentences(text)[0])] == names, text
+
+
+HOLDER = "the Regents of the University of California at Berkeley and the Lawrence Livermore National Labs"
+BSD = f"""Copyright (c) 2020 {HOLDER}
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+ENDORSE = """3. Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived
+from this software without specific prior written permission.
+"""
+
+
+def test_license_slots_run_to_the_end_of_the_sentence():
+    for holder in ("Foo", HOLDER, HOLDER.replace(" at", ",\nat")):
+        known, unknown = license_scan.sentences(BSD + ENDORSE.format(holder))
+        assert [s.name for s in license_scan.licenses(known)] == ["BSD-3-Clause"] and unknown == 0
+    known, unknown = license_scan.sentences(BSD)
+    assert [s.name for s in license_scan.licenses(known)] == ["BSD-2-Clause"] and unknown == 0
+    other = ENDORSE.format(f"{HOLDER}. Other words follow it, {HOLDER}")  # the sentence ends before
+    assert [s.name for s in license_scan.licenses(license_scan.sentences(BSD + other)[0])] == ["BSD-2-Clause"]
+    assert license_scan.sentences("Neither the name of a\n" * 20_000) == ([], 0)  # in linear time
+
+
+def test_license_hint_hides_nothing():
+    hint = re.compile(license_scan.HINT)
+    for index in (license_scan._INDEX, license_scan._NAMED):
+        for name, items in {p for patterns in index.values() for p in patterns}:
+            for pick in (min, max):
+                words = ["x" if i.any_words else pick(i.words) for i in items if not i.optional]
+                lead = ["Released, under"] if index is license_scan._NAMED else []
+                text = " ".join(lead + words).replace("license", "licence")
+                known, _ = license_scan.sentences(text)
+                assert hint.search(text) or not known, text
+    for text, name in (("Released, under the GNU GPL v3.", "gpl3"), ("Distributed (under the Apache-2.0).", "apache2")):
+        assert hint.search(text) and [s.name for s in license_scan.sentences(text)[0]] == [name]
+
+
+def test_terms_of_documents_that_share_an_address(spark):
+    rows = [(i, "mail to all@x.org " + " ".join(f"{c}{'abcdefghij'[i // 10]}{'klmnopqrst'[i % 10]}word" for c in "pqrstu"))
+            for i in range(100)]
+    rows += [(i, t) for i, t in rows[:2]] + [(1000 + i, "plain mail to nobody") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = pii.stage(pii.entities(docs), "test-entities")
+    held = pii.stage(pii.mentions(found), "test-held")
+    pairs = pii.disclosing(docs, found, held)
+    hits = pii.own_hits(found, held, pairs)
+    terms = {t for _, text in rows[:2] for t in text.split()[3:]}
+    got = [(r.uid, r.term) for r in hits.collect() if r.term.endswith("word")]  # not the address's own words
+    assert {t for _, t in got} == terms and len(got) == 4 * 6  # each in its own documents only
