@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 from collections.abc import Callable, Iterable, Iterator
@@ -43,12 +44,18 @@ LEAN = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2",
         "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20)}
 
 
+#: Bytes of an Arrow batch, beside its rows: else 10,000 long texts lie in the JVM, on the way and in Python at once.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def on_path(spark: SparkSession) -> None:
     """Let Python workers find this package where the driver found it, with the memory settings ``LEAN``
-    where the session has none of its own."""
+    and ``BATCH_BYTES`` where the session has none of its own."""
     env = spark.sparkContext.environment
     for name, value in LEAN.items():
         env.setdefault(name, value)
+    if BATCH_BYTES[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH_BYTES)
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if HOME not in paths:
         env["PYTHONPATH"] = os.pathsep.join([HOME, *filter(None, paths)])
@@ -107,20 +114,35 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text",
             start = end
 
 
+def give_back() -> None:
+    """Give the memory that Arrow and the C library keep for reuse back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library
+    _TRIM = None
+
 _HELD: dict[object, object] = {}
 
 
 def held(key: object, make: Callable[[], object]):
     """What a Python worker keeps from task to task: at most one thing.
 
-    Asked by another key, it lets go of the old one, with its arrays, before it makes the new,
-    and gives the memory that Arrow keeps for reuse back to the system.
+    Asked by another key, it lets go of the old one, with its arrays and its words, before it makes
+    the new, and gives the memory back to the system.
     """
     if key not in _HELD:
         if _HELD:
             _HELD.clear()
+            if WordMemory.in_use is not None:
+                WordMemory.in_use.reset()
+                WordMemory.in_use = None
             gc.collect()
-            pa.default_memory_pool().release_unused()
+            give_back()
         _HELD[key] = make()
     return _HELD[key]
 
@@ -165,6 +187,8 @@ class WordMemory:
             number[unknown] = np.arange(first, first + len(new))
             known.update(zip(new, range(first, first + len(new))))
             self.held += sum(map(len, new))
+            if len(new) > 1000:  # learning them took far more memory than they keep
+                give_back()
         offsets = split.offsets.to_numpy().astype(np.int64)
         return (number[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)), offsets - offsets[0]
 

@@ -52,20 +52,29 @@ class WordTokens:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def _encoded(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _stems(self, stems: list[str], together: int = 64) -> list[list[int]]:
-        """Ids of words made of letters alone: many in one call, cut after each word's last id."""
-        found: list[list[int]] = []
+    def _encoded(self, words: list[str], together: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words on end, and how many each has; few encodings are there at once."""
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), together):
+            part = [e.ids for e in self.tokenizer.encode_batch_fast(words[i:i + together], add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, part), np.int64, len(part)))
+            ids.append(np.fromiter(chain.from_iterable(part), np.uint32, int(lengths[-1].sum())))
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _stems(self, stems: list[str], together: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words made of letters alone: many in one call, cut after each word's last id."""
         lines = [stems[i:i + together] for i in range(0, len(stems), together)]
-        for line, ids in zip(lines, self._encoded([" ".join(x) for x in lines])):
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-            if len(ends) == len(line):
-                found.extend(ids[i:j] for i, j in zip([0, *ends], ends))
-            else:
-                found.extend(self._encoded(line))
-        return found
+        ids, lengths = self._encoded([" ".join(x) for x in lines], 64)
+        found, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        bounds = np.concatenate([[0], np.cumsum(lengths)]).tolist()
+        for line, start, end in zip(lines, bounds, bounds[1:]):
+            one = ids[start:end]
+            size = np.diff(np.flatnonzero(self.last[one]), prepend=-1)
+            if len(size) != len(line) or size.sum() != len(one):
+                one, size = self._encoded(line)
+            found.append(one)
+            sizes.append(size)
+        return np.concatenate(found), np.concatenate(sizes)
 
     def _learn(self, new: list[str], first: int) -> None:
         # each word is letters, then something else; of both, the distinct ones are encoded
@@ -83,10 +92,9 @@ class WordTokens:
         more = np.flatnonzero(tail)
         parts[more, 1] = [-1 - rests.setdefault(new[i][-n:], len(rests)) for i, n in zip(more.tolist(), tail[more].tolist())]
         known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        found = [*self._stems(known), *self._encoded(list(rests)), []]
-        unit = np.where(parts < -1, len(known) - 1 - parts, np.where(parts < 0, len(found) - 1, parts)).ravel()
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        (spelt, many), (other, more) = self._stems(known), self._encoded(list(rests))
+        lengths, flat = np.concatenate([many, more, [0]]), np.concatenate([spelt, other])
+        unit = np.where(parts < -1, len(known) - 1 - parts, np.where(parts < 0, len(lengths) - 1, parts)).ravel()
         starts, length = (np.cumsum(lengths) - lengths)[unit], lengths[unit]
         ends = np.cumsum(length)
         used = int(self.start[first - 1] + self.length[first - 1])

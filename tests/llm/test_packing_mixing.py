@@ -98,3 +98,23 @@ def test_pipeline_packs_tokens(spark):
         assert r.offset == ends.get(r.sequence_id, 0) and len(r.ids) == r.length
         assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
         ends[r.sequence_id] = r.offset + r.length
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    from cohortlens.llm.common import map_batches
+
+    long = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("word "), 2000).alias("text"))
+    size = map_batches(long, lambda batches: (pa.RecordBatch.from_pydict(
+        {"n": [b.num_rows], "size": [b.nbytes]}) for b in batches), "n bigint, size bigint")
+    got = size.agg(F.sum("n").alias("n"), F.max("size").alias("most")).first()
+    assert got.n == 3000 and got.most < 5 << 20
+
+
+def test_another_operator_lets_go_of_the_words_of_the_one_before():
+    from cohortlens.llm import common
+
+    memory = common.WordMemory(lambda words, first: None)
+    common.held("one", lambda: memory)
+    memory.numbers(pa.array(["a b c"]))
+    common.held("other", object)
+    assert common.WordMemory.in_use is None and memory.known == {"": 0}
