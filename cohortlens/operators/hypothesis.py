@@ -41,9 +41,8 @@ _C0 = (-1 / 3, 1 / 12, -2 / 135, 1 / 864, 1 / 2835, -139 / 777600, 1 / 25515)
 _C1 = (-1 / 540, -1 / 288, 1 / 378, -77 / 77760)
 
 
-def _ln_gamma_half(k: Column) -> Column:
-    """ln Gamma(k/2) for a positive integer k, as a sum of at most ``_STIRLING_FROM`` logs."""
-    half = k.cast("double") / 2
+def _ln_gamma_half(k: Column, half: Column) -> Column:
+    """ln Gamma(half), half = k/2 for a positive integer k, as a sum of at most ``_STIRLING_FROM`` logs."""
     first = F.when(k % 2 == 0, F.lit(1.0)).otherwise(F.lit(0.5))
     start = F.when(k % 2 == 0, F.lit(0.0)).otherwise(F.lit(0.5 * math.log(math.pi)))
     steps = F.sequence(F.lit(0), F.lit(_STIRLING_FROM))
@@ -60,7 +59,7 @@ def _density(k: Column, a: Column, x: Column) -> Column:
     """``x^a exp(-x) / Gamma(a + 1)`` without cancellation for large ``a = k/2``."""
     stirling = 1 / (12 * a) - 1 / (360 * a * a * a) + 1 / (1260 * F.pow(a, F.lit(5.0))) - 1 / (1680 * F.pow(a, F.lit(7.0)))
     large = let((x - a) / a, lambda mu: F.exp(-a * (mu - F.log1p(mu)) - stirling) / F.sqrt(2 * math.pi * a))
-    small = F.exp(-x + a * F.log(x) - _ln_gamma_half(k) - F.log(a))
+    small = F.exp(-x + a * F.log(x) - _ln_gamma_half(k, a) - F.log(a))
     return F.when(a >= _STIRLING_FROM, large).otherwise(small)
 
 
@@ -85,10 +84,10 @@ def _gamma_q(k: Column, a: Column, x: Column) -> Column:
                        (st["b"] + 2.0 + an / st["c"]).alias("c"))
 
         def turned(r):
-            return F.struct(r["b"].alias("b"), _nonzero(r["c"]).alias("c"), (1.0 / _nonzero(r["d"])).alias("d"))
+            return F.struct(_nonzero(r["c"]).alias("c"), (1.0 / _nonzero(r["d"])).alias("d"))
 
         return let(raw, lambda r: let(turned(r), lambda t: F.struct(
-            t["b"].alias("b"), t["c"].alias("c"), t["d"].alias("d"), (st["h"] * t["d"] * t["c"]).alias("h"))))
+            r["b"].alias("b"), t["c"].alias("c"), t["d"].alias("d"), (st["h"] * t["d"] * t["c"]).alias("h"))))
 
     def fraction(b0: Column) -> Column:
         init = F.struct(b0.alias("b"), F.lit(1.0 / _TINY).alias("c"), (1.0 / b0).alias("d"), (1.0 / b0).alias("h"))
@@ -123,28 +122,27 @@ def chi_square_pvalue(stat: Column, dof: Column) -> Column:
     Each quantity is bound once (``let``), and both ways to the tail share one
     incomplete gamma function, so the expression stays short.
     """
-    given = F.struct(dof.cast("bigint").alias("k"), F.when(stat > 0, stat / 2).otherwise(F.lit(1.0)).alias("x"))
+    k = dof.cast("bigint")
+    given = F.struct(k.alias("k"), (k.cast("double") / 2).alias("a"), F.when(stat > 0, stat / 2).otherwise(F.lit(1.0)).alias("x"))
 
     def far(v: Column) -> Column:  # how far out x lies, for the expansion
-        a = v["k"].cast("double") / 2
-        off = let((v["x"] - a) / a, lambda mu: F.struct(
+        off = let((v["x"] - v["a"]) / v["a"], lambda mu: F.struct(
             mu.alias("mu"), F.greatest(2 * (mu - F.log1p(mu)), F.lit(0.0)).alias("eta2")))
         none = F.struct(F.lit(0.0).alias("mu"), F.lit(0.0).alias("eta2"))
-        return F.struct(v["k"].alias("k"), v["x"].alias("x"), a.alias("a"),
-                        F.when(v["k"] > SERIES_DOF, off).otherwise(none).alias("off"))
+        return F.struct(v.alias("g"), F.when(v["k"] > SERIES_DOF, off).otherwise(none).alias("off"))
 
     def tail(v: Column) -> Column:
-        small = v["k"] <= SERIES_DOF
-        z2 = v["a"] * v["off"]["eta2"] / 2
+        small = v["g"]["k"] <= SERIES_DOF
+        z2 = v["g"]["a"] * v["off"]["eta2"] / 2
         near = F.least(F.greatest(z2, F.lit(_TINY)), F.lit(700.0))
-        asked = F.struct(F.when(small, v["k"]).otherwise(F.lit(1)).alias("k"), F.when(small, v["a"]).otherwise(0.5).alias("a"),
-                         F.when(small, v["x"]).otherwise(near).alias("x"),
+        half = F.struct(F.lit(1).cast("bigint").alias("k"), F.lit(0.5).alias("a"), near.alias("x"))
+        asked = F.struct(F.when(small, v["g"]).otherwise(half).alias("g"),
                          (F.signum(v["off"]["mu"]) * F.sqrt(v["off"]["eta2"])).alias("eta"), z2.alias("z2"))
-        return let(asked, lambda w: let(_gamma_q(w["k"], w["a"], w["x"]), lambda q: F.when(small, q).otherwise(
-            _gamma_q_large(v["a"], w["eta"], w["z2"], q))))
+        return let(asked, lambda w: let(let(w["g"], lambda g: _gamma_q(g["k"], g["a"], g["x"])), lambda q: F.when(small, q).otherwise(
+            _gamma_q_large(v["g"]["a"], w["eta"], w["z2"], q))))
 
     q = let(let(given, far), tail)
-    return F.when((stat <= 0) | (dof.cast("bigint") <= 0), F.lit(1.0)).otherwise(
+    return F.when((stat <= 0) | (k <= 0), F.lit(1.0)).otherwise(
         F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0)))
 
 
