@@ -126,6 +126,19 @@ class WordTokens:
                 yield ids[bounds[i]:bounds[i + 1]]
 
 
+def squeeze(ids: np.ndarray) -> bytes:
+    """Ids in little space: the bytes a number takes, then the numbers, compressed."""
+    width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
+    return bytes([width]) + pa.compress(ids.astype(f"<u{width}").tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes, length: int) -> np.ndarray:
+    """The ``length`` ids that ``squeeze`` took."""
+    width = data[0]
+    raw = pa.decompress(data[1:], decompressed_size=length * width, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, f"<u{width}").astype(np.uint32).view(np.int32)
+
+
 def word_tokens(path: str) -> WordTokens:
     return held(("tokens", path), lambda: WordTokens(path))
 
@@ -137,35 +150,36 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def pieces(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY,
-           end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+           end_id: int = END_ID, keep_ids: bool = False, squeezed: bool = False) -> DataFrame:
     """Cut every document's ids into full windows and a rest.
 
     One row per piece: doc_id, start (ids before it), length, ids_crc32 (of the
     ids as little-endian unsigned 32-bit numbers), doc_tokens (the document's
-    ids, ``end_id`` included), and ``ids`` itself if ``keep_ids``.  A null or
+    ids, ``end_id`` included), and ``ids`` itself if ``keep_ids``, as ``squeeze``
+    makes it if ``squeezed``.  A null or
     empty text is the one id ``end_id``.  Other columns are ignored; a repeated
     row gives its pieces again.
     """
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + (
-        ", ids array<int>" if keep_ids else "")
+        f", ids {'binary' if squeezed else 'array<int>'}" if keep_ids else "")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(vocabulary_path(vocabulary))
         for part in slices(batches):
             doc_ids = part.column("doc_id").to_pylist()
             out: list[tuple] = []
-            kept: list[np.ndarray] = []
+            kept: list[np.ndarray | bytes] = []
             for doc_id, ids in zip(doc_ids, tokens.each(pc.fill_null(part.column("text"), ""))):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(ids), window):
                     piece = ids[start:start + window]
                     out.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
                     if keep_ids:
-                        kept.append(piece.astype(np.int32))
+                        kept.append(squeeze(piece) if squeezed else piece.astype(np.int32))
             columns = [pa.array(x, pa.int64()) for x in zip(*out)]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             if keep_ids:
-                columns.append(pa.array(kept, pa.list_(pa.int32())))
+                columns.append(pa.array(kept, pa.binary() if squeezed else pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -255,7 +269,8 @@ def place(cut: DataFrame, window: int = WINDOW, shards: int = SHARDS) -> DataFra
     pieces of one length is the rank within a shard of that length plus the
     counts of the shards before it, so a length that a third of all pieces have
     spreads over ``shards`` groups.  Equal pieces may swap places among
-    themselves; the set of rows is the same in every run.
+    themselves; the set of rows is the same in every run.  Squeezed ``ids``
+    travel as they are and come out as numbers.
     """
     spark = cut.sparkSession
     shard, before = fresh(cut, "shard", "before")
@@ -276,20 +291,28 @@ def place(cut: DataFrame, window: int = WINDOW, shards: int = SHARDS) -> DataFra
               .join(sizes, ["length", shard])
               .withColumn("rank", F.col("rank") + F.col(before)).drop(shard, before))
     names = [c for c in ranked.columns if c != "rank"]
+    squeezed = dict(ranked.dtypes).get("ids") == "binary"
+
+    def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+        if not squeezed or name != "ids":
+            return batch.column(name)
+        return pa.array(list(map(unsqueeze, batch.column("ids").to_pylist(), batch.column("length").to_pylist())),
+                        pa.list_(pa.int32()))
 
     def locate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = plan.value
-        for batch in batches:
+        for batch in slices(batches, "ids") if squeezed else batches:
             length = batch.column("length").to_numpy()
             rank = batch.column("rank").to_numpy()
             at = np.searchsorted(p["key"], (length << 44) + rank, side="right") - 1
             step = rank - p["first_rank"][at]
             each = p["each"][at]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(p["sequence"][at] + step // each),
+                [*(column(batch, c) for c in names), pa.array(p["sequence"][at] + step // each),
                  pa.array(p["offset"][at] + step % each * length)], [*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
+    schema = ", ".join(f"`{f.name}` {'array<int>' if squeezed and f.name == 'ids' else f.dataType.simpleString()}"
+                       for f in ranked.schema if f.name != "rank")
     return map_batches(ranked, locate, f"{schema}, sequence_id bigint, offset bigint")
 
 
@@ -301,4 +324,4 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, en
     sequences are numbered from 0 and their offsets have no gaps.  An empty
     table gives no rows; a null doc_id is kept.
     """
-    return place(stage(pieces(docs, window, vocabulary, end_id, keep_ids), "pieces"), window, shards)
+    return place(stage(pieces(docs, window, vocabulary, end_id, keep_ids, squeezed=True), "pieces"), window, shards)

@@ -118,3 +118,25 @@ def test_another_operator_lets_go_of_the_words_of_the_one_before():
     memory.numbers(pa.array(["a b c"]))
     common.held("other", object)
     assert common.WordMemory.in_use is None and memory.known == {"": 0}
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, (1 << 31) - 1) | st.integers(0, 70_000), max_size=50))
+def test_squeezed_ids_come_back(ids):
+    there = np.array(ids, np.uint32)
+    assert packing.unsqueeze(packing.squeeze(there), len(ids)).tolist() == ids
+
+
+def test_packing_stages_and_shuffles_ids_in_little_space(spark):
+    vocabulary = [f"{a}{b}" for a in "bcdfghklmnprst" for b in ("an", "eri", "ost", "ul")]
+    rng = np.random.default_rng(3)
+    texts = [(i, " ".join(rng.choice(vocabulary, 1500))) for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    plain = {(r.doc_id, r.start): list(r.ids) for r in packing.pieces(docs, keep_ids=True).collect()}
+    out = packing.pack(docs, keep_ids=True)
+    assert dict(out.dtypes)["ids"] == "array<int>"
+    rows = out.collect()
+    assert {(r.doc_id, r.start): list(r.ids) for r in rows} == plain
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+    squeezed = packing.pieces(docs, keep_ids=True, squeezed=True).select(F.sum(F.length("ids")).alias("n")).first().n
+    assert squeezed < 2 * sum(map(len, plain.values()))
