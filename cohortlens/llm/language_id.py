@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import WordMemory, fresh, grown, held, map_batches, slices, stage, sums
+from cohortlens.llm.common import WordMemory, fresh, give_back, grown, held, map_batches, slices, stage, sums
 
 ORDER = 5
 SAMPLE = 1500  # documents a language that models learn from
@@ -29,6 +29,7 @@ FOLDS = 5
 STRICTNESS = 12.0
 UNKNOWN = "und"
 BEGIN, END = 2, 3
+PIECE = 1 << 16  # entries of a model's table that come to the driver as one row
 
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -236,29 +237,50 @@ def learn(docs: DataFrame) -> Model | None:
     counted = (map_batches(docs, count, "lang string, word string, n bigint")
                .groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+    names = ["lang", "kind", "level", "first", "hashes", "chances"]
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+
+    def fit(seen: pa.Table) -> pa.Table:
         units: dict[str, int] = {}
-        for word, n in zip(frame["word"], frame["n"]):
+        for word, n in zip(seen.column("word").to_pylist(), seen.column("n").to_pylist()):
             for run in runs(word):
                 units[run] = units.get(run, 0) + n
-        if not units:
-            return pd.DataFrame({"lang": [], "kind": [], "level": [], "hash": [], "value": []})
-        grams, contexts, floor = estimate(list(units), np.fromiter(units.values(), np.float64, len(units)))
-        out = [pd.DataFrame({"kind": kind, "level": k, "hash": key.astype(np.int64), "value": value})
-               for kind, tables in ((0, grams), (1, contexts)) for k, (key, value) in enumerate(tables)]
-        out.append(pd.DataFrame({"kind": [2], "level": [0], "hash": [0], "value": [floor]}))
-        return pd.concat(out).assign(lang=frame["lang"].iloc[0])[["lang", "kind", "level", "hash", "value"]]
-
-    rows = counted.groupBy("lang").applyInPandas(
-        fit, "lang string, kind int, level int, hash bigint, value double").toPandas()
-    if rows.empty:
+        out = []
+        if units:
+            grams, contexts, floor = estimate(list(units), np.fromiter(units.values(), np.float64, len(units)))
+            lang = seen.column("lang")[0].as_py()
+            tables = [(kind, k, key, value.astype("<f4"))  # a model keeps 32 bits of them
+                      for kind, levels in ((0, grams), (1, contexts)) for k, (key, value) in enumerate(levels)]
+            tables.append((2, 0, np.zeros(1, np.uint64), np.array([floor], "<f8")))
+            out = [(lang, kind, k, i, key[i:i + PIECE].astype("<u8").tobytes(), value[i:i + PIECE].tobytes())
+                   for kind, k, key, value in tables for i in range(0, len(key), PIECE)]
+        return pa.table([pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds)], names=names)
+
+    fitted = counted.groupBy("lang").applyInArrow(
+        fit, "lang string, kind int, level int, first bigint, hashes binary, chances binary")
+    model = _assembled(fitted.toArrow())
+    give_back()  # the driver too: arrays of the size of the model came and went
+    return model
+
+
+def _assembled(rows: pa.Table) -> Model | None:
+    """The model of the tables' pieces, in any order; None without rows."""
+    pieces: dict[tuple, list] = {}
+    for lang, kind, level, first, *data in zip(*(rows.column(c) for c in (
+            "lang", "kind", "level", "first", "hashes", "chances"))):
+        pieces.setdefault((lang.as_py(), kind.as_py(), level.as_py()), []).append((first.as_py(), *(x.as_buffer() for x in data)))
+    if not pieces:
         return None
-    languages = sorted(rows["lang"].unique())
-    rows["hash"] = rows["hash"].to_numpy().astype(np.uint64)
-    parts = {key: (g["hash"].to_numpy(), g["value"].to_numpy()) for key, g in rows.groupby(["lang", "kind", "level"])}
-    grams, contexts = ([_joined([parts[x, kind, k] for x in languages], missing) for k in range(ORDER)]
+
+    def table(lang: str, kind: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+        found = sorted(pieces[lang, kind, level], key=lambda x: x[0])
+        return (np.concatenate([np.frombuffer(x[1], "<u8") for x in found]),
+                np.concatenate([np.frombuffer(x[2], "<f8" if kind == 2 else "<f4") for x in found]))
+
+    languages = sorted({key[0] for key in pieces})
+    grams, contexts = ([_joined([table(x, kind, k) for x in languages], missing) for k in range(ORDER)]
                        for kind, missing in ((0, 0.0), (1, 1.0)))
-    floor = np.array([parts[x, 2, 0][1][0] for x in languages])
+    floor = np.array([table(x, 2, 0)[1][0] for x in languages])
     n = len(languages)
     return Model(languages, grams, contexts, floor, np.zeros(n), np.zeros((2, n)))
 

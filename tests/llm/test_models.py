@@ -150,3 +150,31 @@ def test_cutoffs_limit_false_rejection(spark):
     assert cut == 98  # beyond it lie 1 %, beyond the next lower value the whole 2 %
     few = quality_rules.cutoffs(measured, labels.filter("doc_id < 100")).collect()
     assert not few or few[0].cuts[0] is None
+
+
+def test_a_model_comes_to_the_driver_in_few_packed_rows(spark, monkeypatch):
+    import numpy as np
+
+    docs = spark.createDataFrame([("a", "some words and more of some other words " * 3), ("b", "weitere Worte"), ("c", "1 2")],
+                                 "lang string, text string")
+    came, kind = [], type(docs)
+    for name in ("toArrow", "toPandas"):
+        monkeypatch.setattr(kind, name, lambda self, f=getattr(kind, name): (came.append(out := f(self)), out)[1])
+    model = language_id.learn(docs)
+    assert len(came) == 1 and len(came[0]) == 2 * (2 * language_id.ORDER + 1)  # not a row an n-gram
+    assert model.languages == ["a", "b"]
+    units = [(["some", "words", "and", "more", "of", "other"], [6.0, 6, 3, 3, 3, 3]), (["weitere", "worte"], [1.0, 1])]
+    want = [language_id.estimate(x, np.array(n)) for x, n in units]
+    for found, place, missing in ((model.grams, 0, 0.0), (model.contexts, 1, 1.0)):
+        for k, (keys, values) in enumerate(found):
+            whole = language_id._joined([w[place][k] for w in want], missing)
+            assert (keys == whole[0]).all() and (values == whole[1]).all()
+    assert model.floor.tolist() == [w[2] for w in want]
+    monkeypatch.setattr(language_id, "PIECE", 3)  # tables in several pieces, in any order
+    came.clear()
+    again = language_id.learn(docs)
+    assert len(came[0]) > 60
+    again = language_id._assembled(came[0].take(np.random.default_rng(1).permutation(len(came[0]))))
+    for x, y in zip(model.grams + model.contexts, again.grams + again.contexts):
+        assert (x[0] == y[0]).all() and (x[1] == y[1]).all()
+    assert language_id.learn(docs.filter("lang = 'c'")) is None
